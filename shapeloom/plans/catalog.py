@@ -1,15 +1,629 @@
-"""All queries by name, with the SQL that says the same."""
+"""All queries by name, with the SQL that says the same.
+
+Data: series are the rows of `embeddings`, the stream is `events` in order of time; dictionaries are chunks of each label's first series
+(the deterministic start of the learners). Floats are rounded to six places, as engines add up in different orders.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..functions import arrays as A
+from ..functions.dtw import dtw_udf
+from ..operators import codes as C
+from ..operators import drift as D
+from ..operators import evaluation as E
+from ..operators import learning as L
+from ..operators import ranking as R
+from ..operators import series as S
+
+QUERIES: dict = {}
+SQL: dict = {}
+
+SER = "ser AS (SELECT vec_id, CAST(label AS VARCHAR) AS label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings)"
+RANKED = "ranked AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS rn FROM ser)"
+
+
+def _dic(name: str, first: int, last: int) -> str:
+    return f"{name} AS (SELECT row_number() OVER (ORDER BY label, rn) - 1 AS pos, label, rn - {first} AS shapelet_id, x[1:16] AS s FROM ranked WHERE rn BETWEEN {first} AND {last})"
+
+
+DIC, NEW = _dic("dic", 1, 2), _dic("neu", 3, 4)
+STR = "str AS (SELECT row_number() OVER (ORDER BY ts, event_id) - 1 AS seq, ts, event_id, event_type AS label, value FROM events)"
+NUM = "num AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY seq) - 1 AS rn, count(*) OVER (PARTITION BY label) AS n FROM str)"
+DIST = "dist AS (SELECT v.vec_id, v.label, d.pos, d.label AS shapelet_label, list_min(list_transform(range(0, len(v.x) - len(d.s) + 1), lambda i: list_distance(v.x[i + 1 : i + len(d.s)], d.s))) AS dist FROM ser v, dic d)"
+PRED = "pred AS (SELECT vec_id AS id, vec_id // 100 AS batch, label AS y, shapelet_label AS p FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY dist, pos) AS r FROM dist) WHERE r = 1)"
+CODES = """corr AS (SELECT v.vec_id, v.label, d.pos AS k, d.s, list_transform(range(0, len(v.x) - len(d.s) + 1), lambda i: list_dot_product(v.x[i + 1 : i + len(d.s)], d.s)) AS c FROM ser v, dic d),
+top AS (SELECT *, list_position(list_transform(c, lambda v: abs(v)), list_max(list_transform(c, lambda v: abs(v)))) - 1 AS o, list_dot_product(s, s) AS norm2 FROM corr),
+cof AS (SELECT vec_id AS series_id, label, k, s, o, c[o + 1] AS m, CASE WHEN abs(c[o + 1]) <= 0.1 THEN 0.0 ELSE sign(c[o + 1]) * (abs(c[o + 1]) - 0.1) / norm2 END AS a, CASE WHEN c[o + 1] <= 0.1 THEN 0.0 ELSE (c[o + 1] - 0.1) / norm2 END AS an FROM top)"""
+RECON = """terms AS (SELECT t.series_id, t.i, t.xv, t.xv - coalesce(sum(c.a * c.s[t.i - c.o]), 0) AS res
+  FROM (SELECT vec_id AS series_id, unnest(range(1, len(x) + 1)) AS i, unnest(x) AS xv FROM ser) t LEFT JOIN cof c ON c.series_id = t.series_id AND t.i > c.o AND t.i <= c.o + 16 AND c.a <> 0 GROUP BY t.series_id, t.i, t.xv)"""
+COUNTS = """cc AS (SELECT {by} c, sum(tp) AS tp, sum(nt) AS nt, sum(np) AS np FROM (SELECT {by} y AS c, (y = p)::INT AS tp, 1 AS nt, 0 AS np FROM pred UNION ALL SELECT {by} p, 0, 0, 1 FROM pred) GROUP BY ALL),
+prf AS (SELECT *, coalesce(tp / nullif(np, 0), 0) AS pr, coalesce(tp / nullif(nt, 0), 0) AS re, coalesce(2 * tp / nullif(nt + np, 0), 0) AS f1 FROM cc)"""
+
+
+def query(name: str, sql: str | None = None, ctes: tuple[str, ...] = ()):
+    def keep(f):
+        QUERIES[name] = f
+        if sql:
+            SQL[name] = ("WITH " + ", ".join(ctes) + " " if ctes else "") + sql
+        return f
+
+    return keep
+
+
+def r6(c) -> F.Column:
+    return F.round(c, 6)
+
+
+def dictionary(spark, sf_dir: str, first: int = 1, last: int = 2) -> DataFrame:
+    return S.chunk_dictionary(S.series(spark, sf_dir), first, last)
+
+
+def distances(spark, sf_dir: str) -> DataFrame:
+    return S.shapelet_features(S.series(spark, sf_dir), dictionary(spark, sf_dir))
+
+
+def predictions(spark, sf_dir: str) -> DataFrame:
+    """Label of the nearest atom: id, batch, y, p."""
+    best = F.min(F.struct("dist", "pos", "shapelet_label"))
+    return distances(spark, sf_dir).groupBy("vec_id", "label").agg(best.alias("b")).select(F.col("vec_id").alias("id"), F.floor(F.col("vec_id") / 100).alias("batch"), F.col("label").alias("y"), F.col("b.shapelet_label").alias("p"))
+
+
+def codes(spark, sf_dir: str, signed: bool = True) -> DataFrame:
+    return C.one_step_codes(S.series(spark, sf_dir), dictionary(spark, sf_dir), 0.1, signed)
+
+
+def terms(spark, sf_dir: str) -> DataFrame:
+    return C.residual_terms(S.series(spark, sf_dir), codes(spark, sf_dir), dictionary(spark, sf_dir))
+
+
+# --- distances and arrays ---------------------------------------------------------------------------------------------------------
+
+
+@query("shapelet_distance", "SELECT vec_id, label, pos, round(dist, 6) AS dist FROM dist", (SER, RANKED, DIC, DIST))
+def _(spark, d):
+    return distances(spark, d).select("vec_id", "label", "pos", r6("dist").alias("dist"))
+
+
+@query("shapelet_transform_raw", "SELECT vec_id, label, list(round(dist, 6) ORDER BY pos) AS features FROM dist GROUP BY ALL", (SER, RANKED, DIC, DIST))
+def _(spark, d):
+    got = distances(spark, d).groupBy("vec_id", "label").agg(F.array_sort(F.collect_list(F.struct("pos", r6("dist").alias("dist")))).alias("f"))
+    return got.select("vec_id", "label", F.transform("f", lambda e: e["dist"]).alias("features"))
+
+
+ZN = "list_transform({w}, lambda v: (v - list_avg({w})) / (list_stddev_pop({w}) + 1e-8))"
+
+
+@query("shapelet_transform_znorm", "SELECT vec_id, label, pos, round(min(list_distance(zw, zs)), 6) AS dist FROM (SELECT w.vec_id, w.label, d.pos, " + ZN.format(w="w.w") + " AS zw, d.zs FROM (SELECT vec_id, label, unnest(list_transform(range(0, len(x) - 15), lambda i: x[i + 1 : i + 16])) AS w FROM ser) w, (SELECT pos, " + ZN.format(w="s") + " AS zs FROM dic) d) GROUP BY ALL", (SER, RANKED, DIC))
+def _(spark, d):
+    m = S.feature_matrix(S.series(spark, d), dictionary(spark, d))
+    return m.select("vec_id", "label", F.posexplode("features").alias("pos", "dist")).select("vec_id", "label", F.col("pos").cast("long").alias("pos"), r6("dist").alias("dist"))
+
+
+@query("znorm_rows", "SELECT vec_id, label, list_transform(x, lambda v: round((v - list_avg(x)) / CASE WHEN list_stddev_pop(x) = 0 THEN 1 ELSE list_stddev_pop(x) END, 6)) AS z FROM ser", (SER,))
+def _(spark, d):
+    return S.series(spark, d).select("vec_id", "label", F.transform(A.znorm(F.col("x")), r6).alias("z"))
+
+
+@query("znorm_epsilon", "SELECT vec_id, list_transform(" + ZN.format(w="x") + ", lambda v: round(v, 6)) AS z FROM ser", (SER,))
+def _(spark, d):
+    return S.series(spark, d).select("vec_id", F.transform(A.znorm_eps(F.col("x")), r6).alias("z"))
+
+
+@query("atom_distances", "SELECT a.pos AS pos_a, b.pos AS pos_b, round(list_distance(a.s, b.s), 6) AS dist FROM dic a, neu b", (SER, RANKED, DIC, NEW))
+def _(spark, d):
+    return R.atom_pairs(dictionary(spark, d), dictionary(spark, d, 3, 4)).withColumn("dist", r6("dist"))
+
+
+@query("euclidean_within", "SELECT v.vec_id, CASE WHEN list_distance(v.x[1:16], d.s) ** 2 > 2 THEN NULL ELSE round(list_distance(v.x[1:16], d.s), 6) END AS dist FROM ser v, dic d WHERE d.pos = 0", (SER, RANKED, DIC))
+def _(spark, d):
+    one = dictionary(spark, d).filter("pos = 0").select("s")
+    j = S.series(spark, d).crossJoin(F.broadcast(one))
+    e = A.euclidean_within(F.slice("x", 1, 16), F.col("s"), 2.0)
+    return j.select("vec_id", F.when(e == float("inf"), None).otherwise(r6(e)).alias("dist"))
+
+
+@query("strided_distance", "SELECT v.vec_id, round(list_distance(list_transform(range(0, 4), lambda i: v.x[i * 4 + 1]), list_transform(range(0, 4), lambda i: d.s[i * 4 + 1])), 6) AS dist FROM ser v, dic d WHERE d.pos = 0", (SER, RANKED, DIC))
+def _(spark, d):
+    one = dictionary(spark, d).filter("pos = 0").select("s")
+    j = S.series(spark, d).crossJoin(F.broadcast(one))
+    return j.select("vec_id", r6(A.euclidean(A.strided(F.slice("x", 1, 16), 0.25), A.strided(F.col("s"), 0.25))).alias("dist"))
+
+
+@query("segments", "SELECT vec_id, i AS start, round(list_sum(x[i + 1 : i + 16]), 6) AS total FROM (SELECT vec_id, x, unnest(range(0, len(x) - 15)) AS i FROM ser)", (SER,))
+def _(spark, d):
+    return S.series(spark, d).select("vec_id", F.posexplode(A.segments(F.col("x"), 16)).alias("start", "w")).select("vec_id", F.col("start").cast("long").alias("start"), r6(A.total(F.col("w"))).alias("total"))
+
+
+@query("op_shift", "SELECT pos, list_transform(range(0, 24), lambda t: CASE WHEN t >= pos % 8 AND t < pos % 8 + 16 THEN round(s[t - pos % 8 + 1], 6) ELSE 0 END) AS placed FROM dic", (SER, RANKED, DIC))
+def _(spark, d):
+    return dictionary(spark, d).select("pos", F.transform(A.place(F.col("s"), (F.col("pos") % 8).cast("int"), 24), r6).alias("placed"))
+
+
+@query("shift_atom", "SELECT pos, list_transform(range(0, 20), lambda t: CASE WHEN t >= pos AND t < pos + 16 THEN round(s[t - pos + 1], 6) ELSE 0 END) AS placed FROM dic", (SER, RANKED, DIC))
+def _(spark, d):
+    return dictionary(spark, d).select("pos", F.transform(A.place_cut(F.col("s"), F.col("pos").cast("int"), 20), r6).alias("placed"))
+
+
+@query("interpolate", "SELECT seq, round((1 - (seq % 10) / 10) * value + (seq % 10) / 10 * value * 2, 6) AS v, round((value - 1) / nullif(value, 0) * 100, 6) AS gain FROM str", (STR,))
+def _(spark, d):
+    a = (F.col("seq") % 10) / 10
+    return S.stream(spark, d).select("seq", r6(A.interpolate(F.col("value"), F.col("value") * 2, a)).alias("v"), r6(A.percent_gain(F.col("value"), F.lit(1.0))).alias("gain"))
+
+
+@query("dtw_transform")
+def _(spark, d):
+    pairs = S.series(spark, d).crossJoin(F.broadcast(dictionary(spark, d).select("pos", "s")))
+    return pairs.select("vec_id", "label", "pos", r6(dtw_udf()("x", "s")).alias("dist"))
+
+
+# --- windows and splits -----------------------------------------------------------------------------------------------------------
+
+
+@query("sliding_windows", "SELECT label, rn AS start, len(w) AS size, round(list_sum(w), 6) AS total FROM (SELECT *, list(value) OVER (PARTITION BY label ORDER BY seq ROWS BETWEEN CURRENT ROW AND 99 FOLLOWING) AS w FROM num) WHERE rn % 20 = 0 AND rn < n - 100 AND rn / 20 < 1000", (STR, NUM))
+def _(spark, d):
+    w = S.compile_windows(S.stream(spark, d), "slide", 100, 20, 1000)
+    return w.select("label", "start", F.size("x").cast("long").alias("size"), r6(A.total(F.col("x"))).alias("total"))
+
+
+@query("trailing_windows", "SELECT label, seq, round(list_sum(w), 6) AS total FROM (SELECT *, list(value) OVER (PARTITION BY label ORDER BY seq ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS w FROM num) WHERE len(w) = 10", (STR, NUM))
+def _(spark, d):
+    return S.trailing_windows(S.stream(spark, d), 10).select("label", "seq", r6(A.total(F.col("x"))).alias("total"))
+
+
+@query("random_windows")
+def _(spark, d):
+    return S.compile_windows(S.stream(spark, d), "random", 50, most=40, seed=1)
+
+
+@query("bootstrapped_windows")
+def _(spark, d):
+    return S.compile_windows(S.stream(spark, d), "bootstrapped", 50, 25, 200, seed=1)
+
+
+@query("half_split", "SELECT event_id, label, rn < n // 2 AS is_train FROM num", (STR, NUM))
+def _(spark, d):
+    return S.half_split(S.stream(spark, d)).select("event_id", "label", "is_train")
+
+
+@query("train_stat_znorm", "SELECT t.event_id, round((t.value - s.m) / CASE WHEN s.sd = 0 THEN 1 ELSE s.sd END, 6) AS z FROM num t JOIN (SELECT label, avg(value) AS m, stddev_pop(value) AS sd FROM num WHERE rn < n // 2 GROUP BY label) s USING (label) WHERE t.rn >= t.n // 2", (STR, NUM))
+def _(spark, d):
+    return S.train_stat_znorm(S.stream(spark, d)).select("event_id", r6("z").alias("z"))
+
+
+@query("stratified_split", "SELECT vec_id, label, r <= ceil(n * 0.3) AS is_test FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5(concat(vec_id, '|0')), vec_id) AS r, count(*) OVER (PARTITION BY label) AS n FROM ser)", (SER,))
+def _(spark, d):
+    return S.stratified_split(S.series(spark, d), 0.3, "vec_id").select("vec_id", "label", "is_test")
+
+
+@query("positional_split", "SELECT event_id, seq < 600 AS is_train FROM str", (STR,))
+def _(spark, d):
+    return S.stream(spark, d).select("event_id", (F.col("seq") < 600).alias("is_train"))
+
+
+@query("standard_scaler", "SELECT vec_id, round((x[1] - m) / s, 6) AS v FROM ser, (SELECT avg(x[1]) AS m, stddev_pop(x[1]) AS s FROM ser WHERE vec_id % 5 <> 0)", (SER,))
+def _(spark, d):
+    rows = S.series(spark, d).select("vec_id", F.get("x", F.lit(0)).alias("v"))
+    fit = rows.filter("vec_id % 5 <> 0").agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("s"))
+    return rows.crossJoin(F.broadcast(fit)).select("vec_id", r6((F.col("v") - F.col("m")) / F.col("s")).alias("v"))
+
+
+@query("tumbling_batches", "SELECT batch_num, count(*) AS n, round(sum(value), 4) AS total FROM (SELECT *, seq // 500 + 1 AS batch_num FROM str) GROUP BY batch_num HAVING count(*) = 500", (STR,))
+def _(spark, d):
+    return S.tumbling_batches(S.stream(spark, d), 500).groupBy("batch_num").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+
+
+@query("tumbling_keep_tail", "SELECT seq // 1024 + 1 AS batch_num, count(*) AS n, max(event_id) AS last FROM str GROUP BY 1", (STR,))
+def _(spark, d):
+    return S.tumbling_batches(S.stream(spark, d), 1024, keep_tail=True).groupBy("batch_num").agg(F.count("*").alias("n"), F.max("event_id").alias("last"))
+
+
+@query("half_batches", "SELECT batch_num, part, count(*) AS n FROM (SELECT seq // 981 + 1 AS batch_num, CASE WHEN seq % 981 < 490 THEN 'test' ELSE 'train' END AS part, count(*) OVER (PARTITION BY seq // 981) AS c FROM str) WHERE c >= 980 GROUP BY ALL", (STR,))
+def _(spark, d):
+    return S.half_batches(S.stream(spark, d), 981).groupBy("batch_num", "part").agg(F.count("*").alias("n"))
+
+
+CLASSES = ("click", "error", "purchase", "view")
+PLAN = "plan(epoch, label, first, last) AS (VALUES " + ", ".join(f"({e}::BIGINT, '{c}', {a}, {b})" for e, c, a, b in S.class_schedule(CLASSES)) + ")"
+
+
+@query("class_schedule", "SELECT p.epoch, p.label, count(*) AS n, min(x.event_id) AS lowest FROM num x JOIN plan p ON x.label = p.label AND x.rn >= p.first AND x.rn < p.last GROUP BY ALL", (STR, NUM, PLAN))
+def _(spark, d):
+    return S.scheduled(S.stream(spark, d), S.class_schedule(CLASSES)).groupBy("epoch", "label").agg(F.count("*").alias("n"), F.min("event_id").alias("lowest"))
+
+
+@query("label_encode", "SELECT event_id, dense_rank() OVER (ORDER BY event_type) - 1 AS code FROM events")
+def _(spark, d):
+    return S.label_encode(S.stream(spark, d)).select("event_id", "code")
+
+
+@query("exclude_classes", "SELECT label, count(*) AS n FROM str WHERE label NOT IN ('error', 'view') GROUP BY label", (STR,))
+def _(spark, d):
+    return S.stream(spark, d).filter(~F.col("label").isin("error", "view")).groupBy("label").agg(F.count("*").alias("n"))
+
+
+# --- quality, ranks and policies --------------------------------------------------------------------------------------------------
+
+FST = "fst AS (SELECT pos, (sum((m - g) ** 2) / nullif(count(*) - 1, 0)) / nullif(sum(w) / nullif(sum(n) - count(*), 0), 0) AS f_statistic FROM (SELECT pos, label, count(*) AS n, avg(dist) AS m, var_pop(dist) * count(*) AS w, sum(sum(dist)) OVER (PARTITION BY pos) / sum(count(*)) OVER (PARTITION BY pos) AS g FROM dist GROUP BY pos, label) GROUP BY pos)"
+
+
+@query("f_statistic", "SELECT pos, round(f_statistic, 6) AS f_statistic FROM fst", (SER, RANKED, DIC, DIST, FST))
+def _(spark, d):
+    return R.f_statistic(distances(spark, d), ["pos"]).select("pos", r6("f_statistic").alias("f_statistic"))
+
+
+@query("shapelet_quality_rank", "SELECT pos, row_number() OVER (ORDER BY f_statistic DESC, pos) AS quality_rank FROM fst", (SER, RANKED, DIC, DIST, FST))
+def _(spark, d):
+    return R.quality_rank(R.f_statistic(distances(spark, d), ["pos"]), "pos").select("pos", F.col("quality_rank").cast("long").alias("quality_rank"))
+
+
+PAIRS = "pairs AS (SELECT a.pos AS pos_a, b.pos AS pos_b, list_distance(a.s, b.s) AS dist FROM dic a, neu b)"
+TOPK = "topk AS (SELECT *, row_number() OVER (PARTITION BY pos_a ORDER BY dist, pos_b) AS rank FROM pairs)"
+NEAR = "near AS (SELECT pos_b, dist, row_number() OVER (ORDER BY dist, pos_b) AS nr, row_number() OVER (ORDER BY dist DESC, pos_b) AS fr FROM (SELECT pos_b, min(dist) AS dist FROM pairs GROUP BY pos_b))"
+BASE = (SER, RANKED, DIC, NEW, PAIRS)
+
+
+def _pair(spark, d):
+    return dictionary(spark, d), dictionary(spark, d, 3, 4)
+
+
+def _atoms(df):
+    return df.select("new_pos", "label", r6(F.get("s", F.lit(0))).alias("s0"))
+
+
+@query("closest_topk", "SELECT pos_a, pos_b, rank, round(dist, 6) AS dist FROM topk WHERE rank <= 3", (*BASE, TOPK))
+def _(spark, d):
+    return R.closest(R.atom_pairs(*_pair(spark, d)), 3).select("pos_a", "pos_b", F.col("rank").cast("long").alias("rank"), r6("dist").alias("dist"))
+
+
+@query("closest_map", "SELECT pos_a, list(pos_b ORDER BY dist, pos_b) AS matches FROM topk WHERE rank <= 3 GROUP BY pos_a", (*BASE, TOPK))
+def _(spark, d):
+    return R.closest_map(R.atom_pairs(*_pair(spark, d)), 3).select("pos_a", F.transform("matches", lambda m: m["pos_b"]).alias("matches"))
+
+
+def _policy_sql(parts: str) -> str:
+    return f"SELECT row_number() OVER (ORDER BY part, o) - 1 AS new_pos, label, round(s[1], 6) AS s0 FROM ({parts})"
+
+
+A_FIRST = "SELECT 0 AS part, pos AS o, label, s FROM dic UNION ALL "
+
+
+@query("policy_closest_set", _policy_sql(A_FIRST + "SELECT 1, h.o, b.label, b.s FROM neu b JOIN (SELECT pos_b, min(pos_a) AS o FROM topk WHERE rank = 1 GROUP BY pos_b) h ON b.pos = h.pos_b"), (*BASE, TOPK))
+def _(spark, d):
+    return _atoms(R.policy_closest_set(*_pair(spark, d)))
+
+
+@query("policy_closest", _policy_sql(A_FIRST + "SELECT 1, nr, b.label, b.s FROM neu b JOIN near ON b.pos = pos_b WHERE nr <= 12"), (*BASE, NEAR))
+def _(spark, d):
+    return _atoms(R.policy_closest(*_pair(spark, d)))
+
+
+@query("policy_dissimilar", _policy_sql(A_FIRST + "SELECT 1, fr, b.label, b.s FROM neu b JOIN near ON b.pos = pos_b WHERE fr <= 12"), (*BASE, NEAR))
+def _(spark, d):
+    return _atoms(R.policy_closest(*_pair(spark, d), far=True))
+
+
+@query("policy_random_hash", _policy_sql("SELECT 0 AS part, o, label, s FROM (SELECT *, row_number() OVER (ORDER BY md5(concat(pos, '|0'))) AS o FROM neu) WHERE o <= 10 UNION ALL SELECT 1, pos, label, s FROM dic"), BASE)
+def _(spark, d):
+    return _atoms(R.policy_random(*_pair(spark, d)))
+
+
+CRANK = "crank AS (SELECT k, avg(r) AS mean_rank, count(*) FILTER (r < 10) AS top_count, row_number() OVER (ORDER BY avg(r), k) AS overall_rank FROM (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY abs(a) DESC, k) - 1 AS r FROM cof) GROUP BY k)"
+
+
+@query("coef_rank", "SELECT k, round(mean_rank, 6) AS mean_rank, top_count, overall_rank FROM crank", (SER, RANKED, DIC, CODES, CRANK))
+def _(spark, d):
+    return R.rank_coefficients(codes(spark, d)).select("k", r6("mean_rank").alias("mean_rank"), "top_count", F.col("overall_rank").cast("long").alias("overall_rank"))
+
+
+@query("policy_topk", _policy_sql("SELECT 0 AS part, overall_rank AS o, b.label, b.s FROM neu b JOIN crank ON b.pos = k WHERE overall_rank <= 10 UNION ALL SELECT 1, pos, label, s FROM dic"), (SER, RANKED, DIC, NEW, CODES, CRANK))
+def _(spark, d):
+    return _atoms(R.policy_top_ranked(*_pair(spark, d), R.rank_coefficients(codes(spark, d))))
+
+
+SUMS = "SELECT '{o}' AS origin, label, k % 2 AS shapelet_id, sum({a}) AS total FROM cof WHERE k // 2 = CAST(label AS INT) GROUP BY ALL"
+
+
+@query("policy_coef_merge", "SELECT label, origin, shapelet_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY total DESC, origin DESC, shapelet_id DESC) AS rank FROM (" + SUMS.format(o="old_coeff", a="a") + " UNION ALL " + SUMS.format(o="new_coeff", a="an") + ")) WHERE rank <= 2", (SER, RANKED, DIC, CODES))
+def _(spark, d):
+    def sums(signed, name):
+        own = codes(spark, d, signed).filter(F.floor(F.col("k") / 2) == F.col("label").cast("int")).withColumn("shapelet_id", F.col("k") % 2)
+        return R.coefficient_sums(own, name)
+
+    return R.policy_coefficients(sums(True, "old_coeff"), sums(False, "new_coeff"), 2).select("label", "origin", "shapelet_id", F.col("rank").cast("long").alias("rank"))
+
+
+@query("policy_labelwise")
+def _(spark, d):
+    return R.policy_labelwise(*_pair(spark, d))
+
+
+@query("policy_extend", _policy_sql(A_FIRST + "SELECT 1, pos, label, s FROM neu WHERE label IN ('8', '9')"), BASE)
+def _(spark, d):
+    a, b = _pair(spark, d)
+    return _atoms(R._joined(a, b.filter(F.col("label").isin("8", "9"))))
+
+
+@query("coef_sums", "SELECT label, k, round(sum(a), 6) AS total FROM cof GROUP BY ALL", (SER, RANKED, DIC, CODES))
+def _(spark, d):
+    return R.coefficient_sums(codes(spark, d).withColumnRenamed("k", "shapelet_id"), "old").select("label", F.col("shapelet_id").alias("k"), r6("total").alias("total"))
+
+
+@query("new_classes", "SELECT label FROM str WHERE seq >= 5 EXCEPT SELECT label FROM str WHERE seq < 5", (STR,))
+def _(spark, d):
+    s = S.stream(spark, d)
+    return R.new_classes(s.filter("seq >= 5"), s.filter("seq < 5"))
+
+
+@query("seen_classes", "SELECT label FROM str WHERE seq < 3 UNION SELECT label FROM str WHERE seq BETWEEN 3 AND 5", (STR,))
+def _(spark, d):
+    s = S.stream(spark, d)
+    return R.seen_classes(s.filter("seq < 3"), s.filter("seq between 3 and 5"))
+
+
+@query("distinct_labels", "SELECT event_type AS label, count(*) AS n, (SELECT count(DISTINCT event_type) FROM events) AS classes FROM events GROUP BY event_type")
+def _(spark, d):
+    g = S.stream(spark, d).groupBy("label").agg(F.count("*").alias("n"))
+    return g.withColumn("classes", F.count("*").over(Window.partitionBy(F.lit(0))))
+
+
+# --- codes ------------------------------------------------------------------------------------------------------------------------
+
+
+@query("best_offset", "SELECT series_id, k, CAST(CASE WHEN a = 0 THEN 0 ELSE o END AS INTEGER) AS off, round(m, 6) AS m FROM cof", (SER, RANKED, DIC, CODES))
+def _(spark, d):
+    return codes(spark, d).select("series_id", "k", "off", r6("m").alias("m"))
+
+
+@query("soft_threshold", "SELECT series_id, k, round(a, 6) AS a FROM cof", (SER, RANKED, DIC, CODES))
+def _(spark, d):
+    return codes(spark, d).select("series_id", "k", r6("a").alias("a"))
+
+
+@query("nonneg_threshold", "SELECT series_id, k, round(an, 6) AS a FROM cof", (SER, RANKED, DIC, CODES))
+def _(spark, d):
+    return codes(spark, d, signed=False).select("series_id", "k", r6("a").alias("a"))
+
+
+@query("reconstruction", "SELECT series_id, i - 1 AS t, round(xv, 6) AS value, round(xv - res, 6) AS recon FROM terms", (SER, RANKED, DIC, CODES, RECON))
+def _(spark, d):
+    t = terms(spark, d).select("series_id", F.posexplode(F.arrays_zip("x", "recon")).alias("t", "e"))
+    return t.select("series_id", F.col("t").cast("long").alias("t"), r6("e.x").alias("value"), r6("e.recon").alias("recon"))
+
+
+@query("reconstruction_error", "SELECT round(sum(res ** 2) / count(DISTINCT series_id), 6) AS error FROM terms", (SER, RANKED, DIC, CODES, RECON))
+def _(spark, d):
+    return C.reconstruction_error(terms(spark, d)).select(r6("error").alias("error"))
+
+
+@query("sidl_objective", "SELECT round(0.5 * (SELECT sum(res ** 2) FROM terms) + 0.1 * (SELECT sum(abs(a)) FROM cof), 4) AS objective", (SER, RANKED, DIC, CODES, RECON))
+def _(spark, d):
+    return C.objective(terms(spark, d), 0.1).select(F.round("objective", 4).alias("objective"))
+
+
+STEP = """raw AS (SELECT c.k, t.i - c.o AS j, sum(c.a * (t.res + c.a * c.s[t.i - c.o])) AS v, sum(c.a * c.a) AS n2 FROM cof c JOIN terms t ON c.series_id = t.series_id AND t.i > c.o AND t.i <= c.o + 16 WHERE c.a <> 0 GROUP BY ALL),
+upd AS (SELECT d.pos AS k, r.j, d.s[r.j] + r.v AS u, r.n2 FROM dic d JOIN raw r ON d.pos = r.k),
+nrm AS (SELECT k, sqrt(sum(u * u)) AS nu FROM upd GROUP BY k)"""
+
+
+@query("dictionary_step", "SELECT k, j - 1 AS i, round(CASE WHEN n2 <= nu / 10 THEN u * 10 / nu ELSE u / n2 END, 6) AS v FROM upd JOIN nrm USING (k)", (SER, RANKED, DIC, CODES, RECON, STEP))
+def _(spark, d):
+    s = C.dictionary_step(S.series(spark, d), codes(spark, d), terms(spark, d), dictionary(spark, d))
+    return s.select("k", F.posexplode("s").alias("i", "v")).select("k", F.col("i").cast("long").alias("i"), r6("v").alias("v"))
+
+
+@query("learn_dictionary")
+def _(spark, d):
+    return L.learn_dictionaries(S.series(spark, d), k=3, share=0.25, most=5)
+
+
+@query("encode_series")
+def _(spark, d):
+    return L.encode(S.series(spark, d), dictionary(spark, d))
+
+
+# --- drift ------------------------------------------------------------------------------------------------------------------------
+
+
+def _errors(spark, d):
+    t = terms(spark, d).withColumn("batch_num", (F.floor(F.col("series_id") / 100) + 1).cast("long"))
+    return t.groupBy("batch_num").agg(F.avg(A.squared_distance(F.col("x"), F.col("recon"))).alias("error"))
+
+
+ERR = "err AS (SELECT series_id // 100 + 1 AS batch_num, sum(res ** 2) / count(DISTINCT series_id) AS error FROM terms GROUP BY 1)"
+
+
+@query("re_threshold_drift", "SELECT batch_num, round(error, 6) AS error, hit AS drift_detected FROM walk", (SER, RANKED, DIC, CODES, RECON, ERR, "ord AS (SELECT *, row_number() OVER (ORDER BY batch_num) AS r FROM err)", "walk AS (SELECT r, batch_num, error, error AS ref, false AS hit FROM ord WHERE r = 1 UNION ALL SELECT o.r, o.batch_num, o.error, CASE WHEN o.error > 1.02 * w.ref THEN o.error ELSE w.ref END, o.error > 1.02 * w.ref FROM walk w JOIN ord o ON o.r = w.r + 1)"))
+def _(spark, d):
+    return D.threshold_drift(_errors(spark, d), 1.02).select("batch_num", r6("error").alias("error"), "drift_detected")
+
+
+SQL["re_threshold_drift"] = SQL["re_threshold_drift"].replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query("label_errors", "SELECT label, round(sum(res ** 2) / count(DISTINCT series_id), 6) AS error FROM terms JOIN ser ON vec_id = series_id GROUP BY label", (SER, RANKED, DIC, CODES, RECON))
+def _(spark, d):
+    t = terms(spark, d).join(S.series(spark, d).select(F.col("vec_id").alias("series_id"), "label"), "series_id")
+    return t.groupBy("label").agg(r6(F.avg(A.squared_distance(F.col("x"), F.col("recon")))).alias("error"))
+
+
+@query("scheduled_drift", "SELECT DISTINCT seq // 500 + 1 AS batch_num, (seq // 500 + 1) % 2 <> 0 AS drift_detected FROM str", (STR,))
+def _(spark, d):
+    return D.scheduled_drift(S.tumbling_batches(S.stream(spark, d), 500, True).select("batch_num").distinct())
+
+
+def _samples(spark, d):
+    s = S.series(spark, d).select(F.col("vec_id").alias("id"), "label", "x")
+    return s.filter("label = '0'"), s.filter("label = '1'")
+
+
+@query("mmd_rbf", "SELECT round((SELECT avg(exp(-0.05 * list_distance(a.x, b.x) ** 2)) FROM ser a, ser b WHERE a.label = '0' AND b.label = '0') + (SELECT avg(exp(-0.05 * list_distance(a.x, b.x) ** 2)) FROM ser a, ser b WHERE a.label = '1' AND b.label = '1') - 2 * (SELECT avg(exp(-0.05 * list_distance(a.x, b.x) ** 2)) FROM ser a, ser b WHERE a.label = '0' AND b.label = '1'), 6) AS mmd2", (SER,))
+def _(spark, d):
+    return D.mmd_rbf(*_samples(spark, d), gamma=0.05).select(r6("mmd2").alias("mmd2"))
+
+
+@query("ks_two_sample", "SELECT label, round(max(gap), 6) AS statistic FROM (SELECT label, abs(sum(a) OVER w / sum(a) OVER (PARTITION BY label) - sum(b) OVER w / sum(b) OVER (PARTITION BY label)) AS gap FROM (SELECT label, value, count(*) FILTER (ts < TIMESTAMP '2024-01-16') AS a, count(*) FILTER (ts >= TIMESTAMP '2024-01-16') AS b FROM str GROUP BY ALL) WINDOW w AS (PARTITION BY label ORDER BY value)) GROUP BY label", (STR,))
+def _(spark, d):
+    s = S.stream(spark, d).withColumn("early", F.col("ts") < F.lit("2024-01-16").cast("timestamp"))
+    return D.ks_two_sample(s, "label", "value", "early").select("label", r6("statistic").alias("statistic"))
+
+
+def _kth(a: str, b: str, k: int) -> str:
+    return f"(SELECT ia, d FROM (SELECT a.vec_id AS ia, list_distance(a.x, b.x) AS d, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_distance(a.x, b.x), b.vec_id) AS r FROM ser a, ser b WHERE a.label = '{a}' AND b.label = '{b}') WHERE r = {k})"
+
+
+@query("kl_knn", "SELECT round(64 * avg(ln(y.d / x.d)) + ln((SELECT count(*) FROM ser WHERE label = '1') / ((SELECT count(*) FROM ser WHERE label = '0') - 1)), 4) AS kl FROM " + _kth("0", "0", 4) + " x JOIN " + _kth("0", "1", 3) + " y USING (ia) WHERE x.d > 0 AND y.d > 0", (SER,))
+def _(spark, d):
+    return D.knn_kl(*_samples(spark, d)).select(F.round("kl", 4).alias("kl"))
+
+
+@query("drift_point_stats", "SELECT round(avg(value) FILTER (seq >= 500) - avg(value) FILTER (seq < 500), 6) AS mean_change, round(var_pop(value) FILTER (seq >= 500) - var_pop(value) FILTER (seq < 500), 6) AS variance_change, round(regr_slope(value, seq) FILTER (seq >= 480 AND seq < 500), 6) AS slope_before, round(regr_slope(value, seq) FILTER (seq >= 500 AND seq < 520), 6) AS slope_after FROM str WHERE seq >= 450 AND seq < 550", (STR,))
+def _(spark, d):
+    return D.drift_point_stats(S.stream(spark, d), 500).select(*[r6(c).alias(c) for c in ("mean_change", "variance_change", "slope_before", "slope_after")])
+
+
+@query("distinct_rows", "SELECT len(v) AS size, count(*) AS rows, sum(n)::BIGINT AS total FROM (SELECT list_transform(x, lambda e: round(e, 0)) AS v, count(*) AS n FROM ser GROUP BY 1) GROUP BY 1", (SER,))
+def _(spark, d):
+    return D.distinct_rows(S.series(spark, d), 0).groupBy(F.size("x").cast("long").alias("size")).agg(F.count("*").alias("rows"), F.sum("n").alias("total"))
+
+
+# --- evaluation -------------------------------------------------------------------------------------------------------------------
+
+P = (SER, RANKED, DIC, DIST, PRED)
+C_ALL, C_BATCH = COUNTS.format(by=""), COUNTS.format(by="batch,")
+SCORES = "round(sum(tp) / sum(nt), 6) AS accuracy, round(avg(f1), 6) AS f1_score, round(avg(pr), 6) AS precision, round((sum(tp) / sum(nt) - sum(nt * np) / sum(nt) ** 2) / nullif(1 - sum(nt * np) / sum(nt) ** 2, 0), 6) AS kappa"
+
+
+@query("confusion", "SELECT y, p, count(*) AS n FROM pred GROUP BY ALL", P)
+def _(spark, d):
+    return E.confusion(predictions(spark, d))
+
+
+@query("class_report", "SELECT c, round(pr, 6) AS precision, round(re, 6) AS recall, round(f1, 6) AS f1, nt::BIGINT AS support FROM prf", (*P, C_ALL))
+def _(spark, d):
+    return E.report(predictions(spark, d)).select("c", *[r6(k).alias(k) for k in ("precision", "recall", "f1")], F.col("support").cast("long").alias("support"))
+
+
+@query("accuracy_kappa", f"SELECT {SCORES} FROM prf", (*P, C_ALL))
+def _(spark, d):
+    return E.scores(predictions(spark, d)).select(*[r6(k).alias(k) for k in ("accuracy", "f1_score", "precision", "kappa")])
+
+
+@query("weighted_prf", "SELECT round(sum(pr * nt) / sum(nt), 6) AS precision, round(sum(re * nt) / sum(nt), 6) AS recall, round(sum(f1 * nt) / sum(nt), 6) AS f1 FROM prf", (*P, C_ALL))
+def _(spark, d):
+    return E.weighted_scores(predictions(spark, d)).select(*[r6(k).alias(k) for k in ("precision", "recall", "f1")])
+
+
+@query("prequential_batches", f"SELECT batch, {SCORES} FROM prf GROUP BY batch", (*P, C_BATCH))
+def _(spark, d):
+    return E.scores(predictions(spark, d), ["batch"]).select("batch", *[r6(k).alias(k) for k in ("accuracy", "f1_score", "precision", "kappa")])
+
+
+@query("prequential_cumulative", "SELECT id, round(po, 6) AS accuracy, round((po - pe) / nullif(1 - pe, 0), 6) AS kappa FROM (SELECT a.id, avg((b.y = b.p)::INT) AS po, (SELECT sum(t.n * q.n) FROM (SELECT y, count(*) AS n FROM pred WHERE id <= a.id GROUP BY y) t JOIN (SELECT p, count(*) AS n FROM pred WHERE id <= a.id GROUP BY p) q ON t.y = q.p) / count(*) ** 2 AS pe FROM pred a JOIN pred b ON b.id <= a.id GROUP BY a.id)", P)
+def _(spark, d):
+    return E.running_scores(predictions(spark, d)).select("id", r6("accuracy").alias("accuracy"), r6("kappa").alias("kappa"))
+
+
+@query("holdout_progressive", "SELECT b.batch, round(avg((h.y = h.p)::INT), 6) AS accuracy FROM (SELECT DISTINCT batch FROM pred WHERE id >= 200) b, (SELECT * FROM pred WHERE id < 200) h GROUP BY b.batch", P)
+def _(spark, d):
+    p = predictions(spark, d)
+    scored = p.filter("id >= 200").select("batch").distinct().crossJoin(F.broadcast(p.filter("id < 200").select("y", "p")))
+    return E.holdout_progressive(scored).select("batch", r6("accuracy").alias("accuracy"))
+
+
+@query("before_and_after", "SELECT batch, round(avg((y = q)::INT), 6) AS accuracy_before, round(avg((y = p)::INT), 6) AS accuracy_after FROM (SELECT *, coalesce(lag(p) OVER (PARTITION BY batch ORDER BY id), 'none') AS q FROM pred) GROUP BY batch", P)
+def _(spark, d):
+    last = F.coalesce(F.lag("p").over(Window.partitionBy("batch").orderBy("id")), F.lit("none"))
+    p = predictions(spark, d).withColumn("p_before", last).withColumnRenamed("p", "p_after")
+    return E.before_and_after(p).select("batch", r6("accuracy_before").alias("accuracy_before"), r6("accuracy_after").alias("accuracy_after"))
+
+
+@query("policy_bakeoff", "SELECT policy, round(avg(best), 6) AS error FROM (SELECT 'closest' AS policy, v.vec_id, min(list_distance(v.x[1:16], a.s)) AS best FROM ser v, (SELECT s FROM dic UNION ALL SELECT s FROM neu JOIN near ON pos = pos_b WHERE nr <= 5) a GROUP BY ALL UNION ALL SELECT 'dissimilar', v.vec_id, min(list_distance(v.x[1:16], a.s)) FROM ser v, (SELECT s FROM dic UNION ALL SELECT s FROM neu JOIN near ON pos = pos_b WHERE fr <= 5) a GROUP BY ALL) GROUP BY policy", (*BASE, NEAR))
+def _(spark, d):
+    a, b = _pair(spark, d)
+    bank = R.policy_closest(a, b, 5).withColumn("policy", F.lit("closest")).unionByName(R.policy_closest(a, b, 5, far=True).withColumn("policy", F.lit("dissimilar")))
+    j = S.series(spark, d).select("vec_id", F.slice("x", 1, 16).alias("h")).crossJoin(F.broadcast(bank.select("policy", "s")))
+    best = j.groupBy("policy", "vec_id").agg(F.min(F.sqrt(A.squared_distance(F.col("h"), F.col("s")))).alias("best"))
+    return best.groupBy("policy").agg(r6(F.avg("best")).alias("error"))
+
+
+@query("coef_unpivot", "SELECT batch, variable, round(value, 6) AS value FROM (SELECT series_id // 100 AS batch, 'w' || k AS variable, avg(a) AS value FROM cof WHERE k < 4 GROUP BY ALL)", (SER, RANKED, DIC, CODES))
+def _(spark, d):
+    wide = codes(spark, d).filter("k < 4").withColumn("batch", F.floor(F.col("series_id") / 100)).groupBy("batch").pivot("k", [0, 1, 2, 3]).agg(F.avg("a")).toDF("batch", "w0", "w1", "w2", "w3")
+    return E.coefficients_long(wide, "batch", ["w0", "w1", "w2", "w3"]).select("batch", "variable", r6("value").alias("value"))
+
+
+#: Scores of five seeds per dataset, fixed values of a published table.
+SEEDS = [("ETTh", 0.807, 0.780, 0.768, 0.795, 0.835)]
+
+
+@query("seed_mean_std", "SELECT dataset, round(avg(v), 6) AS mean, round(stddev_samp(v), 6) AS std FROM (VALUES " + ", ".join(f"('{r[0]}', {v}::DOUBLE)" for r in SEEDS for v in r[1:]) + ") t(dataset, v) GROUP BY dataset")
+def _(spark, d):
+    rows = spark.createDataFrame(SEEDS, "dataset string, s1 double, s2 double, s3 double, s4 double, s5 double")
+    return E.seed_mean_std(rows, "dataset", ["s1", "s2", "s3", "s4", "s5"]).select("dataset", r6("mean").alias("mean"), r6("std").alias("std"))
+
+
+# --- generators, models, the online loop ------------------------------------------------------------------------------------------
+
+PARAMS = [[0.6, 0.2], [-0.4, 0.3], [0.2, -0.5]]
+
+
+@query("ar_abrupt")
+def _(spark, d):
+    from ..sources import generators as G
+
+    return G.windowed_ar(spark, 2000, PARAMS, [700, 1400], 100)
+
+
+@query("ar_gradual")
+def _(spark, d):
+    from ..sources import generators as G
+
+    return G.windowed_ar(spark, 3000, PARAMS, [1000, 2000], 100, width=200)
+
+
+@query("drift_comparison")
+def _(spark, d):
+    from ..sources import generators as G
+
+    return G.drift_comparison(spark, 5000, PARAMS, [1700, 3400], 300)
+
+
+@query("sea_stream")
+def _(spark, d):
+    from ..sources import generators as G
+
+    return G.sea_stream(spark, 10_000)
+
+
+@query("offline_classifier")
+def _(spark, d):
+    from ..operators import models as M
+
+    rows = S.stratified_split(S.series(spark, d), 0.3, "vec_id")
+    data = M.assemble(S.feature_matrix(rows, dictionary(spark, d)))
+    fit = M.classifier("logistic").setFeaturesCol("vector").setLabelCol("target").fit(data.filter("not is_test"))
+    return fit.transform(data.filter("is_test")).select("vec_id", "label", F.col("prediction").cast("long").alias("prediction"))
+
+
+@query("prequential_stream")
+def _(spark, d):
+    from ..streaming.prequential import Loop, replay
+
+    rows = S.series(spark, d).withColumn("seq", F.col("vec_id"))
+    batches = S.tumbling_batches(rows, 100)
+    return replay(batches, Loop(classes=[str(k) for k in range(10)], atoms=2, share=0.25, iterations=3, mode="scheduled"))
+
 
-def flagship(spark, sf_dir: str):
-    return queries()["shapelet_distance"](spark, sf_dir)
+def flagship(spark, sf_dir: str) -> DataFrame:
+    return QUERIES["shapelet_distance"](spark, sf_dir)
 
 
 def queries():
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql():
-    return {}
+    return dict(SQL)
