@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 #: The white space of all operators here: space and \t \n \v \f \r.
 SPACE = "[\\x20\\x09-\\x0D]"
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession, label: str) -> str:
@@ -31,10 +32,17 @@ def shared_dir(spark: SparkSession, label: str) -> str:
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it again: cuts the lineage and survives lost executors."""
-    path = shared_dir(df.sparkSession, label)
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(T.StructType([T.StructField(f.name, f.dataType) for f in df.schema])).parquet(path)
+    """Write df as Parquet into the shared folder and read it again: cuts the lineage and survives lost executors.
+
+    The shuffle files behind df are of no more use then, and are removed with the write."""
+    spark, path = df.sparkSession, shared_dir(df.sparkSession, label)
+    before = spark.conf.get(_CLEAN, "false")
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.mode("overwrite").parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, before)
+    return spark.read.schema(T.StructType([T.StructField(f.name, f.dataType) for f in df.schema])).parquet(path)
 
 
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
