@@ -156,7 +156,7 @@ def identify(docs: DataFrame, model: LanguageFilter, id_col: str = "doc_id", tex
     kinds = [arrow_type(f.dataType) for f in kept]
 
     def run(batches):
-        for b in slices(batches, 4 << 20):
+        for b in slices(batches, 1 << 20):
             lang, score = held.value.predict(b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([*[b.column(k).cast(t) for k, t in zip(at, kinds)], pa.array(lang, pa.string()), pa.array(score)], names=out.names)
 

@@ -50,7 +50,7 @@ class Recent(dict):
 class PieceBpe:
     """Encoder for a SentencePiece model of type BPE with identity normalisation and a dummy prefix."""
 
-    def __init__(self, model_file: str, store: int = 180_000):
+    def __init__(self, model_file: str, store: int = 100_000):
         self.sp = sp = sentencepiece.SentencePieceProcessor(model_file=model_file)
         self.ids, self.names = {}, {}
         for k in range(sp.get_piece_size()):

@@ -85,7 +85,7 @@ class WordTokenizer:
     """The tokenizers library over a store of words: a text is cut at white space, a new word as the library's own pre-tokenizer does,
     and each part that the store lacks is encoded by the library's model."""
 
-    def __init__(self, path: str, store: int = 180_000):
+    def __init__(self, path: str, store: int = 100_000):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)

@@ -30,7 +30,7 @@ def zipf_scores(model_file: str) -> dict[str, float]:
 class SharedTrie:
     """most: nodes held; a fuller trie is begun anew, which costs time and changes no count."""
 
-    def __init__(self, scores: dict[str, float], most: int = 400_000, store: int = 200_000):
+    def __init__(self, scores: dict[str, float], most: int = 300_000, store: int = 120_000):
         self.scores, self.most = scores, most
         self.longest = max(map(len, scores), default=1)
         self.unknown = min(scores.values(), default=0.0) - 10.0  # for each byte of a character without a piece
