@@ -249,6 +249,7 @@ def repeated_spans(keyed: DataFrame, buckets: int, length: int = LENGTH, kmer: i
             return third.empty_table()
         e = np.concatenate([np.frombuffer(x, dtype=_ENTRY) for x in entries.column("entries").to_pylist()])
         e = e[np.lexsort((e["start"], e["key"]))]
+        e = e[np.r_[True, (e["key"][1:] != e["key"][:-1]) | (e["start"][1:] != e["start"][:-1])]]  # repeated rows send theirs twice
         edge = np.flatnonzero(np.r_[True, e["key"][1:] != e["key"][:-1]])
         of = dict(zip(e["key"][edge].tolist(), zip(edge.tolist(), [*edge[1:].tolist(), len(e)])))
         seen: dict[bytes, int] = {}
