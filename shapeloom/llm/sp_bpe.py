@@ -50,7 +50,7 @@ class Recent(dict):
 class PieceBpe:
     """Encoder for a SentencePiece model of type BPE with identity normalisation and a dummy prefix."""
 
-    def __init__(self, model_file: str, store: int = 100_000):
+    def __init__(self, model_file: str, store: int = 150_000):
         self.sp = sp = sentencepiece.SentencePieceProcessor(model_file=model_file)
         self.ids, self.names = {}, {}
         for k in range(sp.get_piece_size()):
@@ -67,8 +67,8 @@ class PieceBpe:
             self.machine.add_word(p, (len(p), k))
         self.machine.make_automaton()
         self.compatible = Recent(self._compatible, store)
-        self.parts = Recent(self._part, store)
         self.words = Recent(self._word, store)
+        self.parts = Recent(self._part, store // 5)  # only what isn't a word
         pattern = self._cut_pattern()
         self.cut, self.by_word = re.compile(pattern).findall, MARK in pattern  # with MARK: no piece reaches over a space after something else
 
@@ -116,18 +116,17 @@ class PieceBpe:
                 at += 1
                 last = -1
             if last >= 0 and not compatible[last << 21 | k]:
-                return self._search(text)
+                return self._search(text, out, start, k)
             out.append(k)
             at, last = end + 1, k
         out.extend(UNKNOWN + ord(c) for c in text[at:])
         return out
 
-    def _search(self, text: str) -> list[int]:
+    def _search(self, text: str, out: list[int], at: int, k: int) -> list[int]:
+        """Goes on where the longest matches stop being compatible: after `out`, at place `at`, with piece k as the next to try."""
         n, failed, compatible, longest, shorter, names = len(text), bytearray(len(text) + 1), self.compatible, self.machine.iter_long, self.shorter, self.names
-        out: list[int] = []
-        at, k = 0, None  # k: what to try next at this place; None: the longest match
         while at < n:
-            if k is None:
+            if k is None:  # the longest match
                 end, (size, k) = next(longest(text, at), (n, (0, -1)))
                 if end - size + 1 != at:
                     k = UNKNOWN + ord(text[at])  # alone, compatible with everything
@@ -155,7 +154,8 @@ class PieceBpe:
         return array("I", ids).tobytes()
 
     def _word(self, word: str) -> bytes:
-        return b"".join(map(self.parts.__getitem__, self.cut(MARK + word)))
+        first, *rest = self.cut(MARK + word)
+        return b"".join([self.words[first[1:]], *map(self.parts.__getitem__, rest)]) if rest else self._part(first)
 
     def encode(self, text: str) -> np.ndarray:
         """Ids of a whole text as the library's encode() gives them, without an end id."""
