@@ -321,8 +321,9 @@ def test_pipeline(spark):
         norm.setdefault(re.sub(SPACES, "", text[k]), []).append(k)
     exact = {min(v, key=lambda j: (-len(text[j]), j)) for v in norm.values()}
     order = sorted(exact)
-    fps = [plain_fingerprint(text[k]) for k in order]
-    near = {order[k] for k in grouped(fps, lambda a, b: (a ^ b).bit_count() <= 2)}
+    words = [re.findall("[^\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), text[k])) for k in order]
+    shingles = [{tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} for w in words]
+    near = {order[k] for k in grouped(shingles, lambda a, b: len(a & b) >= 0.8 * len(a | b))}
     out = corpus_pipeline.run(spark, sf)
     sp = sentencepiece.SentencePieceProcessor(model_file=PIECES)
     for r in out.collect():
