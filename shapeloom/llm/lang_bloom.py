@@ -118,13 +118,17 @@ def in_fold(doc_id, fold: int = 1, folds: int = 3):
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most_per_lang: int = 400, most_langs: int = 512) -> LanguageFilter:
     """Fit on a bounded sample: of the documents outside the held-out fold that have a text and a language, the `most_per_lang` of each
-    language that come first in a hash of their id (at most `most_langs` languages, those with the most documents)."""
+    language that come first in a hash of id and text (at most `most_langs` languages, those with the most documents)."""
     own = docs.select(docs[id_col].alias("_id"), docs[text_col].alias("_text"), docs[lang_col].alias("_lang")).filter("_text is not null and _lang is not null").filter(~in_fold(F.col("_id")))
     # only about as many rows as are wanted go on to the ranking, at any size: those under a bound of the hash that leaves eight standard deviations
     sizes = own.groupBy("_lang").agg(F.count("*").alias("_all")).orderBy(F.desc("_all"), "_lang").limit(most_langs)
-    place = (F.xxhash64("_id", F.lit(5)).cast("double") + 2.0**63) / 2.0**64
-    own = own.join(F.broadcast(sizes), "_lang").filter(place * F.col("_all") <= most_per_lang + 8 * most_per_lang**0.5).drop("_all")
-    rank = F.row_number().over(Window.partitionBy("_lang").orderBy(F.xxhash64("_id", F.lit(5)), "_id", F.xxhash64("_text")))
+    draw = F.xxhash64("_id", "_text", F.lit(5))
+    place = (draw.cast("double") + 2.0**63) / 2.0**64
+    own = own.join(F.broadcast(sizes), "_lang").withColumn("_under", place * F.col("_all") <= most_per_lang + 8 * most_per_lang**0.5)
+    # where rows are repeated the bound may leave too few; all of such a language are ranked
+    short = own.groupBy("_lang").agg(F.count_if("_under").alias("_got"), F.max("_all").alias("_of")).filter(F.col("_got") < F.least("_of", F.lit(most_per_lang))).select("_lang", F.lit(True).alias("_short"))
+    own = own.join(F.broadcast(short), "_lang", "left").filter(F.col("_under") | F.col("_short").isNotNull()).drop("_all", "_under", "_short")
+    rank = F.row_number().over(Window.partitionBy("_lang").orderBy(draw, "_id", F.xxhash64("_text")))
     ids = own.select("_lang", "_id", F.xxhash64("_text").alias("_t"), "_text").withColumn("_n", rank).filter(F.col("_n") <= most_per_lang)
     per = ids.groupBy("_lang").agg(F.collect_list("_text").alias("_texts"))
 

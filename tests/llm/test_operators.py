@@ -1,5 +1,6 @@
 """Training-data operators against brute force on small tables with nulls, empty and long texts, ties and repeated rows."""
 
+import functools
 import hashlib
 import random
 import re
@@ -187,6 +188,16 @@ def test_language(spark, docs, empty):
     assert {r._lang for r in lang_bloom.identify(docs, lang_bloom.train(empty)).collect()} == {"und"}
 
 
+def test_language_with_null_and_repeated_ids(spark):
+    n = spark.range(1500)
+    text = F.concat_ws(" ", F.lit("alpha beta"), F.col("id"))
+    parts = [n.select(F.lit(i).cast("long").alias("doc_id"), text.alias("text"), F.lit(f"l{k}").alias("lang")) for k, i in enumerate([None, 0, 1, 4, 5, 6, 8])]
+    parts += [n.select(F.lit(i).cast("long").alias("doc_id"), F.lit("gamma delta").alias("text"), F.lit(f"m{i}").alias("lang")) for i in (0, 1, 4, 5, 6, 8)]
+    docs = functools.reduce(lambda a, b: a.union(b), parts)
+    want = sorted(r.lang for r in docs.filter(~lang_bloom.in_fold(F.col("doc_id"))).select("lang").distinct().collect())
+    assert len(want) > 6 and lang_bloom.train(docs).langs == want
+
+
 def test_warc(spark, tmp_path):
     body = "é<p>\r\n\r\n" + "x" * 120
     data = [(k, f"http://e.org/ü {k}\r\n", t) for k, t in enumerate([body, None, "", "short", "short", body, body + "y", body])] + [(5, None, body), (None, "u", body)]
