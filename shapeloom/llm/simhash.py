@@ -108,12 +108,14 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The rows of docs that stay, with all their columns: of each group, those with the smallest id (rows that share it stay together).
-
-    The ids to drop are joined, not the fingerprints, so only ids are compared with the texts' rows."""
-    g = near_groups(docs, id_col, text_col, **how)
-    gone = materialize(g.filter(~F.col("_id").eqNullSafe(F.col("_component"))).select("_id").distinct(), "simhash-gone")
-    return docs.join(gone, docs[id_col].eqNullSafe(gone["_id"]), "left_anti")
+    """The rows of docs that stay, with all their columns: of each group, the first by id (nulls last) and digest of the text.
+
+    Ids with digests are joined, so null and repeated ids are kept apart by their texts; rows that share both stay together."""
+    text = F.md5(F.coalesce(docs[text_col].cast("string"), F.lit("")))
+    key = F.struct(docs[id_col].isNull().alias("none"), docs[id_col].alias("id"), text.alias("as"))
+    g = near_groups(docs.select(key.alias("_key"), docs[text_col].alias("_words")), "_key", "_words", **how)
+    gone = materialize(g.filter(~F.col("_id").eqNullSafe(F.col("_component"))).select(F.col("_id.id").alias("_id"), F.col("_id.as").alias("_as")).distinct(), "simhash-gone")
+    return docs.join(gone, docs[id_col].eqNullSafe(gone["_id"]) & (text == gone["_as"]), "left_anti")
 
 
 def op1_simhash(spark, sf_dir: str) -> DataFrame:

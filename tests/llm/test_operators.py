@@ -84,6 +84,12 @@ def test_simhash(spark, rows, docs, empty):
     assert kept == {r._component for r in got.values()}
 
 
+def test_simhash_with_null_and_repeated_ids(spark):
+    rows = [(1, "one two three four"), (None, "One two three four"), (None, "quite another text here"), (2, "last words of all"), (3, "Last words of all"), (3, "nothing like the rest")]
+    kept = [tuple(r) for r in simhash.drop_near(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(kept, key=str) == sorted([rows[0], rows[2], rows[3], rows[5]], key=str)
+
+
 @pytest.mark.parametrize("bucket", [2, 16])
 def test_simhash_links_of_crowded_buckets(spark, bucket):
     rng = np.random.default_rng(1)
