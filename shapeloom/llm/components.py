@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, release
 
 
 def _large_star(e: DataFrame) -> DataFrame:
@@ -31,7 +31,8 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         if now[0] == 0 or now == last:
             break
         last = now
-        e = materialize(_small_star(_large_star(e)).distinct(), "components")
+        before, e = e, materialize(_small_star(_large_star(e)).distinct(), "components")
+        release(before)
     else:
         raise RuntimeError("components did not settle")
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
