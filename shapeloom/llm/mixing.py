@@ -18,8 +18,8 @@ WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
 #: (time, weight) knots by class of source: heavy sources fade, the middle ones are even, light ones grow.
 SCHEDULES = (((0.0, 1.5), (1.0, 0.5)), ((0.0, 1.0), (1.0, 1.0)), ((0.0, 0.5), (0.5, 0.75), (1.0, 1.75)))
-#: About so many rows in each cell of a source's hashed order.
-CELL_ROWS = 50_000
+#: Bits of a hash that make the cells of a source's hashed order.
+CELL_BITS = 16
 
 
 def _segments(knots: Sequence[tuple[float, float]]):
@@ -37,7 +37,7 @@ def _segments(knots: Sequence[tuple[float, float]]):
 
 
 def source_targets(sized: DataFrame, weights: Sequence[float] = WEIGHTS, cap: float = MAX_REPEATS) -> DataFrame:
-    """_null, _src, _source_size, _rank, _target of each source; sized: _null, _src, _size.
+    """_null, _src, _source_size, _rank, _target of each source; sized: _null, _src, _size, of rows or of sums.
 
     The windows without a key run over one row per source, after aggregation."""
     s = sized.groupBy("_null", "_src").agg(F.sum("_size").alias("_source_size"))
@@ -53,22 +53,17 @@ def source_targets(sized: DataFrame, weights: Sequence[float] = WEIGHTS, cap: fl
     return s.select("_null", "_src", "_source_size", "_rank", F.coalesce(target, F.lit(0.0)).alias("_target"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = WEIGHTS, cap: int = MAX_REPEATS, schedules=SCHEDULES, carry: tuple[str, ...] = ()) -> DataFrame:
-    """One row per row of docs: _id, _size, _source_size, _target, _copies, _taken, _positions (one in [0, 1) per copy), and carry.
-
-    Size is the number of words (null text: 0). Sources rank by code point, null last, and get the weights in turn. A document
-    of size 0 takes no words. Ids may repeat or be null; the order within a source is by hash of id, then id, then size. An empty
-    table gives an empty result. Cells of a source's order are keyed by source and hash, so a hot source is spread."""
-    base = docs.select(docs[id_col].alias("_id"), docs[source_col].isNull().alias("_null"), F.coalesce(docs[source_col].cast("string"), F.lit("")).alias("_src"), word_count(docs[text_col]).alias("_size"), *[docs[c] for c in carry])
-    sized = materialize(base, "mix-sizes")
-    cells = max(6, (sized.count() // CELL_ROWS).bit_length() + 2)
-    sources = materialize(source_targets(sized, weights, cap), "mix-sources")
-    sized = sized.withColumn("_h", F.xxhash64("_id")).withColumn("_cell", F.shiftrightunsigned("_h", 64 - cells))
-    totals = sized.groupBy("_null", "_src", "_cell").agg(F.sum("_size").alias("_s"))
+def _mixed(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: Sequence[float], cap: int, schedules, whole: bool) -> DataFrame:
+    text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
+    base = docs.select(docs[id_col].alias("_id"), docs[source_col].isNull().alias("_null"), F.coalesce(docs[source_col].cast("string"), F.lit("")).alias("_src"), word_count(text).alias("_size"), F.xxhash64(docs[id_col], text).alias("_h"), *([F.struct("*").alias("_row")] if whole else []))
+    base = base.withColumn("_cell", F.shiftrightunsigned("_h", 64 - CELL_BITS))
+    base = base if whole else materialize(base, "mix-sizes")  # whole rows are read twice rather than written once more
+    totals = materialize(base.groupBy("_null", "_src", "_cell").agg(F.sum("_size").alias("_size")), "mix-cells")
+    sources = materialize(source_targets(totals, weights, cap), "mix-sources")
     ahead = Window.partitionBy("_null", "_src").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-    bases = totals.withColumn("_base", F.coalesce(F.sum("_s").over(ahead), F.lit(0))).drop("_s").join(sources, ["_null", "_src"])
+    bases = totals.withColumn("_base", F.coalesce(F.sum("_size").over(ahead), F.lit(0))).drop("_size").join(sources, ["_null", "_src"])
     inside = Window.partitionBy("_null", "_src", "_cell").orderBy("_h", "_id", "_size").rowsBetween(Window.unboundedPreceding, -1)
-    rows = sized.withColumn("_local", F.coalesce(F.sum("_size").over(inside), F.lit(0))).join(bases, ["_null", "_src", "_cell"])
+    rows = base.withColumn("_local", F.coalesce(F.sum("_size").over(inside), F.lit(0))).join(bases, ["_null", "_src", "_cell"])
     mid = F.col("_base") + F.col("_local") + F.col("_size") / 2
     copies = F.when(F.col("_source_size") > 0, F.greatest(F.lit(0), F.least(F.lit(cap), F.ceil((F.col("_target") - mid) / F.col("_source_size"))))).otherwise(0).cast("int")
     rows = rows.withColumns({"_mid": mid, "_copies": copies}).withColumn("_taken", F.col("_copies") * F.col("_size"))
@@ -83,18 +78,35 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         return g["t"] + F.when(left <= 0, 0.0).otherwise(2 * left / down)
 
     every = F.when(F.col("_copies") > 0, F.transform(F.sequence(F.lit(0), F.col("_copies") - 1), position)).otherwise(F.array().cast("array<double>"))
-    return rows.select("_id", "_size", "_source_size", "_target", "_copies", "_taken", every.alias("_positions"), *carry)
+    return rows.select("_id", "_size", "_source_size", "_target", "_copies", "_taken", every.alias("_positions"), "_h", *(["_row"] if whole else []))
+
+
+def _in_ranges(rows: DataFrame, at: str, *then: str) -> DataFrame:
+    """rows dealt over ranges of `at`, each sorted; null ones, which have no place in the order, anywhere by their hash _h.
+
+    Positions are spread over [0, 1], as every source fills its schedule, so ranges of equal width need no sample."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    part = F.when(F.col(at).isNull(), F.pmod("_h", F.lit(n))).otherwise(F.least(F.floor(F.col(at) * n), F.lit(n - 1)))
+    return rows.repartitionById(n, part.cast("int")).sortWithinPartitions(F.col(at).asc_nulls_last(), "_h", *then)
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = WEIGHTS, cap: int = MAX_REPEATS, schedules=SCHEDULES) -> DataFrame:
+    """One row per row of docs: _id, _size, _source_size, _target, _copies, _taken, _positions (one in [0, 1] per copy), sorted by first position.
+
+    Size is the number of words (null text: 0; a text of any length is counted whole). Sources rank by code point, null last, and get
+    the weights in turn. A document of size 0 takes no words. Ids may repeat or be null; the order within a source is by hash of
+    id and text, so only rows that share both are placed by chance. An empty table gives an empty result. Cells of a source's
+    order are keyed by source and hash, so a hot source or id is spread."""
+    rows = _mixed(docs, id_col, text_col, source_col, weights, cap, schedules, False)
+    return _in_ranges(rows.withColumn("_first", F.get("_positions", F.lit(0))), "_first").drop("_first", "_h")
 
 
-def mixed_documents(docs: DataFrame, **how) -> DataFrame:
-    """The mix itself: every document once for each copy, with the columns of docs, sorted by training position."""
-    rows = mix(docs, carry=tuple(docs.columns), **how).withColumn("_at", F.explode("_positions"))
-    rows = materialize(rows.select(*docs.columns, "_at"), "mix-rows")  # else the sampling for the ranges computes all of it again
-    return rows.repartitionByRange("_at").sortWithinPartitions("_at").select(*docs.columns)
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = WEIGHTS, cap: int = MAX_REPEATS, schedules=SCHEDULES) -> DataFrame:
+    """The mix itself: every document once for each copy, with the columns of docs of whatever names, sorted by training position."""
+    rows = _mixed(docs, id_col, text_col, source_col, weights, cap, schedules, True)
+    return _in_ranges(rows.select(F.explode("_positions").alias("_at"), "_h", "_row"), "_at").select("_row.*")
 
 
 def op7_mixing(spark, sf_dir: str) -> DataFrame:
     rows = mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    rows = materialize(rows.withColumn("_first", F.coalesce(F.get("_positions", F.lit(0)), F.lit(1.0))), "mix-plan")
-    rows = rows.repartitionByRange("_first").sortWithinPartitions("_first")
     return rows.select(F.col("_id").alias("doc_id"), F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), F.col("_taken").alias("taken"), F.col("_positions").alias("positions"))
