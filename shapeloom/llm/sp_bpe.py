@@ -21,36 +21,33 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_type, slices
+from .common import Recent, arrow_type, slices
 
 MARK = "▁"
 #: Above all piece ids; the number of a character that has no piece.
 UNKNOWN = 1 << 20
 NEVER = float("inf")
+#: Bytes of the stores of one Python worker.
+ROOM = 112 << 20
 
 
-class Recent(dict):
-    """A dict that computes missing values and forgets the older half of its keys; at most 2 * most are held."""
+#: Characters of a text whose words are held at once.
+LOT = 1 << 20
 
-    def __init__(self, make, most: int):
-        super().__init__()
-        self.make, self.most, self.old = make, most, {}
 
-    def __missing__(self, key):
-        value = self.old.get(key)
-        if value is None:
-            value = self.make(key)
-        if len(self) >= self.most:
-            self.old = dict(self)
-            self.clear()
-        self[key] = value
-        return value
+def _lots(text: str):
+    """A text in lots of about LOT characters, cut at single spaces."""
+    at = 0
+    while (end := text.find(" ", at + LOT)) >= 0:
+        yield text[at:end]
+        at = end + 1
+    yield text[at:]
 
 
 class PieceBpe:
     """Encoder for a SentencePiece model of type BPE with identity normalisation and a dummy prefix."""
 
-    def __init__(self, model_file: str, store: int = 150_000):
+    def __init__(self, model_file: str, room: int = ROOM):
         self.sp = sp = sentencepiece.SentencePieceProcessor(model_file=model_file)
         self.ids, self.names = {}, {}
         for k in range(sp.get_piece_size()):
@@ -66,11 +63,12 @@ class PieceBpe:
         for p, k in self.ids.items():
             self.machine.add_word(p, (len(p), k))
         self.machine.make_automaton()
-        self.compatible = Recent(self._compatible, store)
-        self.words = Recent(self._word, store)
-        self.parts = Recent(self._part, store // 5)  # only what isn't a word
+        self.widest = max(map(len, self.ids), default=1)
+        self.compatible = Recent(self._compatible, room // 4)
+        self.words = Recent(self._word, room // 2)
+        self.parts = Recent(self._part, room // 4)  # only what isn't a word
         pattern = self._cut_pattern()
-        self.cut, self.by_word = re.compile(pattern).findall, MARK in pattern  # with MARK: no piece reaches over a space after something else
+        self.cut, self.cuts, self.by_word = re.compile(pattern).findall, re.compile(pattern).finditer, MARK in pattern  # with MARK: no piece reaches over a space after something else
 
     def _cut_pattern(self) -> str:
         """Cuts between characters that are neighbours in no piece: before a space that follows something else, and, if the vocabulary
@@ -124,11 +122,11 @@ class PieceBpe:
 
     def _search(self, text: str, out: list[int], at: int, k: int) -> list[int]:
         """Goes on where the longest matches stop being compatible: after `out`, at place `at`, with piece k as the next to try."""
-        n, failed, compatible, longest, shorter, names = len(text), bytearray(len(text) + 1), self.compatible, self.machine.iter_long, self.shorter, self.names
+        n, failed, compatible, longest, shorter, names, widest = len(text), bytearray(len(text) + 1), self.compatible, self.machine.iter_long, self.shorter, self.names, self.widest
         while at < n:
-            if k is None:  # the longest match
-                end, (size, k) = next(longest(text, at), (n, (0, -1)))
-                if end - size + 1 != at:
+            if k is None:  # the longest match, of as many characters as a piece may have
+                end, (size, k) = next(longest(text[at : at + widest]), (n, (0, -1)))
+                if end - size + 1:
                     k = UNKNOWN + ord(text[at])  # alone, compatible with everything
             before = out[-1] if out else UNKNOWN
             while k >= 0 and k < UNKNOWN and (failed[at + len(names[k])] or before < UNKNOWN and not compatible[before << 21 | k]):
@@ -162,28 +160,34 @@ class PieceBpe:
         if not text:
             return np.zeros(0, dtype="<u4")
         if not (text[0] == " " or text[-1] == " " or "  " in text or MARK in text) and self.by_word:
-            return np.frombuffer(b"".join(map(self.words.__getitem__, text.split(" "))), dtype="<u4")
+            return np.frombuffer(b"".join([b"".join(map(self.words.__getitem__, t.split(" "))) for t in _lots(text)]), dtype="<u4")
         marked = MARK + text.replace(" ", MARK)
-        return np.frombuffer(b"".join(map(self.parts.__getitem__, self.cut(marked))), dtype="<u4")
+        if len(marked) < LOT:
+            return np.frombuffer(b"".join(map(self.parts.__getitem__, self.cut(marked))), dtype="<u4")
+        out = bytearray()
+        for m in self.cuts(marked):
+            out += self.parts[m[0]]
+        return np.frombuffer(out, dtype="<u4")
 
     def decode(self, ids: list[int]) -> str:
         return self.sp.decode(ids)
 
 
-_MADE: dict[str, PieceBpe] = {}
+_MADE: dict[tuple[str, int], PieceBpe] = {}
 
 
-def encoder(model_file: str) -> PieceBpe:
-    """One encoder per model and Python process, so that its store outlives a task."""
-    if model_file not in _MADE:
-        _MADE[model_file] = PieceBpe(model_file)
-    return _MADE[model_file]
+def encoder(model_file: str, room: int = ROOM) -> PieceBpe:
+    """One encoder per model and Python process, so that its store, of bounded size, outlives a task."""
+    if (model_file, room) not in _MADE:
+        _MADE.clear()
+        _MADE[model_file, room] = PieceBpe(model_file, room)
+    return _MADE[model_file, room]
 
 
-def encode_documents(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text", ids: bool = True, decoded: bool = True) -> DataFrame:
+def encode_documents(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text", ids: bool = True, decoded: bool = True, room: int = ROOM) -> DataFrame:
     """_id, _n_tokens, _ids_sha256, _decoded_sha256 of every row, the end id included; on request also _ids and _decoded.
 
-    A null or empty text has the end id alone. Texts are encoded whole, repeated rows alike; other columns aren't looked at and an
+    A null or empty text has the end id alone. Texts of any length are encoded whole, in time that grows with it, repeated rows alike; other columns aren't looked at and an
     empty table gives an empty result. model_file must be readable at the same path on every executor."""
     rows = docs.select(docs[id_col].alias("_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("_text"))
     kind = rows.schema["_id"].dataType
@@ -193,7 +197,7 @@ def encode_documents(docs: DataFrame, model_file: str, id_col: str = "doc_id", t
     out = out.add("_decoded", T.StringType()) if decoded else out
 
     def run(batches):
-        bpe = encoder(model_file)
+        bpe = encoder(model_file, room)
         names = np.array([str(k) for k in range(bpe.sp.get_piece_size())], dtype=object)
         for b in slices(batches, 8 << 20):
             coded, texts = [], []

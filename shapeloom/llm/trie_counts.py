@@ -16,8 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_type, slices
-from .sp_bpe import MARK, Recent
+from .common import Recent, arrow_type, slices
+from .sp_bpe import MARK
 
 
 def zipf_scores(model_file: str) -> dict[str, float]:
@@ -28,13 +28,15 @@ def zipf_scores(model_file: str) -> dict[str, float]:
 
 
 class SharedTrie:
-    """most: nodes held; a fuller trie is begun anew, which costs time and changes no count."""
+    """most: nodes held, and `deep` more; a fuller trie is begun anew, which costs time and changes no count. Characters of a pre-token
+    beyond the first `deep` get no nodes: their forward scores are held only as far back as a piece reaches."""
 
-    def __init__(self, scores: dict[str, float], most: int = 300_000, store: int = 120_000):
+    def __init__(self, scores: dict[str, float], most: int = 300_000, room: int = 48 << 20, deep: int = 256):
         self.scores, self.most = scores, most
+        self.deep = max(deep, max(map(len, scores), default=1))
         self.longest = max(map(len, scores), default=1)
         self.unknown = min(scores.values(), default=0.0) - 10.0  # for each byte of a character without a piece
-        self.counts = Recent(self._count, store)  # terminal counts
+        self.counts = Recent(self._count, room)  # terminal counts
         self._begin()
 
     def _begin(self):
@@ -46,23 +48,41 @@ class SharedTrie:
         if len(self.forward) > self.most:
             self._begin()
         node, path = 0, [0]  # path: the nodes of this pre-token's prefixes
-        for end, c in enumerate(text, 1):
+        for end, c in enumerate(text[: self.deep], 1):
             key = node << 21 | ord(c)
             node = self.child.get(key, -1)
             if node < 0:
-                size = len(c.encode("utf-8", "surrogatepass"))
                 best, tokens = -math.inf, 0
                 for begin in range(max(0, end - self.longest), end):
                     s = scores.get(text[begin:end])
                     if s is not None and (s := s + self.forward[path[begin]]) > best:
                         best, tokens = s, self.tokens[path[begin]] + 1
-                if c not in scores and (s := self.forward[path[end - 1]] + size * self.unknown) > best:
-                    best, tokens = s, self.tokens[path[end - 1]] + size
+                if c not in scores:
+                    size = len(c.encode("utf-8", "surrogatepass"))
+                    if (s := self.forward[path[end - 1]] + size * self.unknown) > best:
+                        best, tokens = s, self.tokens[path[end - 1]] + size
                 node = self.child[key] = len(self.forward)
                 self.forward.append(best)
                 self.tokens.append(tokens)
             path.append(node)
-        return self.tokens[node]
+        return self.tokens[node] if len(text) <= self.deep else self._beyond(text, path)
+
+    def _beyond(self, text: str, path: list[int]) -> int:
+        """The count of a pre-token that is longer than its path: score and pieces of the last prefixes stand in a ring."""
+        w, scores = self.longest, self.scores
+        ring = {k % w: (self.forward[path[k]], self.tokens[path[k]]) for k in range(len(path) - w, len(path))}
+        for end in range(len(path), len(text) + 1):
+            best, tokens = -math.inf, 0
+            for begin in range(end - w, end):
+                s = scores.get(text[begin:end])
+                if s is not None and (s := s + ring[begin % w][0]) > best:
+                    best, tokens = s, ring[begin % w][1] + 1
+            if text[end - 1] not in scores:
+                size = len(text[end - 1].encode("utf-8", "surrogatepass"))
+                if (s := ring[(end - 1) % w][0] + size * self.unknown) > best:
+                    best, tokens = s, ring[(end - 1) % w][1] + size
+            ring[end % w] = best, tokens
+        return ring[len(text) % w][1]
 
     def count(self, words: list[bytes]) -> int:
         return sum(map(self.counts.__getitem__, words))
@@ -74,7 +94,7 @@ _MADE: dict[str, SharedTrie] = {}
 def count_tokens(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """_id, _n_pretokens, _n_tokens of every row. Pre-tokens are the runs of other than ASCII white space, each with a leading mark; a
     character without a piece counts its bytes. Null and empty texts have none. Repeated rows agree; an empty table gives an empty
-    result; a pre-token of any length is one path of the trie."""
+    result; of a pre-token of any length the first 256 characters are a path of the trie."""
     rows = docs.select(docs[id_col].alias("_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("_text"))
     kind = rows.schema["_id"].dataType
     id_type = arrow_type(kind)

@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from shapeloom.llm import bloom_exact, components, lang_bloom, mixing, quality_trees, run_index, simhash, sp_bpe, token_store, trie_counts, warc_members
+from shapeloom.llm import bloom_exact, components, lang_bloom, mixing, quality_trees, run_index, simhash, similar, sp_bpe, token_store, trie_counts, warc_members
 from shapeloom.llm.common import shared_dir
 
 SCHEMA = "doc_id long, text string, lang string, source string, _extra string"
@@ -115,7 +115,7 @@ def test_sentencepiece(rows, docs, empty):
         assert r._ids == ids and r._decoded == sp.decode(ids) and r._n_tokens == len(ids)
         assert r._ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
     assert sp_bpe.encode_documents(empty, PIECES).count() == 0
-    e, rng = sp_bpe.PieceBpe(PIECES, store=50), random.Random(3)
+    e, rng = sp_bpe.PieceBpe(PIECES, room=20_000), random.Random(3)
     parts = ["a", "e", "th", "ing", " ", "  ", "1", "é", "漢", "▁", "\n", ".", "!!", "²", "².", "<s>", "😀", "Ω", "THE", "́", "क्षि"]
     for _ in range(3000):
         s = "".join(rng.choice(parts) for _ in range(rng.randint(0, 12)))
@@ -221,6 +221,13 @@ def test_warc(spark, tmp_path):
     assert warc_members.read_archives(warc_members.normalise_archives(none, f"{top}/d"), pages.schema["page_id"].dataType).count() == 0
 
 
+def _area(rank, t):
+    knots = mixing.SCHEDULES[rank % 3]
+    w = np.interp(t, [k[0] for k in knots], [k[1] for k in knots])
+    area = np.concatenate(([0], np.cumsum((w[1:] + w[:-1]) / 2)))
+    return area / area[-1]
+
+
 def test_mixing(rows, docs, empty):
     size = {r[0]: len(re.findall(r"[^\x20\x09-\x0D]+", r[1] or "")) for r in rows}
     src = {r[0]: r[3] for r in rows}
@@ -244,6 +251,19 @@ def test_mixing(rows, docs, empty):
     for s in order:
         assert abs(taken[s] - target[s]) <= max(v for k, v in size.items() if src[k] == s)
     assert {k: tuple(r) for k, r in by_id(mixing.mix(docs.repartition(2))).items()} == {k: tuple(r) for k, r in got.items()}
+    for r in got.values():  # the integral of the schedule up to a position is the share of the demand there
+        knots = mixing.SCHEDULES[order.index(src[r._id]) % 3]
+        t = np.linspace(0, 1, 20_001)
+        w = np.interp(t, [k[0] for k in knots], [k[1] for k in knots])
+        area = np.concatenate(([0], np.cumsum((w[1:] + w[:-1]) / 2)))
+        demand = [np.interp(p, t, area / area[-1]) * r._target for p in r._positions]
+        assert all(b - a == pytest.approx(r._source_size, abs=1e-3 * max(r._target, 1)) for a, b in zip(demand, demand[1:]) if b < r._target * 0.999)
+    for s in order:  # documents of a source follow each other along its demand, without gaps or overlaps
+        first = sorted((np.interp(r._positions[0], t, _area(order.index(s), t)) * r._target, r._size) for r in got.values() if src[r._id] == s and r._positions and r._size)
+        at = 0.0
+        for mid, n in first:
+            assert mid == pytest.approx(min(at + n / 2, target[s]), abs=1e-3 * max(target[s], 1))
+            at += n
     assert mixing.mix(empty).count() == 0 and mixing.mixed_documents(docs).count() == sum(r._copies for r in got.values())
 
 
@@ -267,7 +287,7 @@ def test_token_counts(rows, docs, empty):
     for r in trie_counts.count_tokens(docs, PIECES).collect():
         w = re.findall(r"[^\x20\x09-\x0D]+", rows[r._id][1] or "")
         assert r._n_pretokens == len(w) and r._n_tokens == sum(known.setdefault(x, plain(x)) for x in w)
-    small = trie_counts.SharedTrie(scores, most=20, store=3)
+    small = trie_counts.SharedTrie(scores, most=20, room=1000, deep=16)
     assert all(small.count([x.encode()]) == n for x, n in known.items() if len(x) < 50)
     assert trie_counts.count_tokens(empty, PIECES).count() == 0
 
@@ -320,8 +340,76 @@ def test_exact(spark, rows, docs, empty):
     assert bloom_exact.mark_exact(empty).count() == 0
     kept = bloom_exact.drop_exact(docs.unionByName(docs))
     assert sorted(r.doc_id for r in kept.collect()) == sorted(k for k, r in got.items() if r._kept) and kept.columns == docs.columns
-    few = bloom_exact.repeated_filter(bloom_exact.mark_exact(docs).select("_digest"), max_bits_log2=3)[1]
-    assert few == 8
+    tight = by_id(bloom_exact.mark_exact(docs, max_bits_log2=3))  # a full filter lets all rows through, and changes nothing
+    assert {k: tuple(r) for k, r in tight.items()} == {k: tuple(r) for k, r in got.items()}
+
+
+def test_exact_lets_unique_rows_pass(spark):
+    n = 1 << 14
+    rows = spark.range(n).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.when(F.col("id") % 64 == 0, F.col("id") % 128).otherwise(F.col("id"))).alias("text"))
+    read = bloom_exact._read(rows, "doc_id", "text")
+    narrow = rows.select(*[c.alias(k) for k, c in read.items()])
+    bitmaps, bits = bloom_exact.repeated_filter(narrow, max_bits_log2=13)  # two rows to a bit
+    passed = bloom_exact.possibly_repeated(narrow, bitmaps, bits).groupBy("_digest").agg(F.count("*").alias("c"), F.first("_possible").alias("p"))
+    alone, through, missed = passed.agg(*[F.count_if(F.expr(e)) for e in ("c = 1", "c = 1 and p", "c > 1 and not p")]).first()
+    assert missed == 0 and alone > 0.9 * n and through < 0.05 * alone
+
+
+CLASHING = "doc_id long, text string, lang string, source string, _id int, _digest int, _lang int, _score int, _size int, _src int, _null int, _positions int, _at int, _h int, _row int, row int, v int, `a.b` int"
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    rows = [(k, t, "en", s, *([k] * 14)) for k, (t, s) in enumerate([("one two three", "a"), ("one two three", "a"), ("four five six seven", "b"), (None, None), ("eight nine", "b")])]
+    docs = spark.createDataFrame(rows, CLASHING)
+    as_rows = lambda df: sorted(map(tuple, df.collect()), key=str)
+    model = lang_bloom.LanguageFilter.fit({"en": (np.unique(lang_bloom._grams(np.frombuffer(b" one two three four five six seven eight nine ", dtype=np.uint8), 3)), np.full(44, 5)[: len(np.unique(lang_bloom._grams(np.frombuffer(b" one two three four five six seven eight nine ", dtype=np.uint8), 3)))])})
+    for got, want in ((lang_bloom.keep_known(docs, model, 0.0), [0, 1, 2, 4]), (bloom_exact.drop_exact(docs), [0, 2, 3, 4]), (similar.drop_similar(docs), [0, 2, 3, 4])):
+        assert got.columns == docs.columns and as_rows(got) == sorted([rows[k] for k in want], key=str)
+    mixed = mixing.mixed_documents(docs)
+    assert mixed.columns == docs.columns and set(map(tuple, mixed.collect())) <= set(rows)
+
+
+def test_very_long_texts(spark):
+    import sentencepiece
+
+    rng = random.Random(2)
+    word = "".join(rng.choice("abcdefghij") for _ in range(200_000))
+    sp, e = sentencepiece.SentencePieceProcessor(model_file=PIECES), sp_bpe.PieceBpe(PIECES, room=1 << 20)
+    assert e.encode(word).tolist() == sp.encode(word) and word not in e.words
+    text = ("ab cd  é\n" * 300_000)[: 2 * sp_bpe.LOT + 17]
+    for t in (text, text.replace("  ", " ")):
+        assert e.encode(t).tolist() == sp.encode(t)
+    trie = trie_counts.SharedTrie(trie_counts.zipf_scores(PIECES))
+    few = trie_counts.SharedTrie(trie.scores, deep=1 << 30)
+    assert trie.count([word[:20_000].encode()]) == few.count([word[:20_000].encode()]) and len(trie.forward) < 1000
+    model = lang_bloom.LanguageFilter.fit({k: (np.unique(lang_bloom._grams(np.frombuffer(t, dtype=np.uint8), 3)), np.full(len(np.unique(lang_bloom._grams(np.frombuffer(t, dtype=np.uint8), 3))), 4)) for k, t in (("x", b" abc cde "), ("y", b" xyz zzz "))})
+    long = "abc xyz cde " * 40_000
+    assert model.predict([long, "abc", None, long])[0] == ["x", "x", "und", "x"]
+
+
+def plain_language(model, grams, text):
+    """Scores by exact sets of n-grams, without filters."""
+    hits, letters = Counter(), lang_bloom._letters(text)
+    for size in lang_bloom.SIZES:
+        for at in range(len(letters) - size + 1):
+            for k in model.langs:
+                hits[k] += int.from_bytes(letters[at : at + size], "big") | size << 32 in grams[k]
+    return hits
+
+
+def test_language_filters_agree_with_exact_sets(spark):
+    held = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = lang_bloom.train(held)
+    sample = [r.text for r in held.filter("text is not null").orderBy("doc_id").limit(60).collect()]
+    every = np.unique(np.concatenate([lang_bloom._grams(np.frombuffer(lang_bloom._letters(t), dtype=np.uint8), s) for t in sample for s in lang_bloom.SIZES]))
+    found = model.masks(every)
+    grams = {k: {int(g) for g, m in zip(every, found[j // 64]) if int(m) >> j % 64 & 1} for j, k in enumerate(model.langs)}
+    langs, scores = model.predict(sample)
+    for t, lang, score in zip(sample, langs, scores):
+        hits, seen = plain_language(model, grams, t), sum(max(len(lang_bloom._letters(t)) - s + 1, 0) for s in lang_bloom.SIZES)
+        right = {k: max(0.0, (hits[k] - seen * model.false_rate[j]) / (1 - model.false_rate[j])) for j, k in enumerate(model.langs)}
+        if re.search(r"[^\W\d_]", t) and sum(right.values()):
+            assert lang == max(model.langs, key=lambda k: right[k]) and score == pytest.approx(max(right.values()) / sum(right.values()))
 
 
 def test_pipeline(spark):
