@@ -2,18 +2,27 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import arrays as A
+#: Rows of a sample whose distances to as many others are taken at once.
+BLOCK = 512
 
 
 def threshold_drift(errors: DataFrame, factor: float = 1.3) -> DataFrame:
     """drift_detected by batch: the error is above factor times the reference error, which is the first batch's, and after a drift that
-    of the drifting batch. One row per batch; the reference is carried by a fold over the batches so far."""
-    past = F.collect_list(F.struct("batch_num", "error")).over(Window.orderBy("batch_num").rowsBetween(Window.unboundedPreceding, 0))
-    state = F.aggregate(past, F.struct(F.lit(None).cast("double").alias("ref"), F.lit(False).alias("hit")), lambda s, e: F.struct(F.when(s["ref"].isNull() | (e["error"] > factor * s["ref"]), e["error"]).otherwise(s["ref"]).alias("ref"), F.coalesce(e["error"] > factor * s["ref"], F.lit(False)).alias("hit")))
-    return errors.withColumn("s", state).select("batch_num", "error", F.col("s.hit").alias("drift_detected"))
+    of the drifting batch. One pass in order over the table of batches, which has a row for each."""
+
+    def walk(g: pd.DataFrame) -> pd.DataFrame:
+        g, ref, hits = g.sort_values("batch_num"), None, []
+        for e in g.error:
+            hits.append(ref is not None and e > factor * ref)
+            ref = e if ref is None or hits[-1] else ref
+        return g.assign(drift_detected=hits)
+
+    return errors.select("batch_num", "error").groupBy().applyInPandas(walk, "batch_num long, error double, drift_detected boolean")
 
 
 def scheduled_drift(batches: DataFrame) -> DataFrame:
@@ -21,43 +30,90 @@ def scheduled_drift(batches: DataFrame) -> DataFrame:
     return batches.withColumn("drift_detected", F.col("batch_num") % 2 != 0)
 
 
+def _blocks(sample: DataFrame, *columns: str, size: int = BLOCK) -> DataFrame:
+    """Rows of a sample in blocks of about `size`, each a row of arrays."""
+    n = max(1, -(-sample.count() // size))
+    return sample.groupBy(F.pmod(F.xxhash64(*columns), F.lit(n)).alias("_k")).agg(F.collect_list(F.struct(*columns)).alias("b")).select("b")
+
+
+def _block_pairs(a: DataFrame, b: DataFrame, *columns: str) -> DataFrame:
+    """All pairs of blocks; the distances of two samples are their product by nature, taken a block pair at a time in Arrow batches."""
+    left, right = _blocks(a, *columns).withColumnRenamed("b", "u"), _blocks(b, *columns).withColumnRenamed("b", "v")
+    return left.crossJoin(right).repartition(max(1, left.sparkSession.sparkContext.defaultParallelism))
+
+
+def _matrix(rows) -> np.ndarray:
+    return np.array([list(r["x"]) for r in rows], dtype=float)
+
+
+def _squares(u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    return np.stack([((v - row) ** 2).sum(axis=1) for row in u])
+
+
 def mmd_rbf(x: DataFrame, y: DataFrame, gamma: float = 1.0) -> DataFrame:
-    """Biased squared MMD with an RBF kernel, diagonals included. All pairs of two samples: its cost is their product by nature."""
+    """Biased squared MMD with an RBF kernel, diagonals included."""
+
+    def sums(frames):
+        for f in frames:
+            got = [(np.exp(-gamma * _squares(_matrix(u), _matrix(v))).sum(), len(u) * len(v)) for u, v in zip(f.u, f.v)]
+            yield pd.DataFrame(got, columns=["s", "n"]).astype({"s": float, "n": "int64"})
 
     def mean_kernel(a, b, name):
-        p = a.select(F.col("x").alias("u")).crossJoin(b.select(F.col("x").alias("v")))
-        return p.agg(F.avg(F.exp(-gamma * A.squared_distance(F.col("u"), F.col("v")))).alias(name))
+        return _block_pairs(a, b, "id", "x").mapInPandas(sums, "s double, n long").agg((F.sum("s") / F.sum("n")).alias(name))
 
-    k = mean_kernel(x, x, "kxx").crossJoin(mean_kernel(y, y, "kyy")).crossJoin(mean_kernel(x, y, "kxy"))
+    k = mean_kernel(x, x, "kxx").crossJoin(mean_kernel(y, y, "kyy")).crossJoin(mean_kernel(x, y, "kxy"))  # of one row each
     return k.select((F.col("kxx") + F.col("kyy") - 2 * F.col("kxy")).alias("mmd2"))
 
 
 def ks_two_sample(rows: DataFrame, by: str, value: str, side: str) -> DataFrame:
     """statistic and p_value by `by`: largest gap of the two samples' distributions; side is a boolean. Equal values are counted before the
-    running sums, and the p-value is the asymptotic one."""
+    running sums, which run in cells of the range of values, and the p-value is the asymptotic one. drift is a p-value below 0.05."""
     counts = rows.groupBy(by, value).agg(F.count_if(F.col(side)).alias("a"), F.count_if(~F.col(side)).alias("b"))
-    up, whole = Window.partitionBy(by).orderBy(value), Window.partitionBy(by)
-    gaps = counts.select(by, F.abs(F.sum("a").over(up) / F.sum("a").over(whole) - F.sum("b").over(up) / F.sum("b").over(whole)).alias("gap"), "a", "b")
-    g = gaps.groupBy(by).agg(F.max("gap").alias("statistic"), F.sum("a").alias("na"), F.sum("b").alias("nb"))
+    ends = counts.groupBy(by).agg(F.min(value).alias("_low"), F.max(value).alias("_high"), F.sum("a").alias("na"), F.sum("b").alias("nb"))
+    place = F.when(F.col("_high") > F.col("_low"), F.floor((F.col(value) - F.col("_low")) / (F.col("_high") - F.col("_low")) * 1024)).otherwise(0)
+    cells = counts.join(F.broadcast(ends), by).withColumn("_b", place)  # ends: a row per group
+    sums, ahead = cells.groupBy(by, "_b").agg(F.sum("a").alias("sa"), F.sum("b").alias("sb")), Window.partitionBy(by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(by, "_b", F.coalesce(F.sum("sa").over(ahead), F.lit(0)).alias("pa"), F.coalesce(F.sum("sb").over(ahead), F.lit(0)).alias("pb"))
+    up = Window.partitionBy(by, "_b").orderBy(value)
+    own = cells.select(by, "_b", "na", "nb", F.sum("a").over(up).alias("ua"), F.sum("b").over(up).alias("ub")).join(sums, [by, "_b"])
+    g = own.groupBy(by).agg(F.max(F.abs((F.col("pa") + F.col("ua")) / F.col("na") - (F.col("pb") + F.col("ub")) / F.col("nb"))).alias("statistic"), F.first("na").alias("na"), F.first("nb").alias("nb"))
     n = F.sqrt(F.col("na") * F.col("nb") / (F.col("na") + F.col("nb")))
     lam = (n + 0.12 + 0.11 / n) * F.col("statistic")
     p = sum((2 * (-1) ** (j - 1) * F.exp(-2.0 * j * j * lam * lam) for j in range(1, 11)), F.lit(0.0))
-    return g.select(by, "statistic", F.greatest(F.lit(0.0), F.least(F.lit(1.0), p)).alias("p_value"))
-
-
-def knn_kl(x: DataFrame, y: DataFrame, k: int = 3) -> DataFrame:
-    """kNN estimate of the KL divergence of x from y; x, y: id, x. Points whose distance is 0 in either sample are left out of the mean,
-    where the logarithm is undefined. All pairs of two samples."""
-
-    def kth(a, b, n, name):
-        p = a.select(F.col("id").alias("ia"), F.col("x").alias("u")).crossJoin(b.select(F.col("id").alias("ib"), F.col("x").alias("v")))
-        p = p.select("ia", "ib", F.sqrt(A.squared_distance(F.col("u"), F.col("v"))).alias("d"))
-        return p.withColumn("r", F.row_number().over(Window.partitionBy("ia").orderBy("d", "ib"))).filter(F.col("r") == n).select("ia", F.col("d").alias(name))
-
-    j = kth(x, x, k + 1, "dx").join(kth(x, y, k, "dy"), "ia").filter("dx > 0 and dy > 0")
-    sizes = x.agg(F.count("*").alias("n"), F.max(F.size("x")).alias("dim")).crossJoin(y.agg(F.count("*").alias("m")))
-    g = j.agg(F.avg(F.ln(F.col("dy") / F.col("dx"))).alias("g"))
-    return g.crossJoin(sizes).select((F.col("dim") * F.col("g") + F.ln(F.col("m") / (F.col("n") - 1))).alias("kl"))
+    p = F.when(F.col("statistic") == 0, 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), p)))
+    return g.select(by, "statistic", p.alias("p_value"), (p < 0.05).alias("drift"))
+
+
+def knn_kl(x: DataFrame, y: DataFrame, k: int = 3, digits: int | None = 5) -> DataFrame:
+    """kNN estimate of the KL divergence of x from y; x, y: x.
+
+    Rounded rows that are equal are one point with a count. For a point of x, p is the count of its k + 1 nearest points of x, itself
+    included, and q that of its k nearest of y; both are shares of their sums over all points, and the sum of
+    p * (ln p - ln q + d * (ln radius in y - ln radius in x)) is the estimate. Points with a radius of 0 have no logarithm and are left out."""
+
+    def points(s):
+        own = s.select((F.transform("x", lambda v: F.round(v, digits)) if digits is not None else F.col("x")).alias("x")).groupBy("x").agg(F.count("*").alias("n"))
+        return own.select(F.xxhash64("x").alias("id"), "x", "n")
+
+    def nearest(a, b, k, name):
+        def run(frames):
+            for f in frames:
+                for u, v in zip(f.u, f.v):
+                    d = np.sqrt(_squares(_matrix(u), _matrix(v))).round(9)  # of equally far points the one with the smaller count is nearer
+                    n = np.array([r["n"] for r in v])
+                    at = [np.lexsort((n, row))[:k] for row in d]
+                    yield pd.DataFrame({"id": [r["id"] for r in u], "c": [[{"d": float(d[i, j]), "n": int(n[j])} for j in at[i]] for i in range(len(u))]})
+
+        few = _block_pairs(a, b, "id", "x", "n").mapInPandas(run, "id long, c array<struct<d:double,n:long>>")  # k of each block at most
+        best = few.groupBy("id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("c"))), 1, k).alias("c"))
+        return best.select("id", F.array_max(F.transform("c", lambda e: e["d"])).alias(f"r{name}"), F.aggregate("c", F.lit(0).cast("long"), lambda t, e: t + e["n"]).alias(f"k{name}"))
+
+    px, py = points(x), points(y)
+    j = nearest(px, px, k + 1, "p").join(nearest(px, py, k, "q"), "id")
+    whole = j.agg(F.sum("kp").alias("sp"), F.sum("kq").alias("sq")).crossJoin(px.agg(F.max(F.size("x")).alias("dim")))  # one row
+    p, q = F.col("kp") / F.col("sp"), F.col("kq") / F.col("sq")
+    term = p * (F.ln(p) - F.ln(q) + F.col("dim") * (F.ln("rq") - F.ln("rp")))
+    return j.filter("rp > 0 and rq > 0").crossJoin(F.broadcast(whole)).agg(F.sum(term).alias("kl"))
 
 
 def drift_point_stats(rows: DataFrame, point: int, window: int = 50, slope: int = 20) -> DataFrame:

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import arrays as A
+
 
 def confusion(pred: DataFrame, by: list[str] | None = None) -> DataFrame:
     return pred.groupBy(*(by or []), "y", "p").agg(F.count("*").alias("n"))
@@ -44,23 +48,52 @@ def weighted_scores(pred: DataFrame, zero: float = 0.0) -> DataFrame:
     return c.agg(*[(F.sum(F.col(k) * F.col("n_true")) / F.sum("n_true")).alias(k) for k in ("precision", "recall", "f1")])
 
 
-def running_scores(pred: DataFrame, order: str = "id") -> DataFrame:
-    """Accuracy and kappa of all rows so far. Running confusion counts need the order over all rows; the counts of a class are
-    running sums within it, so only the two sums over everything are one window."""
-    so_far = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    y_before = F.row_number().over(Window.partitionBy("y").orderBy(order))
-    p_before = F.row_number().over(Window.partitionBy("p").orderBy(order))
-    both = pred.select(order, "y", "p", y_before.alias("ky"), p_before.alias("kp"))
-    # sum over classes of n_true * n_pred grows at each row by the other count of the row's classes
-    marks = both.select(order, F.col("y").alias("c"), F.lit(1).alias("t"), F.lit(0).alias("q")).union(both.select(order, F.col("p").alias("c"), F.lit(0).alias("t"), F.lit(1).alias("q")))
-    per = marks.groupBy(order, "c").agg(F.sum("t").alias("t"), F.sum("q").alias("q"))
-    w = Window.partitionBy("c").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    per = per.withColumn("nt", F.sum("t").over(w)).withColumn("nq", F.sum("q").over(w))
-    grow = per.groupBy(order).agg(F.sum(F.col("nt") * F.col("nq") - (F.col("nt") - F.col("t")) * (F.col("nq") - F.col("q"))).alias("dx"))
-    j = both.join(grow, order).withColumn("n", F.row_number().over(Window.orderBy(order)))
-    j = j.withColumn("hit", F.sum(F.when(F.col("y") == F.col("p"), 1).otherwise(0)).over(so_far)).withColumn("x", F.sum("dx").over(so_far))
-    po, pe = F.col("hit") / F.col("n"), F.col("x") / (F.col("n") * F.col("n"))
-    return j.select(order, po.alias("accuracy"), F.try_divide(po - pe, 1 - pe).alias("kappa"))
+def running_scores(pred: DataFrame, order: str = "id", bucket: int = 1 << 13) -> DataFrame:
+    """Accuracy and kappa of all rows so far, by a number that rises with the order.
+
+    Counts of each class before a bucket of the order come from one row per bucket and class; inside a bucket they run in Arrow
+    batches, so no task sees more than a bucket of predictions."""
+    rows = pred.select(F.col(order).alias("_id"), F.col("y").cast("string").alias("y"), F.col("p").cast("string").alias("p")).withColumn("_b", F.floor(F.col("_id") / bucket))
+    marks = rows.select("_b", F.col("y").alias("c"), F.lit(1).alias("t"), F.lit(0).alias("q"), (F.col("y") == F.col("p")).cast("int").alias("h")).union(rows.select("_b", "p", F.lit(0), F.lit(1), F.lit(0)))
+    per = marks.groupBy("_b", "c").agg(F.sum("t").alias("t"), F.sum("q").alias("q"), F.sum("h").alias("h"))
+    # a bucket needs every class that came before it, so buckets and classes are crossed: both are bounded tables of counts
+    grid = per.select("_b").distinct().crossJoin(F.broadcast(per.select("c").distinct())).join(per, ["_b", "c"], "left")
+    ahead = Window.partitionBy("c").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    before = grid.select(F.col("_b").alias("_k"), "c", *[F.coalesce(F.sum(k).over(ahead), F.lit(0)).alias(k) for k in "tqh"])
+
+    def run(own: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
+        own, start = own.sort_values("_id"), start.sort_values("c")
+        code = {c: k for k, c in enumerate(start.c)}
+        t, q = (np.cumsum(np.eye(len(code), dtype=np.int64)[own[k].map(code)], axis=0) + start[v].to_numpy() for k, v in (("y", "t"), ("p", "q")))
+        n = t.sum(axis=1)
+        po = (np.cumsum(own.y.to_numpy() == own.p.to_numpy()) + start.h.sum()) / n
+        pe = (t.astype(float) * q).sum(axis=1) / n.astype(float) ** 2
+        kappa = np.divide(po - pe, 1 - pe, out=np.full(len(po), np.nan), where=pe != 1)
+        return pd.DataFrame({"_id": own._id, "accuracy": po, "kappa": kappa})
+
+    got = rows.groupBy("_b").cogroup(before.groupBy("_k")).applyInPandas(run, "_id long, accuracy double, kappa double")
+    return got.select(F.col("_id").alias(order), "accuracy", F.nanvl("kappa", F.lit(None).cast("double")).alias("kappa"))
+
+
+def class_means(rows: DataFrame) -> DataFrame:
+    """batch, label, before and after: mean arrays of each label's series in all batches up to (and with) a batch; rows: batch, label, x.
+
+    This is the state of an incremental nearest-mean classifier before and after it learns a batch; labels without a mean are null."""
+    sums = rows.select("batch", "label", F.posexplode("x").alias("i", "v")).groupBy("batch", "label", "i").agg(F.sum("v").alias("s"), F.count("*").alias("c"))
+    grid = sums.select("batch").distinct().crossJoin(F.broadcast(sums.select("label", "i").distinct()))  # labels times places is bounded
+    w = Window.partitionBy("label", "i").orderBy("batch")
+    ahead, so_far = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(Window.unboundedPreceding, 0)
+    g = grid.join(sums, ["batch", "label", "i"], "left").select("batch", "label", "i", *[(F.sum("s").over(o) / F.sum("c").over(o)).alias(n) for n, o in (("before", ahead), ("after", so_far))])
+    ordered = F.array_sort(F.collect_list(F.struct("i", "before", "after")))
+    g = g.groupBy("batch", "label").agg(ordered.alias("m"))
+    have = lambda k: F.when(F.get("m", F.lit(0))[k].isNotNull(), F.transform("m", lambda e: e[k]))
+    return g.select("batch", "label", have("before").alias("before"), have("after").alias("after"))
+
+
+def nearest_mean(rows: DataFrame, means: DataFrame, state: str, name: str) -> DataFrame:
+    """batch, id, y and the label of the nearest mean; rows: batch, id, y, x. Ties go to the label that sorts first; none is null."""
+    j = rows.join(means.select("batch", F.col("label").alias("_l"), F.col(state).alias("_m")).filter("_m is not null"), "batch")
+    return j.groupBy("batch", "id", "y").agg(F.min(F.struct(F.round(A.squared_distance(F.col("x"), F.col("_m")), 9), "_l"))["_l"].alias(name))
 
 
 def holdout_progressive(scored: DataFrame) -> DataFrame:

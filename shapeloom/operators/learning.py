@@ -1,6 +1,6 @@
 """Dictionary learning: alternating sparse coding and dictionary steps, one fit per label in parallel.
 
-A label's series are one group, as the stopping test needs all of them; `most_series` bounds the group by a hash of the id, and
+A label's series are one group, as the stopping test needs all of them; on request `most_series` bounds the group by a hash of the id.
 encode() then codes every series, in Arrow batches, with the learned dictionary.
 """
 
@@ -113,9 +113,13 @@ def learn(x: np.ndarray, k: int, q: int, lam: float = 0.1, c: float = 100.0, eps
     return Fit(s, a, off, trace)
 
 
-def learn_dictionaries(rows: DataFrame, k: int = 5, lam: float = 0.1, share: float = 0.5, signed: bool = False, seed: int = 0, most: int = 50, most_series: int = 2000, **how) -> DataFrame:
-    """label, shapelet_id, s, iterations, objective: one dictionary per label; rows: vec_id, label, x. Labels are fitted in parallel."""
-    few = rows.withColumn("_r", F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64("vec_id", F.lit(seed)), "vec_id"))).filter(F.col("_r") <= most_series)
+def learn_dictionaries(rows: DataFrame, k: int = 5, lam: float = 0.1, share: float = 0.5, signed: bool = False, seed: int = 0, most: int = 1000, most_series: int | None = None, **how) -> DataFrame:
+    """label, shapelet_id, s, iterations, objective: one dictionary per label; rows: vec_id, label, x. Labels are fitted in parallel.
+
+    Every series counts unless most_series bounds them."""
+    few = rows
+    if most_series is not None:
+        few = rows.withColumn("_r", F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64("vec_id", F.lit(seed)), "vec_id"))).filter(F.col("_r") <= most_series)
 
     def fit(g: pd.DataFrame) -> pd.DataFrame:
         x = np.array(g.sort_values("vec_id").x.tolist(), dtype=float)

@@ -5,14 +5,14 @@ from __future__ import annotations
 import numpy as np
 
 
-def classifier(name: str):
-    """forest, mlp (layers set by the caller), svm (one against the rest), logistic."""
+def classifier(name: str, features: int = 1, classes: int = 2, hidden: int = 100):
+    """forest, mlp (for so many features and classes), svm (one against the rest), logistic."""
     from pyspark.ml import classification as C
 
     made = {
         "forest": lambda: C.RandomForestClassifier(numTrees=100, seed=7),
-        "mlp": lambda: C.MultilayerPerceptronClassifier(maxIter=200, seed=7),
-        "svm": lambda: C.OneVsRest(classifier=C.LinearSVC(maxIter=100)),
+        "mlp": lambda: C.MultilayerPerceptronClassifier(maxIter=100, seed=7, layers=[features, hidden, classes]),
+        "svm": lambda: C.OneVsRest(classifier=C.LinearSVC(maxIter=30), parallelism=8),
         "logistic": lambda: C.LogisticRegression(maxIter=100),
     }
     if name not in made:
@@ -20,6 +20,21 @@ def classifier(name: str):
     return made[name]()
 
 
+def features(rows, dictionary, kind: str = "distance"):
+    """rows with an array `features`: the series itself (raw), its least distances to the atoms (distance), or its codes over them (codes)."""
+    from pyspark.sql import functions as F
+
+    from . import learning, series
+
+    if kind == "raw":
+        return rows.withColumn("features", F.col("x"))
+    if kind == "distance":
+        return series.feature_matrix(rows, dictionary)
+    if kind == "codes":
+        return rows.join(learning.encode(rows, dictionary, lam=0.1).select("vec_id", F.col("a").alias("features")), "vec_id")
+    raise ValueError(f"unknown features {kind!r}: use raw, distance or codes")
+
+
 def assemble(features, label: str = "label"):
     """features (array) as an ML vector and label as an index in alphabetical order."""
     from pyspark.ml.feature import StringIndexer
@@ -55,6 +70,19 @@ class LinearSgd:
                 self.t += 1
         return self
 
+    def resize(self, features: int) -> LinearSgd:
+        """Weights of further features begin at 0, those of features that are gone are forgotten."""
+        if self.w is not None:
+            keep = self.w[:, :features]
+            self.w = np.pad(keep, ((0, 0), (0, features - keep.shape[1])))
+        return self
+
+    def fit(self, x, y) -> LinearSgd:
+        """Learn anew."""
+        self.w = self.b = None
+        self.t, self.scaler = 1, RunningScaler() if self.scaler else None
+        return self.partial_fit(x, y)
+
     def decision(self, x):
         x = np.asarray(x, dtype=float)
         return (self.scaler.transform(x) if self.scaler else x) @ self.w.T + self.b

@@ -44,10 +44,35 @@ def stream(spark, sf_dir: str) -> DataFrame:
     return row_index(e, F.date_trunc("day", "ts"), "ts", "event_id")
 
 
-def numbered(rows: DataFrame, label: str = "label", order: Sequence[str] = ("seq",)) -> DataFrame:
-    """rn (from 0) and n (rows) within each label."""
-    w = Window.partitionBy(label)
-    return rows.withColumn("rn", (F.row_number().over(w.orderBy(*order)) - 1).cast("long")).withColumn("n", F.count("*").over(w))
+#: Rows of the stream in a bucket of numbered().
+BUCKET = 1 << 16
+#: Values of a chunk from which windows are cut, besides those that a window reaches over.
+CHUNK = 1 << 12
+
+
+def numbered(rows: DataFrame, label: str = "label", order: str = "seq", bucket: int = BUCKET) -> DataFrame:
+    """rn (from 0) and n (rows) within each label, by a number that rises with the order.
+
+    Rows are numbered within buckets of a label; the windows over a whole label run over one row per bucket."""
+    rows = rows.withColumn("_b", F.floor(F.col(order) / bucket))
+    every = Window.partitionBy(label)
+    before = F.coalesce(F.sum("_n").over(every.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = rows.groupBy(label, "_b").agg(F.count("*").alias("_n")).select(label, "_b", before.alias("_before"), F.sum("_n").over(every).alias("n"))
+    inside = F.row_number().over(Window.partitionBy(label, "_b").orderBy(order)) - 1
+    return rows.withColumn("_in", inside).join(counts, [label, "_b"]).withColumn("rn", (F.col("_before") + F.col("_in")).cast("long")).drop("_b", "_in", "_before")
+
+
+def chunks(numbered_rows: DataFrame, window: int, chunk: int = CHUNK) -> DataFrame:
+    """label, n, c, values, seqs: the rows of a label by number, cut into chunks that also hold the window - 1 rows after their last."""
+    size = max(chunk, 4 * window)
+    own = F.floor(F.col("rn") / size)
+    both = F.when((F.col("rn") % size < window - 1) & (own > 0), F.array(own, own - 1)).otherwise(F.array(own))
+    g = numbered_rows.select("label", "n", "rn", "seq", "value", F.explode(both).alias("c")).groupBy("label", "c").agg(F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct("rn", "value", "seq"))).alias("r"))
+    return g.select("label", "n", "c", (F.col("c") * size).alias("first"), F.lit(size).alias("size"), F.transform("r", lambda e: e["value"]).alias("values"), F.transform("r", lambda e: e["seq"]).alias("seqs"))
+
+
+def _cut(start, window: int):
+    return F.slice("values", (start - F.col("first") + 1).cast("int"), window)
 
 
 def shapelet_features(rows: DataFrame, dictionary: DataFrame, znorm: bool = False) -> DataFrame:
@@ -84,18 +109,34 @@ def feature_matrix(rows: DataFrame, dictionary: DataFrame, znorm: bool = True) -
     return rows.withColumn("features", run("x"))
 
 
+def _starts(low, high, step: int):
+    """Multiples of step from low to high, both included."""
+    a = F.ceil(low / step) * step
+    return F.when(a <= high, F.sequence(a.cast("long"), high.cast("long"), F.lit(step).cast("long"))).otherwise(F.array().cast("array<bigint>"))
+
+
 def sliding_windows(rows: DataFrame, window: int, step: int, most: int = 1000) -> DataFrame:
-    """label, start, x: windows of each label's rows in order; starts below n - window only, so the last full one is never emitted."""
-    w = Window.partitionBy("label").orderBy("seq").rowsBetween(0, window - 1)
-    full = numbered(rows).withColumn("x", F.collect_list("value").over(w))
-    keep = (F.col("rn") % step == 0) & (F.col("rn") < F.col("n") - window) & (F.col("rn") / step < most)
-    return full.filter(keep).select("label", F.col("rn").alias("start"), "x")
+    """label, start, x: windows of each label's rows in order; starts below n - window only, so the last full one is never emitted.
+
+    Rows beyond the last start go no further; windows are cut from chunks, only where one starts."""
+    near = numbered(rows).filter(F.col("rn") < (most - 1) * step + window)
+    last = F.least(F.col("first") + F.col("size") - 1, F.col("n") - window - 1, F.lit((most - 1) * step))
+    c = chunks(near, window).withColumn("start", F.explode(_starts(F.col("first"), last, step)))
+    return c.select("label", "start", _cut(F.col("start"), window).alias("x"))
 
 
 def trailing_windows(rows: DataFrame, size: int) -> DataFrame:
     """seq, x: the last `size` values at each row of a label, once there are so many."""
-    w = Window.partitionBy("label").orderBy("seq").rowsBetween(-(size - 1), 0)
-    return rows.withColumn("x", F.collect_list("value").over(w)).filter(F.size("x") == size).select("label", "seq", "x")
+    last = F.least(F.col("first") + F.col("size") - 1, F.col("n") - size)
+    c = chunks(numbered(rows), size).withColumn("start", F.explode(_starts(F.col("first"), last, 1)))
+    return c.select("label", F.get("seqs", (F.col("start") - F.col("first") + size - 1).cast("int")).alias("seq"), _cut(F.col("start"), size).alias("x"))
+
+
+def _cut_at(rows: DataFrame, starts: DataFrame, window: int) -> DataFrame:
+    """label, k, start, x of wanted starts (label, k, start)."""
+    size = max(CHUNK, 4 * window)
+    wanted = starts.select("label", "k", "start", F.floor(F.col("start") / size).alias("c"))
+    return wanted.join(chunks(numbered(rows), window), ["label", "c"]).select("label", "k", "start", _cut(F.col("start"), window).alias("x"))
 
 
 def random_windows(rows: DataFrame, window: int, most: int, seed: int = 0) -> DataFrame:
@@ -105,9 +146,7 @@ def random_windows(rows: DataFrame, window: int, most: int, seed: int = 0) -> Da
     n = rows.groupBy("label").agg(F.count("*").alias("n")).filter(F.col("n") > window)
     draws = n.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(most))))
     draws = draws.withColumn("start", F.pmod(F.xxhash64("label", "k", F.lit(seed)), F.col("n") - 2 * half))
-    w = Window.partitionBy("label").orderBy("seq").rowsBetween(0, 2 * half - 1)
-    full = numbered(rows).select("label", F.col("rn").alias("start"), F.collect_list("value").over(w).alias("x"))
-    return draws.join(full, ["label", "start"]).select("label", "k", "start", "x")
+    return _cut_at(rows, draws, 2 * half)
 
 
 def bootstrapped_windows(rows: DataFrame, window: int, step: int, most: int, seed: int = 0) -> DataFrame:
@@ -120,9 +159,7 @@ def bootstrapped_windows(rows: DataFrame, window: int, step: int, most: int, see
     starts = passes.filter(F.col("pass") * F.greatest(F.lit(1), per - 1) < most).withColumn("start", F.explode(F.sequence(F.col("from"), F.col("n") - window - 1, F.lit(step))))
     order = F.row_number().over(Window.partitionBy("label").orderBy("pass", "start"))
     starts = starts.withColumn("k", order).filter(F.col("k") <= most)
-    w = Window.partitionBy("label").orderBy("seq").rowsBetween(0, window - 1)
-    full = numbered(rows).select("label", F.col("rn").alias("start"), F.collect_list("value").over(w).alias("x"))
-    return starts.select("label", "k", "start").join(full, ["label", "start"])
+    return _cut_at(rows, starts, window)
 
 
 def compile_windows(rows: DataFrame, method: str, window: int = 100, step: int = 1, most: int = 1000, seed: int = 0) -> DataFrame:
@@ -149,15 +186,22 @@ def train_stat_znorm(rows: DataFrame) -> DataFrame:
 
 def stratified_split(rows: DataFrame, test_share: float, key: str, seed: str = "0") -> DataFrame:
     """is_test: ceil(share * n) rows of each label, those first in the md5 of key and seed."""
-    w = Window.partitionBy("label")
-    rank = F.row_number().over(w.orderBy(F.md5(F.concat_ws("|", F.col(key).cast("string"), F.lit(seed))), key))
-    return rows.withColumn("n", F.count("*").over(w)).withColumn("is_test", rank <= F.ceil(F.col("n") * test_share)).drop("n")
+    draw = F.md5(F.concat_ws("|", F.col(key).cast("string"), F.lit(seed)))
+    cells = rows.withColumn("_m", draw).withColumn("_b", F.substring("_m", 1, 3))  # the order is by the digest, so its first digits are its buckets
+    every = Window.partitionBy("label")
+    before = F.coalesce(F.sum("_n").over(every.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = cells.groupBy("label", "_b").agg(F.count("*").alias("_n")).select("label", "_b", before.alias("_before"), F.sum("_n").over(every).alias("_all"))
+    inside = F.row_number().over(Window.partitionBy("label", "_b").orderBy("_m", key))
+    return cells.withColumn("_in", inside).join(counts, ["label", "_b"]).withColumn("is_test", F.col("_before") + F.col("_in") <= F.ceil(F.col("_all") * test_share)).drop("_m", "_b", "_in", "_before", "_all")
 
 
 def tumbling_batches(rows: DataFrame, size: int, keep_tail: bool = False) -> DataFrame:
     """batch_num from 1 over seq; without keep_tail an incomplete last batch is dropped."""
     b = rows.withColumn("batch_num", (F.floor(F.col("seq") / size) + 1).cast("long"))
-    return b if keep_tail else b.withColumn("c", F.count("*").over(Window.partitionBy("batch_num"))).filter(F.col("c") == size).drop("c")
+    if keep_tail:
+        return b
+    last = rows.agg(F.floor((F.max("seq") + 1) / size).alias("_full"))  # seq counts all rows from 0, so only the last batch can lack any
+    return b.crossJoin(F.broadcast(last)).filter(F.col("batch_num") <= F.col("_full")).drop("_full")
 
 
 def half_batches(rows: DataFrame, size: int) -> DataFrame:

@@ -416,7 +416,7 @@ def _(spark, d):
 
 @query("learn_dictionary")
 def _(spark, d):
-    return L.learn_dictionaries(S.series(spark, d), k=3, share=0.25, most=5)
+    return L.learn_dictionaries(S.series(spark, d), k=3, share=0.25)
 
 
 @query("encode_series")
@@ -470,13 +470,18 @@ def _(spark, d):
     return D.ks_two_sample(s, "label", "value", "early").select("label", r6("statistic").alias("statistic"))
 
 
-def _kth(a: str, b: str, k: int) -> str:
-    return f"(SELECT ia, d FROM (SELECT a.vec_id AS ia, list_distance(a.x, b.x) AS d, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_distance(a.x, b.x), b.vec_id) AS r FROM ser a, ser b WHERE a.label = '{a}' AND b.label = '{b}') WHERE r = {k})"
+PTS = "pts AS (SELECT label AS s, r AS x, count(*) AS n FROM (SELECT label, list_transform(x, lambda e: round(e, 1)) AS r FROM (SELECT label, x FROM ser UNION ALL SELECT label, x FROM ser WHERE vec_id % 3 = 0)) GROUP BY ALL)"
 
 
-@query("kl_knn", "SELECT round(64 * avg(ln(y.d / x.d)) + ln((SELECT count(*) FROM ser WHERE label = '1') / ((SELECT count(*) FROM ser WHERE label = '0') - 1)), 4) AS kl FROM " + _kth("0", "0", 4) + " x JOIN " + _kth("0", "1", 3) + " y USING (ia) WHERE x.d > 0 AND y.d > 0", (SER,))
+def _near(a: str, b: str, k: int) -> str:
+    return f"(SELECT x, max(d) AS r, sum(n) AS k FROM (SELECT a.x, b.n, list_distance(a.x, b.x) AS d, row_number() OVER (PARTITION BY a.x ORDER BY round(list_distance(a.x, b.x), 9), b.n) AS o FROM pts a, pts b WHERE a.s = '{a}' AND b.s = '{b}') WHERE o <= {k} GROUP BY x)"
+
+
+@query("kl_knn", "SELECT round(sum(p * (ln(p) - ln(q) + 64 * (ln(rq) - ln(rp)))), 4) AS kl FROM (SELECT a.k / sum(a.k) OVER () AS p, b.k / sum(b.k) OVER () AS q, a.r AS rp, b.r AS rq FROM " + _near("0", "0", 4) + " a JOIN " + _near("0", "1", 3) + " b USING (x))", (SER, PTS))
 def _(spark, d):
-    return D.knn_kl(*_samples(spark, d)).select(F.round("kl", 4).alias("kl"))
+    """A third of the series are there twice, so that points have different counts."""
+    twice = [s.select("x").unionByName(s.filter("id % 3 = 0").select("x")) for s in _samples(spark, d)]
+    return D.knn_kl(*twice, digits=1).select(F.round("kl", 4).alias("kl"))
 
 
 @query("drift_point_stats", "SELECT round(avg(value) FILTER (seq >= 500) - avg(value) FILTER (seq < 500), 6) AS mean_change, round(var_pop(value) FILTER (seq >= 500) - var_pop(value) FILTER (seq < 500), 6) AS variance_change, round(regr_slope(value, seq) FILTER (seq >= 480 AND seq < 500), 6) AS slope_before, round(regr_slope(value, seq) FILTER (seq >= 500 AND seq < 520), 6) AS slope_after FROM str WHERE seq >= 450 AND seq < 550", (STR,))
@@ -526,27 +531,62 @@ def _(spark, d):
     return E.running_scores(predictions(spark, d)).select("id", r6("accuracy").alias("accuracy"), r6("kappa").alias("kappa"))
 
 
-@query("holdout_progressive", "SELECT b.batch, round(avg((h.y = h.p)::INT), 6) AS accuracy FROM (SELECT DISTINCT batch FROM pred WHERE id >= 200) b, (SELECT * FROM pred WHERE id < 200) h GROUP BY b.batch", P)
+MEANS = """flat AS (SELECT vec_id // 100 AS batch, label, generate_subscripts(x, 1) AS i, unnest(x) AS v FROM ser WHERE vec_id >= 200),
+per AS (SELECT batch, label, i, sum(v) AS s, count(*) AS c FROM flat GROUP BY ALL),
+grid AS (SELECT b.batch, l.label, l.i, s, c FROM (SELECT DISTINCT batch FROM per) b CROSS JOIN (SELECT DISTINCT label, i FROM per) l LEFT JOIN per USING (batch, label, i)),
+run AS (SELECT batch, label, i, sum(s) OVER a / sum(c) OVER a AS before, sum(s) OVER z / sum(c) OVER z AS after FROM grid WINDOW a AS (PARTITION BY label, i ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), z AS (PARTITION BY label, i ORDER BY batch)),
+means AS (SELECT batch, label AS l, list(before ORDER BY i) FILTER (before IS NOT NULL) AS before, list(after ORDER BY i) FILTER (after IS NOT NULL) AS after FROM run GROUP BY ALL)"""
+
+
+def _nearest_sql(state: str) -> str:
+    return f"SELECT t.batch, t.vec_id, t.label AS y, arg_min(l, (round(list_distance(t.x, m.{state}) ** 2, 9), l)) AS p FROM targets t JOIN means m ON t.batch = m.batch AND m.{state} IS NOT NULL GROUP BY ALL"
+
+
+def _trained(spark, d):
+    """The series after the first 200, in batches of 100, and the state of the classifier around each."""
+    rows = S.series(spark, d).filter("vec_id >= 200").select(F.floor(F.col("vec_id") / 100).alias("batch"), F.col("vec_id").alias("id"), F.col("label"), F.col("label").alias("y"), "x")
+    return rows, E.class_means(rows)
+
+
+@query("holdout_progressive", "SELECT batch, round(avg((y = p)::INT), 6) AS accuracy FROM (" + _nearest_sql("before") + ") GROUP BY batch", (SER, MEANS, "targets AS (SELECT b.batch, s.* FROM (SELECT DISTINCT batch FROM means) b, ser s WHERE s.vec_id < 200)"))
 def _(spark, d):
-    p = predictions(spark, d)
-    scored = p.filter("id >= 200").select("batch").distinct().crossJoin(F.broadcast(p.filter("id < 200").select("y", "p")))
+    """The first 200 series are scored again before each batch is learned."""
+    rows, means = _trained(spark, d)
+    held = S.series(spark, d).filter("vec_id < 200").select(F.col("vec_id").alias("id"), F.col("label").alias("y"), "x")
+    scored = E.nearest_mean(means.select("batch").distinct().crossJoin(F.broadcast(held)), means, "before", "p")
     return E.holdout_progressive(scored).select("batch", r6("accuracy").alias("accuracy"))
 
 
-@query("before_and_after", "SELECT batch, round(avg((y = q)::INT), 6) AS accuracy_before, round(avg((y = p)::INT), 6) AS accuracy_after FROM (SELECT *, coalesce(lag(p) OVER (PARTITION BY batch ORDER BY id), 'none') AS q FROM pred) GROUP BY batch", P)
+@query("before_and_after", "SELECT batch, round(avg((a.y = a.p)::INT), 6) AS accuracy_before, round(avg((z.y = z.p)::INT), 6) AS accuracy_after FROM (" + _nearest_sql("before") + ") a JOIN (" + _nearest_sql("after") + ") z USING (batch, vec_id) GROUP BY batch", (SER, MEANS, "targets AS (SELECT vec_id // 100 AS batch, * FROM ser WHERE vec_id >= 200)"))
 def _(spark, d):
-    last = F.coalesce(F.lag("p").over(Window.partitionBy("batch").orderBy("id")), F.lit("none"))
-    p = predictions(spark, d).withColumn("p_before", last).withColumnRenamed("p", "p_after")
-    return E.before_and_after(p).select("batch", r6("accuracy_before").alias("accuracy_before"), r6("accuracy_after").alias("accuracy_after"))
+    rows, means = _trained(spark, d)
+    both = E.nearest_mean(rows, means, "before", "p_before").join(E.nearest_mean(rows, means, "after", "p_after").drop("y"), ["batch", "id"])
+    return E.before_and_after(both).select("batch", r6("accuracy_before").alias("accuracy_before"), r6("accuracy_after").alias("accuracy_after"))
+
+
+BANKS = """banks AS (SELECT 'closest' AS policy, pos AS k, s FROM dic UNION ALL SELECT 'closest', 1000 + nr, s FROM neu JOIN near ON pos = pos_b WHERE nr <= 10
+UNION ALL SELECT 'dissimilar', pos, s FROM dic UNION ALL SELECT 'dissimilar', 1000 + fr, s FROM neu JOIN near ON pos = pos_b WHERE fr <= 10
+UNION ALL SELECT 'random', pos, s FROM dic UNION ALL SELECT 'random', 1000 + o, s FROM (SELECT *, row_number() OVER (ORDER BY md5(concat(pos, '|0'))) AS o FROM neu) WHERE o <= 10
+UNION ALL SELECT 'top_ranked', pos, s FROM dic UNION ALL SELECT 'top_ranked', 1000 + overall_rank, s FROM neu JOIN crank c ON pos = c.k WHERE overall_rank <= 10)"""
+BAKE = """bc AS (SELECT b.policy, v.vec_id, b.k, b.s, list_transform(range(0, len(v.x) - len(b.s) + 1), lambda i: list_dot_product(v.x[i + 1 : i + len(b.s)], b.s)) AS c FROM ser v, banks b WHERE v.vec_id % 5 = 0),
+bt AS (SELECT *, list_position(list_transform(c, lambda v: abs(v)), list_max(list_transform(c, lambda v: abs(v)))) - 1 AS o FROM bc),
+ba AS (SELECT policy, vec_id, s, o, c[o + 1] / list_dot_product(s, s) AS a FROM bt),
+br AS (SELECT t.policy, t.vec_id, t.i, t.xv - sum(c.a * c.s[t.i - c.o]) FILTER (t.i > c.o AND t.i <= c.o + 16) AS res, t.xv
+  FROM (SELECT policy, vec_id, generate_subscripts(x, 1) AS i, unnest(x) AS xv FROM ser, (SELECT DISTINCT policy FROM banks) WHERE vec_id % 5 = 0) t JOIN ba c USING (policy, vec_id) GROUP BY t.policy, t.vec_id, t.i, t.xv)"""
 
 
-@query("policy_bakeoff", "SELECT policy, round(avg(best), 6) AS error FROM (SELECT 'closest' AS policy, v.vec_id, min(list_distance(v.x[1:16], a.s)) AS best FROM ser v, (SELECT s FROM dic UNION ALL SELECT s FROM neu JOIN near ON pos = pos_b WHERE nr <= 5) a GROUP BY ALL UNION ALL SELECT 'dissimilar', v.vec_id, min(list_distance(v.x[1:16], a.s)) FROM ser v, (SELECT s FROM dic UNION ALL SELECT s FROM neu JOIN near ON pos = pos_b WHERE fr <= 5) a GROUP BY ALL) GROUP BY policy", (*BASE, NEAR))
+@query("policy_bakeoff", "SELECT policy, round(0.5 * sum(coalesce(res, xv) ** 2) / count(DISTINCT vec_id), 4) AS objective FROM br GROUP BY policy", (*BASE, NEAR, CODES, CRANK, BANKS, BAKE))
 def _(spark, d):
+    """Held-out series (every fifth) are encoded over the dictionary of each policy; half the mean squared residual, with no penalty."""
     a, b = _pair(spark, d)
-    bank = R.policy_closest(a, b, 5).withColumn("policy", F.lit("closest")).unionByName(R.policy_closest(a, b, 5, far=True).withColumn("policy", F.lit("dissimilar")))
-    j = S.series(spark, d).select("vec_id", F.slice("x", 1, 16).alias("h")).crossJoin(F.broadcast(bank.select("policy", "s")))
-    best = j.groupBy("policy", "vec_id").agg(F.min(F.sqrt(A.squared_distance(F.col("h"), F.col("s")))).alias("best"))
-    return best.groupBy("policy").agg(r6(F.avg("best")).alias("error"))
+    made = {"closest": R.policy_closest(a, b, 10), "dissimilar": R.policy_closest(a, b, 10, far=True), "random": R.policy_random(a, b), "top_ranked": R.policy_top_ranked(a, b, R.rank_coefficients(codes(spark, d)))}
+    held, out = S.series(spark, d).filter("vec_id % 5 = 0"), None
+    for name, bank in made.items():
+        bank = bank.select(F.col("new_pos").alias("pos"), "s")
+        t = C.residual_terms(held, C.one_step_codes(held, bank, 0.0), bank)
+        one = C.objective(t, 0.0).crossJoin(t.agg(F.count("*").alias("n"))).select(F.lit(name).alias("policy"), F.round(F.col("objective") / F.col("n"), 4).alias("objective"))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @query("coef_unpivot", "SELECT batch, variable, round(value, 6) AS value FROM (SELECT series_id // 100 AS batch, 'w' || k AS variable, avg(a) AS value FROM cof WHERE k < 4 GROUP BY ALL)", (SER, RANKED, DIC, CODES))
@@ -598,23 +638,42 @@ def _(spark, d):
     return G.sea_stream(spark, 10_000)
 
 
-@query("offline_classifier")
-def _(spark, d):
-    from ..operators import models as M
+def _offline(name: str, kind: str = "distance"):
+    """Split, features, one classifier, and its predictions on the held-out part."""
 
-    rows = S.stratified_split(S.series(spark, d), 0.3, "vec_id")
-    data = M.assemble(S.feature_matrix(rows, dictionary(spark, d)))
-    fit = M.classifier("logistic").setFeaturesCol("vector").setLabelCol("target").fit(data.filter("not is_test"))
-    return fit.transform(data.filter("is_test")).select("vec_id", "label", F.col("prediction").cast("long").alias("prediction"))
+    def run(spark, d):
+        from ..operators import models as M
 
+        rows = S.stratified_split(S.series(spark, d), 0.3, "vec_id")
+        data = M.assemble(M.features(rows, dictionary(spark, d), kind)).coalesce(4).cache()  # read by every iteration
+        width, classes = data.agg(F.max(F.size("features")), F.countDistinct("target")).first()
+        fit = M.classifier(name, width, classes).setFeaturesCol("vector").setLabelCol("target").fit(data.filter("not is_test"))
+        return fit.transform(data.filter("is_test")).select("vec_id", "label", F.col("prediction").cast("long").alias("prediction"))
+
+    return run
+
+
+query("offline_classifier")(_offline("logistic"))
+query("offline_forest")(_offline("forest"))
+query("offline_mlp")(_offline("mlp"))
+query("offline_svm")(_offline("svm"))
+query("offline_raw_features")(_offline("forest", "raw"))
+query("offline_code_features")(_offline("forest", "codes"))
+
+
+def _replayed(policy: str):
+    def run(spark, d):
+        from ..streaming.prequential import Loop, replay
+
+        batches = S.tumbling_batches(S.series(spark, d).withColumn("seq", F.col("vec_id")), 100)
+        return replay(batches, Loop(classes=[str(k) for k in range(10)], atoms=2, share=0.25, iterations=3, mode="scheduled", policy=policy))
+
+    return run
 
-@query("prequential_stream")
-def _(spark, d):
-    from ..streaming.prequential import Loop, replay
 
-    rows = S.series(spark, d).withColumn("seq", F.col("vec_id"))
-    batches = S.tumbling_batches(rows, 100)
-    return replay(batches, Loop(classes=[str(k) for k in range(10)], atoms=2, share=0.25, iterations=3, mode="scheduled"))
+query("prequential_stream")(_replayed("coefficients"))
+for _name in ("closest_set", "closest", "dissimilar", "random", "top_ranked", "labelwise", "replace", "extend"):
+    query(f"prequential_{_name}")(_replayed(_name))
 
 
 def flagship(spark, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ from ..functions import arrays as A
 
 def read_csv(spark: SparkSession, path, schema: str, header: bool = True, sep: str = ",") -> DataFrame:
     """One path or several; _metadata.file_path tells them apart."""
-    return spark.read.schema(schema).option("header", header).option("sep", sep).option("mode", "PERMISSIVE").csv(path)
+    return spark.read.schema(schema).option("header", header).option("sep", sep).option("mode", "FAILFAST").csv(path)
 
 
 def read_subjects(spark: SparkSession, template: str, subjects: list[int], schema: str, width: int = 2) -> DataFrame:
@@ -38,7 +38,7 @@ def class_count(*splits: DataFrame) -> DataFrame:
 def read_arff(spark: SparkSession, path: str) -> DataFrame:
     """Numeric and nominal attributes of a dense relation. The header (its first lines) is read on the driver, the data in parallel."""
     lines = spark.read.text(path).withColumn("value", F.trim("value"))
-    head = lines.filter(F.lower("value").startswith("@attribute")).limit(10_000).collect()
+    head = lines.filter(F.lower("value").startswith("@attribute")).collect()
     columns = []
     for r in head:
         _, name, kind = r.value.split(None, 2)
@@ -48,12 +48,14 @@ def read_arff(spark: SparkSession, path: str) -> DataFrame:
     return data.select(*[F.trim(F.get(parts, F.lit(k))).cast(t).alias(n) for k, (n, t) in enumerate(columns)])
 
 
-def write_arff(df: DataFrame, path: str, relation: str) -> None:
+def write_arff(df: DataFrame, path: str, relation: str, most_values: int = 10_000) -> None:
     """One text file: the header, then the rows in order of their partitions."""
     head = [f"@relation {relation}", ""]
     for f in df.schema:
         if f.dataType.typeName() == "string":
-            values = sorted(r[0] for r in df.select(f.name).distinct().limit(10_000).collect() if r[0] is not None)
+            values = sorted(r[0] for r in df.select(f.name).filter(F.col(f.name).isNotNull()).distinct().limit(most_values + 1).collect())
+            if len(values) > most_values:
+                raise ValueError(f"{f.name} has over {most_values} values; a header must list them all")
             head.append(f"@attribute {f.name} {{{','.join(values)}}}")
         else:
             head.append(f"@attribute {f.name} numeric")

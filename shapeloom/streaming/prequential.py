@@ -1,18 +1,22 @@
 """The online loop on Structured Streaming: count batches, features, test, drift rule, dictionary update, training.
 
-State is the dictionary, the reference error and the model, held by the driver between micro-batches and written per batch, so that a
-batch that is run again gives the same rows. replay() is the same loop over a finished table.
+State is the dictionary, the reference error, the model, and the rows that wait for a full batch. start() writes it with the number of
+each micro-batch and takes the last one up again, so a query that is stopped or fails goes on where it was, and a micro-batch that
+comes again gives the same rows in the same place. replay() is the same loop over a finished table.
 """
 
 from __future__ import annotations
 
 import math
+import pickle
 from dataclasses import dataclass, field
+from itertools import groupby
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from ..operators import learning
+from ..operators import learning, policies
 from ..operators.models import LinearSgd
 
 RESULT = "batch long, accuracy double, f1_score double, precision double, kappa double, drift_detected boolean"
@@ -42,7 +46,8 @@ def metrics(y, p) -> tuple[float, float, float, float]:
 
 @dataclass
 class Loop:
-    """One batch at a time. mode: threshold (error above factor times the reference) or scheduled (odd batches); policy: replace or extend."""
+    """One batch at a time. mode: threshold (error above factor times the reference) or scheduled (odd batches); policy: a name of
+    policies.POLICIES. The classifier is kept over drifts; weights of features that a new dictionary adds begin at 0."""
 
     classes: list
     atoms: int = 5
@@ -50,78 +55,98 @@ class Loop:
     lam: float = 0.1
     factor: float = 1.3
     mode: str = "threshold"
-    policy: str = "replace"
+    policy: str = "coefficients"
     seed: int = 0
     iterations: int = 8
-    dictionary: dict = field(default_factory=dict)
+    labels: list = field(default_factory=list)
+    bank: np.ndarray | None = None
     reference: float | None = None
     model: LinearSgd | None = None
     seen: int = 0
-    offset: int = 0
 
-    def _learn(self, x, y) -> dict:
-        q = math.ceil(x.shape[1] * self.share)
-        return {c: learning.learn(x[y == c], self.atoms, q, self.lam, signed=False, seed=self.seed, most=self.iterations).s for c in sorted(set(y))}
+    def __post_init__(self):
+        if self.policy not in policies.POLICIES or self.mode not in ("threshold", "scheduled"):
+            raise ValueError(f"unknown mode or policy: use threshold or scheduled, and one of {sorted(policies.POLICIES)}")
 
-    def _bank(self) -> np.ndarray:
-        return np.concatenate([self.dictionary[c] for c in sorted(self.dictionary)])
+    def _learn(self, x, y) -> tuple[list, np.ndarray]:
+        q = math.ceil(x.shape[1] * self.share)
+        own = {c: learning.learn(x[y == c], self.atoms, q, self.lam, signed=False, seed=self.seed, most=self.iterations).s for c in sorted(set(y))}
+        return [c for c in own for _ in range(len(own[c]))], np.concatenate(list(own.values()))
 
-    def _error(self, x) -> float:
-        s, rng = self._bank(), np.random.default_rng(self.seed)
+    def _codes(self, x, s) -> tuple[float, np.ndarray]:
+        """Reconstruction error and codes of a batch, from a seeded random start."""
+        rng = np.random.default_rng(self.seed)
         a, off = rng.random((len(x), len(s))), rng.integers(0, x.shape[1] - s.shape[1] + 1, (len(x), len(s)))
         a, off = learning.code(x, s, a, off, 1.0, self.iterations, 1e-5, False, rng)
-        return float(((x - learning.rebuild(s, a, off, x.shape[1])) ** 2).sum(axis=1).mean())
+        return float(((x - learning.rebuild(s, a, off, x.shape[1])) ** 2).sum(axis=1).mean()), a
 
     def step(self, x: np.ndarray, y: np.ndarray) -> tuple | None:
         """The result row of a batch, or None for the first one, which trains only. Rows are scored before the update."""
         x, y = znorm_rows(np.asarray(x, dtype=float)), np.asarray(y)
         self.seen += 1
         if self.seen == 1:
-            self.dictionary = self._learn(x, y)
-            self.model = LinearSgd(self.classes, seed=self.seed).partial_fit(transform(x, self._bank()), y)
-            self.reference = self._error(x) if self.mode == "threshold" else None
+            self.labels, self.bank = self._learn(x, y)
+            self.model = LinearSgd(self.classes, seed=self.seed).partial_fit(transform(x, self.bank), y)
+            self.reference = self._codes(x, self.bank)[0] if self.mode == "threshold" else None
             return None
-        error = self._error(x) if self.mode == "threshold" else 0.0
+        error = self._codes(x, self.bank)[0] if self.mode == "threshold" else 0.0
         drift = self.seen % 2 != 0 if self.mode == "scheduled" else error > self.factor * self.reference
-        row = (self.seen, *metrics(y.tolist(), self.model.predict(transform(x, self._bank())).tolist()), bool(drift))
+        row = (self.seen, *metrics(y.tolist(), self.model.predict(transform(x, self.bank)).tolist()), bool(drift))
         if drift:
-            new = self._learn(x, y)
-            self.dictionary = {**self.dictionary, **new} if self.policy == "replace" else {c: np.concatenate([*([self.dictionary[c]] if c in self.dictionary else []), *([new[c]] if c in new else [])]) for c in {*self.dictionary, *new}}
-            self.reference = self._error(x) if self.mode == "threshold" else None
-            self.model = LinearSgd(self.classes, seed=self.seed)
-        self.model.partial_fit(transform(x, self._bank()), y)
+            labels, new = self._learn(x, y)
+            codes = (self._codes(x, s)[1] if self.policy in policies.CODED else None for s in (self.bank, new))
+            self.labels, self.bank = policies.combine(self.policy, (self.labels, self.bank), (labels, new), *codes, y, np.random.default_rng(self.seed + self.seen))
+            self.reference = self._codes(x, self.bank)[0] if self.mode == "threshold" else None
+            self.model.resize(len(self.bank))
+        self.model.partial_fit(transform(x, self.bank), y)
         return row
 
 
 def replay(batches: DataFrame, loop: Loop, label: str = "label", batch: str = "batch_num") -> DataFrame:
-    """The loop over a finished table with batch numbers: one batch at a time on the driver, as the state demands."""
-    numbers = [r[0] for r in batches.select(batch).distinct().orderBy(batch).collect()]
-    rows = []
-    for n in numbers:
-        own = batches.filter(batches[batch] == n).orderBy("seq").select("x", label).toPandas()
-        if len(own) and (r := loop.step(np.array(own.x.tolist()), own[label].to_numpy())):
+    """The loop over a finished table with batch numbers, read once in order; the driver holds a batch at a time, as the state demands."""
+    rows, ordered = [], batches.select(batch, "seq", "x", label).orderBy(batch, "seq").toLocalIterator()
+    for _, own in groupby(ordered, key=lambda r: r[0]):
+        own = list(own)
+        if r := loop.step(np.array([v.x for v in own]), np.array([v[3] for v in own])):
             rows.append(r)
     return batches.sparkSession.createDataFrame(rows, RESULT)
 
 
-def start(source: DataFrame, loop: Loop, size: int, out: str, checkpoint: str, label: str = "label"):
-    """A streaming query over rows (seq, x, label): rows wait until `size` of them are there, in order of seq; one result row per batch is
-    appended to out (Parquet). A micro-batch that comes again is skipped by its id."""
-    spark = source.sparkSession
-    state = {"last": -1, "rows": []}
+def _last_state(spark, folder: str) -> tuple[int, bytes] | None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return None
+    r = spark.read.schema("data binary, micro_batch long").parquet(folder).orderBy(F.desc("micro_batch")).first()
+    return (r.micro_batch, bytes(r.data)) if r else None
+
 
-    def take(df: DataFrame, batch_id: int) -> None:
-        if batch_id <= state["last"]:
+def _forget(spark, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def start(source: DataFrame, loop: Loop, size: int, out: str, checkpoint: str, label: str = "label"):
+    """A streaming query over rows (seq, x, label): rows wait until `size` of them are there, in order of seq. Results of each micro-batch
+    are written to out/micro_batch=<its number> (Parquet), then the state to checkpoint-state; both replace what the number had."""
+    spark, folder = source.sparkSession, f"{checkpoint.rstrip('/')}-state"
+    found = _last_state(spark, folder)
+    held = {"last": found[0], "state": pickle.loads(found[1])} if found else {"last": -1, "state": (pickle.loads(pickle.dumps(loop)), [])}
+
+    def take(df: DataFrame, number: int) -> None:
+        if number <= held["last"]:
             return
-        state["rows"] += [(r.seq, r.x, r[label]) for r in df.select("seq", "x", label).orderBy("seq").collect()]
-        state["rows"].sort(key=lambda r: r[0])
+        own, rows = pickle.loads(pickle.dumps(held["state"]))
+        rows = sorted([*rows, *((r.seq, list(r.x), r[label]) for r in df.select("seq", "x", label).collect())], key=lambda r: r[0])
         results = []
-        while len(state["rows"]) >= size:
-            own, state["rows"] = state["rows"][:size], state["rows"][size:]
-            if r := loop.step(np.array([v[1] for v in own]), np.array([v[2] for v in own])):
+        while len(rows) >= size:
+            batch, rows = rows[:size], rows[size:]
+            if r := own.step(np.array([v[1] for v in batch]), np.array([v[2] for v in batch])):
                 results.append(r)
         if results:
-            spark.createDataFrame(results, RESULT).coalesce(1).write.mode("append").parquet(out)
-        state["last"] = batch_id
+            spark.createDataFrame(results, RESULT).coalesce(1).write.mode("overwrite").parquet(f"{out}/micro_batch={number}")
+        spark.createDataFrame([(bytearray(pickle.dumps((own, rows))),)], "data binary").coalesce(1).write.mode("overwrite").parquet(f"{folder}/micro_batch={number}")
+        if held["last"] >= 0:
+            _forget(spark, f"{folder}/micro_batch={held['last']}")
+        held.update(last=number, state=(own, rows))
 
     return source.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).start()
