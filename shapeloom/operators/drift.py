@@ -59,6 +59,7 @@ def mmd_rbf(x: DataFrame, y: DataFrame, gamma: float = 1.0) -> DataFrame:
             yield pd.DataFrame(got, columns=["s", "n"]).astype({"s": float, "n": "int64"})
 
     def mean_kernel(a, b, name):
+        a, b = (s.select("x", F.monotonically_increasing_id().alias("id")) for s in (a, b))  # equal rows are spread over the blocks
         return _block_pairs(a, b, "id", "x").mapInPandas(sums, "s double, n long").agg((F.sum("s") / F.sum("n")).alias(name))
 
     k = mean_kernel(x, x, "kxx").crossJoin(mean_kernel(y, y, "kyy")).crossJoin(mean_kernel(x, y, "kxy"))  # of one row each
