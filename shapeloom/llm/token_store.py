@@ -89,23 +89,25 @@ class WordTokenizer:
     """The tokenizers library over a store of words: a text is cut at white space, a new word as the library's own pre-tokenizer does,
     and each part that the store lacks is encoded by the library's model."""
 
-    def __init__(self, path: str, room: int = 96 << 20):
+    def __init__(self, path: str, room: int = 112 << 20):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.model = self.tok.model
         self.size = self.tok.get_vocab_size()
         self.code, self.kind = ("H", "<u2") if self.size <= 1 << 16 else ("I", "<u4")
-        self.parts, self.words = Recent(self._part, room // 4), Recent(self._word, 3 * room // 4)
+        self.words = Recent(self._word, room)
         self.special = re.compile("|".join(re.escape(t.content) for t in self.tok.get_added_tokens_decoder().values()) or r"(?!)").search
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # the byte alphabet: these stand for themselves, the rest follow 255
         self.alphabet = {b: b for b in shown} | {b: 256 + k for k, b in enumerate(x for x in range(256) if x not in set(shown))}
 
-    def _part(self, part: str) -> bytes:
-        return array(self.code, [t.id for t in self.model.tokenize(part.encode().decode("latin-1").translate(self.alphabet))]).tobytes()
-
     def _word(self, word: str) -> bytes:
-        return b"".join(map(self.parts.__getitem__, WORDS(word)))
+        if not (word.isascii() and word.isalpha()):  # letters a to z are one part, and stand for themselves in the byte alphabet
+            parts = WORDS(word)
+            if len(parts) != 1:
+                return b"".join(map(self.words.__getitem__, parts))
+            word = word.encode().decode("latin-1").translate(self.alphabet)
+        return array(self.code, [t.id for t in self.model.tokenize(word)]).tobytes()
 
     def _plain(self, text: str) -> bool:
         if text.isascii():
@@ -204,7 +206,7 @@ def read_tokens(manifest: DataFrame, id_type: T.DataType = T.LongType()) -> Data
     A document's start counts the ids of all files and documents before it. An empty manifest gives an empty result."""
     before = F.coalesce(F.sum("tokens").over(Window.orderBy("shard", "no").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     files = materialize(manifest.select("uri", before.alias("base")), "token-bases")  # a row per file
-    files = files.repartition(max(1, min(files.count(), 100_000)), "uri")
+    files = files.repartition(max(1, min(files.count() // 4, 100_000)), "uri")
     out = T.StructType([T.StructField("_id", id_type), T.StructField("_start", T.LongType()), T.StructField("_n_tokens", T.LongType()), T.StructField("_ids_crc32", T.LongType())])
     own_type = arrow_type(id_type)
 
