@@ -60,8 +60,12 @@ def _mixed(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights
     base = base if whole else materialize(base, "mix-sizes")  # whole rows are read twice rather than written once more
     totals = materialize(base.groupBy("_null", "_src", "_cell").agg(F.sum("_size").alias("_size")), "mix-cells")
     sources = materialize(source_targets(totals, weights, cap), "mix-sources")
-    ahead = Window.partitionBy("_null", "_src").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-    bases = totals.withColumn("_base", F.coalesce(F.sum("_size").over(ahead), F.lit(0))).drop("_size").join(sources, ["_null", "_src"])
+    # sums before a cell in two steps, so that no window over a source has more than 2**(CELL_BITS / 2) rows
+    totals = totals.withColumn("_part", F.shiftright("_cell", CELL_BITS // 2))
+    before = lambda w, o: F.coalesce(F.sum("_size").over(w.orderBy(o).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = totals.groupBy("_null", "_src", "_part").agg(F.sum("_size").alias("_size")).withColumn("_ahead", before(Window.partitionBy("_null", "_src"), "_part")).drop("_size")
+    inside = before(Window.partitionBy("_null", "_src", "_part"), "_cell")
+    bases = totals.withColumn("_in", inside).join(parts, ["_null", "_src", "_part"]).withColumn("_base", F.col("_ahead") + F.col("_in")).drop("_size", "_in", "_ahead", "_part").join(sources, ["_null", "_src"])
     inside = Window.partitionBy("_null", "_src", "_cell").orderBy("_h", "_id", "_size").rowsBetween(Window.unboundedPreceding, -1)
     rows = base.withColumn("_local", F.coalesce(F.sum("_size").over(inside), F.lit(0))).join(bases, ["_null", "_src", "_cell"])
     mid = F.col("_base") + F.col("_local") + F.col("_size") / 2
