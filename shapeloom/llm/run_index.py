@@ -4,7 +4,7 @@ Every string of `length` bytes is sent to where its copies are by its minimizer:
 Neighbouring strings with one minimizer occurrence travel together as a segment. Steps, each over the whole corpus:
 
 1. find segments; by minimizer, keep those whose minimizer occurs again;
-2. cut the kept segments out of the texts; equal ones are found exactly, and all but the first are repeats;
+2. cut the kept segments out of the texts; equal ones are merged before and after they travel, and all but the first are repeats;
 3. of a minimizer's different segments, build a run-compressed Burrows-Wheeler transform with the suffix positions at its run
    ends, stream the matching statistics off these samples (within a run they follow from the position before), and link
    every string of `length` bytes with the suffix before it if they match that far; all but the first of a class are repeats;
@@ -26,7 +26,7 @@ LENGTH = 100
 KMER = 24
 #: Bytes of text a bucket of documents or of minimizers holds, about; there are as many buckets as the corpus needs.
 BUCKET_BYTES = 8 << 20
-#: Symbols in one index. A minimizer whose different segments hold more is split by whole strings instead.
+#: Symbols in one index. A minimizer whose segments hold more takes several (repeated_in_parts).
 INDEX_SYMBOLS = 1 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -36,7 +36,7 @@ _SPAN = np.dtype([("doc", "<i8"), ("key", "<i8"), ("start", "<u4"), ("end", "<u4
 
 
 class RunLengthIndex:
-    """Run-compressed BWT of an array of symbols (0 separates), with samples at the run ends.
+    """Run-compressed BWT of an array of symbols (0 separates, and no 0 is equal to another), with samples at the run ends.
 
     heads: text positions of the suffixes that begin a run, ascending; before: the position of the suffix sorted just before each (the
     end of the run before); match: how far the two agree."""
@@ -45,7 +45,7 @@ class RunLengthIndex:
         n = self.n = len(text)
         order = suffix_array(text)
         prior = np.where(order > 0, text[order - 1].astype(np.int32), -1)  # the transform; -1 at the whole text
-        starts = np.flatnonzero(np.r_[True, prior[1:] != prior[:-1]]) if n else np.zeros(0, dtype=np.int64)
+        starts = np.flatnonzero(np.r_[True, (prior[1:] != prior[:-1]) | (prior[1:] == 0)]) if n else np.zeros(0, dtype=np.int64)
         self.symbols, self.lengths = prior[starts], np.diff(np.r_[starts, n])
         head = order[starts]
         prev = np.where(starts > 0, order[np.maximum(starts - 1, 0)], -1)
@@ -63,41 +63,57 @@ class RunLengthIndex:
 
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
-    """By prefix doubling from seven symbols below 512 packed in a word, until all suffixes differ."""
+    """Of symbols below 511, where 0 separates: each 0 is a symbol of its own, in order of place and below all others. Sorted by seven
+    symbols packed in a word, then by prefix doubling within the suffixes that still are equal."""
     n = len(text)
-    if n == 0:
-        return np.zeros(0, dtype=np.int64)
     wide = np.zeros(n + 7, dtype=np.uint64)
     wide[:n] = text.astype(np.uint64) + np.uint64(1)
-    key = np.zeros(n, dtype=np.uint64)
+    key, whole = np.zeros(n, dtype=np.uint64), np.ones(n, dtype=bool)
     for k in range(7):
-        key = key << np.uint64(9) | wide[k : n + k]
-    size = 7
-    while True:
-        order = np.argsort(key)
-        key = key[order]
-        new = np.r_[False, key[1:] != key[:-1]]
-        rank = np.empty(n, dtype=np.uint64)
-        rank[order] = np.cumsum(new).astype(np.uint64) + np.uint64(1)
-        if new.sum() == n - 1:
-            return order
-        key = rank * np.uint64(n + 1)
-        key[: max(n - size, 0)] += rank[size:]
-        size *= 2
-
-
-def common_prefix(text: np.ndarray, a: np.ndarray, b: np.ndarray, most: int = 1 << 10) -> np.ndarray:
-    """Length of the match at each pair of positions, `most` at most (b < 0: none)."""
-    n = len(text)
+        symbol = wide[k : n + k]
+        key = key << np.uint64(9) | np.where(whole, symbol, np.uint64(0))
+        whole &= symbol != 1
+    order = np.argsort(key)
+    key_of = key[order]
+    start = np.flatnonzero(np.r_[True, key_of[1:] != key_of[:-1]][:n])
+    size = np.diff(np.r_[start, n])
+    rank = np.empty(n, dtype=np.int64)  # the place of the first suffix that is equal so far
+    rank[order] = np.repeat(start, size)
+    cut = np.flatnonzero(~whole)  # what has a separator is equal to nothing: it takes its place by order in the text
+    by = cut[np.argsort(rank[cut], kind="stable")]
+    edge = np.r_[True, rank[by][1:] != rank[by][:-1]][: len(by)]
+    rank[by] += np.arange(len(by)) - np.flatnonzero(edge)[np.cumsum(edge) - 1] if len(by) else 0
+    tied = np.zeros(n, dtype=bool)
+    tied[order] = np.repeat(size > 1, size)
+    tied[cut] = False
+    live, reach = np.flatnonzero(tied), 7
+    while len(live):
+        ahead = live + reach
+        key = rank[live] * (n + 1) + np.where(ahead < n, rank[np.minimum(ahead, n - 1)] + 1, 0)
+        by = np.argsort(key)
+        live, key, base = live[by], key[by], rank[live[by]]
+        here = np.arange(len(live))
+        first = np.maximum.accumulate(np.where(np.r_[True, base[1:] != base[:-1]], here, 0))
+        new = np.r_[True, key[1:] != key[:-1]]
+        rank[live] = base + np.maximum.accumulate(np.where(new, here, 0)) - first
+        live = live[~(new & np.r_[new[1:], True])]
+        reach *= 2
+    order[rank] = np.arange(n)
+    return order
+
+
+def common_prefix(text: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Length of the match at each pair of different positions (b < 0: none); a separator matches nothing."""
+    n, step = len(text), 16
     out, live = np.zeros(len(a), dtype=np.int64), np.flatnonzero(b >= 0)
-    step = 16
-    padded = np.r_[text.astype(np.int32), np.full(step, -1)]
-    while len(live) and out[live[0]] < most:
+    one = np.r_[text.astype(np.int32), np.full(step, -1)]
+    one[one == 0] = -1
+    other = np.where(one < 0, -2, one)
+    while len(live):
         x, y = a[live] + out[live], b[live] + out[live]
         fits = (x < n) & (y < n)
         live, x, y = live[fits], x[fits], y[fits]
-        same = padded[x[:, None] + np.arange(step)] == padded[y[:, None] + np.arange(step)]
-        same &= padded[x[:, None] + np.arange(step)] >= 0
+        same = one[x[:, None] + np.arange(step)] == other[y[:, None] + np.arange(step)]
         run = np.where(same.all(axis=1), step, same.argmin(axis=1))
         out[live] += run
         live = live[run == step]
@@ -115,7 +131,7 @@ def repeated_strings(segments: list[bytes], counts: np.ndarray, length: int) ->
     text[where] = body.astype(np.uint16) + 1
     before, match = RunLengthIndex(text).matching_statistics()
     up = np.where(match >= length, before, np.arange(len(text)))
-    while True:  # to the first suffix of each class; no string with a separator is in one with a string within a segment
+    while True:  # to the first suffix of each class
         top = up[up]
         if np.array_equal(top, up):
             break
@@ -132,22 +148,61 @@ def repeated_strings(segments: list[bytes], counts: np.ndarray, length: int) ->
     return [late[b : b + c] for b, c in zip(begin, counts)]
 
 
-def repeated_in_large(segments: list[bytes], counts: np.ndarray, length: int) -> list[np.ndarray]:
-    """The same for any amount of segments, string by string."""
-    seen: set[bytes] = set()
-    out = []
-    for s, c in zip(segments, counts):
-        late = np.zeros(c, dtype=bool)
-        for k in range(c):
-            h = hashlib.blake2b(s[k : k + length], digest_size=16).digest()
-            late[k] = h in seen
-            seen.add(h)
-        out.append(late)
-    return out
-
-
-def find_segments(raw: bytes, length: int = LENGTH, kmer: int = KMER) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of bytes: minimizer hash, first start and number of the strings of each segment. Documents are cut apart by the caller."""
+def repeated_in_parts(segments: list[bytes], counts: np.ndarray, length: int, kmer: int = KMER, most: int = INDEX_SYMBOLS, level: int = 1) -> list[np.ndarray]:
+    """The same for any amount of segments of one minimizer, with indexes of about `most` symbols. One index for each stretch of segments
+    leaves the strings that are first there; those are cut by another minimizer, from level 5 on string by string, and each group of
+    them, which holds all copies of its strings, is indexed in turn, or cut again while it is too large."""
+    late: list[np.ndarray] = []
+    most = max(most, 16 * length)  # a stretch holds some strings, so that of copies of one only few are left
+    stretch = np.cumsum([len(s) + 1 for s in segments]) // (most // 2)
+    edge = np.flatnonzero(np.r_[True, stretch[1:] != stretch[:-1]]).tolist()
+    for a, z in zip(edge, [*edge[1:], len(segments)]):
+        late += repeated_strings(segments[a:z], counts[a:z], length)
+    if len(edge) == 1:
+        return late
+    groups: dict[int, list[tuple[int, int, int]]] = {}
+    for k, hit in enumerate(late):
+        for a, z in _runs(~hit):
+            body = segments[k][a : z + length - 1]
+            if level < 5:
+                h, start, n = find_segments(body, length, kmer, level)
+                cuts = zip(h.tolist(), start.tolist(), n.tolist())
+            else:
+                salt = level.to_bytes(8, "little")
+                cuts = ((int.from_bytes(hashlib.blake2b(body[i : i + length], digest_size=8, salt=salt).digest(), "little") % (4 * len(edge)), i, 1) for i in range(z - a))
+            for h, start, n in cuts:
+                groups.setdefault(h, []).append((k, a + start, n))
+
+    def decide(group, how, *more):
+        bodies = [segments[k][a : a + n + length - 1] for k, a, n in group]
+        for (k, a, n), hit in zip(group, how(bodies, np.array([n for _, _, n in group], dtype=np.int64), length, *more)):
+            late[k][a : a + n] |= hit
+
+    batch, size = [], 0
+    for group in groups.values():
+        own = sum(n + length for _, _, n in group)
+        if len(group) < 2:
+            continue
+        if own > most:
+            decide(group, repeated_in_parts, kmer, most, level + 1)
+            continue
+        if size + own > most:
+            decide(batch, repeated_strings)
+            batch, size = [], 0
+        batch, size = batch + group, size + own
+    if batch:
+        decide(batch, repeated_strings)
+    return late
+
+
+def _runs(on: np.ndarray) -> list[tuple[int, int]]:
+    step = np.diff(np.r_[0, on.astype(np.int8), 0])
+    return list(zip(np.flatnonzero(step == 1).tolist(), np.flatnonzero(step == -1).tolist()))
+
+
+def find_segments(raw: bytes, length: int = LENGTH, kmer: int = KMER, salt: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of bytes: minimizer hash, first start and number of the strings of each segment. Documents are cut apart by the caller; each salt
+    has minimizers of its own."""
     buf = np.frombuffer(raw, dtype=np.uint8)
     n, w = len(buf), length - kmer + 1
     if n < length:
@@ -156,6 +211,7 @@ def find_segments(raw: bytes, length: int = LENGTH, kmer: int = KMER) -> tuple[n
     run = np.zeros(n + 1, dtype=np.uint64)
     np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * power[:n], out=run[1:])
     h = (run[kmer:] - run[:-kmer]) * back[: n - kmer + 1]
+    h += np.uint64(salt * int(_BASE) & (1 << 64) - 1)
     h ^= h >> np.uint64(31)
     h *= np.uint64(0xBF58476D1CE4E5B9)
     h ^= h >> np.uint64(29)
@@ -284,7 +340,6 @@ def repeated_spans(keyed: DataFrame, buckets: int, length: int = LENGTH, kmer: i
     third = pa.schema([("b", pa.int32()), ("anchors", pa.binary()), ("places", pa.binary()), ("bodies", pa.binary())])
 
     def index(batches):
-        first_of: dict[bytes, int] = {}
         places, anchors, bodies, late = [np.zeros(0, dtype=_PLACE)], [np.zeros(0, dtype=np.uint64)], [], [np.zeros(0, dtype=_PLACE)]
         for b in batches:
             for h, p, body in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist()):
@@ -297,27 +352,28 @@ def repeated_spans(keyed: DataFrame, buckets: int, length: int = LENGTH, kmer: i
                 ends = np.cumsum(p["n"].astype(np.int64) + length - 1)
                 bodies += [body[a:z] for a, z in zip([0, *ends[:-1].tolist()], ends.tolist())]
         place, anchor = np.concatenate(places), np.concatenate(anchors)
+        first_of: set[bytes] = set()
         keep = np.zeros(len(place), dtype=bool)
         for i in np.lexsort((place["start"], place["key"], place["doc"])).tolist():
-            if first_of.setdefault(bodies[i], i) == i:
+            if bodies[i] not in first_of:
+                first_of.add(bodies[i])
                 keep[i] = True
         late = np.concatenate([*late, place[~keep]])
         spans = np.zeros(len(late), dtype=_SPAN)
         spans["doc"], spans["key"], spans["start"], spans["end"] = late["doc"], late["key"], late["start"], late["start"] + late["n"] + np.uint32(length - 1)
         found = [spans]
-        left = np.flatnonzero(keep)
-        left = left[np.argsort(anchor[left], kind="stable")]
+        left = np.lexsort((place["start"], place["key"], place["doc"], anchor))
+        left = left[keep[left]]
         edge = np.flatnonzero(np.r_[True, anchor[left][1:] != anchor[left][:-1]]) if len(left) else []
         batch, size = [], 0
 
-        def flush(how):
+        def flush(how, *more):
             some = np.concatenate(batch)
-            some = some[np.lexsort((place["start"][some], place["key"][some], place["doc"][some]))]
-            for i, hit in zip(some.tolist(), how([bodies[j] for j in some.tolist()], place["n"][some].astype(np.int64), length)):
-                on = np.diff(np.r_[0, hit.astype(np.int8), 0])
-                a, z = np.flatnonzero(on == 1), np.flatnonzero(on == -1)
-                if len(a):
-                    s = np.zeros(len(a), dtype=_SPAN)
+            for i, hit in zip(some.tolist(), how([bodies[j] for j in some.tolist()], place["n"][some].astype(np.int64), length, *more)):
+                runs = _runs(hit)
+                if runs:
+                    s = np.zeros(len(runs), dtype=_SPAN)
+                    a, z = np.array(runs).T
                     s["doc"], s["key"], s["start"], s["end"] = place["doc"][i], place["key"][i], place["start"][i] + a, place["start"][i] + z + length - 1
                     found.append(s)
 
@@ -328,7 +384,7 @@ def repeated_spans(keyed: DataFrame, buckets: int, length: int = LENGTH, kmer: i
             own = sum(len(bodies[j]) + 1 for j in group.tolist())
             if own > index_symbols:
                 kept_batch, batch = batch, [group]
-                flush(repeated_in_large)
+                flush(repeated_in_parts, kmer, index_symbols)
                 batch = kept_batch
                 continue
             if size + own > index_symbols:

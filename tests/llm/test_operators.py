@@ -319,6 +319,35 @@ def test_repeats(spark, empty, symbols):
     assert sorted(tuple(r)[:5] for r in twice.collect()) == sorted((k, *w) for k, w in enumerate(want) for _ in range(2))
 
 
+def test_repeats_of_a_hundred_bytes(spark):
+    rng = random.Random(2)
+    passages = ["".join(rng.choice("abcdefgh ") for _ in range(rng.randint(90, 400))) for _ in range(12)]
+    data = [" ".join(rng.choice(passages) if rng.random() < 0.5 else "".join(rng.choice("ijklmn") for _ in range(rng.randint(1, 150))) for _ in range(rng.randint(1, 8))) for _ in range(120)]
+    data += [data[3], data[4][:99], data[4][:100], "ab" * 700, None]
+    df = spark.createDataFrame(list(enumerate(data)), "doc_id long, text string").repartition(4)
+    want = plain_repeats([(t or "").encode() for t in data], 100)
+    for symbols in (1 << 20, 2_000):
+        got = by_id(run_index.remove_repeats(df, bucket_bytes=4_000, index_symbols=symbols))
+        assert [tuple(got[k])[1:5] for k in range(len(data))] == want
+
+
+@pytest.mark.parametrize("most", [30, 100, 200, 1 << 20])
+def test_repeats_in_parts(most):
+    rng = random.Random(most)
+    for _ in range(40):
+        length = rng.choice([3, 5, 12])
+        some = [bytes(rng.choice(b"ab") for _ in range(rng.randint(length, 40))) for _ in range(5)]
+        some = [rng.choice(some) if rng.random() < 0.6 else bytes(rng.choice(b"abc\x00\xff") for _ in range(rng.randint(length, 40))) for _ in range(rng.randint(1, 40))]
+        strings = [[s[k : k + length] for k in range(len(s) - length + 1)] for s in some]
+        kept = [k for k, t in enumerate(strings) if len(set(t)) == len(t)]  # no string is twice in a segment
+        seen, want = set(), []
+        for k in kept:
+            want.append([t in seen for t in strings[k]])
+            seen.update(strings[k])
+        got = run_index.repeated_in_parts([some[k] for k in kept], np.array([len(strings[k]) for k in kept], dtype=np.int64), length, max(2, length - 4), most)
+        assert [hit.tolist() for hit in got] == want
+
+
 def test_run_length_index_is_the_transform():
     text = np.frombuffer(b"banana_bandana_banana", dtype=np.uint8).astype(np.uint16)
     order = sorted(range(len(text)), key=lambda i: bytes(text[i:].astype(np.uint8)))
@@ -327,6 +356,9 @@ def test_run_length_index_is_the_transform():
     for a, b in zip(order, order[1:]):
         n = next((k for k in range(len(text)) if max(a, b) + k >= len(text) or text[a + k] != text[b + k]), 0)
         assert (before[b], match[b]) == (a, n)
+    cut = np.array([5, 3, 0, 5, 3, 0, 5, 3, 0, 0], dtype=np.uint16)  # each separator differs from the others, in order of place
+    assert run_index.suffix_array(cut).tolist() == [2, 5, 8, 9, 1, 4, 7, 0, 3, 6]
+    assert run_index.RunLengthIndex(cut).matching_statistics()[1].tolist() == [0, 0, 0, 2, 1, 0, 2, 1, 0, 0]
 
 
 def test_exact(spark, rows, docs, empty):
