@@ -1,7 +1,7 @@
 """Dictionary learning: alternating sparse coding and dictionary steps, one fit per label in parallel.
 
-A label's series are one group, as the stopping test needs all of them; on request `most_series` bounds the group by a hash of the id.
-encode() then codes every series, in Arrow batches, with the learned dictionary.
+Given the atoms, series don't depend on each other, and the dictionary step and the stopping test need only sums over series. So a label
+of any size is learned in passes over its series, a small one in one task; learn() is the fit on arrays for the online loop. encode() then codes every series, in Arrow batches, with the learned dictionary.
 """
 
 from __future__ import annotations
@@ -113,20 +113,195 @@ def learn(x: np.ndarray, k: int, q: int, lam: float = 0.1, c: float = 100.0, eps
     return Fit(s, a, off, trace)
 
 
-def learn_dictionaries(rows: DataFrame, k: int = 5, lam: float = 0.1, share: float = 0.5, signed: bool = False, seed: int = 0, most: int = 1000, most_series: int | None = None, **how) -> DataFrame:
-    """label, shapelet_id, s, iterations, objective: one dictionary per label; rows: vec_id, label, x. Labels are fitted in parallel.
+def lagged_sums(x, a, off, q: int) -> np.ndarray:
+    """All that the dictionary step and the objective need of some series, as one vector that adds up over series: per atom the windows at
+    its offsets weighted by its coefficients; per pair of atoms the products of coefficients by the lag of offsets, where they overlap;
+    the squares of the values; the absolute coefficients."""
+    n, k = a.shape
+    rows, span = np.arange(n), np.arange(q)
+    at = np.stack([a[:, j] @ x[rows[:, None], off[:, j : j + 1] + span] for j in range(k)])
+    lags = np.zeros((k, k, 2 * q - 1))
+    for i in range(k):
+        for j in range(k):
+            lag, weight = off[:, j] - off[:, i], a[:, i] * a[:, j]
+            near = (np.abs(lag) < q) & (weight != 0)
+            lags[i, j] = np.bincount(lag[near] + q - 1, weight[near], 2 * q - 1)
+    return np.concatenate([at.ravel(), lags.ravel(), [float((x**2).sum()), float(np.abs(a).sum())]])
 
-    Every series counts unless most_series bounds them."""
-    few = rows
-    if most_series is not None:
-        few = rows.withColumn("_r", F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64("vec_id", F.lit(seed)), "vec_id"))).filter(F.col("_r") <= most_series)
+
+def _parted(sums: np.ndarray, k: int, q: int):
+    return sums[: k * q].reshape(k, q), sums[k * q : -2].reshape(k, k, 2 * q - 1), sums[-2], sums[-1]
+
+
+def update_by_sums(s, sums, c: float = 100.0, sweeps: int = 5, from_zero: bool = False):
+    """update(), from the sums of all series instead of the series."""
+    s, (kk, q) = s.copy(), s.shape
+    at, lags, _, _ = _parted(sums, kk, q)
+    for _ in range(sweeps):
+        for k in range(kk):
+            n2 = lags[k, k, q - 1]
+            if n2 == 0:
+                continue
+            others = sum((np.convolve(lags[k, j], s[j])[q - 1 : 2 * q - 1] for j in range(kk) if j != k), np.zeros(q))
+            new = (np.zeros(q) if from_zero else s[k]) + at[k] - others
+            norm = float(np.linalg.norm(new))
+            s[k] = new * (math.sqrt(c) / norm) if norm and n2 <= norm / math.sqrt(c) else new / n2
+    return s
+
+
+def objective_by_sums(s, sums, lam: float) -> float:
+    kk, q = s.shape
+    at, lags, squares, l1 = _parted(sums, kk, q)
+    both = sum(float(s[k] @ np.convolve(lags[k, j], s[j])[q - 1 : 2 * q - 1]) for k in range(kk) for j in range(kk))
+    return float(0.5 * (squares - 2 * (at * s).sum() + both) + lam * l1)
+
+
+def _still(trace: list[float], eps: float) -> bool:
+    return len(trace) > 1 and (trace[-2] == 0 or abs(trace[-2] - trace[-1]) / abs(trace[-2]) < eps)
+
+
+#: Values (series times points) of a label up to which one task learns its dictionary; a larger label is learned in passes over all tasks.
+GROUP_VALUES = 1 << 22
+
+
+def _uniform(seed: int, *key):
+    return (F.pmod(F.xxhash64("vec_id", F.lit(seed), *key), F.lit(1 << 40)) + 0.5) / float(1 << 40)
+
+
+def _drawn(rows: DataFrame, k: int, share: float, signed: bool, seed: int) -> DataFrame:
+    """rows with first codes a and offsets off, drawn by hash of the id, so that neither order nor partitions matter."""
+    each, last = F.sequence(F.lit(1), F.lit(k)), F.size("x") - F.ceil(F.size("x") * F.lit(float(share))) + 1
+    if signed:
+        a = F.transform(each, lambda i: F.sqrt(-2 * F.log(_uniform(seed, F.lit(1), i))) * F.cos(2 * math.pi * _uniform(seed, F.lit(2), i)))
+    else:
+        a = F.transform(each, lambda i: _uniform(seed, F.lit(1), i))
+    off = F.transform(each, lambda i: F.floor(_uniform(seed, F.lit(3), i) * last))
+    return rows.select("label", "x", a.alias("a"), off.alias("off"))
+
+
+def _first_atoms(rows: DataFrame, k: int, share: float, seed: int, init: str) -> dict:
+    """Label to its first atoms: chunks of the k series that come first by hash of the id (again from the first, of fewer), or normal draws."""
+    if init not in ("chunks", "svd", "gauss"):
+        raise ValueError(f"unknown start {init!r}: use chunks, svd or gauss")
+    order = Window.partitionBy("label").orderBy(F.xxhash64("vec_id", F.lit(seed), F.lit("atoms")), "vec_id", "x")
+    few = rows.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= k).withColumn("_u", _uniform(seed, F.lit("place")))
+    found: dict = {}
+    for r in sorted(few.collect(), key=lambda r: r["_r"]):
+        found.setdefault(r["label"], []).append((np.array(r["x"], dtype=float), r["_u"]))
+    atoms = {}
+    for label, got in found.items():
+        p = len(got[0][0])
+        q = math.ceil(p * share)
+        if init == "gauss":
+            atoms[label] = np.random.default_rng(seed).standard_normal((k, q))
+            continue
+        places = max(1, p - q + (init == "chunks"))  # the rank-one start never takes the last place
+        chunks = [got[j % len(got)] for j in range(k)]
+        s = np.stack([x[t : t + q] for x, t in ((x, int((u + j / k) % 1 * places)) for j, (x, u) in enumerate(chunks))])
+        atoms[label] = s * np.where(s[:, :1] < 0, -1.0, 1.0) if init == "svd" else s  # the best rank-one form of a chunk is the chunk, up to its sign
+    return atoms
+
+
+def _arrays(g: pd.DataFrame):
+    return np.array(g.x.tolist(), dtype=float), np.array(g.a.tolist(), dtype=float), np.array(g.off.tolist(), dtype=np.int64)
+
+
+_FIT = "label string, shapelet_id long, s array<double>, iterations long, objective double"
+
+
+def _nones(n: int) -> pd.Series:
+    return pd.Series([None] * n, dtype=object)
+
+
+def _fitted(label, s, trace) -> pd.DataFrame:
+    return pd.DataFrame({"label": label, "shapelet_id": range(len(s)), "s": list(s), "iterations": len(trace), "objective": trace[-1] if trace else None})
+
+
+def _in_passes(state: DataFrame, atoms: dict, how: dict) -> dict:
+    """Label to (atoms, objectives by iteration). Each iteration is one pass: every task codes its series, writes them with their codes
+    for the next one, and beside them its sums by label; only sums are shuffled."""
+    spark, folder, done, traces = state.sparkSession, None, {}, {c: [] for c in atoms}
+    from .tables import remove, shared_folder
+
+    kind, added = "label string, x array<double>, a array<double>, off array<long>, sums array<double>", "label string, sums array<double>"
+
+    def total(g: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"label": [g.label.iloc[0]], "sums": [np.sum(np.stack(g.sums.tolist()), axis=0)]})
+
+    try:
+        for turn in range(how["most"]):
+            now = dict(atoms)
+
+            def run(frames, now=now, turn=turn):
+                sums: dict = {}
+                for f in frames:
+                    for label, g in f.groupby("label", dropna=False, sort=False):
+                        label = None if pd.isna(label) else label
+                        if label not in now:
+                            continue
+                        x, a, off = _arrays(g)
+                        a, off = code(x, now[label], a, off, how["lam"], how["inner"], -1.0, how["signed"], np.random.default_rng([how["seed"], turn]))
+                        sums[label] = sums.get(label, 0) + lagged_sums(x, a, off, now[label].shape[1])
+                        yield pd.DataFrame({"label": label, "x": list(x), "a": list(a), "off": list(off), "sums": _nones(len(x))})
+                for label, v in sums.items():
+                    yield pd.DataFrame({"label": [label], "x": _nones(1), "a": _nones(1), "off": _nones(1), "sums": [v]})
+
+            last, folder = folder, shared_folder(spark, "learn")
+            state.mapInPandas(run, kind).write.parquet(folder)
+            written = spark.read.schema(kind).parquet(folder)
+            if last:
+                remove(spark, last)
+            state = written.filter("x is not null").select("label", "x", "a", "off")
+            parts = written.filter("sums is not null").select("label", "sums", F.pmod(F.spark_partition_id(), F.lit(64)).alias("_k"))
+            for r in parts.groupBy("label", "_k").applyInPandas(total, added).groupBy("label").applyInPandas(total, added).collect():
+                c, sums = r["label"], np.array(r["sums"])
+                atoms[c] = update_by_sums(atoms[c], sums, how["c"], how["inner"], how["from_zero"])
+                traces[c].append(objective_by_sums(atoms[c], sums, how["lam"]))
+                if _still(traces[c], how["eps"]):
+                    done[c] = atoms.pop(c)
+            if not atoms:
+                break
+    finally:
+        if folder:
+            remove(spark, folder)
+    return {c: (s, traces[c]) for c, s in {**done, **atoms}.items()}
+
+
+def learn_dictionaries(
+    rows: DataFrame, k: int = 5, lam: float = 0.1, share: float = 0.5, signed: bool = False, seed: int = 0, most: int = 1000,
+    c: float = 100.0, eps: float = 1e-5, inner: int = 5, init: str = "chunks", from_zero: bool = False, pooled: bool = False, group_values: int = GROUP_VALUES,
+) -> DataFrame:
+    """label, shapelet_id, s, iterations, objective: one dictionary per label, or one of all rows if pooled (its label is null).
+
+    rows: vec_id, label, x; a label's x are of one length, and rows without x count for nothing. Every series counts. A label of at most
+    group_values values is learned in one task, a larger one in passes over all tasks; both ways draw and compute the same, up to the order of
+    sums. An empty table gives an empty result."""
+    label = F.lit(None).cast("string") if pooled else F.col("label").cast("string")
+    rows = rows.filter("x is not null").select("vec_id", label.alias("label"), F.col("x").cast("array<double>").alias("x"))
+    how = {"lam": lam, "c": c, "eps": eps, "most": most, "inner": inner, "signed": signed, "seed": seed, "from_zero": from_zero}
+    large = [r["label"] for r in rows.groupBy("label").agg(F.sum(F.size("x")).alias("v")).filter(F.col("v") > group_values).collect()]
+    first, state = _first_atoms(rows, k, share, seed, init), _drawn(rows, k, share, signed, seed)
+    is_large = F.array_contains(F.array(*[F.lit(v) for v in large if v is not None]).cast("array<string>"), F.col("label"))
+    is_large = F.when(F.col("label").isNull(), F.lit(None in large)).otherwise(is_large)
 
     def fit(g: pd.DataFrame) -> pd.DataFrame:
-        x = np.array(g.sort_values("vec_id").x.tolist(), dtype=float)
-        f = learn(x, k, math.ceil(x.shape[1] * share), lam, signed=signed, seed=seed, most=most, **how)
-        return pd.DataFrame({"label": g.label.iloc[0], "shapelet_id": range(k), "s": list(f.s), "iterations": len(f.trace) - 1, "objective": f.trace[-1]})
+        name = None if pd.isna(g.label.iloc[0]) else g.label.iloc[0]
+        (x, a, off), s, trace = _arrays(g), first[name], []
+        for turn in range(most):
+            a, off = code(x, s, a, off, lam, inner, -1.0, signed, np.random.default_rng([seed, turn]))
+            sums = lagged_sums(x, a, off, s.shape[1])
+            s = update_by_sums(s, sums, c, inner, from_zero)
+            trace.append(objective_by_sums(s, sums, lam))
+            if _still(trace, eps):
+                break
+        return _fitted(name, s, trace)
 
-    return few.select("vec_id", "label", "x").groupBy("label").applyInPandas(fit, "label string, shapelet_id long, s array<double>, iterations long, objective double")
+    small = state.filter(~is_large).groupBy("label").applyInPandas(fit, _FIT)
+    if not large:
+        return small
+    got = _in_passes(state.filter(is_large), {v: first[v] for v in large}, how)
+    found = [(v, j, row.tolist(), len(t), t[-1] if t else None) for v, (s, t) in got.items() for j, row in enumerate(s)]
+    return small.unionByName(rows.sparkSession.createDataFrame(found, _FIT))
 
 
 def learn_grid(rows: DataFrame, grid: list[tuple[int, float, float]], **how) -> DataFrame:
