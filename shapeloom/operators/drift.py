@@ -25,6 +25,68 @@ def threshold_drift(errors: DataFrame, factor: float = 1.3) -> DataFrame:
     return errors.select("batch_num", "error").groupBy().applyInPandas(walk, "batch_num long, error double, drift_detected boolean")
 
 
+class AdaptiveWindow:
+    """ADWIN as published: a window of values that drops its older part when two parts' means differ by more than chance (delta) allows.
+
+    Values are held as buckets of 2^k of them, at most `most` a size, so n values take memory and time of about log n each."""
+
+    def __init__(self, delta: float = 0.002, most: int = 5):
+        self.delta, self.most, self.rows = delta, most, [[]]  # rows[k]: (sum, sum of squares) of buckets of 2^k values, oldest first
+
+    def _whole(self):
+        return [(float(1 << k), s, s2) for k in reversed(range(len(self.rows))) for s, s2 in self.rows[k]]  # oldest first
+
+    @property
+    def width(self) -> int:
+        return sum(len(r) << k for k, r in enumerate(self.rows))
+
+    @property
+    def mean(self) -> float:
+        return sum(s for _, s, _ in self._whole()) / self.width
+
+    def _add(self, value: float) -> None:
+        self.rows[0].append((value, value * value))
+        for k in range(len(self.rows)):
+            if len(self.rows[k]) > self.most:
+                (a, a2), (b, b2) = self.rows[k].pop(0), self.rows[k].pop(0)
+                if k + 1 == len(self.rows):
+                    self.rows.append([])
+                self.rows[k + 1].append((a + b, a2 + b2))
+
+    def _cut(self) -> bool:
+        """Whether some split shows a change."""
+        n, s, s2 = np.array(self._whole()).T
+        if len(n) < 2:
+            return False
+        whole, left, total = n.sum(), n.cumsum()[:-1], s.cumsum()[:-1]
+        right, variance = whole - left, max(s2.sum() / whole - (s.sum() / whole) ** 2, 0.0)
+        m, log = 1 / (1 / left + 1 / right), np.log(2 * np.log(max(whole, 3.0)) / self.delta)
+        return bool((np.abs(total / left - (s.sum() - total) / right) > np.sqrt(2 / m * variance * log) + 2 / (3 * m) * log).any())
+
+    def update(self, value: float) -> bool:
+        """Take a value; whether older ones were dropped."""
+        self._add(float(value))
+        found = False
+        while self._cut():
+            found = True
+            self.rows[-1].pop(0)
+            while len(self.rows) > 1 and not self.rows[-1]:
+                self.rows.pop()
+        return found
+
+
+def adaptive_drift(errors: DataFrame, delta: float = 0.002) -> DataFrame:
+    """drift_detected and the window's width and mean by batch, in order; as threshold_drift, one pass over a row for each batch."""
+
+    def walk(g: pd.DataFrame) -> pd.DataFrame:
+        g, w = g.sort_values("batch_num"), AdaptiveWindow(delta)
+        got = [(w.update(e), w.width, w.mean) for e in g.error]
+        return g.assign(drift_detected=[v[0] for v in got], width=[v[1] for v in got], mean=[v[2] for v in got])
+
+    kind = "batch_num long, error double, drift_detected boolean, width long, mean double"
+    return errors.select("batch_num", "error").groupBy().applyInPandas(walk, kind)
+
+
 def scheduled_drift(batches: DataFrame) -> DataFrame:
     """Every odd batch."""
     return batches.withColumn("drift_detected", F.col("batch_num") % 2 != 0)

@@ -35,6 +35,38 @@ def features(rows, dictionary, kind: str = "distance"):
     raise ValueError(f"unknown features {kind!r}: use raw, distance or codes")
 
 
+def shapelet_pipeline(dictionary, name: str = "mlp", kind: str = "distance", classes: int = 2, label: str = "label"):
+    """An ML pipeline over vec_id, label, x: features of a dictionary, label index, classifier."""
+    from pyspark.ml import Pipeline, Transformer
+    from pyspark.ml.feature import StringIndexer
+    from pyspark.ml.functions import array_to_vector
+
+    class ShapeletFeatures(Transformer):
+        """vector: features() as a vector."""
+
+        def _transform(self, dataset):
+            return features(dataset, dictionary, kind).withColumn("vector", array_to_vector("features"))
+
+    index = StringIndexer(inputCol=label, outputCol="target", stringOrderType="alphabetAsc")
+    model = classifier(name, features=dictionary.count(), classes=classes).setFeaturesCol("vector").setLabelCol("target")
+    return Pipeline(stages=[ShapeletFeatures(), index, model])
+
+
+def grid_scores(train, test, grid, name: str = "logistic", **how):
+    """k, share, lam, accuracy on the held-out rows, for each (k, share, lam): dictionaries of train, distance features, one classifier."""
+    from pyspark.sql import functions as F
+
+    from . import learning
+
+    out, classes = [], train.agg(F.countDistinct("label")).first()[0]
+    for k, share, lam in grid:
+        d = learning.learn_dictionaries(train, k=k, share=share, lam=lam, **how).select("label", "shapelet_id", "s").collect()
+        d = train.sparkSession.createDataFrame([(n, *r) for n, r in enumerate(sorted(d, key=lambda r: (r.label, r.shapelet_id)))], "pos long, label string, shapelet_id long, s array<double>")
+        got = shapelet_pipeline(d, name, classes=classes).fit(train).transform(test)
+        out.append((k, float(share), float(lam), got.agg(F.avg((F.col("prediction") == F.col("target")).cast("double"))).first()[0]))
+    return train.sparkSession.createDataFrame(out, "k long, share double, lam double, accuracy double")
+
+
 def assemble(features, label: str = "label"):
     """features (array) as an ML vector and label as an index in alphabetical order."""
     from pyspark.ml.feature import StringIndexer

@@ -19,6 +19,16 @@ def shared_folder(spark: SparkSession, label: str) -> str:
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"
 
 
-def remove(spark: SparkSession, folder: str) -> None:
+def _located(spark: SparkSession, folder: str):
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    fs, path = _located(spark, folder)
+    fs.delete(path, True)
+
+
+def exists(spark: SparkSession, folder: str) -> bool:
+    fs, path = _located(spark, folder)
+    return fs.exists(path)

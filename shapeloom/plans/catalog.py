@@ -419,6 +419,11 @@ def _(spark, d):
     return L.learn_dictionaries(S.series(spark, d), k=3, share=0.25)
 
 
+@query("pooled_dictionary")
+def _(spark, d):
+    return L.learn_dictionaries(S.series(spark, d), k=6, share=0.25, pooled=True)
+
+
 @query("encode_series")
 def _(spark, d):
     return L.encode(S.series(spark, d), dictionary(spark, d))
@@ -443,6 +448,11 @@ def _(spark, d):
 SQL["re_threshold_drift"] = SQL["re_threshold_drift"].replace("WITH ", "WITH RECURSIVE ", 1)
 
 
+@query("re_adaptive_drift")
+def _(spark, d):
+    return D.adaptive_drift(_errors(spark, d)).select("batch_num", r6("error").alias("error"), "drift_detected", "width", r6("mean").alias("mean"))
+
+
 @query("label_errors", "SELECT label, round(sum(res ** 2) / count(DISTINCT series_id), 6) AS error FROM terms JOIN ser ON vec_id = series_id GROUP BY label", (SER, RANKED, DIC, CODES, RECON))
 def _(spark, d):
     t = terms(spark, d).join(S.series(spark, d).select(F.col("vec_id").alias("series_id"), "label"), "series_id")
@@ -638,6 +648,13 @@ def _(spark, d):
     return G.sea_stream(spark, 10_000)
 
 
+@query("sea_windows")
+def _(spark, d):
+    from ..sources import generators as G
+
+    return G.sea_windows(spark, 10_000, 100)
+
+
 def _offline(name: str, kind: str = "distance"):
     """Split, features, one classifier, and its predictions on the held-out part."""
 
@@ -645,7 +662,7 @@ def _offline(name: str, kind: str = "distance"):
         from ..operators import models as M
 
         rows = S.stratified_split(S.series(spark, d), 0.3, "vec_id")
-        data = M.assemble(M.features(rows, dictionary(spark, d), kind)).coalesce(4).cache()  # read by every iteration
+        data = M.assemble(M.features(rows, dictionary(spark, d), kind)).cache()  # read by every iteration
         width, classes = data.agg(F.max(F.size("features")), F.countDistinct("target")).first()
         fit = M.classifier(name, width, classes).setFeaturesCol("vector").setLabelCol("target").fit(data.filter("not is_test"))
         return fit.transform(data.filter("is_test")).select("vec_id", "label", F.col("prediction").cast("long").alias("prediction"))
@@ -653,6 +670,16 @@ def _offline(name: str, kind: str = "distance"):
     return run
 
 
+@query("offline_pipeline")
+def _(spark, d):
+    from ..operators import models as M
+
+    rows = S.stratified_split(S.series(spark, d), 0.3, "vec_id")
+    train = rows.filter("not is_test")
+    fit = M.shapelet_pipeline(dictionary(spark, d), "logistic", classes=train.select("label").distinct().count()).fit(train)
+    return fit.transform(rows.filter("is_test")).select("vec_id", "label", F.col("prediction").cast("long").alias("prediction"))
+
+
 query("offline_classifier")(_offline("logistic"))
 query("offline_forest")(_offline("forest"))
 query("offline_mlp")(_offline("mlp"))

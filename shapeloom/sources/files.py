@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -81,6 +83,29 @@ def write_dictionary(dictionary: DataFrame, path: str) -> None:
     dictionary.write.mode("overwrite").parquet(path)
 
 
+def write_run(spark: SparkSession, record: dict, path: str) -> None:
+    """One run's record: each name with its value as JSON."""
+    spark.createDataFrame([(k, json.dumps(v)) for k, v in record.items()], "name string, value string").coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def read_run(spark: SparkSession, path: str) -> dict:
+    return {r.name: json.loads(r.value) for r in spark.read.parquet(path).collect()}
+
+
+def open_results(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The results table at path; an empty one of that schema is made if there is none."""
+    from ..operators.tables import exists
+
+    if not exists(spark, path):
+        spark.createDataFrame([], schema).write.parquet(path)
+    return spark.read.schema(schema).parquet(path)
+
+
+def columns_between(df: DataFrame, first: int, last: int) -> DataFrame:
+    """Columns by position, last excluded; negative positions count from the end."""
+    return df.select(*[df[f"`{c}`"] for c in df.columns[first:last]])
+
+
 def append_results(rows: DataFrame, path: str) -> None:
     """Append to a results table, which need not exist."""
     rows.write.mode("append").parquet(path)

@@ -62,11 +62,28 @@ def windowed_ar(spark: SparkSession, n: int, params, points: list[int], window:
 SEA_THETA = (8.0, 9.0, 7.0, 9.5)
 
 
+def _sea(rows: DataFrame, n: int, drifts: int, seed: int, noise: float) -> DataFrame:
+    """concept and class of rows with time, f1 and f2: the concept goes to the next of three at evenly spaced times."""
+    passed = sum((F.when(F.col("time") >= n * (k + 1) // (drifts + 1), 1).otherwise(0) for k in range(drifts)), F.lit(0))
+    rows = rows.withColumn("concept", (passed % 3).cast("int"))
+    clean = (F.col("f1") + F.col("f2") <= F.element_at(F.array(*[F.lit(t) for t in SEA_THETA]), F.col("concept") + 1)).cast("int")
+    return rows.withColumn("class", F.when(_unit(F.col("time"), seed, 4) < noise, 1 - clean).otherwise(clean))
+
+
+def _unit(time, seed: int, k: int):
+    """A draw in [0, 1) by hash of the time."""
+    return F.pmod(F.xxhash64(time, F.lit(seed), F.lit(k)), F.lit(1 << 40)) / float(1 << 40)
+
+
 def sea_stream(spark: SparkSession, n: int, drifts: int = 2, seed: int = 42, noise: float = 0.0) -> DataFrame:
     """time, f1, f2, f3, concept, class: features uniform in [0, 10) by hash, class 1 if f1 + f2 <= theta of the concept. In parallel."""
-    u = lambda k: F.pmod(F.xxhash64("time", F.lit(seed), F.lit(k)), F.lit(1 << 40)) / float(1 << 40)
-    rows = spark.range(n).withColumnRenamed("id", "time").withColumns({f"f{k}": 10 * u(k) for k in (1, 2, 3)})
-    concept = (F.floor(F.col("time") * (drifts + 1) / n) % 3).cast("int")
-    theta = F.element_at(F.array(*[F.lit(t) for t in SEA_THETA]), F.col("concept") + 1)
-    clean = (F.col("f1") + F.col("f2") <= theta).cast("int")
-    return rows.withColumn("concept", concept).withColumn("class", F.when(u(4) < noise, 1 - clean).otherwise(clean))
+    rows = spark.range(n).withColumnRenamed("id", "time").withColumns({f"f{k}": 10 * _unit(F.col("time"), seed, k) for k in (1, 2, 3)})
+    return _sea(rows, n, drifts, seed, noise)
+
+
+def sea_windows(spark: SparkSession, n: int, window: int, drifts: int = 3, seed: int = 42, noise: float = 0.0) -> DataFrame:
+    """time, x, concept, class of n windows of the stream's first feature: x ends at its time and begins before 0 where it must. Draws are
+    by hash of the time, so each row makes its own window and nothing is shuffled."""
+    before = F.sequence(F.col("time") - (window - 1), F.col("time"))
+    rows = sea_stream(spark, n, drifts, seed, noise)
+    return rows.select("time", F.transform(before, lambda t: 10 * _unit(t, seed, 1)).alias("x"), "concept", "class")
