@@ -2,30 +2,75 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import arrays as A
+from .series import atoms_of
+
+
+def _step(rows: DataFrame, atoms: list[np.ndarray], lam: float, signed: bool) -> DataFrame:
+    """vec_id, label, x with a, off, m and recon: one coordinate step for every atom from zero codes, in Arrow batches. A series that is
+    null or shorter than an atom has no code of it."""
+
+    @F.pandas_udf("struct<a:array<double>,off:array<int>,m:array<double>,recon:array<double>>")
+    def run(x: pd.Series) -> pd.DataFrame:
+        out = []
+        for v in x:
+            a, off, m = np.zeros(len(atoms)), np.zeros(len(atoms), dtype=np.int32), np.zeros(len(atoms))
+            v = np.asarray(() if v is None else v, dtype=float)
+            recon = np.zeros(len(v))
+            for k, s in enumerate(atoms):
+                if len(v) < len(s):
+                    continue
+                c = np.lib.stride_tricks.sliding_window_view(v, len(s)) @ s
+                at = int(np.abs(c).argmax())
+                m[k], size = c[at], abs(c[at]) if signed else c[at]
+                if size > lam:
+                    a[k], off[k] = np.sign(m[k]) * (size - lam) / (s @ s), at
+                    recon[at : at + len(s)] += a[k] * s
+            out.append((a, off, m, recon))
+        return pd.DataFrame(out, columns=["a", "off", "m", "recon"])
+
+    return rows.select("vec_id", "label", "x", run("x").alias("c")).select("vec_id", "label", "x", "c.*")
 
 
 def one_step_codes(rows: DataFrame, dictionary: DataFrame, lam: float = 0.1, signed: bool = True) -> DataFrame:
     """One coordinate step from zero codes: for each series and atom the offset of the largest absolute correlation and the
     thresholded coefficient there. Returns series_id, label, k, a, off, m."""
-    d = dictionary.select(F.col("pos").alias("k"), "s")
-    p = rows.crossJoin(F.broadcast(d)).withColumn("c", A.correlations(F.col("x"), F.col("s")))
-    p = p.withColumn("off", A.best_offset(F.col("c"))).withColumn("m", F.get("c", F.col("off"))).withColumn("norm2", A.dot(F.col("s"), F.col("s")))
-    a = (A.soft_threshold if signed else A.nonneg_threshold)(F.col("m"), F.lit(lam), F.col("norm2"))
-    return p.select(F.col("vec_id").alias("series_id"), "label", "k", a.alias("a"), F.when(a == 0, 0).otherwise(F.col("off")).cast("int").alias("off"), "m")
+    names, atoms = atoms_of(dictionary)
+    each = _step(rows, atoms, lam, signed).select(F.col("vec_id").alias("series_id"), "label", F.posexplode(F.arrays_zip("a", "off", "m")).alias("_k", "_c"))
+    pos = F.get(F.array(*[F.lit(r["pos"]) for r in names]).cast("array<bigint>"), F.col("_k"))
+    return each.select("series_id", "label", pos.alias("k"), "_c.a", "_c.off", "_c.m")
+
+
+def one_step_terms(rows: DataFrame, dictionary: DataFrame, lam: float = 0.1, signed: bool = True) -> DataFrame:
+    """residual_terms() of one_step_codes(), in the pass that makes the codes: nothing is shuffled."""
+    c = _step(rows, atoms_of(dictionary)[1], lam, signed)
+    return c.select(F.col("vec_id").alias("series_id"), "x", "recon", F.aggregate("a", F.lit(0.0), lambda t, v: t + F.abs(v)).alias("l1"))
 
 
 def residual_terms(rows: DataFrame, codes: DataFrame, dictionary: DataFrame) -> DataFrame:
-    """series_id, x, recon, l1, from codes joined with their atoms; a series' codes are one bounded array (one entry per atom)."""
-    d = dictionary.select(F.col("pos").alias("k"), "s")
-    c = codes.join(F.broadcast(d), "k").groupBy("series_id").agg(F.array_sort(F.collect_list(F.struct("k", "a", "off", "s"))).alias("codes"))
+    """series_id, x, recon, l1, from codes of any source; a series' codes are one bounded array (one entry per atom)."""
+    names, atoms = atoms_of(dictionary)
+    of = {r["pos"]: s for r, s in zip(names, atoms)}
+
+    @F.pandas_udf("array<double>")
+    def rebuilt(x: pd.Series, codes: pd.Series) -> pd.Series:
+        out = []
+        for v, c in zip(x, codes):
+            recon = np.zeros(len(v))
+            for e in c:
+                place = recon[e["off"] : e["off"] + len(of[e["k"]])]
+                place += e["a"] * of[e["k"]][: len(place)]
+            out.append(recon)
+        return pd.Series(out, dtype=object)
+
+    c = codes.groupBy("series_id").agg(F.array_sort(F.collect_list(F.struct("k", "a", "off"))).alias("codes"))
     r = rows.join(c, rows["vec_id"] == c["series_id"])
-    zero = F.transform("x", lambda v: F.lit(0.0))
-    put = F.aggregate("codes", zero, lambda acc, e: F.zip_with(acc, A.place_cut(e["s"], e["off"], F.size("x")), lambda u, v: u + e["a"] * v))
-    return r.select("series_id", "x", put.alias("recon"), F.aggregate("codes", F.lit(0.0), lambda t, e: t + F.abs(e["a"])).alias("l1"))
+    return r.select("series_id", "x", rebuilt("x", "codes").alias("recon"), F.aggregate("codes", F.lit(0.0), lambda t, e: t + F.abs(e["a"])).alias("l1"))
 
 
 def objective(terms: DataFrame, lam: float) -> DataFrame:

@@ -75,40 +75,59 @@ def _cut(start, window: int):
     return F.slice("values", (start - F.col("first") + 1).cast("int"), window)
 
 
-def shapelet_features(rows: DataFrame, dictionary: DataFrame, znorm: bool = False) -> DataFrame:
-    """Each series against each shapelet: least distance. The dictionary is bounded by its labels and size, so it is broadcast."""
-    d = dictionary.select("pos", F.col("label").alias("shapelet_label"), "s")
-    pairs = rows.crossJoin(F.broadcast(d))
-    return pairs.withColumn("dist", (A.min_distance_znorm if znorm else A.min_distance)(F.col("x"), F.col("s"))).drop("x", "s")
+def atoms_of(dictionary: DataFrame, *columns: str) -> tuple[list, list[np.ndarray]]:
+    """Rows (pos and the named columns) and atoms of a dictionary in order; it is bounded by its labels and size, so the driver holds it."""
+    got = dictionary.orderBy("pos").select("pos", *columns, F.col("s").alias("_s")).collect()
+    return got, [np.array(r["_s"], dtype=float) for r in got]
+
+
+def _normalised(w: np.ndarray) -> np.ndarray:
+    return (w - w.mean(axis=-1, keepdims=True)) / (w.std(axis=-1, keepdims=True) + A.EPS)
 
 
 def feature_matrix(rows: DataFrame, dictionary: DataFrame, znorm: bool = True) -> DataFrame:
-    """features: the distances of a series in dictionary order, computed row by row in Arrow batches with strided windows."""
-    atoms = [r.s for r in dictionary.orderBy("pos").select("s").collect()]  # bounded, see chunk_dictionary
+    """features: the distances of a series in dictionary order, computed row by row in Arrow batches with strided windows. They are
+    infinite where the atom is longer than the series, or the series null."""
+    return _with_distances(rows, atoms_of(dictionary)[1], znorm)
+
+
+def _with_distances(rows: DataFrame, atoms: list[np.ndarray], znorm: bool) -> DataFrame:
     if not atoms:
         return rows.withColumn("features", F.array().cast("array<double>"))
-    size = len(atoms[0])
-    bank = np.array(atoms, dtype=float)
-    if znorm:
-        bank = (bank - bank.mean(axis=1, keepdims=True)) / (bank.std(axis=1, keepdims=True) + A.EPS)
+    banks = []
+    for size in sorted({len(s) for s in atoms}):
+        at = [k for k, s in enumerate(atoms) if len(s) == size]
+        bank = np.stack([atoms[k] for k in at])
+        banks.append((size, at, _normalised(bank) if znorm else bank))
 
     @F.pandas_udf("array<double>")
     def run(x: pd.Series) -> pd.Series:
         out = []
         for v in x:
-            v = np.asarray(v, dtype=float)
-            if len(v) < size:
-                out.append(np.full(len(bank), np.inf))
-                continue
-            w = np.lib.stride_tricks.sliding_window_view(v, size)
-            if znorm:
-                w = (w - w.mean(axis=1, keepdims=True)) / (w.std(axis=1, keepdims=True) + A.EPS)
-            out.append(np.sqrt(((w[None, :, :] - bank[:, None, :]) ** 2).sum(axis=2).min(axis=1)))
-        return pd.Series(out)
+            d = np.full(len(atoms), np.inf)
+            for size, at, bank in banks:
+                if v is not None and len(v) >= size:
+                    w = np.lib.stride_tricks.sliding_window_view(np.asarray(v, dtype=float), size)
+                    w = _normalised(w) if znorm else w
+                    for k, s in zip(at, bank):
+                        e = w - s
+                        d[k] = np.sqrt(np.einsum("ij,ij->i", e, e).min())
+            out.append(d)
+        return pd.Series(out, dtype=object)
 
     return rows.withColumn("features", run("x"))
 
 
+def shapelet_features(rows: DataFrame, dictionary: DataFrame, znorm: bool = False) -> DataFrame:
+    """Each series against each shapelet: pos, shapelet_label and least distance, one Arrow pass over the series."""
+    names, atoms = atoms_of(dictionary, "label")
+    kind = "array<struct<pos:bigint,shapelet_label:string>>"
+    names = F.array(*[F.struct(F.lit(r["pos"]).alias("pos"), F.lit(r["label"]).alias("shapelet_label")) for r in names]).cast(kind)
+    own = [c for c in rows.columns if c != "x"]
+    m = _with_distances(rows, atoms, znorm).select(*own, F.posexplode("features").alias("_k", "dist"))
+    return m.withColumn("_n", F.get(names, F.col("_k"))).select(*own, "_n.pos", "_n.shapelet_label", "dist")
+
+
 def _starts(low, high, step: int):
     """Multiples of step from low to high, both included."""
     a = F.ceil(low / step) * step

@@ -76,7 +76,7 @@ def codes(spark, sf_dir: str, signed: bool = True) -> DataFrame:
 
 
 def terms(spark, sf_dir: str) -> DataFrame:
-    return C.residual_terms(S.series(spark, sf_dir), codes(spark, sf_dir), dictionary(spark, sf_dir))
+    return C.one_step_terms(S.series(spark, sf_dir), dictionary(spark, sf_dir), 0.1)
 
 
 # --- distances and arrays ---------------------------------------------------------------------------------------------------------
@@ -663,7 +663,8 @@ def _offline(name: str, kind: str = "distance"):
 
         rows = S.stratified_split(S.series(spark, d), 0.3, "vec_id")
         data = M.assemble(M.features(rows, dictionary(spark, d), kind)).cache()  # read by every iteration
-        width, classes = data.agg(F.max(F.size("features")), F.countDistinct("target")).first()
+        width, classes, n = data.agg(F.max(F.size("features")), F.countDistinct("target"), F.count("*")).first()
+        data = data.coalesce(n // 4096 + 1)  # as many parts as the rows need: each iteration is a job over all of them
         fit = M.classifier(name, width, classes).setFeaturesCol("vector").setLabelCol("target").fit(data.filter("not is_test"))
         return fit.transform(data.filter("is_test")).select("vec_id", "label", F.col("prediction").cast("long").alias("prediction"))
 

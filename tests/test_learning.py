@@ -7,9 +7,12 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from shapeloom.operators import drift, learning, models
+from shapeloom.operators import codes, drift, learning, models, policies, series
+from shapeloom.plans import catalog
 from shapeloom.sources import files, generators
 
+SF = "/root/testdata/sf0.001"
+
 
 def _series(spark, n=30, p=16, labels="ab"):
     rng = np.random.default_rng(4)
@@ -165,3 +168,65 @@ def test_sinks_and_slices(spark, tmp_path):
     x = spark.createDataFrame([("i", [1.0, 2.0])], "id string, x array<double>")
     assert [tuple(r) for r in files.plot_rows(x).collect()] == [("i", 0, 1.0), ("i", 1, 2.0)]
     assert files.class_count(df.select(F.lit("u").alias("label")), df.select(F.lit("v").alias("label"))).first()[0] == 2
+
+
+@pytest.mark.parametrize("signed", [True, False])
+def test_one_step_codes_against_plain_python(spark, signed):
+    rows = _series(spark, 12).withColumn("x", F.when(F.col("vec_id") == 3, F.array(F.lit(1.0))).when(F.col("vec_id") != 4, F.col("x")))
+    atoms = [(k, str(k), 0, [math.cos(k + t) for t in range(3 + k)]) for k in range(3)]  # of 3, 4 and 5 values
+    d = spark.createDataFrame(atoms, "pos long, label string, shapelet_id long, s array<double>")
+    got = {(r.series_id, r.k): r for r in codes.one_step_codes(rows, d, 0.5, signed).collect()}
+    terms = {r.series_id: r for r in codes.one_step_terms(rows, d, 0.5, signed).collect()}
+    joined = {r.series_id: r for r in codes.residual_terms(rows.filter("x is not null"), codes.one_step_codes(rows, d, 0.5, signed), d).collect()}
+    dist = {(r.vec_id, r.pos): (r.dist, r.shapelet_label) for r in series.shapelet_features(rows, d).collect()}
+    assert len(got) == len(dist) == 36 and len(terms) == 12 and set(joined) == set(terms) - {4}
+    for r in rows.collect():
+        x = r.x or []
+        recon, l1 = [0.0] * len(x), 0.0
+        for k, name, _, s in atoms:
+            places = range(len(x) - len(s) + 1)
+            c = [sum(x[o + i] * s[i] for i in range(len(s))) for o in places]
+            far = [math.dist(x[o : o + len(s)], s) for o in places]
+            assert dist[r.vec_id, k] == (pytest.approx(min(far, default=math.inf)), name)
+            a, o = 0.0, 0
+            if c:
+                at = max(places, key=lambda o: (abs(c[o]), -o))
+                size = abs(c[at]) if signed else c[at]
+                if size > 0.5:
+                    a, o = math.copysign((size - 0.5) / sum(v * v for v in s), c[at]), at
+            assert got[r.vec_id, k].a == pytest.approx(a) and got[r.vec_id, k].off == o
+            for i in range(len(s) if c else 0):
+                recon[o + i] += a * s[i]
+            l1 += abs(a)
+        assert terms[r.vec_id].recon == pytest.approx(recon) and terms[r.vec_id].l1 == pytest.approx(l1)
+        if r.vec_id in joined:
+            assert joined[r.vec_id].recon == pytest.approx(recon) and joined[r.vec_id].l1 == pytest.approx(l1)
+    assert series.shapelet_features(rows, d.limit(0)).count() == codes.one_step_codes(rows, d.limit(0)).count() == 0
+
+
+def _warped(a, b, reach):
+    t = [[math.inf] * (len(b) + 1) for _ in range(len(a) + 1)]
+    t[0][0] = 0.0
+    for i, u in enumerate(a, 1):
+        for j, v in enumerate(b, 1):
+            if abs(i - j) <= reach:
+                t[i][j] = (u - v) ** 2 + min(t[i - 1][j], t[i][j - 1], t[i - 1][j - 1])
+    return math.sqrt(t[-1][-1])
+
+
+def test_dtw_query_against_plain_table(spark):
+    x = {r.vec_id: r.x for r in series.series(spark, SF).collect()}
+    s = {r.pos: r.s for r in catalog.dictionary(spark, SF).collect()}
+    rows = catalog.QUERIES["dtw_transform"](spark, SF).collect()
+    assert len(rows) == len(x) * len(s)
+    for r in rows:
+        a, b = x[r.vec_id], s[r.pos]
+        assert r.dist == pytest.approx(_warped(a, b, max(int(max(len(a), len(b)) * 0.9), abs(len(a) - len(b)))), abs=2e-6)
+
+
+def test_labelwise_query_against_arrays(spark):
+    old, new = (d.orderBy("pos").collect() for d in catalog._pair(spark, SF))
+    picked = policies.labelwise(*[v for d in (old, new) for v in ([r.label for r in d], np.array([r.s for r in d]))])
+    want = [((old, new)[side][k].label, ("old", "new")[side], (old, new)[side][k].shapelet_id) for side, k in picked]
+    got = catalog.QUERIES["policy_labelwise"](spark, SF).orderBy("label", "place").collect()
+    assert [(r.label, r.origin, r.shapelet_id) for r in got] == want
