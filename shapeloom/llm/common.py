@@ -42,6 +42,15 @@ def shared_dir(spark: SparkSession, label: str) -> str:
     return path
 
 
+def table_folder(spark: SparkSession, label: str) -> str:
+    """A new folder under spark.checkpoint.dir for files that a query leaves there."""
+    path = shared_dir(spark, label)
+    _MADE.pop(path)
+    if getattr(_OWN, "made", None) is not None:
+        _OWN.made.remove(path)
+    return path
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write df as Parquet into the shared folder and read it again: cuts the lineage and survives lost executors.
 

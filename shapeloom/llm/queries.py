@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bloom_exact, lang_bloom, mixing, quality_trees, run_index, simhash, sp_bpe, token_store, trie_counts, warc_members
+from . import bloom_exact, contamination, lang_bloom, mixing, quality_trees, run_index, schema_rewrite, simhash, sp_bpe, token_store, trie_counts, variants, warc_members
 
 
 def queries():
@@ -17,8 +17,11 @@ def queries():
         "op8_token_counts": trie_counts.op8_token_counts,
         "op9_suffix_dedup": run_index.op9_suffix_dedup,
         "op10_exact_dedup": bloom_exact.op10_exact_dedup,
+        "op11_decontamination": contamination.op11_decontamination,
+        "op12_spelling": variants.op12_spelling,
+        "op13_schema_rewrite": schema_rewrite.op13_schema_rewrite,
     }
 
 
 def oracle_sql():
-    return {"op6_warc": warc_members.OP6_SQL, "op10_exact_dedup": bloom_exact.OP10_SQL}
+    return {"op6_warc": warc_members.OP6_SQL, "op10_exact_dedup": bloom_exact.OP10_SQL, "op11_decontamination": contamination.OP11_SQL, "op12_spelling": variants.OP12_SQL}
