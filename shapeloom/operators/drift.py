@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .ranges import running_sums
+
 #: Rows of a sample whose distances to as many others are taken at once.
 BLOCK = 512
 
@@ -128,23 +130,28 @@ def mmd_rbf(x: DataFrame, y: DataFrame, gamma: float = 1.0) -> DataFrame:
     return k.select((F.col("kxx") + F.col("kyy") - 2 * F.col("kxy")).alias("mmd2"))
 
 
+#: Below this p-value two samples count as different.
+LEVEL = 0.05
+
+
 def ks_two_sample(rows: DataFrame, by: str, value: str, side: str) -> DataFrame:
-    """statistic and p_value by `by`: largest gap of the two samples' distributions; side is a boolean. Equal values are counted before the
-    running sums, which run in cells of the range of values, and the p-value is the asymptotic one. drift is a p-value below 0.05."""
-    counts = rows.groupBy(by, value).agg(F.count_if(F.col(side)).alias("a"), F.count_if(~F.col(side)).alias("b"))
-    ends = counts.groupBy(by).agg(F.min(value).alias("_low"), F.max(value).alias("_high"), F.sum("a").alias("na"), F.sum("b").alias("nb"))
-    place = F.when(F.col("_high") > F.col("_low"), F.floor((F.col(value) - F.col("_low")) / (F.col("_high") - F.col("_low")) * 1024)).otherwise(0)
-    cells = counts.join(F.broadcast(ends), by).withColumn("_b", place)  # ends: a row per group
-    sums, ahead = cells.groupBy(by, "_b").agg(F.sum("a").alias("sa"), F.sum("b").alias("sb")), Window.partitionBy(by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(by, "_b", F.coalesce(F.sum("sa").over(ahead), F.lit(0)).alias("pa"), F.coalesce(F.sum("sb").over(ahead), F.lit(0)).alias("pb"))
-    up = Window.partitionBy(by, "_b").orderBy(value)
-    own = cells.select(by, "_b", "na", "nb", F.sum("a").over(up).alias("ua"), F.sum("b").over(up).alias("ub")).join(sums, [by, "_b"])
-    g = own.groupBy(by).agg(F.max(F.abs((F.col("pa") + F.col("ua")) / F.col("na") - (F.col("pb") + F.col("ub")) / F.col("nb"))).alias("statistic"), F.first("na").alias("na"), F.first("nb").alias("nb"))
+    """statistic, p_value and drift by `by`: the largest gap of the two samples' distributions, its asymptotic p-value, and whether that is
+    below LEVEL. side is a boolean; rows without a value or a side count for nothing, and a group that lacks a sample has nulls.
+
+    Equal values are counted first; the counts are summed over ranges of (by, value) that hold about as many values each."""
+    known = rows.filter(F.col(value).isNotNull() & F.col(side).isNotNull())
+    counts = known.groupBy(by, value).agg(F.count_if(F.col(side)).alias("a"), F.count_if(~F.col(side)).alias("b"))
+    up = running_sums(counts, [by, value], {"ua": F.col("a"), "ub": F.col("b")}, by=[by])
+    whole = counts.groupBy(F.col(by).alias("_by")).agg(F.sum("a").alias("na"), F.sum("b").alias("nb"))
+    gap = F.max(F.abs(F.try_divide("ua", "na") - F.try_divide("ub", "nb")))
+    g = up.join(whole, F.col(by).eqNullSafe(F.col("_by"))).groupBy(by, "na", "nb").agg(gap.alias("statistic"))
     n = F.sqrt(F.col("na") * F.col("nb") / (F.col("na") + F.col("nb")))
-    lam = (n + 0.12 + 0.11 / n) * F.col("statistic")
-    p = sum((2 * (-1) ** (j - 1) * F.exp(-2.0 * j * j * lam * lam) for j in range(1, 11)), F.lit(0.0))
-    p = F.when(F.col("statistic") == 0, 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), p)))
-    return g.select(by, "statistic", p.alias("p_value"), (p < 0.05).alias("drift"))
+    g = g.withColumn("_l", (n + 0.12 + F.try_divide(F.lit(0.11), n)) * F.col("statistic"))
+    term = lambda t, j: t + 2 * F.when(j % 2 == 1, 1.0).otherwise(-1.0) * F.exp(-2.0 * j * j * F.col("_l") * F.col("_l"))
+    p = F.aggregate(F.sequence(F.lit(1), F.lit(100)), F.lit(0.0), term)
+    p = F.when(F.col("_l") < 0.04, 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), p)))  # the series of a small statistic ends late, at 1
+    g = g.withColumn("_p", F.when(F.col("statistic").isNotNull(), p))
+    return g.select(by, "statistic", F.col("_p").alias("p_value"), (F.col("_p") < LEVEL).alias("drift"))
 
 
 def knn_kl(x: DataFrame, y: DataFrame, k: int = 3, digits: int | None = 5) -> DataFrame:

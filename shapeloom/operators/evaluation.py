@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import arrays as A
+from .ranges import running_sums
 
 
 def confusion(pred: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -48,31 +47,20 @@ def weighted_scores(pred: DataFrame, zero: float = 0.0) -> DataFrame:
     return c.agg(*[(F.sum(F.col(k) * F.col("n_true")) / F.sum("n_true")).alias(k) for k in ("precision", "recall", "f1")])
 
 
-def running_scores(pred: DataFrame, order: str = "id", bucket: int = 1 << 13) -> DataFrame:
-    """Accuracy and kappa of all rows so far, by a number that rises with the order.
-
-    Counts of each class before a bucket of the order come from one row per bucket and class; inside a bucket they run in Arrow
-    batches, so no task sees more than a bucket of predictions."""
-    rows = pred.select(F.col(order).alias("_id"), F.col("y").cast("string").alias("y"), F.col("p").cast("string").alias("p")).withColumn("_b", F.floor(F.col("_id") / bucket))
-    marks = rows.select("_b", F.col("y").alias("c"), F.lit(1).alias("t"), F.lit(0).alias("q"), (F.col("y") == F.col("p")).cast("int").alias("h")).union(rows.select("_b", "p", F.lit(0), F.lit(1), F.lit(0)))
-    per = marks.groupBy("_b", "c").agg(F.sum("t").alias("t"), F.sum("q").alias("q"), F.sum("h").alias("h"))
-    # a bucket needs every class that came before it, so buckets and classes are crossed: both are bounded tables of counts
-    grid = per.select("_b").distinct().crossJoin(F.broadcast(per.select("c").distinct())).join(per, ["_b", "c"], "left")
-    ahead = Window.partitionBy("c").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    before = grid.select(F.col("_b").alias("_k"), "c", *[F.coalesce(F.sum(k).over(ahead), F.lit(0)).alias(k) for k in "tqh"])
-
-    def run(own: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
-        own, start = own.sort_values("_id"), start.sort_values("c")
-        code = {c: k for k, c in enumerate(start.c)}
-        t, q = (np.cumsum(np.eye(len(code), dtype=np.int64)[own[k].map(code)], axis=0) + start[v].to_numpy() for k, v in (("y", "t"), ("p", "q")))
-        n = t.sum(axis=1)
-        po = (np.cumsum(own.y.to_numpy() == own.p.to_numpy()) + start.h.sum()) / n
-        pe = (t.astype(float) * q).sum(axis=1) / n.astype(float) ** 2
-        kappa = np.divide(po - pe, 1 - pe, out=np.full(len(po), np.nan), where=pe != 1)
-        return pd.DataFrame({"_id": own._id, "accuracy": po, "kappa": kappa})
-
-    got = rows.groupBy("_b").cogroup(before.groupBy("_k")).applyInPandas(run, "_id long, accuracy double, kappa double")
-    return got.select(F.col("_id").alias(order), "accuracy", F.nanvl("kappa", F.lit(None).cast("double")).alias("kappa"))
+def running_scores(pred: DataFrame, order: str = "id") -> DataFrame:
+    """Accuracy and kappa of all rows so far, in an order without ties; null is a class like any other.
+
+    Every row is two marks, of its truth and of its prediction. The agreement by chance is the sum over classes of truths times
+    predictions so far: a truth adds the number of earlier predictions of its class to it, a prediction that of truths up to its own row.
+    So two passes of running sums over ranges of the order give it, the first by class, and no task sees a whole class."""
+    rows = pred.select(F.col(order).alias("_id"), "y", "p", F.col("y").eqNullSafe(F.col("p")).cast("long").alias("_hit"))
+    mark = lambda at, c, t: F.struct(F.lit(at).alias("at"), F.col(c).cast("string").alias("c"), F.lit(t).alias("t"))
+    marks = rows.select("_id", "_hit", F.explode(F.array(mark(0, "y", 1), mark(1, "p", 0))).alias("m")).select("_id", "_hit", "m.*")
+    seen = running_sums(marks, ["_id", "at"], {"truths": F.col("t").cast("long"), "guesses": (1 - F.col("t")).cast("long")}, by=["c"])
+    chance = F.when(F.col("t") == 1, F.col("guesses")).otherwise(F.col("truths"))
+    total = running_sums(seen.select("_id", "at", "_hit", chance.alias("chance")), ["_id", "at"], {"s": F.col("chance"), "hits": F.when(F.col("at") == 0, F.col("_hit")).otherwise(0), "n": (1 - F.col("at")).cast("long")})
+    po, pe = F.col("hits") / F.col("n"), F.col("s") / (F.col("n").cast("double") * F.col("n"))
+    return total.filter("at = 1").select(F.col("_id").alias(order), po.alias("accuracy"), F.when(pe != 1, (po - pe) / (1 - pe)).alias("kappa"))
 
 
 def class_means(rows: DataFrame) -> DataFrame:

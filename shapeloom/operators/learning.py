@@ -313,20 +313,49 @@ def learn_grid(rows: DataFrame, grid: list[tuple[int, float, float]], **how) ->
     return out
 
 
-def encode(rows: DataFrame, dictionary: DataFrame, lam: float = 1.0, signed: bool = False, sweeps: int = 20, seed: int = 0) -> DataFrame:
-    """vec_id, label, a, off, squared_error of every series: codes over a bounded dictionary (pos, s) from a seeded start."""
-    s = np.array([r.s for r in dictionary.orderBy("pos").select("s").collect()], dtype=float)
+def code_each(x, s, a, off, lam, most: int = 1000, eps: float = 1e-5, signed: bool = False, seed: int = 0):
+    """code() with a stop for each series: when a sweep changes its own objective by less than eps of it, so what a series gets doesn't
+    depend on those beside it."""
+    a, off, going, last = a.copy(), off.copy(), np.arange(len(x)), np.full(len(x), np.nan)
+    for turn in range(most):
+        some = x[going]
+        a[going], off[going] = code(some, s, a[going], off[going], lam, 1, -1.0, signed, np.random.default_rng([seed, turn]))
+        f = 0.5 * ((some - rebuild(s, a[going], off[going], x.shape[1])) ** 2).sum(axis=1) + lam * np.abs(a[going]).sum(axis=1)
+        still = np.abs(last[going] - f) <= eps * last[going]
+        last[going] = f
+        going = going[~still]
+        if not len(going):
+            break
+    return a, off
+
+
+def encode(rows: DataFrame, dictionary: DataFrame, lam: float = 1.0, signed: bool = False, sweeps: int = 1000, seed: int = 0, eps: float = 1e-5) -> DataFrame:
+    """vec_id, label, a, off, squared_error of every series: codes over a bounded dictionary (pos, s; atoms of one length) from a seeded
+    start, swept until a series' objective stands still.
+
+    A series shorter than the atoms has codes of 0 and the error of its own squares, a null one has codes of 0 and a null error. Without
+    atoms all codes are empty. Series may differ in length."""
+    s = [r.s for r in dictionary.orderBy("pos").select("s").collect()]
+    s = np.array(s, dtype=float).reshape(len(s), len(s[0]) if s else 0)
+
+    def coded(x: np.ndarray):
+        n, k = len(x), len(s)
+        a, off = np.zeros((n, k)), np.zeros((n, k), dtype=np.int64)
+        if k and x.shape[1] >= s.shape[1]:
+            rng = np.random.default_rng(seed)
+            a[:] = rng.standard_normal(k) if signed else rng.random(k)
+            off[:] = rng.integers(0, x.shape[1] - s.shape[1] + 1, k)
+            a, off = code_each(x, s, a, off, lam, sweeps, eps, signed, seed)
+            return a, off, ((x - rebuild(s, a, off, x.shape[1])) ** 2).sum(axis=1)
+        return a, off, (x**2).sum(axis=1)
 
     def run(batches):
         for g in batches:
-            if not len(g):
-                continue
-            x = np.array(g.x.tolist(), dtype=float)
-            rng = np.random.default_rng(seed)
-            a = np.tile(rng.standard_normal(len(s)) if signed else rng.random(len(s)), (len(x), 1))
-            off = np.tile(rng.integers(0, x.shape[1] - s.shape[1] + 1, len(s)), (len(x), 1))
-            a, off = code(x, s, a, off, lam, sweeps, 0.0, signed, np.random.default_rng(seed))
-            yield pd.DataFrame({"vec_id": g.vec_id, "label": g.label, "a": list(a), "off": list(off.astype(np.int32)), "squared_error": ((x - rebuild(s, a, off, x.shape[1])) ** 2).sum(axis=1)})
+            sizes = g.x.map(lambda v: -1 if v is None else len(v))
+            for size, own in g.groupby(sizes, sort=False):
+                x = np.array([v for v in own.x] if size >= 0 else [()] * len(own), dtype=float).reshape(len(own), max(int(size), 0))
+                a, off, error = coded(x)
+                yield pd.DataFrame({"vec_id": own.vec_id, "label": own.label, "a": list(a), "off": list(off.astype(np.int32)), "squared_error": error if size >= 0 else np.full(len(own), None)})
 
     return rows.select("vec_id", "label", "x").mapInPandas(run, "vec_id long, label string, a array<double>, off array<int>, squared_error double")
 

@@ -6,10 +6,11 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import arrays as A
+from .ranges import ranked
 
 QUANT = 6
 
@@ -28,20 +29,10 @@ def chunk_dictionary(rows: DataFrame, first: int = 1, last: int = 2, size: int =
     return few.withColumn("pos", (F.row_number().over(Window.orderBy("label", "shapelet_id")) - 1).cast("long"))
 
 
-def row_index(df: DataFrame, bucket: Column, *order: str, name: str = "seq") -> DataFrame:
-    """Number rows by `order` from 0 without one task for all: counts by bucket (an expression that rises with the order), and row
-    numbers inside buckets. The only unkeyed window runs over one row per bucket."""
-    df = df.withColumn("_bucket", bucket)
-    counts = df.groupBy("_bucket").agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    inside = F.row_number().over(Window.partitionBy("_bucket").orderBy(*order)) - 1
-    return df.withColumn("_in", inside).join(counts.select("_bucket", before.alias("_before")), "_bucket").withColumn(name, (F.col("_before") + F.col("_in")).cast("long")).drop("_bucket", "_in", "_before")
-
-
 def stream(spark, sf_dir: str) -> DataFrame:
-    """seq, ts, event_id, label, value in time order."""
+    """seq, ts, event_id, label, value in time order; rows without a time come first, those of one time by event_id."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("ts").cast("timestamp").alias("ts"), "event_id", F.col("event_type").alias("label"), "value")
-    return row_index(e, F.date_trunc("day", "ts"), "ts", "event_id")
+    return ranked(e, "ts", "event_id")
 
 
 #: Rows of the stream in a bucket of numbered().
@@ -50,16 +41,26 @@ BUCKET = 1 << 16
 CHUNK = 1 << 12
 
 
+def same_key_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """left and the other columns of right where all keys are the same, null being a key like any other."""
+    other = right.withColumnsRenamed({k: f"_same_{k}" for k in keys})
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_same_{k}"))
+    return left.join(other, on, how).drop(*[f"_same_{k}" for k in keys])
+
+
 def numbered(rows: DataFrame, label: str = "label", order: str = "seq", bucket: int = BUCKET) -> DataFrame:
-    """rn (from 0) and n (rows) within each label, by a number that rises with the order.
+    """rn (from 0) and n (rows) within each label, by the number of a row in the stream, as ranked() gives it; null is a label.
 
-    Rows are numbered within buckets of a label; the windows over a whole label run over one row per bucket."""
+    Rows are numbered within buckets of a label, of `bucket` numbers each; the windows over a whole label run over one row per bucket."""
     rows = rows.withColumn("_b", F.floor(F.col(order) / bucket))
     every = Window.partitionBy(label)
     before = F.coalesce(F.sum("_n").over(every.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     counts = rows.groupBy(label, "_b").agg(F.count("*").alias("_n")).select(label, "_b", before.alias("_before"), F.sum("_n").over(every).alias("n"))
     inside = F.row_number().over(Window.partitionBy(label, "_b").orderBy(order)) - 1
-    return rows.withColumn("_in", inside).join(counts, [label, "_b"]).withColumn("rn", (F.col("_before") + F.col("_in")).cast("long")).drop("_b", "_in", "_before")
+    placed = same_key_join(rows.withColumn("_in", inside), counts, [label, "_b"])
+    return placed.withColumn("rn", (F.col("_before") + F.col("_in")).cast("long")).drop("_b", "_in", "_before")
 
 
 def chunks(numbered_rows: DataFrame, window: int, chunk: int = CHUNK) -> DataFrame:
@@ -155,7 +156,7 @@ def _cut_at(rows: DataFrame, starts: DataFrame, window: int) -> DataFrame:
     """label, k, start, x of wanted starts (label, k, start)."""
     size = max(CHUNK, 4 * window)
     wanted = starts.select("label", "k", "start", F.floor(F.col("start") / size).alias("c"))
-    return wanted.join(chunks(numbered(rows), window), ["label", "c"]).select("label", "k", "start", _cut(F.col("start"), window).alias("x"))
+    return same_key_join(wanted, chunks(numbered(rows), window).drop("n"), ["label", "c"]).select("label", "k", "start", _cut(F.col("start"), window).alias("x"))
 
 
 def random_windows(rows: DataFrame, window: int, most: int, seed: int = 0) -> DataFrame:
@@ -172,12 +173,15 @@ def bootstrapped_windows(rows: DataFrame, window: int, step: int, most: int, see
     """Sliding passes again and again, the first from 0 and later ones from a hashed start, until each label has `most` windows.
     Labels with n <= window have none (there is nothing to repeat)."""
     n = rows.groupBy("label").agg(F.count("*").alias("n")).filter(F.col("n") > window)
-    per = F.greatest(F.lit(1), F.ceil((F.col("n") - window) / step))
+    last = F.col("n") - window - 1
     passes = n.withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(most - 1))))
     passes = passes.withColumn("from", F.when(F.col("pass") == 0, 0).otherwise(F.pmod(F.xxhash64("label", "pass", F.lit(seed)), F.least(F.lit(step), F.col("n") - window))))
-    starts = passes.filter(F.col("pass") * F.greatest(F.lit(1), per - 1) < most).withColumn("start", F.explode(F.sequence(F.col("from"), F.col("n") - window - 1, F.lit(step))))
-    order = F.row_number().over(Window.partitionBy("label").orderBy("pass", "start"))
-    starts = starts.withColumn("k", order).filter(F.col("k") <= most)
+    passes = passes.withColumn("count", F.floor((last - F.col("from")) / step) + 1)  # of a pass; no more starts are made than are wanted
+    ahead = Window.partitionBy("label").orderBy("pass").rowsBetween(Window.unboundedPreceding, -1)
+    passes = passes.withColumn("before", F.coalesce(F.sum("count").over(ahead), F.lit(0))).filter(F.col("before") < most)
+    few = F.least(F.col("count"), most - F.col("before"))
+    starts = passes.select("label", "before", F.posexplode(F.sequence(F.col("from").cast("long"), (F.col("from") + (few - 1) * step).cast("long"), F.lit(step).cast("long"))).alias("i", "start"))
+    starts = starts.select("label", "start", (F.col("before") + F.col("i") + 1).cast("int").alias("k"))
     return _cut_at(rows, starts, window)
 
 
@@ -200,7 +204,16 @@ def train_stat_znorm(rows: DataFrame) -> DataFrame:
     """z: each label's test half by the mean and population std of its train half."""
     s = half_split(rows)
     stats = s.filter("is_train").groupBy("label").agg(F.avg("value").alias("m"), F.stddev_pop("value").alias("sd"))
-    return s.filter("not is_train").join(F.broadcast(stats), "label").withColumn("z", (F.col("value") - F.col("m")) / F.when(F.col("sd") == 0, 1.0).otherwise(F.col("sd")))
+    return same_key_join(s.filter("not is_train"), stats, ["label"]).withColumn("z", (F.col("value") - F.col("m")) / F.when(F.col("sd") == 0, 1.0).otherwise(F.col("sd")))
+
+
+def standard_scaled(rows: DataFrame, train: DataFrame) -> DataFrame:
+    """z: each place of x by the mean and population std of that place in train (0 counts as 1). Places that train lacks give null, a
+    null series stays null. The statistics are a row for each place; they go to the rows as one array."""
+    own = train.select(F.posexplode("x").alias("_i", "_v")).groupBy("_i").agg(F.avg("_v").alias("m"), F.stddev_pop("_v").alias("sd"))
+    fit = own.agg(F.array_sort(F.collect_list(F.struct("_i", "m", "sd"))).alias("_fit"))
+    scaled = lambda v, i: (v - F.get("_fit", i)["m"]) / F.when(F.get("_fit", i)["sd"] == 0, 1.0).otherwise(F.get("_fit", i)["sd"])
+    return rows.crossJoin(fit).withColumn("z", F.transform("x", scaled)).drop("_fit")  # fit is one row
 
 
 def stratified_split(rows: DataFrame, test_share: float, key: str, seed: str = "0") -> DataFrame:
@@ -211,7 +224,7 @@ def stratified_split(rows: DataFrame, test_share: float, key: str, seed: str = "
     before = F.coalesce(F.sum("_n").over(every.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     counts = cells.groupBy("label", "_b").agg(F.count("*").alias("_n")).select("label", "_b", before.alias("_before"), F.sum("_n").over(every).alias("_all"))
     inside = F.row_number().over(Window.partitionBy("label", "_b").orderBy("_m", key))
-    return cells.withColumn("_in", inside).join(counts, ["label", "_b"]).withColumn("is_test", F.col("_before") + F.col("_in") <= F.ceil(F.col("_all") * test_share)).drop("_m", "_b", "_in", "_before", "_all")
+    return same_key_join(cells.withColumn("_in", inside), counts, ["label", "_b"]).withColumn("is_test", F.col("_before") + F.col("_in") <= F.ceil(F.col("_all") * test_share)).drop("_m", "_b", "_in", "_before", "_all")
 
 
 def tumbling_batches(rows: DataFrame, size: int, keep_tail: bool = False) -> DataFrame:
@@ -257,9 +270,15 @@ def scheduled(rows: DataFrame, schedule: list[tuple[int, str, int, int]]) -> Dat
 
 
 def label_encode(rows: DataFrame, label: str = "label") -> DataFrame:
-    """code: place of the label among the sorted labels, from 0; labels are aggregated before they are ranked."""
-    codes = rows.select(label).distinct().withColumn("code", (F.row_number().over(Window.orderBy(label)) - 1).cast("long"))
-    return rows.join(F.broadcast(codes), label)
+    """code: place of the label among the sorted labels, from 0; labels are aggregated before they are ranked. A null label has none."""
+    known = rows.select(label).filter(F.col(label).isNotNull()).distinct()
+    return rows.join(known.withColumn("code", (F.row_number().over(Window.orderBy(label)) - 1).cast("long")), label, "left")
+
+
+def label_decode(coded: DataFrame, rows: DataFrame, code: str = "code", label: str = "label") -> DataFrame:
+    """coded with the label of each code, as label_encode(rows) numbers them; codes that no label has stay, with a null label."""
+    known = label_encode(rows.select(label).distinct(), label).filter(F.col("code").isNotNull()).withColumnRenamed("code", "_code")
+    return coded.join(known, F.col(code) == F.col("_code"), "left").drop("_code")
 
 
 def shuffled(rows: DataFrame, seed: int, *keys: str) -> DataFrame:

@@ -17,6 +17,7 @@ from ..operators import evaluation as E
 from ..operators import learning as L
 from ..operators import ranking as R
 from ..operators import series as S
+from ..operators.tables import written
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -203,11 +204,10 @@ def _(spark, d):
     return S.stream(spark, d).select("event_id", (F.col("seq") < 600).alias("is_train"))
 
 
-@query("standard_scaler", "SELECT vec_id, round((x[1] - m) / s, 6) AS v FROM ser, (SELECT avg(x[1]) AS m, stddev_pop(x[1]) AS s FROM ser WHERE vec_id % 5 <> 0)", (SER,))
+@query("standard_scaler", "SELECT vec_id, list(round((v - m) / CASE WHEN s = 0 THEN 1 ELSE s END, 6) ORDER BY i) AS z FROM (SELECT vec_id, generate_subscripts(x, 1) AS i, unnest(x) AS v FROM ser) JOIN (SELECT i, avg(v) AS m, stddev_pop(v) AS s FROM (SELECT generate_subscripts(x, 1) AS i, unnest(x) AS v FROM ser WHERE vec_id % 5 <> 0) GROUP BY i) USING (i) GROUP BY vec_id", (SER,))
 def _(spark, d):
-    rows = S.series(spark, d).select("vec_id", F.get("x", F.lit(0)).alias("v"))
-    fit = rows.filter("vec_id % 5 <> 0").agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("s"))
-    return rows.crossJoin(F.broadcast(fit)).select("vec_id", r6((F.col("v") - F.col("m")) / F.col("s")).alias("v"))
+    rows = S.series(spark, d)
+    return S.standard_scaled(rows, rows.filter("vec_id % 5 <> 0")).select("vec_id", F.transform("z", r6).alias("z"))
 
 
 @query("tumbling_batches", "SELECT batch_num, count(*) AS n, round(sum(value), 4) AS total FROM (SELECT *, seq // 500 + 1 AS batch_num FROM str) GROUP BY batch_num HAVING count(*) = 500", (STR,))
@@ -270,7 +270,7 @@ def _pair(spark, d):
 
 
 def _atoms(df):
-    return df.select("new_pos", "label", r6(F.get("s", F.lit(0))).alias("s0"))
+    return df.select("new_pos", "label", F.transform("s", r6).alias("s"))
 
 
 @query("closest_topk", "SELECT pos_a, pos_b, rank, round(dist, 6) AS dist FROM topk WHERE rank <= 3", (*BASE, TOPK))
@@ -284,7 +284,7 @@ def _(spark, d):
 
 
 def _policy_sql(parts: str) -> str:
-    return f"SELECT row_number() OVER (ORDER BY part, o) - 1 AS new_pos, label, round(s[1], 6) AS s0 FROM ({parts})"
+    return f"SELECT row_number() OVER (ORDER BY part, o) - 1 AS new_pos, label, list_transform(s, lambda v: round(v, 6)) AS s FROM ({parts})"
 
 
 A_FIRST = "SELECT 0 AS part, pos AS o, label, s FROM dic UNION ALL "
@@ -474,10 +474,17 @@ def _(spark, d):
     return D.mmd_rbf(*_samples(spark, d), gamma=0.05).select(r6("mmd2").alias("mmd2"))
 
 
-@query("ks_two_sample", "SELECT label, round(max(gap), 6) AS statistic FROM (SELECT label, abs(sum(a) OVER w / sum(a) OVER (PARTITION BY label) - sum(b) OVER w / sum(b) OVER (PARTITION BY label)) AS gap FROM (SELECT label, value, count(*) FILTER (ts < TIMESTAMP '2024-01-16') AS a, count(*) FILTER (ts >= TIMESTAMP '2024-01-16') AS b FROM str GROUP BY ALL) WINDOW w AS (PARTITION BY label ORDER BY value)) GROUP BY label", (STR,))
+KS = """gaps AS (SELECT label, abs(sum(a) OVER w / sum(a) OVER (PARTITION BY label) - sum(b) OVER w / sum(b) OVER (PARTITION BY label)) AS gap, sum(a) OVER (PARTITION BY label) AS na, sum(b) OVER (PARTITION BY label) AS nb
+  FROM (SELECT label, value, count(*) FILTER (ts < TIMESTAMP '2024-01-16') AS a, count(*) FILTER (ts >= TIMESTAMP '2024-01-16') AS b FROM str WHERE value IS NOT NULL GROUP BY ALL) WINDOW w AS (PARTITION BY label ORDER BY value)),
+stat AS (SELECT label, max(gap) AS d, sqrt(max(na) * max(nb) / (max(na) + max(nb))) AS en FROM gaps GROUP BY label),
+lam AS (SELECT label, d, (en + 0.12 + 0.11 / en) * d AS l FROM stat),
+pv AS (SELECT label, d, CASE WHEN l < 0.04 THEN 1.0 ELSE greatest(0.0, least(1.0, list_sum(list_transform(range(1, 101), lambda j: 2 * (-1) ** (j - 1) * exp(-2.0 * j * j * l * l))))) END AS p FROM lam)"""
+
+
+@query("ks_two_sample", "SELECT label, round(d, 6) AS statistic, round(p, 6) AS p_value, p < 0.05 AS drift FROM pv", (STR, KS))
 def _(spark, d):
     s = S.stream(spark, d).withColumn("early", F.col("ts") < F.lit("2024-01-16").cast("timestamp"))
-    return D.ks_two_sample(s, "label", "value", "early").select("label", r6("statistic").alias("statistic"))
+    return D.ks_two_sample(s, "label", "value", "early").select("label", r6("statistic").alias("statistic"), r6("p_value").alias("p_value"), "drift")
 
 
 PTS = "pts AS (SELECT label AS s, r AS x, count(*) AS n FROM (SELECT label, list_transform(x, lambda e: round(e, 1)) AS r FROM (SELECT label, x FROM ser UNION ALL SELECT label, x FROM ser WHERE vec_id % 3 = 0)) GROUP BY ALL)"
@@ -494,9 +501,9 @@ def _(spark, d):
     return D.knn_kl(*twice, digits=1).select(F.round("kl", 4).alias("kl"))
 
 
-@query("drift_point_stats", "SELECT round(avg(value) FILTER (seq >= 500) - avg(value) FILTER (seq < 500), 6) AS mean_change, round(var_pop(value) FILTER (seq >= 500) - var_pop(value) FILTER (seq < 500), 6) AS variance_change, round(regr_slope(value, seq) FILTER (seq >= 480 AND seq < 500), 6) AS slope_before, round(regr_slope(value, seq) FILTER (seq >= 500 AND seq < 520), 6) AS slope_after FROM str WHERE seq >= 450 AND seq < 550", (STR,))
+@query("drift_point_stats", "SELECT round(avg(value) FILTER (seq >= 500) - avg(value) FILTER (seq < 500), 6) AS mean_change, round(var_pop(value) FILTER (seq >= 500) - var_pop(value) FILTER (seq < 500), 6) AS variance_change, round(regr_slope(value, seq) FILTER (seq >= 480 AND seq < 500), 6) AS slope_before, round(regr_slope(value, seq) FILTER (seq >= 500 AND seq < 520), 6) AS slope_after, round(regr_slope(value, seq) FILTER (seq >= 500 AND seq < 520) - regr_slope(value, seq) FILTER (seq >= 480 AND seq < 500), 6) AS slope_change FROM str WHERE seq >= 450 AND seq < 550", (STR,))
 def _(spark, d):
-    return D.drift_point_stats(S.stream(spark, d), 500).select(*[r6(c).alias(c) for c in ("mean_change", "variance_change", "slope_before", "slope_after")])
+    return D.drift_point_stats(S.stream(spark, d), 500).select(*[r6(c).alias(c) for c in ("mean_change", "variance_change", "slope_before", "slope_after", "slope_change")])
 
 
 @query("distinct_rows", "SELECT len(v) AS size, count(*) AS rows, sum(n)::BIGINT AS total FROM (SELECT list_transform(x, lambda e: round(e, 0)) AS v, count(*) AS n FROM ser GROUP BY 1) GROUP BY 1", (SER,))
@@ -662,7 +669,7 @@ def _offline(name: str, kind: str = "distance"):
         from ..operators import models as M
 
         rows = S.stratified_split(S.series(spark, d), 0.3, "vec_id")
-        data = M.assemble(M.features(rows, dictionary(spark, d), kind)).cache()  # read by every iteration
+        data = written(M.assemble(M.features(rows, dictionary(spark, d), kind)), "features")  # read by every iteration
         width, classes, n = data.agg(F.max(F.size("features")), F.countDistinct("target"), F.count("*")).first()
         data = data.coalesce(n // 4096 + 1)  # as many parts as the rows need: each iteration is a job over all of them
         fit = M.classifier(name, width, classes).setFeaturesCol("vector").setLabelCol("target").fit(data.filter("not is_test"))
@@ -694,7 +701,7 @@ def _replayed(policy: str):
         from ..streaming.prequential import Loop, replay
 
         batches = S.tumbling_batches(S.series(spark, d).withColumn("seq", F.col("vec_id")), 100)
-        return replay(batches, Loop(classes=[str(k) for k in range(10)], atoms=2, share=0.25, iterations=3, mode="scheduled", policy=policy))
+        return replay(batches, Loop(classes=[str(k) for k in range(10)], atoms=2, share=0.25, mode="scheduled", policy=policy))
 
     return run
 

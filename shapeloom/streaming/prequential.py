@@ -57,7 +57,7 @@ class Loop:
     mode: str = "threshold"
     policy: str = "coefficients"
     seed: int = 0
-    iterations: int = 8
+    iterations: int = 1000
     labels: list = field(default_factory=list)
     bank: np.ndarray | None = None
     reference: float | None = None

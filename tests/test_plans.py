@@ -52,7 +52,7 @@ def test_windows_from_chunks(stream, chunk, monkeypatch):
 def test_running_scores_over_buckets(spark):
     rng = random.Random(1)
     rows = [(k, rng.choice("xyz"), rng.choice("xyzw")) for k in range(120)]
-    got = {r.id: (r.accuracy, r.kappa) for r in evaluation.running_scores(spark.createDataFrame(rows, "id long, y string, p string"), bucket=16).collect()}
+    got = {r.id: (r.accuracy, r.kappa) for r in evaluation.running_scores(spark.createDataFrame(rows, "id long, y string, p string")).collect()}
     for n in range(1, 121):
         some = rows[:n]
         po = sum(y == p for _, y, p in some) / n
