@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import commit_file, filesystem, materialize, shared_dir, slices
+from .common import commit_file, filesystem, materialize, slices, table_folder
 
 DATE = "2024-01-01T00:00:00Z"
 CHUNK = 1 << 20
@@ -49,18 +49,22 @@ def parse(rec: bytes) -> dict:
 
 
 def inflated(stream) -> object:
-    """Pieces of the data of a gzip file, of one member or many."""
-    z = zlib.decompressobj(31)
+    """Pieces of the data of a gzip file, of one member or many. A file that ends within a member (one byte of its trailer missing
+    is enough) is an error, as its records may be fewer than were written."""
+    z, started = zlib.decompressobj(31), False
     while data := stream.read(CHUNK):
         while data:
+            started = True
             if piece := z.decompress(data, CHUNK):
                 yield piece
             data = z.unconsumed_tail
             if z.eof:
                 data = z.unused_data
-                z = zlib.decompressobj(31)
+                z, started = zlib.decompressobj(31), False
     if piece := z.flush():
         yield piece
+    if started and not z.eof:
+        raise ValueError("the archive ends within a gzip member")
 
 
 def records(pieces):
@@ -158,7 +162,9 @@ def write_archives(planned: DataFrame, out_dir: str, file_bytes: int = FILE_BYTE
 
 
 def normalise_archives(written: DataFrame, out_dir: str) -> DataFrame:
-    """Normalise every archive of `uri`, one task per file; returns uri, records, bytes of the new ones."""
+    """Normalise every archive of `uri`, each by one task, which may have several; returns uri, records, bytes of the new ones.
+
+    A file that is cut short or isn't WARC fails the job with its error; an empty table gives an empty result."""
 
     def run(batches):
         for b in batches:
@@ -204,7 +210,7 @@ def read_archives(normal: DataFrame, id_type: T.DataType) -> DataFrame:
 
 def op6_warc(spark, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    top = shared_dir(spark, "warc")
+    top = table_folder(spark, "warc")
     normal = normalise_archives(write_archives(plan_records(pages), f"{top}/whole"), f"{top}/members")
     got = read_archives(normal, pages.schema["page_id"].dataType)
     return got.select(F.col("_id").alias("page_id"), F.col("_bytes").alias("payload_bytes"), F.col("_digest").alias("payload_digest"), F.col("_type").alias("record_type"), F.col("_refers").alias("refers_to"))
