@@ -696,6 +696,18 @@ query("offline_raw_features")(_offline("forest", "raw"))
 query("offline_code_features")(_offline("forest", "codes"))
 
 
+@query("class_incremental_forest")
+def _(spark, d):
+    """Half of the classes at first, then three quarters, then all, as the fixed schedule deals out its four; every series takes part until a class is used up."""
+    from ..streaming.online_forest import class_incremental
+
+    rows = S.ranked(S.series(spark, d), "vec_id")
+    classes = [r[0] for r in rows.select("label").filter("label is not null").distinct().orderBy("label").collect()]  # bounded: a label each
+    shares = [max(1, -(-len(classes) * k // 4)) for k in (2, 3, 4)]
+    got = class_incremental(rows, classes, [(e, n) for (e, _), n in zip(S.STAGES, shares)])
+    return got.withColumns({"accuracy": r6("accuracy"), "kappa": r6("kappa")})
+
+
 def _replayed(policy: str):
     def run(spark, d):
         from ..streaming.prequential import Loop, replay
