@@ -7,7 +7,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .neighbours import knn_join
 from .ranges import running_sums
+from .tables import written
 
 #: Rows of a sample whose distances to as many others are taken at once.
 BLOCK = 512
@@ -166,19 +168,11 @@ def knn_kl(x: DataFrame, y: DataFrame, k: int = 3, digits: int | None = 5) -> Da
         return own.select(F.xxhash64("x").alias("id"), "x", "n")
 
     def nearest(a, b, k, name):
-        def run(frames):
-            for f in frames:
-                for u, v in zip(f.u, f.v):
-                    d = np.sqrt(_squares(_matrix(u), _matrix(v))).round(9)  # of equally far points the one with the smaller count is nearer
-                    n = np.array([r["n"] for r in v])
-                    at = [np.lexsort((n, row))[:k] for row in d]
-                    yield pd.DataFrame({"id": [r["id"] for r in u], "c": [[{"d": float(d[i, j]), "n": int(n[j])} for j in at[i]] for i in range(len(u))]})
-
-        few = _block_pairs(a, b, "id", "x", "n").mapInPandas(run, "id long, c array<struct<d:double,n:long>>")  # k of each block at most
-        best = few.groupBy("id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("c"))), 1, k).alias("c"))
-        return best.select("id", F.array_max(F.transform("c", lambda e: e["d"])).alias(f"r{name}"), F.aggregate("c", F.lit(0).cast("long"), lambda t, e: t + e["n"]).alias(f"k{name}"))
-
-    px, py = points(x), points(y)
+        """Of equally far points the one with the smaller count is nearer."""
+        met = knn_join(a.select("id", "x"), b, k, other="n")[0]
+        return met.groupBy("id").agg(F.max("dist").alias(f"r{name}"), F.sum("other").alias(f"k{name}"))
+
+    px, py = written(points(x), "points"), written(points(y), "points")
     j = nearest(px, px, k + 1, "p").join(nearest(px, py, k, "q"), "id")
     whole = j.agg(F.sum("kp").alias("sp"), F.sum("kq").alias("sq")).crossJoin(px.agg(F.max(F.size("x")).alias("dim")))  # one row
     p, q = F.col("kp") / F.col("sp"), F.col("kq") / F.col("sq")

@@ -15,6 +15,7 @@ from ..operators import codes as C
 from ..operators import drift as D
 from ..operators import evaluation as E
 from ..operators import learning as L
+from ..operators import neighbours as N
 from ..operators import ranking as R
 from ..operators import series as S
 from ..operators.tables import written
@@ -501,6 +502,14 @@ def _(spark, d):
     return D.knn_kl(*twice, digits=1).select(F.round("kl", 4).alias("kl"))
 
 
+@query("knn_join", "SELECT a, r AS rank, round(d, 6) AS dist, b FROM (SELECT a.vec_id AS a, b.vec_id AS b, round(list_distance(a.x, b.x), 9) AS d, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_distance(a.x, b.x), 9), b.vec_id) AS r FROM ser a, ser b WHERE a.vec_id % 4 = 0 AND b.vec_id % 4 <> 0) WHERE r <= 3", (SER,))
+def _(spark, d):
+    """The three nearest of all other series for every fourth."""
+    s = S.series(spark, d).select(F.col("vec_id").alias("id"), "x")
+    met, _ = N.knn_join(s.filter("id % 4 = 0"), s.filter("id % 4 <> 0"), 3)
+    return met.select(F.col("id").alias("a"), F.col("rank").cast("long").alias("rank"), r6("dist").alias("dist"), F.col("other").alias("b"))
+
+
 @query("drift_point_stats", "SELECT round(avg(value) FILTER (seq >= 500) - avg(value) FILTER (seq < 500), 6) AS mean_change, round(var_pop(value) FILTER (seq >= 500) - var_pop(value) FILTER (seq < 500), 6) AS variance_change, round(regr_slope(value, seq) FILTER (seq >= 480 AND seq < 500), 6) AS slope_before, round(regr_slope(value, seq) FILTER (seq >= 500 AND seq < 520), 6) AS slope_after, round(regr_slope(value, seq) FILTER (seq >= 500 AND seq < 520) - regr_slope(value, seq) FILTER (seq >= 480 AND seq < 500), 6) AS slope_change FROM str WHERE seq >= 450 AND seq < 550", (STR,))
 def _(spark, d):
     return D.drift_point_stats(S.stream(spark, d), 500).select(*[r6(c).alias(c) for c in ("mean_change", "variance_change", "slope_before", "slope_after", "slope_change")])
