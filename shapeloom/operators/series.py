@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import arrays as A
+from ..functions.dtw import dtw_features, nearest_by_dtw
 from .ranges import ranked
 
 QUANT = 6
@@ -86,10 +87,30 @@ def _normalised(w: np.ndarray) -> np.ndarray:
     return (w - w.mean(axis=-1, keepdims=True)) / (w.std(axis=-1, keepdims=True) + A.EPS)
 
 
-def feature_matrix(rows: DataFrame, dictionary: DataFrame, znorm: bool = True) -> DataFrame:
-    """features: the distances of a series in dictionary order, computed row by row in Arrow batches with strided windows. They are
-    infinite where the atom is longer than the series, or the series null."""
-    return _with_distances(rows, atoms_of(dictionary)[1], znorm)
+def feature_matrix(rows: DataFrame, dictionary: DataFrame, znorm: bool = True, metric: str = "euclidean") -> DataFrame:
+    """features: the distances of a series in dictionary order, computed in Arrow batches. metric: euclidean is the least distance over the
+    places of the atom, infinite where it is longer than the series, or the series null; dtw warps the whole series to the atom."""
+    atoms = atoms_of(dictionary)[1]
+    if metric == "dtw":
+        return dtw_features(rows, atoms)
+    if metric != "euclidean":
+        raise ValueError(f"unknown metric {metric!r}: use euclidean or dtw")
+    return _with_distances(rows, atoms, znorm)
+
+
+def nearest_atom(rows: DataFrame, dictionary: DataFrame, metric: str = "euclidean", band: float = 0.9) -> DataFrame:
+    """rows with pos, shapelet_label and dist of the nearest atom (ties: the first); null where there is none, as for a null series."""
+    names, atoms = atoms_of(dictionary, "label")
+    if metric == "dtw":
+        near = nearest_by_dtw(rows, atoms, band).withColumn("_k", F.col("nearest.k")).withColumn("dist", F.col("nearest.dist")).drop("nearest")
+    elif metric == "euclidean":
+        near = _with_distances(rows, atoms, False).withColumn("dist", F.array_min("features")).withColumn("_k", F.array_position("features", F.col("dist")) - 1)
+        near = near.withColumns({c: F.when(~F.isnan("dist") & (F.col("dist") < float("inf")), F.col(c)) for c in ("_k", "dist")}).drop("features")
+    else:
+        raise ValueError(f"unknown metric {metric!r}: use euclidean or dtw")
+    kind = "array<struct<pos:bigint,shapelet_label:string>>"
+    names = F.array(*[F.struct(F.lit(r["pos"]).alias("pos"), F.lit(r["label"]).alias("shapelet_label")) for r in names]).cast(kind)
+    return near.withColumn("_n", F.get(names, F.col("_k").cast("int"))).select(*rows.columns, "_n.pos", "_n.shapelet_label", "dist")
 
 
 def _with_distances(rows: DataFrame, atoms: list[np.ndarray], znorm: bool) -> DataFrame:

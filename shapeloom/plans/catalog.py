@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import arrays as A
-from ..functions.dtw import dtw_udf
 from ..operators import codes as C
 from ..operators import drift as D
 from ..operators import evaluation as E
@@ -155,10 +154,26 @@ def _(spark, d):
     return S.stream(spark, d).select("seq", r6(A.interpolate(F.col("value"), F.col("value") * 2, a)).alias("v"), r6(A.percent_gain(F.col("value"), F.lit(1.0))).alias("gain"))
 
 
-@query("dtw_transform")
+#: Warped distances: a row of the table at each step of the recursion, in which each cell is its cost and the least of the three before it.
+WARP = """warp AS (SELECT vec_id, label, pos, shapelet_label, x, s, greatest(CAST(floor(greatest(len(x), len(s)) * 0.9) AS BIGINT), abs(len(x) - len(s))) AS reach, 0 AS i, list_prepend(0.0::DOUBLE, list_transform(s, lambda v: 'inf'::DOUBLE)) AS r FROM (SELECT v.vec_id, v.label, d.pos, d.label AS shapelet_label, v.x, d.s FROM ser v, dic d)
+  UNION ALL SELECT vec_id, label, pos, shapelet_label, x, s, reach, i + 1, list_reduce(list_prepend(['inf'::DOUBLE], list_transform(range(1, len(s) + 1), lambda j: [CASE WHEN abs(i + 1 - j) > reach THEN 'inf'::DOUBLE ELSE (x[i + 1] - s[j]) ** 2 END, least(r[j], r[j + 1])])), lambda a, e: list_append(a, e[1] + least(a[len(a)], e[2]))) FROM warp WHERE i < len(x)),
+warped AS (SELECT vec_id, label, pos, shapelet_label, sqrt(r[len(r)]) AS dist FROM warp WHERE i = len(x))"""
+
+
+@query("dtw_transform", "SELECT vec_id, label, pos, round(dist, 6) AS dist FROM warped", (SER, RANKED, DIC, WARP))
+def _(spark, d):
+    m = S.feature_matrix(S.series(spark, d), dictionary(spark, d), metric="dtw")
+    return m.select("vec_id", "label", F.posexplode("features").alias("pos", "dist")).select("vec_id", "label", F.col("pos").cast("long").alias("pos"), r6("dist").alias("dist"))
+
+
+@query("dtw_nearest", "SELECT vec_id, label, arg_min(pos, (round(dist, 9), pos)) AS pos, arg_min(shapelet_label, (round(dist, 9), pos)) AS shapelet_label, round(min(dist), 6) AS dist FROM warped GROUP BY vec_id, label", (SER, RANKED, DIC, WARP))
 def _(spark, d):
-    pairs = S.series(spark, d).crossJoin(F.broadcast(dictionary(spark, d).select("pos", "s")))
-    return pairs.select("vec_id", "label", "pos", r6(dtw_udf()("x", "s")).alias("dist"))
+    got = S.nearest_atom(S.series(spark, d), dictionary(spark, d), metric="dtw")
+    return got.select("vec_id", "label", "pos", "shapelet_label", r6("dist").alias("dist"))
+
+
+for _name in ("dtw_transform", "dtw_nearest"):
+    SQL[_name] = SQL[_name].replace("WITH ", "WITH RECURSIVE ", 1)
 
 
 # --- windows and splits -----------------------------------------------------------------------------------------------------------
