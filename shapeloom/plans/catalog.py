@@ -749,6 +749,37 @@ def _(spark, d):
     return got.withColumns({"accuracy": r6("accuracy"), "kappa": r6("kappa")})
 
 
+@query("mlp_before_and_after")
+def _(spark, d):
+    """Distance features in batches of 100 series; the perceptron's accuracy on each before and after it learns it."""
+    from ..operators import neural
+
+    bank = dictionary(spark, d)
+    rows = S.feature_matrix(S.series(spark, d), bank).select(F.floor(F.col("vec_id") / 100).alias("batch"), F.col("vec_id").alias("id"), "features", F.col("label").cast("long").alias("target"))
+    classes = S.series(spark, d).agg(F.max(F.col("label").cast("long"))).first()[0] + 1
+    scored, _ = neural.learn_in_batches(rows, neural.Perceptron(bank.count(), classes))
+    return E.before_and_after(scored).select("batch", r6("accuracy_before").alias("accuracy_before"), r6("accuracy_after").alias("accuracy_after"))
+
+
+@query("grid_cross_validation")
+def _(spark, d):
+    """Mean held-out accuracy over three folds for each size, share and penalty of the dictionaries."""
+    from ..operators import estimators
+
+    found = estimators.cross_validated(estimators.shapelet_classifier("logistic"), S.series(spark, d), [2, 3], [0.25], [0.1, 1.0])[1]
+    return found.withColumn("accuracy", r6("accuracy"))
+
+
+@query("offline_learned")
+def _(spark, d):
+    """Dictionaries learned from the train part, a forest on distances to them, and its predictions on the held-out part."""
+    from ..operators import estimators
+
+    rows = S.stratified_split(S.series(spark, d), 0.3, "vec_id")
+    fit = estimators.shapelet_classifier("forest").fit(rows.filter("not is_test"))
+    return fit.transform(rows.filter("is_test")).select("vec_id", "label", F.col("prediction").cast("long").alias("prediction"))
+
+
 def _replayed(policy: str):
     def run(spark, d):
         from ..streaming.prequential import Loop, replay
