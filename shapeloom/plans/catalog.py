@@ -185,6 +185,17 @@ def _(spark, d):
     return w.select("label", "start", F.size("x").cast("long").alias("size"), r6(A.total(F.col("x"))).alias("total"))
 
 
+@query("sql_sliding_windows", SQL["sliding_windows"])
+def _(spark, d):
+    """The same windows by a table function in SQL."""
+    from ..functions import tables
+
+    tables.register(spark)
+    S.stream(spark, d).select("label", "seq", "value").createOrReplaceTempView("shapeloom_stream")
+    w = spark.sql("SELECT * FROM cut_windows(TABLE(shapeloom_stream), 100, 20, 1000)")
+    return w.select("label", "start", F.size("x").cast("long").alias("size"), r6(A.total(F.col("x"))).alias("total"))
+
+
 @query("trailing_windows", "SELECT label, seq, round(list_sum(w), 6) AS total FROM (SELECT *, list(value) OVER (PARTITION BY label ORDER BY seq ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS w FROM num) WHERE len(w) = 10", (STR, NUM))
 def _(spark, d):
     return S.trailing_windows(S.stream(spark, d), 10).select("label", "seq", r6(A.total(F.col("x"))).alias("total"))
@@ -430,6 +441,21 @@ def _(spark, d):
     return s.select("k", F.posexplode("s").alias("i", "v")).select("k", F.col("i").cast("long").alias("i"), r6("v").alias("v"))
 
 
+@query("mat_round_trip")
+def _(spark, d):
+    """The series with their ids and labels, written as MAT-files into a new folder, which stays, and read back."""
+    from ..operators.tables import shared_folder
+    from ..sources import mat
+
+    mat.register(spark)
+    folder = shared_folder(spark, "mat")
+    rows = S.series(spark, d).select(F.concat(F.array(F.col("vec_id").cast("double"), F.col("label").cast("double")), F.col("x")).alias("values"))
+    rows.write.format("mat").mode("append").save(folder)
+    back = spark.read.format("mat").load(folder)
+    v = F.col("values")
+    return back.select(v[0].cast("long").alias("vec_id"), v[1].cast("long").cast("string").alias("label"), F.slice(v, 3, 1 << 20).alias("x"))
+
+
 @query("learn_dictionary")
 def _(spark, d):
     return L.learn_dictionaries(S.series(spark, d), k=3, share=0.25)
