@@ -1,9 +1,11 @@
-"""Exact dedup by two-pass Bloom filtering, with DataFrame functions only.
-
-Pass one sets a bit for every row's normalised text in a table of 2**TABLE_LOG2 bits that is never held in one place: its bits are dealt
-over the shuffle, where the places that two rows or more reach are left. Pass two puts these places, which are as many as there are
-repeated texts, into a Bloom filter and tests every row against it: a row that isn't in it is unique and goes straight to the result,
-and only the others, which are possibly repeated, are shuffled by digest.
+"""Exact dedup in two passes, the second a Bloom filter, with DataFrame functions only.
+
+Pass one isn't a Bloom filter: it counts the rows of each 44-bit hash of the normalised text, exactly, so that it shuffles a hash for every
+row (tasks count first; about 8 bytes a row, nothing of the text). A filter of bits that are set twice can't be made of DataFrame functions where
+the rows are: two tasks that set the same bit can only be told by its count, not by the union of their filters, and the union is
+all that there are aggregates for. Pass two puts the hashes of two rows or more, as many as there are repeated texts, into a Bloom filter and
+tests every row against it: a row that isn't in it is unique and goes straight to the result, and only the others, which are possibly
+repeated, are shuffled by digest.
 """
 
 from __future__ import annotations

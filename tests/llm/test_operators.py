@@ -148,6 +148,27 @@ def test_quality(spark, rows, docs, empty):
     assert none.score(np.zeros((2, len(quality_trees.FEATURES)))).min() >= none.threshold
 
 
+def test_quality_scores_against_a_walk_over_the_nodes(spark, docs):
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(0, 50)], "doc_id long, quality int, toxic int")
+    model = quality_trees.train(docs, labels)
+    for r in quality_trees.apply_rules(quality_trees.measure(docs, model=model), model.threshold).collect():
+        total = model.base
+        for k in model.roots:
+            while model.feature[k] >= 0:
+                k = model.left[k] if r._features[model.feature[k]] <= model.cut[k] else model.right[k]
+            total += model.value[k]
+        score = 1 / (1 + np.exp(-total))
+        assert r._score == pytest.approx(score) and r._kept == (not r._base_failed and r._score >= model.threshold)
+
+
+def test_quality_of_long_texts(monkeypatch):
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice(["a", "b", "é", "##", "\n", "\t", "word%d" % rng.randrange(50)]) for _ in range(n)) for n in (3, 4, 5, 6, 40, 900)] + ["x" * 500, " " * 300, "a b c d e " * 60]
+    want = [quality_trees.statistics(t) for t in texts]
+    monkeypatch.setattr(quality_trees, "PIECE", 16)
+    assert [quality_trees.statistics(t) for t in texts] == want and [w[0][:5] for w in want] == [plain_statistics(t) for t in texts]
+
+
 def test_quality_trees_learn_and_stay_monotone():
     rng = np.random.default_rng(0)
     x = rng.random((600, 3))
@@ -444,6 +465,29 @@ def test_language_filters_agree_with_exact_sets(spark):
             assert lang == max(model.langs, key=lambda k: right[k]) and score == pytest.approx(max(right.values()) / sum(right.values()))
 
 
+def test_language_filters_hold_the_ngrams_of_plain_counts():
+    rng = random.Random(6)
+    texts = {lang: [" ".join("".join(rng.choice(letters) for _ in range(rng.randint(2, 7))) for _ in range(80)) for _ in range(12)] for lang, letters in {"xx": "abcdeé", "yy": "cdefgh", "zz": "hijkl漢"}.items()}
+    count = {lang: Counter() for lang in texts}
+    for lang, own in texts.items():
+        for t in own:
+            b = lang_bloom._letters(t)
+            count[lang].update(b[k : k + s] for s in lang_bloom.SIZES for k in range(len(b) - s + 1))
+    number = lambda g: int.from_bytes(g) | len(g) << 32
+    rate = {lang: {g: n / sum(c.values()) for g, n in c.items()} for lang, c in count.items()}
+    top = {g: max(r.get(g, 0) for r in rate.values()) for c in count.values() for g in c}
+    exact = {lang: {g for g, n in c.items() if n >= 2 and rate[lang][g] >= 0.25 * top[g]} for lang, c in count.items()}
+    given = {lang: (np.array(sorted(map(number, c)), dtype=np.uint64), np.array([n for _, n in sorted((number(g), n) for g, n in c.items())])) for lang, c in count.items()}
+    model = lang_bloom.LanguageFilter.fit(given, slots_log2=16)
+    every = sorted(top)
+    masks = model.masks(np.array([number(g) for g in every], dtype=np.uint64))[0]
+    for j, lang in enumerate(model.langs):
+        found = {g for g, m in zip(every, masks) if int(m) >> j & 1}
+        assert exact[lang] <= found  # a filter forgets nothing
+        others = len(every) - len(exact[lang])
+        assert abs(len(found - exact[lang]) - model.false_rate[j] * others) <= 3 * max(1, (model.false_rate[j] * others) ** 0.5) + 3
+
+
 def test_pipeline(spark):
     import sentencepiece
 
@@ -467,3 +511,6 @@ def test_pipeline(spark):
         best[r.doc_id] = best.get(r.doc_id, 0) + 1
         assert r.ids == sp.encode(text[r.doc_id], add_eos=True)
     assert set(best) <= near and max(best.values()) <= 3
+    kept = corpus_pipeline.near_dedup(spark, corpus_pipeline.exact_dedup(spark, lang, sf), sf)
+    assert {r.doc_id for r in kept.collect()} == near  # no clean document goes, no copy stays
+    assert Counter(r.doc_id for r in corpus_pipeline.mix_sources(spark, kept, sf).collect()) == best
