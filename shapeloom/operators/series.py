@@ -180,13 +180,18 @@ def _cut_at(rows: DataFrame, starts: DataFrame, window: int) -> DataFrame:
     return same_key_join(wanted, chunks(numbered(rows), window).drop("n"), ["label", "c"]).select("label", "k", "start", _cut(F.col("start"), window).alias("x"))
 
 
+def _drawn(*columns) -> F.Column:
+    """A number of 48 bits by the md5 of the columns, which other engines have as well; nulls are skipped."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *[c.cast("string") for c in columns])), 1, 12), 16, 10).cast("long")
+
+
 def random_windows(rows: DataFrame, window: int, most: int, seed: int = 0) -> DataFrame:
     """label, k, start, x: `most` windows per label of 2 * (window // 2) rows about centres drawn in [window // 2, n - window // 2); labels
     with n <= window have none. Draws are hashes of (label, k, seed)."""
     half = window // 2
     n = rows.groupBy("label").agg(F.count("*").alias("n")).filter(F.col("n") > window)
     draws = n.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(most))))
-    draws = draws.withColumn("start", F.pmod(F.xxhash64("label", "k", F.lit(seed)), F.col("n") - 2 * half))
+    draws = draws.withColumn("start", F.pmod(_drawn(F.col("label"), F.col("k"), F.lit(seed)), F.col("n") - 2 * half))
     return _cut_at(rows, draws, 2 * half)
 
 
@@ -196,7 +201,7 @@ def bootstrapped_windows(rows: DataFrame, window: int, step: int, most: int, see
     n = rows.groupBy("label").agg(F.count("*").alias("n")).filter(F.col("n") > window)
     last = F.col("n") - window - 1
     passes = n.withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(most - 1))))
-    passes = passes.withColumn("from", F.when(F.col("pass") == 0, 0).otherwise(F.pmod(F.xxhash64("label", "pass", F.lit(seed)), F.least(F.lit(step), F.col("n") - window))))
+    passes = passes.withColumn("from", F.when(F.col("pass") == 0, 0).otherwise(F.pmod(_drawn(F.col("label"), F.col("pass"), F.lit(seed)), F.least(F.lit(step), F.col("n") - window))))
     passes = passes.withColumn("count", F.floor((last - F.col("from")) / step) + 1)  # of a pass; no more starts are made than are wanted
     ahead = Window.partitionBy("label").orderBy("pass").rowsBetween(Window.unboundedPreceding, -1)
     passes = passes.withColumn("before", F.coalesce(F.sum("count").over(ahead), F.lit(0))).filter(F.col("before") < most)

@@ -201,14 +201,21 @@ def _(spark, d):
     return S.trailing_windows(S.stream(spark, d), 10).select("label", "seq", r6(A.total(F.col("x"))).alias("total"))
 
 
-@query("random_windows")
+DRAW = "CAST('0x' || left(md5(concat_ws('|', label, {k}, 1)), 12) AS BIGINT)"
+
+
+@query("random_windows", "SELECT d.label, d.k, d.start, list(value ORDER BY rn) AS x FROM (SELECT label, k, " + DRAW.format(k="k") + " % (n - 50) AS start FROM (SELECT DISTINCT label, n FROM num WHERE n > 50), range(1, 41) t(k)) d JOIN num ON num.label = d.label AND rn >= start AND rn < start + 50 GROUP BY ALL", (STR, NUM))
 def _(spark, d):
-    return S.compile_windows(S.stream(spark, d), "random", 50, most=40, seed=1)
+    return S.compile_windows(S.stream(spark, d), "random", 50, most=40, seed=1).withColumn("k", F.col("k").cast("long"))
+
+
+BOOT = """pass AS (SELECT label, n, p, CASE WHEN p = 0 THEN 0 ELSE """ + DRAW.format(k="p") + """ % least(25, n - 50) END AS first FROM (SELECT DISTINCT label, n FROM num WHERE n > 50), range(200) t(p)),
+starts AS (SELECT label, start, row_number() OVER (PARTITION BY label ORDER BY p, start) AS k FROM (SELECT label, p, unnest(range(first, n - 50, 25)) AS start FROM pass))"""
 
 
-@query("bootstrapped_windows")
+@query("bootstrapped_windows", "SELECT s.label, s.k, s.start, list(value ORDER BY rn) AS x FROM starts s JOIN num ON num.label = s.label AND rn >= start AND rn < start + 50 WHERE k <= 200 GROUP BY ALL", (STR, NUM, BOOT))
 def _(spark, d):
-    return S.compile_windows(S.stream(spark, d), "bootstrapped", 50, 25, 200, seed=1)
+    return S.compile_windows(S.stream(spark, d), "bootstrapped", 50, 25, 200, seed=1).withColumn("k", F.col("k").cast("long"))
 
 
 @query("half_split", "SELECT event_id, label, rn < n // 2 AS is_train FROM num", (STR, NUM))
@@ -787,6 +794,22 @@ def _(spark, d):
     return E.before_and_after(scored).select("batch", r6("accuracy_before").alias("accuracy_before"), r6("accuracy_after").alias("accuracy_after"))
 
 
+@query("boosted_trees")
+def _(spark, d):
+    """Every fourth series is a stream of its own; an ensemble for each predicts the label of a series before it learns it."""
+    from ..operators.forest import Settings
+    from ..streaming import feed
+    from ..streaming.online_forest import boosted_predictions
+
+    folder = feed.new_folder(spark, "boosted")
+    rows = S.series(spark, d).select((F.col("vec_id") % 4).alias("key"), F.col("vec_id").alias("seq"), F.col("label").cast("long").alias("target"), A.znorm(F.col("x")).alias("features"))
+    feed.lay_out(rows.withColumn("part", F.floor(F.col("seq") / 4096)), "part", folder)
+    classes = rows.agg(F.max("target")).first()[0] + 1
+    feed.run_to_end(boosted_predictions(feed.stream_of(spark, folder, rows.schema), Settings(classes=classes)), folder, "out")
+    got = spark.read.schema("key long, seq long, prediction long").parquet(f"{folder}/out")
+    return got.join(rows.select("seq", "target"), "seq").select("key", "seq", "target", "prediction")
+
+
 @query("grid_cross_validation")
 def _(spark, d):
     """Mean held-out accuracy over three folds for each size, share and penalty of the dictionaries."""

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import pickle
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -16,7 +17,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators import learning, series
 from ..operators.evaluation import running_scores
-from ..operators.forest import Member, Settings
+from ..operators.forest import HoeffdingTree, Member, Settings
 from ..operators.tables import written
 from . import feed
 
@@ -115,3 +116,58 @@ def _normalised(x: str):
     from ..functions import arrays as A
 
     return A.znorm(F.col(x))
+
+
+@dataclass
+class Boosted:
+    """Online boosting of Hoeffding trees: a row's weight goes from tree to tree, larger after a tree that has it wrong, smaller after one that
+    has it right, and each learns it as often as a Poisson draw of that weight says. A tree's vote is the logarithm of its odds."""
+
+    settings: Settings
+
+    def __post_init__(self):
+        self.members = [HoeffdingTree(self.settings, t) for t in range(self.settings.trees)]
+        self.right, self.wrong = np.zeros(len(self.members)), np.zeros(len(self.members))
+
+    def vote(self, x: np.ndarray) -> np.ndarray:
+        total = np.zeros(self.settings.classes)
+        for tree, r, w in zip(self.members, self.right, self.wrong):
+            odds = 1.0 if r + w == 0 else np.log((r + 1e-9) / (w + 1e-9))
+            total[int(tree.shares(x).argmax())] += max(odds, 0.0)
+        return total
+
+    def learn(self, x: np.ndarray, y: int, number: int) -> None:
+        weight, draws = 1.0, np.random.default_rng([self.settings.seed, number])
+        for k, tree in enumerate(self.members):
+            if (times := draws.poisson(weight)) > 0:
+                tree.learn(x, y, float(times))
+            if int(tree.shares(x).argmax()) == y:
+                self.right[k] += weight
+                weight *= (self.right[k] + self.wrong[k]) / (2 * self.right[k])
+            else:
+                self.wrong[k] += weight
+                weight *= (self.right[k] + self.wrong[k]) / (2 * self.wrong[k])
+
+
+class BoostProcessor(TreeProcessor):
+    """An ensemble of a key, whose trees learn one after the other: keys are spread over tasks, the trees of one can't be."""
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        held = pickle.loads(self.state.get()[0]) if self.state.exists() else Boosted(self.settings)
+        own, out = pd.concat(list(rows)).sort_values("seq", kind="stable"), []
+        for number, y, x in zip(own.seq, own.target, own.features):
+            x = np.asarray(x if x is not None else (), dtype=float)
+            out.append((key[0], int(number), int(held.vote(x).argmax()) if len(x) else None))
+            if y is not None and not pd.isna(y) and len(x):
+                held.learn(x, int(y), int(number))
+        self.state.update((pickle.dumps(held),))
+        yield pd.DataFrame(out, columns=["key", "seq", "prediction"]).astype({"prediction": "Int64"})
+
+
+def boosted_predictions(stream: DataFrame, settings: Settings) -> DataFrame:
+    """key, seq, prediction of each row of a streaming frame (key, seq, target, features), before the key's ensemble learns it.
+
+    Cases as forest_votes; a row without features has no prediction."""
+    kind = dict(stream.dtypes)["key"]
+    each = stream.select("key", "seq", F.col("target").cast("long").alias("target"), "features")
+    return each.groupBy("key").transformWithStateInPandas(BoostProcessor(settings), f"key {kind}, seq long, prediction long", "Append", "None")

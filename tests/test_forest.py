@@ -105,3 +105,34 @@ def test_class_incremental_run(spark):
     assert [r.seq for r in got] == list(range(len(got))) and {r.atoms for r in got if r.epoch < 3} == {4} and {r.atoms for r in got if r.epoch >= 3} == {8}
     assert {r.label for r in got if r.epoch < 3} == {"a", "b"} and got[-1].accuracy == pytest.approx(np.mean([r.label == r.prediction for r in got]))
     assert np.mean([r.label == r.prediction for r in got if r.epoch == 2]) > 0.8
+
+
+def test_boosted_streams_equal_plain_loops(spark):
+    x, y = blobs(600)
+    rows = [("uvw"[k % 3], k, int(c), v.tolist(), k // 200) for k, (v, c) in enumerate(zip(x, y))] + [("u", 600, 1, None, 2), ("u", 601, None, x[0].tolist(), 2)]
+    s, folder = Settings(classes=3, trees=5, grace=20, seed=9), feed.new_folder(spark, "boost")
+    df = spark.createDataFrame(rows, "key string, seq long, target long, features array<double>, part long").repartition(4)
+    feed.lay_out(df, "part", folder)
+    feed.run_to_end(online_forest.boosted_predictions(feed.stream_of(spark, folder, df.schema), s), folder, "out")
+    got = {r.seq: r.prediction for r in spark.read.parquet(f"{folder}/out").collect()}
+    want, held = {600: None}, {k: online_forest.Boosted(s) for k in "uvw"}
+    for key, seq, target, features, _ in rows:
+        if features is not None:
+            want[seq] = int(held[key].vote(np.array(features)).argmax())
+            if target is not None:
+                held[key].learn(np.array(features), target, seq)
+    assert got == want and np.mean([want[r[1]] == r[2] for r in rows[300:600]]) > 0.8
+
+
+def test_boosting_weighs_by_errors():
+    """By the published rule: with n rows seen, the weights that trees have right and wrong halve apart after each tree."""
+    x, y = blobs(200)
+    one = online_forest.Boosted(Settings(classes=3, trees=3, grace=20, seed=2))
+    for k in range(200):
+        right, wrong = one.right.copy(), one.wrong.copy()
+        one.learn(x[k], int(y[k]), k)
+        weight = 1.0
+        for t in range(3):
+            hit = one.right[t] > right[t]
+            assert (one.right[t] - right[t] + one.wrong[t] - wrong[t]) == pytest.approx(weight)
+            weight *= (one.right[t] + one.wrong[t]) / (2 * (one.right[t] if hit else one.wrong[t]))
