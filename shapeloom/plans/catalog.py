@@ -118,19 +118,24 @@ def _(spark, d):
     return R.atom_pairs(dictionary(spark, d), dictionary(spark, d, 3, 4)).withColumn("dist", r6("dist"))
 
 
-@query("euclidean_within", "SELECT v.vec_id, CASE WHEN list_distance(v.x[1:16], d.s) ** 2 > 2 THEN NULL ELSE round(list_distance(v.x[1:16], d.s), 6) END AS dist FROM ser v, dic d WHERE d.pos = 0", (SER, RANKED, DIC))
+ONE = "one AS (SELECT x AS y FROM ser WHERE vec_id = (SELECT min(vec_id) FROM ser))"
+
+
+def _beside_first(spark, d) -> DataFrame:
+    """Every series beside that of the smallest id, which is one row."""
+    rows = S.series(spark, d)
+    return rows.crossJoin(F.broadcast(rows.select(F.min(F.struct("vec_id", "x")).alias("m")).select(F.col("m.x").alias("y"))))
+
+
+@query("euclidean_within", "SELECT vec_id, CASE WHEN list_distance(x, y) ** 2 > 2 THEN NULL ELSE round(list_distance(x, y), 6) END AS dist FROM ser, one", (SER, ONE))
 def _(spark, d):
-    one = dictionary(spark, d).filter("pos = 0").select("s")
-    j = S.series(spark, d).crossJoin(F.broadcast(one))
-    e = A.euclidean_within(F.slice("x", 1, 16), F.col("s"), 2.0)
-    return j.select("vec_id", F.when(e == float("inf"), None).otherwise(r6(e)).alias("dist"))
+    e = A.euclidean_within(F.col("x"), F.col("y"), 2.0)
+    return _beside_first(spark, d).select("vec_id", F.when(e == float("inf"), None).otherwise(r6(e)).alias("dist"))
 
 
-@query("strided_distance", "SELECT v.vec_id, round(list_distance(list_transform(range(0, 4), lambda i: v.x[i * 4 + 1]), list_transform(range(0, 4), lambda i: d.s[i * 4 + 1])), 6) AS dist FROM ser v, dic d WHERE d.pos = 0", (SER, RANKED, DIC))
+@query("strided_distance", "SELECT vec_id, round(list_distance(list_transform(range(0, 16), lambda i: x[i * 4 + 1]), list_transform(range(0, 16), lambda i: y[i * 4 + 1])), 6) AS dist FROM ser, one", (SER, ONE))
 def _(spark, d):
-    one = dictionary(spark, d).filter("pos = 0").select("s")
-    j = S.series(spark, d).crossJoin(F.broadcast(one))
-    return j.select("vec_id", r6(A.euclidean(A.strided(F.slice("x", 1, 16), 0.25), A.strided(F.col("s"), 0.25))).alias("dist"))
+    return _beside_first(spark, d).select("vec_id", r6(A.euclidean(A.strided(F.col("x"), 0.25), A.strided(F.col("y"), 0.25))).alias("dist"))
 
 
 @query("segments", "SELECT vec_id, i AS start, round(list_sum(x[i + 1 : i + 16]), 6) AS total FROM (SELECT vec_id, x, unnest(range(0, len(x) - 15)) AS i FROM ser)", (SER,))
@@ -391,10 +396,12 @@ def _(spark, d):
     return R.new_classes(s.filter("seq >= 5"), s.filter("seq < 5"))
 
 
-@query("seen_classes", "SELECT label FROM str WHERE seq < 3 UNION SELECT label FROM str WHERE seq BETWEEN 3 AND 5", (STR,))
+@query("seen_classes", "SELECT label FROM str WHERE seq < (SELECT count(*) FROM str) // 2 UNION SELECT label FROM str", (STR,))
 def _(spark, d):
+    """The labels of the first half of the stream and of the rest."""
     s = S.stream(spark, d)
-    return R.seen_classes(s.filter("seq < 3"), s.filter("seq between 3 and 5"))
+    half = s.count() // 2
+    return R.seen_classes(s.filter(F.col("seq") < half), s.filter(F.col("seq") >= half))
 
 
 @query("distinct_labels", "SELECT event_type AS label, count(*) AS n, (SELECT count(DISTINCT event_type) FROM events) AS classes FROM events GROUP BY event_type")
@@ -663,60 +670,96 @@ def _(spark, d):
     return out
 
 
-@query("coef_unpivot", "SELECT batch, variable, round(value, 6) AS value FROM (SELECT series_id // 100 AS batch, 'w' || k AS variable, avg(a) AS value FROM cof WHERE k < 4 GROUP BY ALL)", (SER, RANKED, DIC, CODES))
+@query("coef_unpivot", "SELECT series_id // 100 AS batch, 'w' || k AS variable, round(avg(a), 6) AS value FROM cof GROUP BY ALL", (SER, RANKED, DIC, CODES))
 def _(spark, d):
-    wide = codes(spark, d).filter("k < 4").withColumn("batch", F.floor(F.col("series_id") / 100)).groupBy("batch").pivot("k", [0, 1, 2, 3]).agg(F.avg("a")).toDF("batch", "w0", "w1", "w2", "w3")
-    return E.coefficients_long(wide, "batch", ["w0", "w1", "w2", "w3"]).select("batch", "variable", r6("value").alias("value"))
-
-
-#: Scores of five seeds per dataset, fixed values of a published table.
-SEEDS = [("ETTh", 0.807, 0.780, 0.768, 0.795, 0.835)]
+    names = [f"w{k}" for k in range(dictionary(spark, d).count())]  # an atom each
+    wide = codes(spark, d).withColumn("batch", F.floor(F.col("series_id") / 100)).groupBy("batch").pivot("k", list(range(len(names)))).agg(F.avg("a")).toDF("batch", *names)
+    return E.coefficients_long(wide, "batch", names).select("batch", "variable", r6("value").alias("value"))
 
 
-@query("seed_mean_std", "SELECT dataset, round(avg(v), 6) AS mean, round(stddev_samp(v), 6) AS std FROM (VALUES " + ", ".join(f"('{r[0]}', {v}::DOUBLE)" for r in SEEDS for v in r[1:]) + ") t(dataset, v) GROUP BY dataset")
+@query("seed_mean_std", "SELECT dataset, round(avg(v), 6) AS mean, round(stddev_samp(v), 6) AS std FROM (SELECT c_mktsegment AS dataset, c_custkey % 5 AS seed, avg(c_acctbal) AS v FROM customer GROUP BY ALL) GROUP BY dataset")
 def _(spark, d):
-    rows = spark.createDataFrame(SEEDS, "dataset string, s1 double, s2 double, s3 double, s4 double, s5 double")
-    return E.seed_mean_std(rows, "dataset", ["s1", "s2", "s3", "s4", "s5"]).select("dataset", r6("mean").alias("mean"), r6("std").alias("std"))
+    """Five scores of each segment, one for each fifth of its customers, in as many columns."""
+    c = spark.read.parquet(f"{d}/customer.parquet").select(F.col("c_mktsegment").alias("dataset"), (F.col("c_custkey") % 5).alias("seed"), F.col("c_acctbal").cast("double").alias("v"))
+    wide = c.groupBy("dataset").pivot("seed", [0, 1, 2, 3, 4]).agg(F.avg("v")).toDF("dataset", "s1", "s2", "s3", "s4", "s5")
+    return E.seed_mean_std(wide, "dataset", ["s1", "s2", "s3", "s4", "s5"]).select("dataset", r6("mean").alias("mean"), r6("std").alias("std"))
 
 
 # --- generators, models, the online loop ------------------------------------------------------------------------------------------
 
 PARAMS = [[0.6, 0.2], [-0.4, 0.3], [0.2, -0.5]]
+#: Rows of the stream that drive one AR process, and where its parameters change.
+AR_ROWS, AR_POINTS, AR_WIDTH, AR_WINDOW = 1000, [350, 700], 100, 50
 
 
-@query("ar_abrupt")
-def _(spark, d):
-    from ..sources import generators as G
+def _ar_sql(width: int) -> str:
+    """Regimes, coefficients and the recurrence, for all processes at once."""
+    regime = " + ".join(f"least(1.0, greatest(0.0, (t - {p - width / 2}) / {width}.0))" if width else f"(t >= {p})::INT::DOUBLE" for p in AR_POINTS)
+    coef = ", ".join("(1 - (r - floor(r))) * {l}[least(floor(r), 2)::INT + 1] + (r - floor(r)) * {l}[least(floor(r) + 1, 2)::INT + 1] AS c{k}".format(l="[" + ", ".join(str(p[k]) for p in PARAMS) + "]", k=k) for k in (0, 1))
+    return f"""reg{width} AS (SELECT seq // {AR_ROWS} AS stream, seq % {AR_ROWS} AS t, coalesce(value, 0) / 100 AS e FROM str),
+cf{width} AS (SELECT stream, t, e, r, {coef} FROM (SELECT *, {regime} AS r FROM reg{width})),
+ar{width} AS (SELECT stream, t, e AS y, 0.0::DOUBLE AS y1, r FROM cf{width} WHERE t = 0 UNION ALL
+  SELECT c.stream, c.t, CASE WHEN c.t < 2 THEN c.e ELSE c.c0 * w.y + c.c1 * w.y1 + c.e END, w.y, c.r FROM ar{width} w JOIN cf{width} c ON c.stream = w.stream AND c.t = w.t + 1)"""
 
-    return G.windowed_ar(spark, 2000, PARAMS, [700, 1400], 100)
 
+def _ar_windows_sql(width: int) -> str:
+    cls = " + ".join(f"(t >= {p + AR_WINDOW + width})::INT" for p in AR_POINTS)
+    return f"SELECT stream, t AS time, round(list_sum(x), 4) AS total, {cls} AS class FROM (SELECT *, list(y) OVER (PARTITION BY stream ORDER BY t ROWS BETWEEN {AR_WINDOW - 1} PRECEDING AND CURRENT ROW) AS x FROM ar{width}) WHERE len(x) = {AR_WINDOW}"
 
-@query("ar_gradual")
-def _(spark, d):
+
+def _ar(spark, d, width: int) -> DataFrame:
     from ..sources import generators as G
 
-    return G.windowed_ar(spark, 3000, PARAMS, [1000, 2000], 100, width=200)
+    noise = S.stream(spark, d).select(F.floor(F.col("seq") / AR_ROWS).alias("stream"), (F.col("seq") % AR_ROWS).alias("time"), (F.coalesce("value", F.lit(0)) / 100).alias("noise"))
+    return G.ar_over(noise, PARAMS, AR_POINTS, width)
 
 
-@query("drift_comparison")
-def _(spark, d):
-    from ..sources import generators as G
+def _ar_windows(width: int):
+    def run(spark, d):
+        from ..sources import generators as G
 
-    return G.drift_comparison(spark, 5000, PARAMS, [1700, 3400], 300)
+        w = G.windows_of(_ar(spark, d, width), AR_POINTS, AR_WINDOW, width)
+        return w.select("stream", "time", F.round(A.total(F.col("x")), 4).alias("total"), F.col("class").cast("int").alias("class"))
+
+    return run
+
+
+query("ar_abrupt", _ar_windows_sql(0), (STR, _ar_sql(0)))(_ar_windows(0))
+query("ar_gradual", _ar_windows_sql(AR_WIDTH), (STR, _ar_sql(AR_WIDTH)))(_ar_windows(AR_WIDTH))
 
 
-@query("sea_stream")
+@query("drift_comparison", f"SELECT a.stream, a.t AS time, round(a.y, 6) AS abrupt_drift, round(g.y, 6) AS gradual_drift, a.r::INT AS abrupt_regime, round(g.r, 6) AS gradual_regime FROM ar0 a JOIN ar{AR_WIDTH} g USING (stream, t)", (STR, _ar_sql(0), _ar_sql(AR_WIDTH)))
 def _(spark, d):
+    """The same noise, with parameters that change at once and over a while."""
+    a, g = (_ar(spark, d, w).select("stream", "time", F.col("value").alias(f"{n}_drift"), F.col("regime").alias(f"{n}_regime")) for n, w in (("abrupt", 0), ("gradual", AR_WIDTH)))
+    return a.join(g, ["stream", "time"]).select("stream", "time", r6("abrupt_drift").alias("abrupt_drift"), r6("gradual_drift").alias("gradual_drift"), F.col("abrupt_regime").cast("int").alias("abrupt_regime"), r6("gradual_regime").alias("gradual_regime"))
+
+
+for _name in ("ar_abrupt", "ar_gradual", "drift_comparison"):
+    SQL[_name] = SQL[_name].replace("WITH ", "WITH RECURSIVE ", 1)
+
+SEA = """drawn AS (SELECT seq, (SELECT count(*) FROM str) AS n, """ + ", ".join(f"10 * (CAST('0x' || left(md5(concat_ws('|', event_id, {k})), 12) AS BIGINT) / 281474976710656.0) AS f{k}" for k in (1, 2, 3)) + """ FROM str),
+sea AS (SELECT *, (f1 + f2 <= [8.0, 9.0, 7.0][concept + 1])::INT AS class FROM (SELECT *, ((seq >= n // 3)::INT + (seq >= n * 2 // 3)::INT) % 3 AS concept FROM drawn))"""
+
+
+def _sea_rows(spark, d) -> DataFrame:
     from ..sources import generators as G
 
-    return G.sea_stream(spark, 10_000)
+    rows = S.stream(spark, d).select(F.col("seq").alias("time"), F.col("event_id").alias("key"))
+    return G.sea_over(rows, rows.count())
 
 
-@query("sea_windows")
+@query("sea_stream", "SELECT seq AS time, round(f1, 6) AS f1, round(f2, 6) AS f2, round(f3, 6) AS f3, concept, class FROM sea", (STR, SEA))
 def _(spark, d):
-    from ..sources import generators as G
+    return _sea_rows(spark, d).select("time", *[r6(f"f{k}").alias(f"f{k}") for k in (1, 2, 3)], "concept", "class")
+
 
-    return G.sea_windows(spark, 10_000, 100)
+@query("sea_windows", "SELECT seq AS time, round(list_sum(x), 4) AS total, concept, class FROM (SELECT *, list(f1) OVER (ORDER BY seq ROWS BETWEEN 99 PRECEDING AND CURRENT ROW) AS x FROM sea) WHERE len(x) = 100", (STR, SEA))
+def _(spark, d):
+    """Trailing windows of the first feature, cut from chunks of the stream."""
+    rows = written(_sea_rows(spark, d), "sea")
+    w = S.trailing_windows(rows.select(F.col("time").alias("seq"), F.lit("sea").alias("label"), F.col("f1").alias("value")), 100)
+    return w.select(F.col("seq").alias("time"), F.round(A.total(F.col("x")), 4).alias("total")).join(rows.select("time", "concept", "class"), "time")
 
 
 def _offline(name: str, kind: str = "distance"):

@@ -31,6 +31,36 @@ def ar_values(n: int, params: list[list[float]], points: list[int], width: int =
     return y, regime
 
 
+def ar_over(rows: DataFrame, params: list[list[float]], points: list[int], width: int = 0) -> DataFrame:
+    """stream, time, value, regime: AR processes that are driven by the noise of rows (stream, time from 0, noise), each stream in a task.
+
+    The first values are the noise itself; a null counts as 0. A stream's length is its caller's bound."""
+    order, table = len(params[0]), np.array(params, dtype=float)
+
+    def make(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("time")
+        regime = _regimes(int(g.time.max()) + 1, points, width)[g.time]
+        low = np.minimum(np.floor(regime).astype(int), len(table) - 1)
+        a = (regime - low)[:, None]
+        coef = (1 - a) * table[low] + a * table[np.minimum(low + 1, len(table) - 1)]
+        y = g.noise.fillna(0.0).to_numpy(dtype=float).copy()
+        for t in range(order, len(y)):
+            y[t] += coef[t] @ y[t - order : t][::-1]
+        return pd.DataFrame({"stream": g.stream, "time": g.time, "value": y, "regime": regime})
+
+    return rows.select("stream", "time", "noise").groupBy("stream").applyInPandas(make, "stream long, time long, value double, regime double")
+
+
+def windows_of(rows: DataFrame, points: list[int], window: int, width: int = 0) -> DataFrame:
+    """stream, time, x, class: trailing windows of each stream of ar_over(); the class is r + 1 once `window` (and `width`) steps have
+    passed since drift point r."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("stream").orderBy("time").rowsBetween(-(window - 1), 0)
+    cls = sum((F.when(F.col("time") >= p + window + width, 1).otherwise(0) for p in points), F.lit(0))
+    return rows.withColumn("x", F.collect_list("value").over(w)).filter(F.size("x") == window).select("stream", "time", "x", cls.alias("class"))
+
+
 def ar_stream(spark: SparkSession, n: int, params: list[list[float]], points: list[int], width: int = 0, noise: float = 1.0, seeds: tuple[int, ...] = (42,)) -> DataFrame:
     """stream, time, value, regime."""
 
@@ -81,6 +111,12 @@ def sea_stream(spark: SparkSession, n: int, drifts: int = 2, seed: int = 42, noi
     return _sea(rows, n, drifts, seed, noise)
 
 
+def sea_over(rows: DataFrame, n: int, drifts: int = 2) -> DataFrame:
+    """time, f1, f2, f3, concept, class of rows (time from 0 to n - 1, key): features uniform in [0, 10) by the md5 of the key."""
+    draw = lambda k: F.conv(F.substring(F.md5(F.concat_ws("|", F.col("key").cast("string"), F.lit(k))), 1, 12), 16, 10).cast("double") / float(1 << 48)
+    return _sea(rows.select("time", *[(10 * draw(k)).alias(f"f{k}") for k in (1, 2, 3)]), n, drifts, 0, 0.0)
+
+
 def sea_windows(spark: SparkSession, n: int, window: int, drifts: int = 3, seed: int = 42, noise: float = 0.0) -> DataFrame:
     """time, x, concept, class of n windows of the stream's first feature: x ends at its time and begins before 0 where it must. Draws are
     by hash of the time, so each row makes its own window and nothing is shuffled."""

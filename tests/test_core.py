@@ -76,6 +76,12 @@ def test_statistics(spark):
     assert evaluation.scores(p.filter("y = 'a'")).first().kappa is None
 
 
+def test_seed_scores_as_published(spark):
+    rows = spark.createDataFrame([("ETTh", 0.807, 0.780, 0.768, 0.795, 0.835)], "dataset string, s1 double, s2 double, s3 double, s4 double, s5 double")
+    r = evaluation.seed_mean_std(rows, "dataset", ["s1", "s2", "s3", "s4", "s5"]).first()
+    assert (round(r.mean, 4), round(r.std, 4)) == (0.7970, 0.0259)
+
+
 def test_labelwise_pairs(spark):
     rng = np.random.default_rng(1)
     make = lambda n: spark.createDataFrame([("a", k, rng.standard_normal(4).tolist()) for k in range(n)], "label string, shapelet_id long, s array<double>")
