@@ -374,11 +374,22 @@ def _(spark, d):
     return R.policy_coefficients(sums(True, "old_coeff"), sums(False, "new_coeff"), 2).select("label", "origin", "shapelet_id", F.col("rank").cast("long").alias("rank"))
 
 
-@query("policy_labelwise")
+PICK = """pw AS (SELECT a.label, a.shapelet_id AS o, b.shapelet_id AS n, row_number() OVER (PARTITION BY a.label ORDER BY list_distance(a.s, b.s), a.shapelet_id, b.shapelet_id) AS r FROM dic a JOIN neu b ON a.label = b.label),
+want AS (SELECT label, count(DISTINCT o) AS k FROM pw GROUP BY label),
+pick AS (SELECT label, k, 0::BIGINT AS r, []::BIGINT[] AS os, []::BIGINT[] AS ns FROM want UNION ALL
+  SELECT label, k, r, CASE WHEN take THEN list_append(os, o) ELSE os END, CASE WHEN take THEN list_append(ns, n) ELSE ns END
+  FROM (SELECT p.*, w.k, w.os, w.ns, 2 * len(w.os) < w.k AND NOT list_contains(w.os, p.o) AND NOT list_contains(w.ns, p.n) AS take FROM pick w JOIN pw p ON p.label = w.label AND p.r = w.r + 1)),
+picked AS (SELECT label, arg_max(os, r) AS os, arg_max(ns, r) AS ns FROM pick GROUP BY label)"""
+
+
+@query("policy_labelwise", "SELECT label, 2 * i AS place, 'old' AS origin, os[i + 1] AS shapelet_id FROM (SELECT *, unnest(range(len(os))) AS i FROM picked) UNION ALL SELECT label, 2 * i + 1, 'new', ns[i + 1] FROM (SELECT *, unnest(range(len(os))) AS i FROM picked)", (*BASE, PICK))
 def _(spark, d):
     return R.policy_labelwise(*_pair(spark, d))
 
 
+SQL["policy_labelwise"] = SQL["policy_labelwise"].replace("WITH ", "WITH RECURSIVE ", 1)
+
+
 @query("policy_extend", _policy_sql(A_FIRST + "SELECT 1, pos, label, s FROM neu WHERE label IN ('8', '9')"), BASE)
 def _(spark, d):
     a, b = _pair(spark, d)
@@ -872,19 +883,26 @@ def _(spark, d):
     return fit.transform(rows.filter("is_test")).select("vec_id", "label", F.col("prediction").cast("long").alias("prediction"))
 
 
-def _replayed(policy: str):
+def _looped(policy: str):
+    """Every second series is a stream of its own; each has its loop, as state of its key, and gets windows of 50."""
+
     def run(spark, d):
-        from ..streaming.prequential import Loop, replay
+        from ..streaming import count_windows, feed
+        from ..streaming.prequential import RESULT, Loop
 
-        batches = S.tumbling_batches(S.series(spark, d).withColumn("seq", F.col("vec_id")), 100)
-        return replay(batches, Loop(classes=[str(k) for k in range(10)], atoms=2, share=0.25, mode="scheduled", policy=policy))
+        folder = feed.new_folder(spark, "loops")
+        rows = S.series(spark, d).select((F.col("vec_id") % 2).alias("key"), F.col("vec_id").alias("seq"), "x", "label")
+        feed.lay_out(rows.withColumn("part", F.floor(F.col("seq") / 4096)), "part", folder)
+        loop = Loop(classes=[str(k) for k in range(10)], atoms=2, share=0.25, mode="scheduled", policy=policy)
+        feed.run_to_end(count_windows.keyed_loops(feed.stream_of(spark, folder, rows.schema), "key", loop, 50), folder, "out")
+        return spark.read.schema(f"key long, {RESULT}").parquet(f"{folder}/out")
 
     return run
 
 
-query("prequential_stream")(_replayed("coefficients"))
+query("prequential_stream")(_looped("coefficients"))
 for _name in ("closest_set", "closest", "dissimilar", "random", "top_ranked", "labelwise", "replace", "extend"):
-    query(f"prequential_{_name}")(_replayed(_name))
+    query(f"prequential_{_name}")(_looped(_name))
 
 
 def flagship(spark, sf_dir: str) -> DataFrame:

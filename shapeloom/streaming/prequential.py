@@ -1,6 +1,6 @@
 """The online loop on Structured Streaming: count batches, features, test, drift rule, dictionary update, training.
 
-State is the dictionary, the reference error, the model, and the rows that wait for a full batch. start() writes it with the number of
+count_windows.keyed_loops() runs the same loop by key, on the executors. Here one loop is run on the driver. State is the dictionary, the reference error, the model, and the rows that wait for a full batch. start() writes it with the number of
 each micro-batch and takes the last one up again, so a query that is stopped or fails goes on where it was, and a micro-batch that
 comes again gives the same rows in the same place. replay() is the same loop over a finished table.
 """
@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import learning, policies
+from ..operators import learning, policies, tables
 from ..operators.models import LinearSgd
 
 RESULT = "batch long, accuracy double, f1_score double, precision double, kappa double, drift_detected boolean"
@@ -113,18 +113,12 @@ def replay(batches: DataFrame, loop: Loop, label: str = "label", batch: str = "b
 
 
 def _last_state(spark, folder: str) -> tuple[int, bytes] | None:
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+    if not tables.exists(spark, folder):
         return None
     r = spark.read.schema("data binary, micro_batch long").parquet(folder).orderBy(F.desc("micro_batch")).first()
     return (r.micro_batch, bytes(r.data)) if r else None
 
 
-def _forget(spark, folder: str) -> None:
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def start(source: DataFrame, loop: Loop, size: int, out: str, checkpoint: str, label: str = "label"):
     """A streaming query over rows (seq, x, label): rows wait until `size` of them are there, in order of seq. Results of each micro-batch
     are written to out/micro_batch=<its number> (Parquet), then the state to checkpoint-state; both replace what the number had."""
@@ -146,7 +140,7 @@ def start(source: DataFrame, loop: Loop, size: int, out: str, checkpoint: str, l
             spark.createDataFrame(results, RESULT).coalesce(1).write.mode("overwrite").parquet(f"{out}/micro_batch={number}")
         spark.createDataFrame([(bytearray(pickle.dumps((own, rows))),)], "data binary").coalesce(1).write.mode("overwrite").parquet(f"{folder}/micro_batch={number}")
         if held["last"] >= 0:
-            _forget(spark, f"{folder}/micro_batch={held['last']}")
+            tables.remove(spark, f"{folder}/micro_batch={held['last']}")
         held.update(last=number, state=(own, rows))
 
     return source.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).start()

@@ -82,6 +82,13 @@ def test_seed_scores_as_published(spark):
     assert (round(r.mean, 4), round(r.std, 4)) == (0.7970, 0.0259)
 
 
+def test_decoded_labels_and_shuffles(spark):
+    rows = spark.createDataFrame([(k, bytearray(f"é{k % 3}".encode()) if k else None) for k in range(9)], "id long, label binary")
+    assert [r.label for r in files.decode_labels(rows, "label").orderBy("id").collect()] == [None, *[f"é{k % 3}" for k in range(1, 9)]]
+    a, b = ([r.id for r in series.shuffled(rows, seed, "id").collect()] for seed in (1, 2))
+    assert a == [r.id for r in series.shuffled(rows.repartition(5), 1, "id").collect()] and sorted(a) == sorted(b) == list(range(9)) and a != b
+
+
 def test_labelwise_pairs(spark):
     rng = np.random.default_rng(1)
     make = lambda n: spark.createDataFrame([("a", k, rng.standard_normal(4).tolist()) for k in range(n)], "label string, shapelet_id long, s array<double>")

@@ -9,7 +9,7 @@ import pytest
 
 from shapeloom.functions import tables
 from shapeloom.operators import series
-from shapeloom.sources import mat
+from shapeloom.sources import generators, mat
 
 
 def test_cut_windows_in_sql(spark):
@@ -69,3 +69,19 @@ def test_mat_variables_types_and_errors(spark, tmp_path):
     broken = squeezed[:132] + struct.pack("<I", len(squeezed) - 136 - 4) + squeezed[136:-4]
     with pytest.raises(ValueError, match="cut short"):
         list(mat.arrays(io.BytesIO(broken), len(broken)))
+
+
+def test_streams_driven_by_rows(spark):
+    params, rng = [[0.6, 0.2], [-0.4, 0.3]], random.Random(2)
+    rows = [(s, t, None if t == 7 else rng.random()) for s in (4, 9) for t in range(60)]
+    got = {(r.stream, r.time): (r.value, r.regime) for r in generators.ar_over(spark.createDataFrame(rows, "stream long, time long, noise double").repartition(3), params, [30], 10).collect()}
+    for s in (4, 9):
+        y = []
+        for t in range(60):
+            e, r = next(v for a, b, v in rows if (a, b) == (s, t)) or 0.0, min(1.0, max(0.0, (t - 25) / 10))
+            c = [(1 - r) * p + r * q for p, q in zip(*params)]
+            y.append(e + (c[0] * y[-1] + c[1] * y[-2] if t > 1 else 0))
+            assert got[s, t] == (pytest.approx(y[-1]), pytest.approx(r))
+    sea = generators.sea_over(spark.range(300).selectExpr("id AS time", "if(id % 50 = 0, null, id % 100) AS key"), 300).collect()
+    assert len(sea) == 300 and all(0 <= r.f1 < 10 and r["class"] == int(r.f1 + r.f2 <= generators.SEA_THETA[r.concept]) for r in sea) and {r.concept for r in sea} == {0, 1, 2}
+    assert generators.ar_over(spark.createDataFrame([], "stream long, time long, noise double"), params, [3]).count() == 0
