@@ -2,8 +2,8 @@
 
 A bounded number of points of the right side are pivots, and each point belongs to the cell of its nearest pivot. From the cells' radii and
 the distances between pivots follows, for every cell of the left side, a distance within which all of its points have k neighbours.
-A point of the right side goes only to the cells that it may be so near to. Cells are cut into blocks of bounded size on both sides, so a crowded
-cell is many tasks; the k best of each block meet in a ranking that Spark limits to k rows before the shuffle as well.
+A point of the right side goes only to the cells that it may be so near to; where these are many more than the left side has blocks, near
+cells are put together until they fill a block. Groups are cut into blocks of bounded size on both sides, so a crowded cell is many tasks; the k best of each block meet in a ranking that Spark limits to k rows before the shuffle as well.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ from .tables import discard, written
 
 #: Most pivots (their distances are a table of that many squared on the driver), points of a block, digits of distances that count as equal.
 PIVOTS, BLOCK, DIGITS = 512, 1024, 9
+#: Copies of a point of the right side that are always allowed.
+COPIES = 16
 _SLACK = 1e-6  # of bounds: distances are rounded, and sums of them aren't exact
 
 
@@ -29,10 +31,11 @@ def squared(u: np.ndarray, v: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Plan:
-    """pivots; reach[i, j]: a right point of cell j goes to left cell i if its distance to pivot j is at least that; a_blocks and b_blocks
-    of each cell; pairs: points compared, out of all."""
+    """pivots; group: of each left cell; reach[g, j]: a right point of cell j goes to group g if its distance to pivot j is at least that; a_blocks
+    and b_blocks of each group; pairs: points compared, out of all."""
 
     pivots: np.ndarray
+    group: np.ndarray
     reach: np.ndarray
     a_blocks: np.ndarray
     b_blocks: np.ndarray
@@ -59,6 +62,32 @@ def _celled(rows: DataFrame, other: str, pivots: np.ndarray) -> DataFrame:
     return written(known.mapInPandas(run, f"id {kinds['id']}, other {kinds[other]}, x array<double>, cell long, r double"), "neighbours")
 
 
+def _grouped(apart: np.ndarray, rows: np.ndarray, block: int) -> np.ndarray:
+    """A group for each cell: near cells together until they fill a block, so that a right point goes to no more places than there are blocks."""
+    group, free, g = np.full(len(rows), -1), np.ones(len(rows), dtype=bool), 0
+    while free.any():
+        order = np.argsort(np.where(free, apart[int(free.argmax())], np.inf), kind="stable")[: int(free.sum())]
+        filled = np.cumsum(rows[order])
+        own = order[: max(1, int(np.searchsorted(filled, block, side="right")))]
+        group[own], free[own], g = g, False, g + 1
+    return group
+
+
+def _routed(b: DataFrame, reach: np.ndarray) -> np.ndarray:
+    """How many points of b go to each row of reach."""
+
+    def count(frames):
+        n = np.zeros(len(reach), dtype=np.int64)
+        for f in frames:
+            n += (reach[:, f.cell] <= f.r.to_numpy()).sum(axis=1)
+        yield pd.DataFrame({"cell": np.flatnonzero(n), "n": n[n > 0]})
+
+    out = np.zeros(len(reach), dtype=np.int64)
+    for r in b.select("cell", "r").mapInPandas(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
+        out[r.cell] = r.n
+    return out
+
+
 def _planned(a: DataFrame, b: DataFrame, pivots: np.ndarray, k: int, block: int) -> Plan:
     p = len(pivots)
     radius, a_rows = np.zeros(p), np.zeros(p, dtype=np.int64)
@@ -74,18 +103,15 @@ def _planned(a: DataFrame, b: DataFrame, pivots: np.ndarray, k: int, block: int)
             bound[i] = radius[i] + np.partition(apart[i, cells] + rs, k - 1)[k - 1]
     reach = apart - (radius + bound)[:, None] * (1 + _SLACK) - _SLACK
     reach[a_rows == 0] = np.inf
-
-    def routed(frames):
-        n = np.zeros(p, dtype=np.int64)
-        for f in frames:
-            n += (reach[:, f.cell] <= f.r.to_numpy()).sum(axis=1)
-        yield pd.DataFrame({"cell": np.flatnonzero(n), "n": n[n > 0]})
-
-    b_rows = np.zeros(p, dtype=np.int64)
-    for r in b.select("cell", "r").mapInPandas(routed, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
-        b_rows[r.cell] = r.n
+    group, b_rows = np.arange(p), _routed(b, reach)
+    if b_rows.sum() > max(COPIES, 2 * -(-int(a_rows.sum()) // block)) * max(1, b.count()):  # bounds save too little to copy points to so many cells
+        group = _grouped(apart, a_rows, block)
+        joint = np.full((int(group.max()) + 1, p), np.inf)
+        np.minimum.at(joint, group, reach)
+        reach, a_rows = joint, np.bincount(group, a_rows).astype(np.int64)
+        b_rows = _routed(b, reach)
     blocks = [np.maximum(1, -(-n // block)) for n in (a_rows, b_rows)]
-    return Plan(pivots, reach, *blocks, int((a_rows * b_rows).sum()), int(a_rows.sum()) * b.count())
+    return Plan(pivots, group, reach, *blocks, int((a_rows * b_rows).sum()), int(a_rows.sum()) * b.count())
 
 
 def knn_join(a: DataFrame, b: DataFrame, k: int, other: str = "id", pivots: int = PIVOTS, block: int = BLOCK, seed: int = 0) -> tuple[DataFrame, Plan]:
@@ -99,7 +125,7 @@ def knn_join(a: DataFrame, b: DataFrame, k: int, other: str = "id", pivots: int
     first = known.select(F.col("x").cast("array<double>").alias("x")).orderBy(F.xxhash64("x", F.lit(seed))).limit(wanted).collect()
     spark, kind = a.sparkSession, dict(b.dtypes)[other]
     if not first:
-        return spark.createDataFrame([], f"id {dict(a.dtypes)['id']}, rank int, dist double, other {kind}"), Plan(np.zeros((0, 0)), np.zeros((0, 0)), np.zeros(0), np.zeros(0), 0, 0)
+        return spark.createDataFrame([], f"id {dict(a.dtypes)['id']}, rank int, dist double, other {kind}"), Plan(np.zeros((0, 0)), np.zeros(0), np.zeros((0, 0)), np.zeros(0), np.zeros(0), 0, 0)
     at = np.unique(np.array([r.x for r in first], dtype=float), axis=0)
     left, right = _celled(a, "id", at), _celled(b, other, at)
     plan = _planned(left, right, at, k, block)
@@ -114,7 +140,8 @@ def knn_join(a: DataFrame, b: DataFrame, k: int, other: str = "id", pivots: int
 
     n_a, n_b = (F.element_at(F.array(*[F.lit(int(v)) for v in n]), (F.col("to") + 1).cast("int")) for n in (plan.a_blocks, plan.b_blocks))
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    ours = left.withColumn("to", F.col("cell")).select("id", "x", "to", F.pmod(F.xxhash64("id"), n_a).cast("int").alias("u"), every(n_b).alias("v"))
+    own = F.element_at(F.array(*[F.lit(int(g)) for g in plan.group]), (F.col("cell") + 1).cast("int")).cast("long")
+    ours = left.withColumn("to", own).select("id", "x", "to", F.pmod(F.xxhash64("id"), n_a).cast("int").alias("u"), every(n_b).alias("v"))
     theirs = right.mapInPandas(route, f"other {kind}, x array<double>, to long")
     theirs = theirs.select("other", "x", "to", F.pmod(F.xxhash64("x", "other"), n_b).cast("int").alias("v"), every(n_a).alias("u"))
 
