@@ -19,6 +19,8 @@ from .tables import discard, written
 
 #: Most pivots (their distances are a table of that many squared on the driver), points of a block, digits of distances that count as equal.
 PIVOTS, BLOCK, DIGITS = 512, 1024, 9
+#: Pairs whose differences are held at once.
+PAIRS = 1 << 15
 #: Copies of a point of the right side that are always allowed.
 COPIES = 16
 _SLACK = 1e-6  # of bounds: distances are rounded, and sums of them aren't exact
@@ -29,6 +31,32 @@ def squared(u: np.ndarray, v: np.ndarray) -> np.ndarray:
     return np.stack([((v - row) ** 2).sum(axis=1) for row in u]) if len(u) else np.zeros((0, len(v)))
 
 
+def best_pairs(u: np.ndarray, v: np.ndarray, order: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of u, rows of v and their distance (to DIGITS) for the k nearest of v to each of u; of those equally far, the first in order.
+
+    One matrix product shows which pairs can be among the best, within a bound of its rounding; only their distances are computed by
+    differences, so the result is that of squared() over all pairs. Numbers without a finite square leave all pairs to that."""
+    least = min(k, len(v))
+    with np.errstate(all="ignore"):
+        own, others = (u * u).sum(axis=1), (v * v).sum(axis=1)
+        near = own[:, None] + others - 2 * (u @ v.T)
+        off = 1e-12 * (own + others.max())
+        edge = np.partition(near, least - 1, axis=1)[:, least - 1]
+        room = 2 * off + 4 * 10.0**-DIGITS * np.sqrt(np.maximum(edge, 0) + off) + 10.0**-DIGITS * 10.0**-DIGITS
+        may = near <= (edge + room)[:, None]
+        if not np.isfinite(near).all():
+            may[:] = True
+    i, j = np.nonzero(may)
+    d = np.concatenate([np.zeros(0), *[((v[j[s : s + PAIRS]] - u[i[s : s + PAIRS]]) ** 2).sum(axis=1) for s in range(0, len(i), PAIRS)]])
+    d = np.sqrt(d).round(DIGITS)
+    place = np.empty(len(v), dtype=np.int64)
+    place[order] = np.arange(len(v))
+    at = np.lexsort((place[j], d, i))
+    i, j, d = i[at], j[at], d[at]
+    few = np.arange(len(i)) - np.searchsorted(i, i) < k
+    return i[few], j[few], d[few]
+
+
 @dataclass
 class Plan:
     """pivots; group: of each left cell; reach[g, j]: a right point of cell j goes to group g if its distance to pivot j is at least that; a_blocks
@@ -148,11 +176,9 @@ def knn_join(a: DataFrame, b: DataFrame, k: int, other: str = "id", pivots: int
     def nearest(g: pd.DataFrame, h: pd.DataFrame) -> pd.DataFrame:
         if not len(g) or not len(h):
             return pd.DataFrame({"id": g.id[:0], "dist": np.zeros(0), "other": h.other[:0]})
-        d = np.sqrt(squared(np.array(g.x.tolist(), dtype=float), np.array(h.x.tolist(), dtype=float))).round(DIGITS)
-        tie = np.argsort(h.other.to_numpy(), kind="stable")
-        best = tie[np.argsort(d[:, tie], axis=1, kind="stable")[:, :k]]
-        width = best.shape[1]
-        return pd.DataFrame({"id": np.repeat(g.id.to_numpy(), width), "dist": np.take_along_axis(d, best, 1).ravel(), "other": h.other.to_numpy()[best].ravel()})
+        u, v = (np.array(t.x.tolist(), dtype=float).reshape(len(t), -1) for t in (g, h))
+        i, j, d = best_pairs(u, v, np.argsort(h.other.to_numpy(), kind="stable"), k)
+        return pd.DataFrame({"id": g.id.to_numpy()[i], "dist": d, "other": h.other.to_numpy()[j]})
 
     keys = ["to", "u", "v"]
     met = ours.groupBy(*keys).cogroup(theirs.groupBy(*keys)).applyInPandas(nearest, f"id {dict(a.dtypes)['id']}, dist double, other {kind}")

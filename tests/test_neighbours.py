@@ -53,3 +53,17 @@ def test_edges(spark):
     assert neighbours.knn_join(a, b.filter("false"), 2)[0].count() == 0 and neighbours.knn_join(a.filter("false"), b, 2)[0].count() == 0
     same = frame(spark, [[2, 2]] * 30)
     assert {r.other for r in neighbours.knn_join(same, same, 2, block=4)[0].collect()} == {0, 1}
+
+
+@pytest.mark.parametrize("scale", [1e-7, 1.0, 1e6, 1e200])
+def test_best_pairs_are_those_of_all_distances(scale):
+    rng = np.random.default_rng(9)
+    v = rng.standard_normal((300, 12))
+    v[50:120], v[200] = v[0], v[1] + 1e-13
+    u = np.concatenate([v[::7], rng.standard_normal((20, 12))])
+    u, v, order = u * scale, v * scale, rng.permutation(300)
+    with np.errstate(all="ignore"):
+        d = np.sqrt(neighbours.squared(u, v)).round(neighbours.DIGITS)
+    want = [(r, int(c), d[r, c]) for r in range(len(u)) for c in order[np.argsort(d[r, order], kind="stable")[:5]]]
+    assert list(zip(*(x.tolist() for x in neighbours.best_pairs(u, v, order, 5)))) == want
+    assert len(neighbours.best_pairs(u, v[:2], np.arange(2), 5)[0]) == 2 * len(u)
