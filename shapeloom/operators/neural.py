@@ -20,6 +20,14 @@ GROUPS = 32
 STATE = "batch long, steps long, weights array<double>, mean array<double>, spread array<double>"
 
 
+def adam(weights: np.ndarray, mean: np.ndarray, spread: np.ndarray, g: np.ndarray, steps: int, rate: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Weights and both moments after the step of a number with the gradient g."""
+    mean = 0.9 * mean + 0.1 * g
+    spread = 0.999 * spread + 0.001 * g * g
+    rate = rate * np.sqrt(1 - 0.999**steps) / (1 - 0.9**steps)
+    return weights - rate * mean / (np.sqrt(spread) + 1e-8), mean, spread
+
+
 @dataclass
 class Perceptron:
     """Weights of inputs to hidden units (rectified) to classes (softmax), as one vector, with Adam's moments."""
@@ -79,10 +87,7 @@ class Perceptron:
         decay = np.concatenate([a.ravel(), np.zeros(len(b)), d.ravel(), np.zeros(len(e))])
         g = (sums[:-2] + self.penalty * decay) / n
         self.steps += 1
-        self.mean = 0.9 * self.mean + 0.1 * g
-        self.spread = 0.999 * self.spread + 0.001 * g * g
-        rate = self.rate * np.sqrt(1 - 0.999**self.steps) / (1 - 0.9**self.steps)
-        self.weights = self.weights - rate * self.mean / (np.sqrt(self.spread) + 1e-8)
+        self.weights, self.mean, self.spread = adam(self.weights, self.mean, self.spread, g, self.steps, self.rate)
         return float((sums[-2] + 0.5 * self.penalty * (decay**2).sum()) / n)
 
 

@@ -883,6 +883,18 @@ def _(spark, d):
     return fit.transform(rows.filter("is_test")).select("vec_id", "label", F.col("prediction").cast("long").alias("prediction"))
 
 
+@query("convolutional_network")
+def _(spark, d):
+    """The convolutional network after three epochs over the train part, and its predictions on the held-out part."""
+    from ..operators import convolution
+
+    rows = S.stratified_split(S.series(spark, d), 0.3, "vec_id").withColumn("x", A.znorm(F.col("x")))
+    train = rows.filter("not is_test").select(F.col("vec_id").alias("id"), "x", F.col("label").cast("long").alias("target"))
+    classes = rows.agg(F.max(F.col("label").cast("long"))).first()[0] + 1
+    net, _ = convolution.fit(train, convolution.Network(classes, filters=(32, 64, 32)), 3)
+    return convolution.with_class(net, rows.filter("is_test")).select("vec_id", "label", "prediction")
+
+
 def _looped(policy: str):
     """Every second series is a stream of its own; each has its loop, as state of its key, and gets windows of 50."""
 
