@@ -1,6 +1,7 @@
 """An incremental multilayer perceptron: one hidden layer, learned by Adam from gradients that tasks sum over their rows.
 
-The weights are a bounded vector. It goes to the tasks with each step, and what comes back is one vector of sums a group of tasks, so rows
+The weights are a bounded vector. Small batches are learned one after the other within a task, lot by lot. For a large batch the weights go
+to the tasks with each step, and what comes back is one vector of sums a group of tasks, so rows
 stay where they are. The state after each batch (weights, both moments, number of steps) is a row of a table.
 """
 
@@ -13,10 +14,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import exists, shared_folder
+from .tables import exists, remove, shared_folder
 
 #: Vectors of sums that the driver adds up at most.
 GROUPS = 32
+#: Rows of consecutive batches that one task learns, one batch after the other.
+LOT = 1 << 16
 STATE = "batch long, steps long, weights array<double>, mean array<double>, spread array<double>"
 
 
@@ -127,37 +130,101 @@ def with_prediction(net: Perceptron, rows: DataFrame, name: str) -> DataFrame:
     return rows.withColumn(name, run("features"))
 
 
-def learn_in_batches(rows: DataFrame, net: Perceptron, parts: int = 3, folder: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """Prequential learning: (batch, id, y, p_before, p_after) of every row, and the table of states after each batch.
+def lots_of(counts: list[tuple[int, int]], most: int) -> list[list[int]]:
+    """Batches (number, rows) in order, put together while they have at most `most` rows; a larger one is alone."""
+    out, held = [], most + 1
+    for b, n in sorted(counts):
+        if held + n > most:
+            out.append([])
+            held = 0
+        out[-1].append(b)
+        held += n
+    return out
+
+
+def _learn_lot(net: Perceptron, parts: int, every: bool, last: int, ids: str):
+    """A function of frames in order of their batch: rows with both predictions, then a row of the state (after each batch, or the last)."""
+
+    def run(frames):
+        own, held = Perceptron(**net.__dict__), None
+
+        def learned(f: pd.DataFrame):
+            b, (x, y), part = int(f.batch.iloc[0]), _usable(f, own.inputs), f.part.to_numpy()
+            before = own.predict(x)
+            for k in range(parts):
+                own.step(own.sums(x[part == k], y[part == k]))
+            scored = pd.DataFrame({"batch": b, "id": f.id, "y": y, "p_before": before, "p_after": own.predict(x)})
+            yield scored.assign(steps=pd.array([None] * len(f), dtype="Int64"), weights=None, mean=None, spread=None)
+            if every or b == last:
+                yield pd.DataFrame({"batch": [b], "id": [None], "y": [None], "p_before": [None], "p_after": [None], "steps": [own.steps], "weights": [own.weights], "mean": [own.mean], "spread": [own.spread]})
+
+        for f in frames:
+            held = f if held is None else pd.concat([held, f])
+            ends = np.flatnonzero(np.diff(held.batch.to_numpy())) + 1
+            for a, z in zip([0, *ends], ends):
+                yield from learned(held.iloc[a:z])
+            held = held.iloc[ends[-1] :] if len(ends) else held
+        if held is not None and len(held):
+            yield from learned(held)
+
+    return run, f"batch long, id {ids}, y long, p_before long, p_after long, {STATE.removeprefix('batch long, ')}"
+
+
+def learn_in_batches(rows: DataFrame, net: Perceptron, parts: int = 3, folder: str | None = None, lot: int = LOT, every: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Prequential learning: (batch, id, y, p_before, p_after) of every row, and the table of states after each batch (every: else only
+    after the last batch of each lot).
 
     rows: batch, id, features (arrays of net.inputs), target. Batches are learned in order, each in `parts` mini-batches drawn by hash of the id,
-    a step each; a batch is scored before and after it is learned. Rows without features or target take no part. The tables are in a
-    new folder under spark.checkpoint.dir; with the folder of a run that was stopped, it goes on after the last state that was written."""
+    a step each; a batch is scored before and after it is learned. Each step needs the weights of the one before, so consecutive batches
+    of at most `lot` rows together are streamed through one task, and a larger batch is learned by gradients of all tasks; both ways
+    compute the same, up to the order of sums. Rows without features or target take no part. The tables are in a new folder under
+    spark.checkpoint.dir; with the folder of a run that was stopped, it goes on after the last lot whose last state was written."""
     spark = rows.sparkSession
     folder = folder or shared_folder(spark, "perceptron")
     ids = dict(rows.dtypes)["id"]
-    source = f"{folder}/rows"
-    if not exists(spark, f"{source}/_SUCCESS"):
+    every_row, source = f"{folder}/all", f"{folder}/rows"
+    if not exists(spark, f"{every_row}/_SUCCESS"):
         known = rows.filter(F.col("features").isNotNull() & F.col("target").isNotNull()).withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)))
-        known.select("batch", "id", "target", "features", "part").write.mode("overwrite").partitionBy("batch").parquet(source)
-    data = spark.read.schema(f"id {ids}, target long, features array<double>, part long, batch long").parquet(source)
-    for b in [r[0] for r in data.select("batch").distinct().orderBy("batch").collect()]:  # a number for each batch, as many as there are rounds
-        state = f"{folder}/states/batch={b}"
-        if exists(spark, f"{state}/_SUCCESS"):
-            net = restored(net, spark.read.parquet(state).withColumn("batch", F.lit(b)).first())
+        known.select("batch", "id", "target", "features", "part").write.mode("overwrite").parquet(every_row)
+    kept = spark.read.schema(f"batch long, id {ids}, target long, features array<double>, part long").parquet(every_row)
+    counts = [(r[0], r[1]) for r in kept.groupBy("batch").agg(F.count("*")).collect()]  # two numbers for each batch
+    sizes, lots = dict(counts), lots_of(counts, lot)
+    if lots and not exists(spark, f"{source}/_SUCCESS"):
+        of = spark.createDataFrame([(b, k) for k, own in enumerate(lots) for b in own], "batch long, lot long")
+        kept.join(F.broadcast(of), "batch").write.mode("overwrite").partitionBy("lot").parquet(source)
+    for k, batches in enumerate(lots):
+        last, at = batches[-1], f"{folder}/states/batch={batches[-1]}"
+        if exists(spark, f"{at}/_SUCCESS"):
+            net = restored(net, spark.read.parquet(at).first())
+            continue
+        own = spark.read.schema(kept.schema).parquet(f"{source}/lot={k}")
+        scored, state = f"{folder}/scored/lot={k}", STATE.removeprefix("batch long, ")
+        if sizes[last] > lot:
+            before = Perceptron(**net.__dict__)
+            for j in range(parts):
+                net.step(gradient(net, own.filter(F.col("part") == j)))
+            both = with_prediction(net, with_prediction(before, own, "p_before"), "p_after")
+            both.select("batch", "id", F.col("target").alias("y"), "p_before", "p_after").write.mode("overwrite").parquet(scored)
+            row = [(net.steps, net.weights.tolist(), net.mean.tolist(), net.spread.tolist())]
+            spark.createDataFrame(row, state).coalesce(1).write.mode("overwrite").parquet(at)
             continue
-        own = data.filter(F.col("batch") == b)
-        before = Perceptron(**net.__dict__)
-        for k in range(parts):
-            net.step(gradient(net, own.filter(F.col("part") == k)))
-        scored = with_prediction(net, with_prediction(before, own, "p_before"), "p_after")
-        scored.select("id", F.col("target").alias("y"), "p_before", "p_after").write.mode("overwrite").parquet(f"{folder}/scored/batch={b}")
-        row = [(net.steps, net.weights.tolist(), net.mean.tolist(), net.spread.tolist())]
-        spark.createDataFrame(row, STATE.removeprefix("batch long, ")).coalesce(1).write.mode("overwrite").parquet(state)
-    scored = f"id {ids}, y long, p_before long, p_after long, batch long"
-    if not exists(spark, f"{folder}/states"):
-        return spark.createDataFrame([], scored), spark.createDataFrame([], STATE)
-    return spark.read.schema(scored).parquet(f"{folder}/scored"), spark.read.schema(STATE).parquet(f"{folder}/states")
+        run, kind = _learn_lot(net, parts, every, last, ids)
+        out = f"{folder}/learned/lot={k}"
+        own.coalesce(1).sortWithinPartitions("batch", "id").mapInPandas(run, kind).write.mode("overwrite").parquet(out)
+        got = spark.read.schema(kind).parquet(out)
+        got.filter("steps is null").select("batch", "id", "y", "p_before", "p_after").write.mode("overwrite").parquet(scored)
+        states = got.filter("steps is not null").select(*[c.split()[0] for c in STATE.split(", ")])
+        states.filter(F.col("batch") != last).write.mode("overwrite").parquet(f"{folder}/earlier/lot={k}")
+        states.filter(F.col("batch") == last).drop("batch").coalesce(1).write.mode("overwrite").parquet(at)
+        net = restored(net, spark.read.parquet(at).first())
+        remove(spark, out)
+    found = f"batch long, id {ids}, y long, p_before long, p_after long"
+    if not lots:
+        return spark.createDataFrame([], found), spark.createDataFrame([], STATE)
+    states = spark.read.schema(STATE).parquet(f"{folder}/states")
+    if exists(spark, f"{folder}/earlier"):
+        states = states.unionByName(spark.read.schema(STATE).parquet(f"{folder}/earlier").select(*states.columns))
+    return spark.read.schema(found).parquet(f"{folder}/scored").drop("lot"), states
 
 
 def restored(net: Perceptron, state) -> Perceptron:

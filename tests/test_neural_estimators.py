@@ -80,3 +80,26 @@ def test_cross_validation_over_the_grid(series):
     rows = {(r.k, r.share, r.lam): r.accuracy for r in found.collect()}
     assert set(rows) == {(1, 0.25, 0.1), (2, 0.25, 0.1)} and all(0 <= v <= 1 for v in rows.values())
     assert fit.bestModel.stages[0].getOrDefault("k") == max(rows, key=lambda g: (rows[g], -g[0]))[0]
+
+
+@pytest.mark.parametrize("lot, jobs", [(1 << 16, 12), (250, 36), (50, None)])
+def test_lots_of_batches(spark, lot, jobs):
+    """Few jobs however many batches there are; lots, and batches that are larger than one, learn the same."""
+    rows = [(k // 60, k, x, y) for _, k, x, y in batches(600)]
+    df = spark.createDataFrame(rows, "batch long, id long, features array<double>, target long").repartition(5).cache()
+    df.count()
+    start = spark.sparkContext.statusTracker().getJobIdsForGroup(None)
+    scored, states = neural.learn_in_batches(df, Perceptron(6, 3, hidden=20, rate=0.02, seed=2), 3, lot=lot)
+    done = len(spark.sparkContext.statusTracker().getJobIdsForGroup(None)) - len(start)
+    assert jobs is None or done <= jobs  # 10 batches took over 50 jobs
+    net, part = Perceptron(6, 3, hidden=20, rate=0.02, seed=2), {r.id: r.p for r in df.select("id", F.pmod(F.xxhash64("id"), F.lit(3)).alias("p")).collect()}
+    want = {}
+    for b in range(10):
+        own = [r for r in rows if r[0] == b]
+        x, y, k = np.array([r[2] for r in own]), np.array([r[3] for r in own]), np.array([part[r[1]] for r in own])
+        before = net.predict(x)
+        for j in range(3):
+            net.step(net.sums(x[k == j], y[k == j]))
+        want |= {r[1]: (b, r[3], int(p), int(q)) for r, p, q in zip(own, before, net.predict(x))}
+    assert {r.id: (r.batch, r.y, r.p_before, r.p_after) for r in scored.collect()} == want
+    assert states.count() == 10 and np.allclose(states.filter("batch = 9").first().weights, net.weights)
