@@ -75,14 +75,34 @@ class _Threshold(_Windows):
         super().init(handle)
         self.reference = handle.getValueState("reference", "error double")
 
-    def window(self, key, number, rows):
-        known = [r[-1] for r in rows if r[-1] is not None]
-        error = float(np.mean(known)) if known else None
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        """The windows' means at once, by arrays: a micro-batch has many windows, and all that is kept of them is a row each."""
+        new = pd.concat(list(rows)).sort_values(self.order, kind="stable")
+        at, values = new[self.names[0]].tolist(), pd.to_numeric(new[self.names[-1]]).to_numpy(dtype=float, na_value=np.nan)
+        if self.waiting.exists() and (held := [tuple(r) for r in self.waiting.get()]):
+            at = [*(r[0] for r in held), *at]
+            values = np.concatenate([np.array([np.nan if r[-1] is None else r[-1] for r in held], dtype=float), values])
+        done = self.done.get()[0] if self.done.exists() else 0
+        full = len(values) // self.size
+        windows = values[: full * self.size].reshape(full, self.size)
         reference = self.reference.get()[0] if self.reference.exists() else None
-        drift = error is not None and reference is not None and error > self.factor * reference
-        if error is not None and (reference is None or drift):
-            self.reference.update((error,))
-        return pd.DataFrame({self.key: [key], "batch_num": [number], "rows": [len(rows)], "error": [error], "drift_detected": [drift]})
+        errors, drifts, last = [], [], reference
+        for w, whole in zip(windows, ~np.isnan(windows).any(axis=1)):
+            known = w if whole else w[~np.isnan(w)]
+            error = float(known.mean()) if len(known) else None
+            drift = error is not None and last is not None and error > self.factor * last
+            if error is not None and (last is None or drift):
+                last = error
+            errors.append(error), drifts.append(drift)
+        if last is not None and last != reference:
+            self.reference.update((last,))
+        if len(at) > full * self.size:
+            self.waiting.put([(a, None if np.isnan(v) else float(v)) for a, v in zip(at[full * self.size :], values[full * self.size :])])
+        elif self.waiting.exists():
+            self.waiting.clear()
+        self.done.update((done + full,))
+        if full:
+            yield pd.DataFrame({self.key: pd.Series([key[0]] * full, dtype=object), "batch_num": range(done + 1, done + full + 1), "rows": self.size, "error": errors, "drift_detected": drifts})
 
 
 class _Loops(_Windows):

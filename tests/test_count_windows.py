@@ -67,3 +67,13 @@ def test_keyed_loops(spark):
             if r := one.step(np.array([v[2] for v in part]), np.array([v[3] for v in part])):
                 want.append((k, *r))
     assert sorted((r.k, r.batch, r.accuracy, r.drift_detected) for r in got) == sorted((w[0], w[1], w[2], w[6]) for w in want)
+
+
+def test_threshold_query_takes_few_micro_batches(spark, monkeypatch):
+    """100,000 rows were seven files, each a micro-batch over all state partitions."""
+    from shapeloom.plans import catalog
+    from shapeloom.streaming import feed
+
+    made, plain = [], feed.lay_out
+    monkeypatch.setattr(feed, "lay_out", lambda *a: made.extend(plain(*a)))
+    assert catalog.QUERIES["stream_threshold_windows"](spark, "/root/testdata/sf0.1").count() > 390 and made == [0]
