@@ -84,6 +84,16 @@ def nearest_mean(rows: DataFrame, means: DataFrame, state: str, name: str) -> Da
     return j.groupBy("batch", "id", "y").agg(F.min(F.struct(F.round(A.squared_distance(F.col("x"), F.col("_m")), 9), "_l"))["_l"].alias(name))
 
 
+def nearest_mean_of_each(rows: DataFrame, means: DataFrame, state: str, name: str) -> DataFrame:
+    """nearest_mean() of the same few rows (id, y, x) at every batch that has a mean: batch, id, y and the label of the nearest.
+
+    rows are bounded and broadcast; a batch's means are one row (labels times places), so a row and batch is scored where that lies, and nothing is
+    shuffled or grouped by row and batch."""
+    known = means.filter(F.col(state).isNotNull()).groupBy("batch").agg(F.collect_list(F.struct(F.col("label").alias("l"), F.col(state).alias("m"))).alias("_means"))
+    far = F.transform("_means", lambda e: F.struct(F.round(A.squared_distance(F.col("x"), e["m"]), 9).alias("d"), e["l"].alias("l")))
+    return known.crossJoin(F.broadcast(rows)).select("batch", "id", "y", F.array_min(far)["l"].alias(name))
+
+
 def holdout_progressive(scored: DataFrame) -> DataFrame:
     """Accuracy on a fixed holdout at each batch; scored: batch, y, p (one row per batch and holdout row)."""
     return scored.groupBy("batch").agg(F.avg((F.col("y") == F.col("p")).cast("double")).alias("accuracy"))

@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -149,3 +150,18 @@ def test_stopped_loop_goes_on_where_it_was(spark, tmp_path, policy):
     assert len(got) == 5 and all(a == pytest.approx(b, nan_ok=True) for a, b in zip(got, want)) and len(want) == 5
     go()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 5
+
+
+def test_holdout_is_scored_without_a_shuffle_of_its_rows(spark):
+    """Every batch scores the same few rows: nothing is grouped by row and batch, which took memory with the number of batches."""
+    from shapeloom.operators import evaluation as E
+
+    rng = np.random.default_rng(6)
+    rows = spark.createDataFrame([(k // 10, k, "abc"[k % 3], (rng.standard_normal(4) + k % 3).round(3).tolist()) for k in range(90)], "batch long, id long, label string, x array<double>")
+    held = spark.createDataFrame([(k, "abc"[k % 3], (rng.standard_normal(4) + k % 3).round(3).tolist()) for k in range(12)] + [(12, "a", None)], "id long, y string, x array<double>")
+    means = E.class_means(rows)
+    got = E.nearest_mean_of_each(held, means, "before", "p")
+    want = E.nearest_mean(means.select("batch").distinct().crossJoin(held), means, "before", "p")
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.select(*got.columns).collect())) and got.count() == 8 * 13
+    grouped = lambda df: re.search(r"hashpartitioning\([^)]*\bid#", df._jdf.queryExecution().executedPlan().toString())
+    assert grouped(want) and not grouped(got)
