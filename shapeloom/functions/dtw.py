@@ -126,15 +126,56 @@ def dtw_features(rows, atoms: list[np.ndarray], band: float = 0.9):
     return rows.withColumn("features", run("x"))
 
 
+def nearest_of_many(x: np.ndarray, atoms: list[np.ndarray], band: float = 0.9) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """NearestByDtw.find() of every row of x, with its bounds for all rows at once: each row's table with the atom of the least bound first,
+    then an atom's tables for all rows that its bounds don't keep from it."""
+    count, n = x.shape
+    bounds = np.zeros((count, len(atoms)))
+    for k, s in enumerate(atoms):
+        if not n or not len(s):
+            bounds[:, k] = 0.0 if n == len(s) else np.inf
+            continue
+        low, high = envelope(s, n, reach_of(n, len(s), band))
+        ends = (x[:, 0] - s[0]) ** 2 + ((x[:, -1] - s[-1]) ** 2 if n > 1 or len(s) > 1 else 0.0)
+        bounds[:, k] = np.maximum(ends, outside(x, low, high))
+    best, at, tables = np.full(count, np.inf), np.zeros(count, dtype=np.int64), np.zeros(count, dtype=np.int64)
+    first = bounds.argmin(axis=1)
+
+    def fill(k: int, rows: np.ndarray) -> None:
+        d = dtw_many(x[rows], atoms[k], band)
+        tables[rows] += 1
+        won = (d < best[rows]) | (d == best[rows]) & (k < at[rows])
+        best[rows[won]], at[rows[won]] = d[won], k
+
+    for k in range(len(atoms)):
+        if len(rows := np.flatnonzero(first == k)):
+            fill(k, rows)
+    for k in range(len(atoms)):
+        if len(rows := np.flatnonzero((first != k) & ~np.isinf(bounds[:, k]) & (bounds[:, k] * (1 - 1e-9) <= best * best))):
+            fill(k, rows)
+    return at, best, tables
+
+
+#: Series whose tables with an atom are filled at once.
+ROWS = 2048
+
+
 def nearest_by_dtw(rows, atoms: list[np.ndarray], band: float = 0.9):
     """rows with nearest: struct of k (place of the nearest atom under dtw()), dist, and tables (filled to their end); null for a null series
     or without atoms."""
+    atoms = [np.asarray(s, dtype=float) for s in atoms]
 
     @F.pandas_udf("struct<k:long,dist:double,tables:long>")
     def run(x: pd.Series) -> pd.DataFrame:
-        search = NearestByDtw(atoms, band)
-        got = [search.find(np.asarray(v, dtype=float)) if v is not None and atoms else (None, None, None) for v in x]
-        return pd.DataFrame(got, columns=["k", "dist", "tables"]).astype({"k": "Int64", "dist": "float64", "tables": "Int64"})
+        out = pd.DataFrame({"k": pd.array([None] * len(x), dtype="Int64"), "dist": np.nan, "tables": pd.array([None] * len(x), dtype="Int64")})
+        sizes = np.array([-1 if v is None else len(v) for v in x], dtype=np.int64)
+        for size in np.unique(sizes[sizes >= 0]) if atoms else []:
+            every = np.flatnonzero(sizes == size)
+            for at in (every[k : k + ROWS] for k in range(0, len(every), ROWS)):
+                own = np.array([x.iloc[k] for k in at], dtype=float).reshape(len(at), size)
+                for name, v in zip(out.columns, nearest_of_many(own, atoms, band)):
+                    out.iloc[at, out.columns.get_loc(name)] = v
+        return out
 
     found = rows.withColumn("nearest", run("x"))
     return found.withColumn("nearest", F.when(F.col("nearest.k").isNotNull(), F.col("nearest")))

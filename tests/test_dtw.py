@@ -52,3 +52,16 @@ def test_metrics_of_features_and_matches(spark):
     assert series.nearest_atom(rows.filter("false"), d, "dtw").count() == 0 and series.nearest_atom(rows, d.filter("false"), "dtw").filter("pos is not null").count() == 0
     with pytest.raises(ValueError, match="unknown metric"):
         series.feature_matrix(rows, d, metric="other")
+
+
+@pytest.mark.parametrize("band", [0.05, 0.9])
+def test_nearest_of_many_is_that_of_each(band):
+    rng = np.random.default_rng(3)
+    base = [some(rng, n) * 2 for n in (30, 30, 24, 30, 9)]
+    atoms = [b + 0.2 * rng.standard_normal(len(b)) for b in base for _ in range(6)] + [base[0], base[0]]
+    x = np.stack([base[0], *[base[k] + 0.3 * rng.standard_normal(30) for k in (0, 1, 3) for _ in range(20)]])
+    at, d, tables = D.nearest_of_many(x, atoms, band)
+    each = [D.NearestByDtw(atoms, band).find(v) for v in x]
+    assert at.tolist() == [e[0] for e in each] and d == pytest.approx([e[1] for e in each])
+    assert tables.sum() < 0.6 * x.shape[0] * len(atoms)
+    assert D.nearest_of_many(np.zeros((2, 0)), atoms, band)[0].tolist() == [0, 0]
