@@ -48,7 +48,7 @@ def code(x, s, a, off, lam, sweeps: int = 5, eps: float = 1e-5, signed: bool = T
     a, off = a.copy(), off.copy()
     n, p = x.shape
     kk, q = s.shape
-    rows, span = np.arange(n)[:, None], np.arange(q)
+    every, span, banded = np.arange(n), np.arange(q), _banded(s, p)
     res = x - rebuild(s, a, off, p)
     last = None
     for _ in range(sweeps):
@@ -56,14 +56,19 @@ def code(x, s, a, off, lam, sweeps: int = 5, eps: float = 1e-5, signed: bool = T
             norm2 = float(s[k] @ s[k])
             if norm2 == 0:
                 continue
-            res[rows, off[:, k : k + 1] + span] += a[:, k : k + 1] * s[k]
-            c = _windows(res, q) @ s[k] if n else np.zeros((0, p - q + 1))
+            if len(some := np.flatnonzero(a[:, k])):
+                res[some[:, None], off[some, k, None] + span] += a[some, k, None] * s[k]
+            if not n:
+                c = np.zeros((0, p - q + 1))
+            else:
+                c = res @ banded[k] if banded is not None else _windows(res, q) @ s[k]
             at = np.abs(c).argmax(axis=1)
-            m = c[np.arange(n), at]
+            m = c[every, at]
             new = np.where(np.abs(m) > lam, np.sign(m) * (np.abs(m) - lam) / norm2, 0.0) if signed else np.where(m > lam, (m - lam) / norm2, 0.0)
-            off[:, k] = np.where(new != 0, at, off[:, k])
             a[:, k] = new
-            res[rows, off[:, k : k + 1] + span] -= new[:, None] * s[k]
+            if len(some := np.flatnonzero(new)):
+                off[some, k] = at[some]
+                res[some[:, None], at[some, None] + span] -= new[some, None] * s[k]
         f = float(0.5 * (res**2).sum() + lam * np.abs(a).sum())
         if last is not None and abs(last - f) <= eps * max(abs(last), 1e-300):
             break
@@ -71,6 +76,21 @@ def code(x, s, a, off, lam, sweeps: int = 5, eps: float = 1e-5, signed: bool = T
     return a, off
 
 
+#: Points of a series up to which its products with an atom at all places are one with a banded matrix.
+BANDED = 256
+
+
+def _banded(s: np.ndarray, p: int) -> np.ndarray | None:
+    """For each atom the matrix (points by places) that has it at each place; None for long series."""
+    kk, q = s.shape
+    if not 0 < q <= p <= BANDED:
+        return None
+    out, at = np.zeros((kk, p, p - q + 1)), np.arange(p - q + 1)
+    for j in range(q):
+        out[:, at + j, at] = s[:, j, None]
+    return out
+
+
 def update(x, s, a, off, c: float = 100.0, sweeps: int = 5, from_zero: bool = False):
     """Block coordinate descent on the atoms under |s_k|^2 <= c. By default a new atom adds to the old one; from_zero is the textbook form."""
     s = s.copy()

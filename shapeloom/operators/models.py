@@ -94,11 +94,13 @@ class LinearSgd:
         t0 = 1.0 / (self.alpha * 1.0)
         for _ in range(self.passes):
             for i in self.rng.permutation(len(x)):
-                rate = 1.0 / (self.alpha * (self.t + t0))
-                wrong = sign[i] * (self.w @ x[i] + self.b) < 1
+                rate, own, v = 1.0 / (self.alpha * (self.t + t0)), sign[i], x[i]
+                wrong = own * (self.w @ v + self.b) < 1
                 self.w *= 1 - rate * self.alpha
-                self.w[wrong] += rate * sign[i][wrong, None] * x[i]
-                self.b[wrong] += rate * sign[i][wrong]
+                if wrong.any():
+                    move = rate * own * wrong
+                    self.w += move[:, None] * v
+                    self.b += move
                 self.t += 1
         return self
 

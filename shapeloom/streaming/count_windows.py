@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from ..operators.series import numbered
 from .prequential import RESULT, Loop
 
 
@@ -157,3 +158,57 @@ def keyed_loops(stream: DataFrame, key: str, loop: Loop, size: int, order: str =
     rows, kinds, first = _keyed(stream.filter(F.col(x).isNotNull() & F.col(label).isNotNull()), key, order, [order, x, label])
     out = T.StructType([first, *T._parse_datatype_string(RESULT).fields])
     return rows.groupBy(key).transformWithStateInPandas(_Loops(key, order, size, kinds, loop=loop), out, "Append", "None")
+
+
+PREPARED = "batch_num long, x array<double>, y array<string>, labels array<string>, atoms array<double>, codes array<double>"
+
+
+def prepared_windows(rows: DataFrame, key: str, loop: Loop, size: int, order: str = "seq", x: str = "x", label: str = "label") -> DataFrame:
+    """key and PREPARED of the full windows of a finished table (key, order, x, label): a window's series and labels, and what the loop learns
+    from it whatever its state is. Windows are spread over all tasks, as dictionaries don't depend on each other."""
+    known = rows.filter(F.col(x).isNotNull() & F.col(label).isNotNull()).select(key, order, F.col(x).alias("x"), F.col(label).cast("string").alias("label"))
+    placed = numbered(known, key, order).withColumn("batch_num", F.floor(F.col("rn") / size) + 1).filter(F.col("batch_num") * size <= F.col("n"))
+
+    def one(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("rn")
+        number, own, y = int(g.batch_num.iloc[0]), np.array(g.x.tolist(), dtype=float), g.label.tolist()
+        labels, atoms, codes = loop.prepare(number, own, np.array(y)) or (None, None, None)
+        flat = lambda v: None if v is None else v.ravel()
+        return pd.DataFrame({key: g[key].iloc[:1].tolist(), "batch_num": [number], "x": [own.ravel()], "y": [y], "labels": [labels], "atoms": [flat(atoms)], "codes": [flat(codes)]})
+
+    out = T.StructType([rows.schema[key], *T._parse_datatype_string(PREPARED).fields])
+    return placed.select(key, "batch_num", "rn", "x", "label").groupBy(key, "batch_num").applyInPandas(one, out)
+
+
+class _PreparedLoops(StatefulProcessor):
+    """The online loop of a key over prepared windows, in order of their number; its state is read and written once a micro-batch."""
+
+    def __init__(self, key: str, loop: Loop):
+        self.key, self.loop = key, loop
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.held = handle.getValueState("loop", "data binary")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        loop, out = pickle.loads(self.held.get()[0]) if self.held.exists() else pickle.loads(pickle.dumps(self.loop)), []
+        for r in pd.concat(list(rows)).sort_values("batch_num").itertuples(index=False):
+            prepared = None
+            if r.labels is not None:
+                atoms = np.array(r.atoms, dtype=float).reshape(len(r.labels), -1)
+                prepared = list(r.labels), atoms, None if r.codes is None else np.array(r.codes, dtype=float).reshape(len(r.y), -1)
+            if (got := loop.step(np.array(r.x, dtype=float).reshape(len(r.y), -1), np.array(list(r.y)), prepared)) is not None:
+                out.append(got)
+        self.held.update((pickle.dumps(loop),))
+        if out:
+            made = pd.DataFrame(out, columns=[c.split()[0] for c in RESULT.split(", ")])
+            made.insert(0, self.key, pd.Series([key[0]] * len(out), dtype=object))
+            yield made
+
+    def close(self) -> None:
+        pass
+
+
+def loops_over_windows(stream: DataFrame, key: str, loop: Loop) -> DataFrame:
+    """keyed_loops() for a streaming frame of prepared_windows(), a key's in order from one micro-batch to the next."""
+    out = T.StructType([stream.schema[key], *T._parse_datatype_string(RESULT).fields])
+    return stream.groupBy(key).transformWithStateInPandas(_PreparedLoops(key, loop), out, "Append", "None")

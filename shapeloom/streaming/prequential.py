@@ -32,7 +32,7 @@ def transform(x: np.ndarray, bank: np.ndarray) -> np.ndarray:
     z = (bank - bank.mean(axis=1, keepdims=True)) / (bank.std(axis=1, keepdims=True) + 1e-8)
     w = np.lib.stride_tricks.sliding_window_view(x, q, axis=1)
     w = (w - w.mean(axis=2, keepdims=True)) / (w.std(axis=2, keepdims=True) + 1e-8)
-    return np.stack([np.sqrt(((w - a) ** 2).sum(axis=2)).min(axis=1) for a in z], axis=1)
+    return np.stack([np.sqrt(np.einsum("nij,nij->ni", e, e).min(axis=1)) for e in (w - a for a in z)], axis=1)
 
 
 def metrics(y, p) -> tuple[float, float, float, float]:
@@ -80,25 +80,40 @@ class Loop:
         a, off = learning.code(x, s, a, off, 1.0, self.iterations, 1e-5, False, rng)
         return float(((x - learning.rebuild(s, a, off, x.shape[1])) ** 2).sum(axis=1).mean()), a
 
-    def step(self, x: np.ndarray, y: np.ndarray) -> tuple | None:
-        """The result row of a batch, or None for the first one, which trains only. Rows are scored before the update."""
+    def prepare(self, number: int, x: np.ndarray, y: np.ndarray) -> tuple | None:
+        """What step() would learn from the batch of a number alone, whatever the state is: labels and atoms, and its codes over them if the
+        policy needs them. None if it learns nothing from it, or only the state tells whether it does."""
+        if number > 1 and (self.mode != "scheduled" or number % 2 == 0):
+            return None
+        x, y = znorm_rows(np.asarray(x, dtype=float)), np.asarray(y)
+        labels, new = self._learn(x, y)
+        return labels, new, self._codes(x, new)[1] if number > 1 and self.policy in policies.CODED else None
+
+    def step(self, x: np.ndarray, y: np.ndarray, prepared: tuple | None = None) -> tuple | None:
+        """The result row of a batch, or None for the first one, which trains only. Rows are scored before the update. prepared: what prepare()
+        gives for this batch, if it has been made."""
         x, y = znorm_rows(np.asarray(x, dtype=float)), np.asarray(y)
         self.seen += 1
         if self.seen == 1:
-            self.labels, self.bank = self._learn(x, y)
+            self.labels, self.bank = prepared[:2] if prepared else self._learn(x, y)
             self.model = LinearSgd(self.classes, seed=self.seed).partial_fit(transform(x, self.bank), y)
             self.reference = self._codes(x, self.bank)[0] if self.mode == "threshold" else None
             return None
         error = self._codes(x, self.bank)[0] if self.mode == "threshold" else 0.0
         drift = self.seen % 2 != 0 if self.mode == "scheduled" else error > self.factor * self.reference
-        row = (self.seen, *metrics(y.tolist(), self.model.predict(transform(x, self.bank)).tolist()), bool(drift))
+        features = transform(x, self.bank)
+        row = (self.seen, *metrics(y.tolist(), self.model.predict(features).tolist()), bool(drift))
         if drift:
-            labels, new = self._learn(x, y)
-            codes = (self._codes(x, s)[1] if self.policy in policies.CODED else None for s in (self.bank, new))
+            labels, new, a_new = prepared or (*self._learn(x, y), None)
+            if self.policy in policies.CODED:
+                codes = self._codes(x, self.bank)[1], self._codes(x, new)[1] if a_new is None else a_new
+            else:
+                codes = None, None
             self.labels, self.bank = policies.combine(self.policy, (self.labels, self.bank), (labels, new), *codes, y, np.random.default_rng(self.seed + self.seen))
             self.reference = self._codes(x, self.bank)[0] if self.mode == "threshold" else None
             self.model.resize(len(self.bank))
-        self.model.partial_fit(transform(x, self.bank), y)
+            features = transform(x, self.bank)
+        self.model.partial_fit(features, y)
         return row
 
 

@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from shapeloom.streaming import count_windows as W
 from shapeloom.streaming import feed
@@ -77,3 +78,25 @@ def test_threshold_query_takes_few_micro_batches(spark, monkeypatch):
     made, plain = [], feed.lay_out
     monkeypatch.setattr(feed, "lay_out", lambda *a: made.extend(plain(*a)))
     assert catalog.QUERIES["stream_threshold_windows"](spark, "/root/testdata/sf0.1").count() > 390 and made == [0]
+
+
+@pytest.mark.parametrize("policy", ["coefficients", "top_ranked", "closest"])
+def test_loops_over_prepared_windows(spark, policy):
+    """What is learned from windows beforehand, over all tasks, gives what the loop by itself learns one window after the other."""
+    rng = np.random.default_rng(5)
+    rows = [(s, "u" if s % 3 else None, rng.standard_normal(12).tolist() if s != 7 else None, "xy"[int(rng.integers(2))]) for s in range(250)]
+    loop = Loop(classes=["x", "y"], atoms=2, share=0.25, mode="scheduled", policy=policy, iterations=20)
+    df = spark.createDataFrame(rows, "seq long, k string, x array<double>, label string").repartition(3)
+    windows, folder = W.prepared_windows(df, "k", loop, 20), feed.new_folder(spark, "prepared")
+    assert windows.filter("labels is not null").count() == 6  # the odd ones, which were learned in the task of their key before
+    feed.lay_out(windows.withColumn("part", F.floor(F.col("batch_num") / 2)), "part", folder)
+    feed.run_to_end(W.loops_over_windows(feed.stream_of(spark, folder, windows.schema), "k", loop), folder, "out")
+    want = []
+    for k in ("u", None):
+        own, one = [r for r in rows if r[1] == k and r[2]], Loop(classes=["x", "y"], atoms=2, share=0.25, mode="scheduled", policy=policy, iterations=20)
+        for n in range(len(own) // 20):
+            part = own[n * 20 : n * 20 + 20]
+            if r := one.step(np.array([v[2] for v in part]), np.array([v[3] for v in part])):
+                want.append((k, *r))
+    got = spark.read.parquet(f"{folder}/out").collect()
+    assert sorted(map(str, ((r.k, r.batch, r.accuracy, r.drift_detected) for r in got))) == sorted(map(str, ((w[0], w[1], w[2], w[6]) for w in want)))
