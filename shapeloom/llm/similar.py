@@ -1,7 +1,8 @@
 """Near-dedup at a stated Jaccard similarity of word shingles: wide SimHash fingerprints, blocks, verified Hamming distance, components.
 
-At a similarity of 0.8 two SimHashes differ in 15 of 100 bits, so any block of their bits long enough to be selective at billions of
-documents is missed by nearly all such pairs. Here the blocks are min-wise instead: BANDS groups of the least values of the shingles'
+The SimHash step is op1's: 64-bit fingerprints, blocks of their bits, at most 2 bits apart, components. But at a similarity of 0.8 two
+SimHashes differ in 15 of 100 bits, so any block of their bits long enough to be selective at billions of
+documents is missed by nearly all such pairs. So min-wise blocks bring the other pairs: BANDS groups of the least values of the shingles'
 hashes, each group shared by close texts with probability similarity ** BAND. Texts that meet in a block are compared by their sizes and, if large,
 by the Hamming distance of WORDS * 64 SimHash bits with a wide allowance; what passes is decided by the exact similarity of the sets.
 """
@@ -19,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import simhash
 from .common import arrow_type, id_and_text, materialize, release, scratch, slices
 from .components import connected_components
 
@@ -189,11 +191,24 @@ def _rest(members: DataFrame, found: DataFrame, rare: DataFrame, similarity: flo
     return met.select(F.col("u_node").alias("u"), F.col("v_node").alias("v")).union(met_rare.select("u_node", "v_node"))
 
 
+def fingerprint_pairs(nodes: DataFrame, similarity: float) -> DataFrame:
+    """u, v: nodes that SimHash itself links, as op1 does: 64-bit fingerprints (the first word of _sig) that meet in blocks of their bits and
+    differ in at most 2; of nodes with one fingerprint, each with the first. Pairs that can't be that similar are left out."""
+    own = nodes.select("_node", "_n", "_sig", F.col("_sig")[0].alias("_fp"))
+    first = materialize(own.groupBy("_fp").agg(F.min(F.struct("_node", "_n", "_sig")).alias("_f")).select("_fp", "_f.*"), "similar-fingerprints")
+    a, b, c = (t.select(*[F.col(x).alias(side + x) for x in ("_fp", "_node", "_n", "_sig")]) for t, side in ((first, "u"), (first, "v"), (own, "u")))
+    apart = simhash.links(first.select("_fp")).distinct().join(a, F.col("u") == F.col("u_fp")).join(b, F.col("v") == F.col("v_fp")).drop("u", "v")
+    same = c.join(b, F.col("u_fp") == F.col("v_fp")).filter(F.col("u_node") != F.col("v_node"))
+    met = apart.unionByName(same).filter(_may(similarity, "u", "v"))
+    return met.select(F.greatest("u_node", "v_node").alias("u"), F.least("u_node", "v_node").alias("v"))
+
+
 def similar_links(nodes: DataFrame, sets: DataFrame, similarity: float, bucket: int = BUCKET) -> DataFrame:
     """nodes: distinct _node with _n, _sig and _keys; sets: _node and _set, repeats allowed. Returns u, v: verified links that connect all
     nodes which links in blocks connect.
 
-    A block of at most `bucket` nodes is joined with itself. In a larger one all are compared with a few leaders first; then every pair
+    Candidates are the pairs that SimHash links and those that share a min-wise block, where its blocks miss them; all are verified by the
+    exact similarity. A block of at most `bucket` nodes is joined with itself. In a larger one all are compared with a few leaders first; then every pair
     that the links so far leave in different components and that may be similar by the shingles that few of these nodes have is compared
     too, so a large group of close texts costs linear work, and no pair is lost whatever the size of its block."""
     rows = materialize(nodes.select("_node", F.explode("_keys").alias("k")), "similar-blocks")
@@ -203,7 +218,8 @@ def similar_links(nodes: DataFrame, sets: DataFrame, similarity: float, bucket:
     cold = met.filter(F.col("n") <= bucket)
     a, b = (cold.select("k", *[F.col(c).alias(side + c) for c in ("_node", "_n", "_sig")]) for side in "uv")
     near = a.join(b, "k").filter((F.col("u_node") > F.col("v_node")) & _may(similarity, "u", "v"))
-    near = materialize(near.select(F.col("u_node").alias("u"), F.col("v_node").alias("v")).distinct(), "similar-cold")
+    near = near.select(F.col("u_node").alias("u"), F.col("v_node").alias("v")).union(fingerprint_pairs(nodes, similarity))
+    near = materialize(near.distinct(), "similar-cold")
     members = materialize(met.filter(F.col("n") > bucket).select("k", "_node", "_n", "_sig"), "similar-members")
     release(met)
     own = _sets_of(sets, near.select(F.col("u").alias("_node")).union(near.select(F.col("v").alias("_node"))).union(members.select("_node")))

@@ -165,3 +165,26 @@ def test_rare_shingles_of_crowded_blocks(spark):
     rows = spark.createDataFrame(full, "_node string, _n long, _sig array<long>, _keys array<long>, _set array<long>")
     links = {frozenset((r.u, r.v)) for r in similar.similar_links(rows, rows, 0.8).collect()}
     assert links == {frozenset(("n20", "n21"))}
+
+
+def test_simhash_links_without_min_wise_blocks(spark):
+    """Close texts of a crowd meet by their 64-bit fingerprints alone; what SimHash links wrongly isn't verified."""
+    rng = random.Random(8)
+    words = [f"w{rng.randrange(5000)}" for _ in range(400)]
+    texts = [" ".join([*words[:k], "other", *words[k + 1 :]]) for k in range(0, 400, 10)] + [" ".join(f"v{rng.randrange(5000)}" for _ in range(300)) for _ in range(20)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    with similar.scratch():
+        rows = similar.materialize(similar.marked(docs), "test-marks")
+        nodes = rows.select("_node", "_n", "_sig", F.array().cast("array<long>").alias("_keys"))
+        sets = similar.shingle_sets(docs, rows.select("_node", "_as"))
+        got = {(r.u, r.v) for r in similar.similar_links(nodes, sets, 0.8).collect()}
+        name = {r["_node"]: r["_id"] for r in rows.collect()}
+    u = [similar.shingle_hashes(t) for t in texts]
+    assert got and all(_jaccard(texts[name[a]], texts[name[b]]) >= 0.8 for a, b in got)
+    fp = {i: int(similar.marks(h)[0][0]) & (1 << 64) - 1 for i, h in enumerate(u)}
+    near = {(i, j) for i in range(len(u)) for j in range(i) if (fp[i] ^ fp[j]).bit_count() <= 2 and i < 40}
+    parent = list(range(len(u)))
+    top = lambda k: k if parent[k] == k else top(parent[k])
+    for a, b in got:
+        parent[top(name[a])] = top(name[b])
+    assert all(top(i) == top(j) for i, j in near)
