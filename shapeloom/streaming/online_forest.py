@@ -78,7 +78,7 @@ def replay_forest(rows: DataFrame, batch: str, settings: Settings, folder: str |
     return elected(spark.read.schema(VOTES).parquet(f"{folder}/votes"))
 
 
-def class_incremental(rows: DataFrame, classes: list[str], stages, atoms: int = 5, share: float = 0.5, trees: int = 10, seed: int = 32, rows_at_once: int = 4096, **tree) -> DataFrame:
+def class_incremental(rows: DataFrame, classes: list[str], stages, atoms: int = 5, share: float = 0.5, trees: int = 10, seed: int = 32, rows_at_once: int = 1 << 15, **tree) -> DataFrame:
     """The class-incremental run: seq, epoch, label, prediction, accuracy, kappa (both so far), atoms (in use), drifts, warnings.
 
     rows: seq, label, x. Epochs deal out the classes' rows by schedule, each in an order drawn by seed. A class that an epoch is the first to

@@ -136,3 +136,20 @@ def test_boosting_weighs_by_errors():
             hit = one.right[t] > right[t]
             assert (one.right[t] - right[t] + one.wrong[t] - wrong[t]) == pytest.approx(weight)
             weight *= (one.right[t] + one.wrong[t]) / (2 * (one.right[t] if hit else one.wrong[t]))
+
+
+def test_a_leaf_keeps_its_model_until_it_learns():
+    """Votes of rows between two learned ones take logarithms once; the kept parts aren't state, and are gone when a row is learned."""
+    import pickle
+
+    rng, leaf = np.random.default_rng(4), Leaf(np.arange(3), np.zeros(2), 0)
+    for k in range(40):
+        x = rng.standard_normal(3) + k % 2
+        if k % 5 == 0:
+            x[1] = np.nan
+        fresh = pickle.loads(pickle.dumps(leaf))
+        assert not {"_model", "_last"} & set(fresh.__dict__)
+        kept = leaf._parts()
+        assert [p.tolist() for p in leaf.shares(x)] == [p.tolist() for p in fresh.shares(x.copy())] and leaf._parts() is kept
+        leaf.learn(x, k % 2, 1.0), fresh.learn(x, k % 2, 1.0)
+        assert leaf._parts() is not kept and [p.tolist() for p in leaf.shares(x)] == [p.tolist() for p in fresh.shares(x.copy())]
