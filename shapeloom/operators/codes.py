@@ -11,28 +11,57 @@ from ..functions import arrays as A
 from .series import atoms_of
 
 
+#: Rows of an Arrow batch whose correlations are taken at once.
+LOT = 512
+
+
+def _by_size(x: pd.Series):
+    """(positions, array of the series there) for lots of series of one length; a null series counts as an empty one."""
+    size = x.map(lambda v: 0 if v is None else len(v)).to_numpy(dtype=np.int64)
+    for p in np.unique(size):
+        every = np.flatnonzero(size == p)
+        for at in (every[k : k + LOT] for k in range(0, len(every), LOT)):
+            yield at, np.array(x.iloc[at].tolist() if p else [()] * len(at), dtype=float).reshape(len(at), p)
+
+
+def _one_step(x: np.ndarray, s: np.ndarray, lam: float, signed: bool):
+    """a, off, m of one atom for every row of x. The products of a place add up in order, so equal windows tie, as in the SQL."""
+    places = x.shape[1] - len(s) + 1
+    c = np.zeros((len(x), places))
+    for j, v in enumerate(s):
+        c += x[:, j : j + places] * v
+    at = np.abs(c).argmax(axis=1)
+    m = c[np.arange(len(x)), at]
+    size = np.abs(m) if signed else m
+    on = size > lam
+    a = np.zeros(len(x))
+    a[on] = np.sign(m[on]) * (size[on] - lam) / (s @ s)
+    return a, np.where(on, at, 0), m
+
+
+def _add(recon: np.ndarray, s: np.ndarray, a: np.ndarray, off: np.ndarray) -> None:
+    some = np.flatnonzero(a)
+    recon[some[:, None], off[some, None] + np.arange(len(s))] += a[some, None] * s
+
+
 def _step(rows: DataFrame, atoms: list[np.ndarray], lam: float, signed: bool) -> DataFrame:
     """vec_id, label, x with a, off, m and recon: one coordinate step for every atom from zero codes, in Arrow batches. A series that is
     null or shorter than an atom has no code of it."""
 
     @F.pandas_udf("struct<a:array<double>,off:array<int>,m:array<double>,recon:array<double>>")
     def run(x: pd.Series) -> pd.DataFrame:
-        out = []
-        for v in x:
-            a, off, m = np.zeros(len(atoms)), np.zeros(len(atoms), dtype=np.int32), np.zeros(len(atoms))
-            v = np.asarray(() if v is None else v, dtype=float)
-            recon = np.zeros(len(v))
+        out = np.empty((4, len(x)), dtype=object)
+        for at, v in _by_size(x):
+            a, off, m = np.zeros((len(v), len(atoms))), np.zeros((len(v), len(atoms)), dtype=np.int32), np.zeros((len(v), len(atoms)))
+            recon = np.zeros(v.shape)
             for k, s in enumerate(atoms):
-                if len(v) < len(s):
-                    continue
-                c = np.lib.stride_tricks.sliding_window_view(v, len(s)) @ s
-                at = int(np.abs(c).argmax())
-                m[k], size = c[at], abs(c[at]) if signed else c[at]
-                if size > lam:
-                    a[k], off[k] = np.sign(m[k]) * (size - lam) / (s @ s), at
-                    recon[at : at + len(s)] += a[k] * s
-            out.append((a, off, m, recon))
-        return pd.DataFrame(out, columns=["a", "off", "m", "recon"])
+                if v.shape[1] >= len(s):
+                    a[:, k], off[:, k], m[:, k] = _one_step(v, s, lam, signed)
+                    _add(recon, s, a[:, k], off[:, k])
+            for column, values in zip(out, (a, off, m, recon)):
+                for i, own in zip(at, values):
+                    column[i] = own
+        return pd.DataFrame(dict(zip(("a", "off", "m", "recon"), out)))
 
     return rows.select("vec_id", "label", "x", run("x").alias("c")).select("vec_id", "label", "x", "c.*")
 
@@ -52,6 +81,45 @@ def one_step_terms(rows: DataFrame, dictionary: DataFrame, lam: float = 0.1, sig
     return c.select(F.col("vec_id").alias("series_id"), "x", "recon", F.aggregate("a", F.lit(0.0), lambda t, v: t + F.abs(v)).alias("l1"))
 
 
+def one_step_ranks(rows: DataFrame, dictionary: DataFrame, lam: float = 0.1, signed: bool = True) -> DataFrame:
+    """k, r: the rank (from 0) of every atom in every series by the size of its code, as ranking.rank_coefficients() ranks
+    one_step_codes(); one row of codes a series is shuffled instead of one for each atom."""
+    names, atoms = atoms_of(dictionary)
+    pos = F.array(*[F.lit(r["pos"]) for r in names]).cast("array<bigint>")
+    sized = F.zip_with("a", pos, lambda a, k: F.struct((~F.isnan(a)).alias("known"), (-F.abs(a)).alias("size"), k.alias("k")))
+    c = _step(rows, atoms, lam, signed).select("vec_id", sized.alias("c")).groupBy("vec_id").agg(F.array_sort(F.flatten(F.collect_list("c"))).alias("c"))
+    return c.select(F.posexplode("c").alias("r", "c")).select("c.k", "r")
+
+
+def one_step_objectives(rows: DataFrame, dictionaries: dict[str, DataFrame], lam: float = 0.1, signed: bool = True) -> DataFrame:
+    """name, objective, n for each dictionary: objective() of one_step_terms() over it and the number of series with values, in one pass
+    over the rows for all dictionaries. What they have in common is correlated once."""
+    banks = {name: atoms_of(d)[1] for name, d in dictionaries.items()}
+    atoms = {s.tobytes(): s for bank in banks.values() for s in bank}
+    order = [[s.tobytes() for s in bank] for bank in banks.values()]
+
+    @F.pandas_udf("array<double>")
+    def run(x: pd.Series) -> pd.Series:
+        out = np.empty(len(x), dtype=object)
+        for at, v in _by_size(x):
+            coded = {key: _one_step(v, s, lam, signed)[:2] for key, s in atoms.items() if v.shape[1] >= len(s)}
+            own = np.zeros((len(v), len(order)))
+            for b, keys in enumerate(order):
+                recon = np.zeros(v.shape)
+                for key in keys:
+                    if key in coded:
+                        _add(recon, atoms[key], *coded[key])
+                        own[:, b] += lam * np.abs(coded[key][0])
+                own[:, b] += 0.5 * ((v - recon) ** 2).sum(axis=1)
+            for i, values in zip(at, own):
+                out[i] = values
+        return pd.Series(out)
+
+    sums = rows.filter(F.size("x") > 0).select(run("x").alias("t")).agg(F.count("*").alias("n"), F.array(*[F.sum(F.get("t", F.lit(b))) for b in range(len(banks))]).alias("t"))
+    names = F.array(*[F.lit(name) for name in banks])
+    return sums.select("n", F.explode(F.arrays_zip(names.alias("name"), F.col("t").alias("objective"))).alias("e")).select("e.name", "e.objective", "n")
+
+
 def residual_terms(rows: DataFrame, codes: DataFrame, dictionary: DataFrame) -> DataFrame:
     """series_id, x, recon, l1, from codes of any source; a series' codes are one bounded array (one entry per atom)."""
     names, atoms = atoms_of(dictionary)

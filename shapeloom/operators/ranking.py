@@ -119,7 +119,12 @@ def policy_coefficients(old_sums: DataFrame, new_sums: DataFrame, per_label: int
 def rank_coefficients(codes: DataFrame, top_k: int = 10) -> DataFrame:
     """k, mean_rank, top_count, overall_rank: per series the atoms rank by |a| (from 0); codes: series_id, k, a."""
     r = F.row_number().over(Window.partitionBy("series_id").orderBy(F.desc(F.abs("a")), "k")) - 1
-    g = codes.withColumn("r", r).groupBy("k").agg(F.avg("r").alias("mean_rank"), F.count_if(F.col("r") < top_k).alias("top_count"))
+    return overall_ranks(codes.withColumn("r", r), top_k)
+
+
+def overall_ranks(ranks: DataFrame, top_k: int = 10) -> DataFrame:
+    """rank_coefficients() from the ranks of atoms: k, r."""
+    g = ranks.groupBy("k").agg(F.avg("r").alias("mean_rank"), F.count_if(F.col("r") < top_k).alias("top_count"))
     return g.withColumn("overall_rank", F.row_number().over(Window.orderBy("mean_rank", "k")))
 
 
