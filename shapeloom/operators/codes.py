@@ -8,22 +8,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import arrays as A
-from .series import atoms_of
+from .series import atoms_of, lots_by_size
 
 
 #: Rows of an Arrow batch whose correlations are taken at once.
 LOT = 512
 
 
-def _by_size(x: pd.Series):
-    """(positions, array of the series there) for lots of series of one length; a null series counts as an empty one."""
-    size = x.map(lambda v: 0 if v is None else len(v)).to_numpy(dtype=np.int64)
-    for p in np.unique(size):
-        every = np.flatnonzero(size == p)
-        for at in (every[k : k + LOT] for k in range(0, len(every), LOT)):
-            yield at, np.array(x.iloc[at].tolist() if p else [()] * len(at), dtype=float).reshape(len(at), p)
-
-
 def _one_step(x: np.ndarray, s: np.ndarray, lam: float, signed: bool):
     """a, off, m of one atom for every row of x. The products of a place add up in order, so equal windows tie, as in the SQL."""
     places = x.shape[1] - len(s) + 1
@@ -51,7 +42,7 @@ def _step(rows: DataFrame, atoms: list[np.ndarray], lam: float, signed: bool) ->
     @F.pandas_udf("struct<a:array<double>,off:array<int>,m:array<double>,recon:array<double>>")
     def run(x: pd.Series) -> pd.DataFrame:
         out = np.empty((4, len(x)), dtype=object)
-        for at, v in _by_size(x):
+        for at, v in lots_by_size(x, LOT):
             a, off, m = np.zeros((len(v), len(atoms))), np.zeros((len(v), len(atoms)), dtype=np.int32), np.zeros((len(v), len(atoms)))
             recon = np.zeros(v.shape)
             for k, s in enumerate(atoms):
@@ -101,7 +92,7 @@ def one_step_objectives(rows: DataFrame, dictionaries: dict[str, DataFrame], lam
     @F.pandas_udf("array<double>")
     def run(x: pd.Series) -> pd.Series:
         out = np.empty(len(x), dtype=object)
-        for at, v in _by_size(x):
+        for at, v in lots_by_size(x, LOT):
             coded = {key: _one_step(v, s, lam, signed)[:2] for key, s in atoms.items() if v.shape[1] >= len(s)}
             own = np.zeros((len(v), len(order)))
             for b, keys in enumerate(order):

@@ -48,27 +48,22 @@ def code(x, s, a, off, lam, sweeps: int = 5, eps: float = 1e-5, signed: bool = T
     a, off = a.copy(), off.copy()
     n, p = x.shape
     kk, q = s.shape
-    every, span, banded = np.arange(n), np.arange(q), _banded(s, p)
-    res = x - rebuild(s, a, off, p)
+    span, banded = np.arange(q), _banded(s, p)
+    placed = None if banded is None or not np.isfinite(s).all() else np.ascontiguousarray(banded.transpose(0, 2, 1))
+    if placed is None:
+        res = x - rebuild(s, a, off, p)
+    else:
+        res = np.zeros((n, p))
+        for k in range(kk):
+            res += a[:, k, None] * placed[k][off[:, k]]
+        res = x - res
     last = None
     for _ in range(sweeps):
-        for k in rng.permutation(kk):
-            norm2 = float(s[k] @ s[k])
-            if norm2 == 0:
-                continue
-            if len(some := np.flatnonzero(a[:, k])):
-                res[some[:, None], off[some, k, None] + span] += a[some, k, None] * s[k]
-            if not n:
-                c = np.zeros((0, p - q + 1))
-            else:
-                c = res @ banded[k] if banded is not None else _windows(res, q) @ s[k]
-            at = np.abs(c).argmax(axis=1)
-            m = c[every, at]
-            new = np.where(np.abs(m) > lam, np.sign(m) * (np.abs(m) - lam) / norm2, 0.0) if signed else np.where(m > lam, (m - lam) / norm2, 0.0)
-            a[:, k] = new
-            if len(some := np.flatnonzero(new)):
-                off[some, k] = at[some]
-                res[some[:, None], at[some, None] + span] -= new[some, None] * s[k]
+        order = rng.permutation(kk)
+        for lot in (slice(t, t + LOT) for t in range(0, n, LOT)):
+            _sweep(res[lot], s, a[lot], off[lot], lam, signed, order, span, banded, placed)
+        if eps < 0:  # no objective is near enough to stop
+            continue
         f = float(0.5 * (res**2).sum() + lam * np.abs(a).sum())
         if last is not None and abs(last - f) <= eps * max(abs(last), 1e-300):
             break
@@ -76,6 +71,34 @@ def code(x, s, a, off, lam, sweeps: int = 5, eps: float = 1e-5, signed: bool = T
     return a, off
 
 
+#: Series that are swept at once, so that their residuals stay in a processor's cache.
+LOT = 512
+
+
+def _sweep(res, s, a, off, lam, signed: bool, order, span, banded, placed) -> None:
+    """One step for each atom in order, in place. Where `placed` holds an atom at each of its places, whole rows of it are taken."""
+    every = np.arange(len(res))
+    for k in order:
+        norm2 = float(s[k] @ s[k])
+        if norm2 == 0:
+            continue
+        if placed is not None:
+            res += a[:, k, None] * placed[k][off[:, k]]
+        elif len(some := np.flatnonzero(a[:, k])):
+            res[some[:, None], off[some, k, None] + span] += a[some, k, None] * s[k]
+        c = res @ banded[k] if banded is not None else _windows(res, len(span)) @ s[k]
+        at = np.abs(c).argmax(axis=1)
+        m = c[every, at]
+        new = np.where(np.abs(m) > lam, np.sign(m) * (np.abs(m) - lam) / norm2, 0.0) if signed else np.where(m > lam, (m - lam) / norm2, 0.0)
+        a[:, k] = new
+        on = new != 0
+        off[on, k] = at[on]
+        if placed is not None:
+            res -= new[:, None] * placed[k][at]
+        elif len(some := np.flatnonzero(on)):
+            res[some[:, None], at[some, None] + span] -= new[some, None] * s[k]
+
+
 #: Points of a series up to which its products with an atom at all places are one with a banded matrix.
 BANDED = 256
 

@@ -113,6 +113,54 @@ def nearest_atom(rows: DataFrame, dictionary: DataFrame, metric: str = "euclidea
     return near.withColumn("_n", F.get(names, F.col("_k").cast("int"))).select(*rows.columns, "_n.pos", "_n.shapelet_label", "dist")
 
 
+def lots_by_size(x: pd.Series, lot: int):
+    """(positions, array of the series there) for lots of series of one length; a null series counts as an empty one."""
+    size = x.map(lambda v: 0 if v is None else len(v)).to_numpy(dtype=np.int64)
+    for p in np.unique(size):
+        every = np.flatnonzero(size == p)
+        for at in (every[k : k + lot] for k in range(0, len(every), lot)):
+            yield at, np.array(x.iloc[at].tolist() if p else [()] * len(at), dtype=float).reshape(len(at), p)
+
+
+#: Series whose distances are bounded by one matrix product.
+LOT = 128
+#: Values up to which no square in a matrix product can overflow.
+MOST = 1e100
+
+
+def _plain_distances(v: np.ndarray, bank: np.ndarray, znorm: bool) -> np.ndarray:
+    w = np.lib.stride_tricks.sliding_window_view(v, bank.shape[1])
+    w = _normalised(w) if znorm else w
+    return np.sqrt([np.einsum("ij,ij->i", e, e).min() for e in (w - s for s in bank)])
+
+
+def least_distances(x: np.ndarray, bank: np.ndarray, znorm: bool) -> np.ndarray:
+    """Least distance over the places of each atom (columns) for each series (rows). A matrix product of windows and atoms shows, but for
+    what it loses by rounding, where the least can be; only there it is computed by differences."""
+    out = np.full((len(x), len(bank)), np.inf)
+    safe = (np.abs(x).max(axis=1) < MOST) & bool((np.abs(bank) < MOST).all())  # false for what is no number, too
+    for i in np.flatnonzero(~safe):
+        out[i] = _plain_distances(x[i], bank, znorm)
+    if not safe.any():
+        return out
+    q = bank.shape[1]
+    w = np.lib.stride_tricks.sliding_window_view(x[safe], q, axis=1)
+    w = _normalised(w) if znorm else np.ascontiguousarray(w)
+    own, theirs = np.einsum("ijk,ijk->ij", w, w), np.einsum("ij,ij->i", bank, bank)
+    g = (w.reshape(-1, q) @ (-2 * bank.T)).reshape(*w.shape[:2], len(bank))
+    g += own[:, :, None]
+    g += theirs
+    reach = g.min(axis=1) + 16 * q * np.finfo(float).eps * (own.max(axis=1)[:, None] + theirs)
+    i, place, k = np.nonzero(g <= reach[:, None, :])
+    least = np.full((len(w), len(bank)), np.inf)
+    for t in range(0, len(i), 1 << 16):
+        some = slice(t, t + (1 << 16))
+        e = w[i[some], place[some]] - bank[k[some]]
+        np.minimum.at(least, (i[some], k[some]), np.einsum("ij,ij->i", e, e))
+    out[safe] = np.sqrt(least)
+    return out
+
+
 def _with_distances(rows: DataFrame, atoms: list[np.ndarray], znorm: bool) -> DataFrame:
     if not atoms:
         return rows.withColumn("features", F.array().cast("array<double>"))
@@ -124,18 +172,15 @@ def _with_distances(rows: DataFrame, atoms: list[np.ndarray], znorm: bool) -> Da
 
     @F.pandas_udf("array<double>")
     def run(x: pd.Series) -> pd.Series:
-        out = []
-        for v in x:
-            d = np.full(len(atoms), np.inf)
-            for size, at, bank in banks:
-                if v is not None and len(v) >= size:
-                    w = np.lib.stride_tricks.sliding_window_view(np.asarray(v, dtype=float), size)
-                    w = _normalised(w) if znorm else w
-                    for k, s in zip(at, bank):
-                        e = w - s
-                        d[k] = np.sqrt(np.einsum("ij,ij->i", e, e).min())
-            out.append(d)
-        return pd.Series(out, dtype=object)
+        out = np.empty(len(x), dtype=object)
+        for at, v in lots_by_size(x, LOT):
+            d = np.full((len(v), len(atoms)), np.inf)
+            for size, ks, bank in banks:
+                if v.shape[1] >= size:
+                    d[:, ks] = least_distances(v, bank, znorm)
+            for i, own in zip(at, d):
+                out[i] = own
+        return pd.Series(out)
 
     return rows.withColumn("features", run("x"))
 
