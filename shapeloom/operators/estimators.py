@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import learning, models
+from .tables import written
 
 BANK = "pos long, label string, shapelet_id long, s array<double>"
 
@@ -116,6 +117,17 @@ def shapelet_classifier(name: str = "logistic", **settings):
     return Pipeline(stages=[made, index, models.classifier(name).setFeaturesCol(made.getOrDefault("outputCol")).setLabelCol("target")])
 
 
+def held_out(pipeline, rows: DataFrame) -> DataFrame:
+    """The predictions of a shapelet_classifier(), fitted to the rows that aren't is_test, for those that are. Rows and features are
+    written, as learner and classifier read them many times."""
+    from pyspark.ml import Pipeline
+
+    made, *rest = pipeline.getStages()
+    rows = written(rows, "split")
+    data = written(made.fit(rows.filter("not is_test")).transform(rows).drop(made.getOrDefault("inputCol")), "features")
+    return Pipeline(stages=rest).fit(data.filter("not is_test")).transform(data.filter("is_test"))
+
+
 def cross_validated(pipeline, rows: DataFrame, k: list[int], share: list[float], lam: list[float], folds: int = 3, seed: int = 0):
     """The CrossValidatorModel over a grid of the dictionary's settings, and k, share, lam, accuracy (mean over the folds) of each."""
     from pyspark.ml.evaluation import MulticlassClassificationEvaluator

@@ -205,6 +205,18 @@ def _still(trace: list[float], eps: float) -> bool:
 
 #: Values (series times points) of a label up to which one task learns its dictionary; a larger label is learned in passes over all tasks.
 GROUP_VALUES = 1 << 22
+#: Values of a block of series, as passes read and write them.
+BLOCK_VALUES = 1 << 18
+#: Labels, largest first, that get a task of their own; the others are dealt over as many tasks by hash.
+TASKS = 256
+
+
+def _by_label(values: dict):
+    """values[label], null for other labels."""
+    keys = [v for v in values if v is not None]
+    at = F.array_position(F.array(*[F.lit(v) for v in keys]).cast("array<string>"), F.col("label")).cast("int") - 1
+    found = F.get(F.array(*[F.lit(values[v]) for v in keys]).cast("array<bigint>"), at)
+    return F.when(F.col("label").isNull(), F.lit(values.get(None)).cast("bigint")).otherwise(found)
 
 
 def _uniform(seed: int, *key):
@@ -219,7 +231,7 @@ def _drawn(rows: DataFrame, k: int, share: float, signed: bool, seed: int) -> Da
     else:
         a = F.transform(each, lambda i: _uniform(seed, F.lit(1), i))
     off = F.transform(each, lambda i: F.floor(_uniform(seed, F.lit(3), i) * last))
-    return rows.select("label", "x", a.alias("a"), off.alias("off"))
+    return rows.select("vec_id", "label", "x", a.alias("a"), off.alias("off"))
 
 
 def _first_atoms(rows: DataFrame, k: int, share: float, seed: int, init: str) -> dict:
@@ -260,13 +272,33 @@ def _fitted(label, s, trace) -> pd.DataFrame:
     return pd.DataFrame({"label": label, "shapelet_id": range(len(s)), "s": list(s), "iterations": len(trace), "objective": trace[-1] if trace else None})
 
 
+_BLOCK = "label string, n long, x binary, a binary, off binary, sums array<double>"
+
+
+def _block(label, x, a, off) -> pd.DataFrame:
+    return pd.DataFrame({"label": [label], "n": [len(x)], "x": [x.tobytes()], "a": [a.tobytes()], "off": [off.tobytes()], "sums": _nones(1)})
+
+
+def _blocks(state: DataFrame, parts: dict) -> DataFrame:
+    """The series of large labels with their codes as arrays of many series, each label in as many blocks as parts says. They are dealt by
+    hash, so each task of a pass has its share, however the rows lay."""
+
+    def pack(g: pd.DataFrame) -> pd.DataFrame:
+        label, (x, a, off) = None if pd.isna(g.label.iloc[0]) else g.label.iloc[0], _arrays(g)
+        lot = max(1, BLOCK_VALUES // max(1, x.shape[1]))
+        return pd.concat([_block(label, x[t : t + lot], a[t : t + lot], off[t : t + lot]) for t in range(0, len(x), lot)])
+
+    part = F.pmod(F.xxhash64("vec_id", "x"), _by_label(parts))
+    return state.withColumn("_part", part).groupBy("label", "_part").applyInPandas(pack, _BLOCK)
+
+
 def _in_passes(state: DataFrame, atoms: dict, how: dict) -> dict:
-    """Label to (atoms, objectives by iteration). Each iteration is one pass: every task codes its series, writes them with their codes
-    for the next one, and beside them its sums by label; only sums are shuffled."""
+    """Label to (atoms, objectives by iteration), from _blocks(). Each iteration is one pass: every task codes its blocks, writes them with
+    their codes for the next one, and beside them its sums by label; only sums are shuffled."""
     spark, folder, done, traces = state.sparkSession, None, {}, {c: [] for c in atoms}
     from .tables import remove, shared_folder
 
-    kind, added = "label string, x array<double>, a array<double>, off array<long>, sums array<double>", "label string, sums array<double>"
+    added = "label string, sums array<double>"
 
     def total(g: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"label": [g.label.iloc[0]], "sums": [np.sum(np.stack(g.sums.tolist()), axis=0)]})
@@ -278,24 +310,24 @@ def _in_passes(state: DataFrame, atoms: dict, how: dict) -> dict:
             def run(frames, now=now, turn=turn):
                 sums: dict = {}
                 for f in frames:
-                    for label, g in f.groupby("label", dropna=False, sort=False):
-                        label = None if pd.isna(label) else label
+                    for r in f.itertuples():
+                        label = None if pd.isna(r.label) else r.label
                         if label not in now:
                             continue
-                        x, a, off = _arrays(g)
+                        x, a, off = (np.frombuffer(v, kind).reshape(r.n, -1) for v, kind in ((r.x, np.float64), (r.a, np.float64), (r.off, np.int64)))
                         a, off = code(x, now[label], a, off, how["lam"], how["inner"], -1.0, how["signed"], np.random.default_rng([how["seed"], turn]))
                         sums[label] = sums.get(label, 0) + lagged_sums(x, a, off, now[label].shape[1])
-                        yield pd.DataFrame({"label": label, "x": list(x), "a": list(a), "off": list(off), "sums": _nones(len(x))})
+                        yield _block(label, x, a, off)
                 for label, v in sums.items():
-                    yield pd.DataFrame({"label": [label], "x": _nones(1), "a": _nones(1), "off": _nones(1), "sums": [v]})
+                    yield pd.DataFrame({"label": [label], "n": [0], "x": _nones(1), "a": _nones(1), "off": _nones(1), "sums": [v]})
 
             last, folder = folder, shared_folder(spark, "learn")
-            state.mapInPandas(run, kind).write.parquet(folder)
-            written = spark.read.schema(kind).parquet(folder)
+            state.mapInPandas(run, _BLOCK).write.parquet(folder)
+            read = spark.read.schema(_BLOCK).parquet(folder)
             if last:
                 remove(spark, last)
-            state = written.filter("x is not null").select("label", "x", "a", "off")
-            parts = written.filter("sums is not null").select("label", "sums", F.pmod(F.spark_partition_id(), F.lit(64)).alias("_k"))
+            state = read.filter("n > 0")
+            parts = read.filter("n = 0").select("label", "sums", F.pmod(F.spark_partition_id(), F.lit(64)).alias("_k"))
             for r in parts.groupBy("label", "_k").applyInPandas(total, added).groupBy("label").applyInPandas(total, added).collect():
                 c, sums = r["label"], np.array(r["sums"])
                 atoms[c] = update_by_sums(atoms[c], sums, how["c"], how["inner"], how["from_zero"])
@@ -322,10 +354,10 @@ def learn_dictionaries(
     label = F.lit(None).cast("string") if pooled else F.col("label").cast("string")
     rows = rows.filter("x is not null").select("vec_id", label.alias("label"), F.col("x").cast("array<double>").alias("x"))
     how = {"lam": lam, "c": c, "eps": eps, "most": most, "inner": inner, "signed": signed, "seed": seed, "from_zero": from_zero}
-    large = [r["label"] for r in rows.groupBy("label").agg(F.sum(F.size("x")).alias("v")).filter(F.col("v") > group_values).collect()]
+    sizes = {r["label"]: r["v"] for r in rows.groupBy("label").agg(F.sum(F.size("x")).alias("v")).collect()}
+    large = {v: -(-n // BLOCK_VALUES) for v, n in sizes.items() if n > group_values}
     first, state = _first_atoms(rows, k, share, seed, init), _drawn(rows, k, share, signed, seed)
-    is_large = F.array_contains(F.array(*[F.lit(v) for v in large if v is not None]).cast("array<string>"), F.col("label"))
-    is_large = F.when(F.col("label").isNull(), F.lit(None in large)).otherwise(is_large)
+    is_large = _by_label(large).isNotNull()
 
     def fit(g: pd.DataFrame) -> pd.DataFrame:
         name = None if pd.isna(g.label.iloc[0]) else g.label.iloc[0]
@@ -339,10 +371,14 @@ def learn_dictionaries(
                 break
         return _fitted(name, s, trace)
 
-    small = state.filter(~is_large).groupBy("label").applyInPandas(fit, _FIT)
+    order = sorted((v for v in sizes if v not in large), key=lambda v: (-sizes[v], v is None, v or ""))[:TASKS]
+    tasks = max(1, len(order))
+    place = F.coalesce(_by_label({v: n for n, v in enumerate(order)}), F.pmod(F.xxhash64("label"), F.lit(tasks))).cast("int")
+    dealt = state.filter(~is_large).withColumn("_task", place).repartitionById(tasks, "_task")  # labels are few: by hash, some share a task beside idle ones
+    small = dealt.groupBy("_task", "label").applyInPandas(fit, _FIT)
     if not large:
         return small
-    got = _in_passes(state.filter(is_large), {v: first[v] for v in large}, how)
+    got = _in_passes(_blocks(state.filter(is_large), large), {v: first[v] for v in large}, how)
     found = [(v, j, row.tolist(), len(t), t[-1] if t else None) for v, (s, t) in got.items() for j, row in enumerate(s)]
     return small.unionByName(rows.sparkSession.createDataFrame(found, _FIT))
 

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from shapeloom.operators import codes, drift, learning, models, policies, series
+from shapeloom.operators import codes, drift, estimators, learning, models, policies, series
 from shapeloom.plans import catalog
 from shapeloom.sources import files, generators
 
@@ -46,6 +46,41 @@ def test_passes_equal_one_task(spark, how):
             assert np.allclose(r.s, other[key].s) and r.objective == pytest.approx(other[key].objective)
 
 
+def test_each_label_has_a_task(spark):
+    """Longest-first in tasks of their own; by hash over four partitions, and those put together, all six shared one."""
+    rows = _series(spark, 42, labels="abcdef").withColumn("label", F.when(F.col("label") != "f", F.col("label")))
+    got = learning.learn_dictionaries(rows, k=2, share=0.3, most=2).select("label", F.spark_partition_id().alias("task")).distinct().collect()
+    assert {r.label for r in got} == {*"abcde", None} and len(got) == len({r.task for r in got}) == 6
+
+
+def test_more_labels_than_tasks(spark, monkeypatch):
+    rows = _series(spark, 42, labels="abcdef")
+    want = {(r.label, r.shapelet_id): r.s for r in learning.learn_dictionaries(rows, k=2, share=0.3, most=2).collect()}
+    monkeypatch.setattr(learning, "TASKS", 2)
+    got = learning.learn_dictionaries(rows, k=2, share=0.3, most=2).collect()
+    assert len(got) == len(want) == 12 and all(np.allclose(r.s, want[r.label, r.shapelet_id]) for r in got)
+
+
+def test_blocks_hold_every_series_of_rows_in_one_part(spark):
+    """Passes ran in as many tasks as the rows had parts: one for one file."""
+    rows = _series(spark, 300).withColumn("label", F.when(F.col("label") == "a", "a")).coalesce(1)
+    blocks = learning._blocks(learning._drawn(rows, 2, 0.3, False, 0), {"a": 7, None: 3}).collect()
+    assert sum(r.label == "a" for r in blocks) == 7 and sum(r.label is None for r in blocks) == 3
+    for label in ("a", None):
+        own = [r for r in blocks if r.label == label]
+        x = np.concatenate([np.frombuffer(r.x).reshape(r.n, -1) for r in own])
+        assert sorted(x.tolist()) == sorted(r.x for r in rows.collect() if r.label == label)
+        assert all(len(np.frombuffer(r.a)) == len(np.frombuffer(r.off, np.int64)) == 2 * r.n for r in own)
+
+
+def test_held_out_predicts_as_the_pipeline(spark):
+    rows = _series(spark, 120).withColumn("is_test", F.col("vec_id") % 3 == 0).cache()
+    pipeline = estimators.shapelet_classifier("logistic", k=2, share=0.5, iterations=5)
+    got = {r.vec_id: r.prediction for r in estimators.held_out(pipeline, rows).collect()}
+    want = pipeline.fit(rows.filter("not is_test")).transform(rows.filter("is_test")).collect()
+    assert len(got) == 40 and got == {r.vec_id: r.prediction for r in want}
+
+
 def test_learner_stops_and_pools(spark):
     rows = _series(spark)
     few = learning.learn_dictionaries(rows, k=2, share=0.3, eps=0.05).agg(F.max("iterations")).first()[0]
